@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid
+from . import bpe, htmltext, langid, toxicity
 from .common import held_out, learnable
 
 
@@ -29,8 +29,20 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.select("doc_id", "text"), labels.where(learnable("doc_id")).select("doc_id", "toxic"))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_byte_bpe)}
+    return {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op9_toxicity, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:

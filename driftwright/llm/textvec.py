@@ -91,7 +91,7 @@ def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     with np.errstate(over="ignore"):
         sums = np.zeros(len(flat) + 1, np.uint64)
         np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(flat)), out=sums[1:])
-        return mix((sums[end] - sums[start]) * powers(INVERSE, len(flat))[start])
+        return mix((sums[end] - sums[start]) * powers(INVERSE, len(flat) + 1)[start])
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
