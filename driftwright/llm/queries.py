@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, langid, toxicity
+from . import bpe, chat, htmltext, langid, toxicity, urlfilter
 from .common import held_out, learnable
 
 
@@ -21,6 +21,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    out = urlfilter.apply(pages, urlfilter.train(pages), block=("net/", "example.com/de/"), allow=("example.net/en/", "org/fr/"))
+    return out.select("page_id", "host", "path", "rule", "verdict", "words", "log_odds")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +35,16 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(rows.unionByName(probe), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select("conv_id", chat.digest("formatted", "ids", "mask").alias("d")).select("conv_id", "d.*")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs.select("doc_id", "text"), labels.where(learnable("doc_id")).select("doc_id", "toxic"))
@@ -42,7 +58,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_byte_bpe, op9_toxicity, op10_html_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_byte_bpe, op6_chat_format, op9_toxicity, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
