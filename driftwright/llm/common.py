@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,52 +53,50 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so later work survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Label the nodes of ``edges`` (a long, b long) with the smallest node that they reach.
 
     Alternating large-star and small-star steps: each keeps connectivity, points nodes at smaller ones and
     ends once every edge joins a node with its component's root. All steps are joins and aggregations that
-    combine before they shuffle; nothing is gathered on the driver but a row of sums. Returns (node,
-    component); nodes without edges are absent, self loops and null ends are ignored.
+    combine before they shuffle; each one's edges are written to ``scratch``. Nothing is gathered on the driver
+    but a row of sums. Returns (node, component); nodes without edges are absent, self loops and null ends are
+    ignored.
     """
-    e = checkpoint(edges.select("a", "b").where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    links = edges.where("a is not null and b is not null and a <> b")
+    e = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0")
     before = None
-    while True:
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    for step in range(1, 1000):
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        # large star: every larger neighbour of x moves to the least node that x knows
+        # large star: the larger neighbours of x move to the least node that x knows
         large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: x and its smaller neighbours move to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.select(F.col("u").alias("x"), "m"), F.col("u") == F.col("x"))
-        e = checkpoint(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s")).select("s.u", "s.v").where("u <> v").distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before is not None and tuple(now) == before:
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
+        small = large.join(least, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
+        e = scratch.table(small.select("s.u", "s.v").where("u <> v").distinct(), f"edges-{step}")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
             break
-        before = tuple(now)
-    roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return roots.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().join(roots.select("node"), "node", "left_anti"))
+        before = now
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def leader_links(members: DataFrame, verify) -> DataFrame:
-    """Verified links (a, b) among the rows of ``members`` (bucket, node) without pairing all of a bucket.
+def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Verified links (a, b, ...) among the distinct rows of ``members`` (bucket, node), without pairing all of a bucket.
 
     In each round every bucket is led by its least node; ``verify`` takes the distinct pairs (a leader,
-    b member) and returns those that hold. Members that a leader doesn't match stay for the next round under
-    a new leader, so each node is compared until it is linked or has met every leader of its buckets.
+    b member) and returns those that hold, with any columns of its own. Members that a leader doesn't match
+    stay for the next round under a new leader, so a node meets the leaders of its buckets until one matches.
+    A group of copies costs one pair for each member and bucket, however large it is.
     """
-    left, found = checkpoint(members.distinct()), None
-    while True:
-        lead = left.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = checkpoint(left.join(lead, "bucket").where("node <> lead").select("bucket", F.col("lead").alias("a"), F.col("node").alias("b")))
-        if pairs.isEmpty():
-            return found if found is not None else pairs.select("a", "b")
-        good = checkpoint(verify(pairs.select("a", "b").distinct()).select("a", "b"))
+    left, found = members, None
+    for step in range(1_000_000):
+        lead = left.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+        pairs = scratch.table(left.join(lead, "bucket").where("node <> a").select("bucket", "a", F.col("node").alias("b")), f"pairs-{step}")
+        if pairs.isEmpty() and found is not None:
+            return found
+        good = scratch.table(verify(pairs.select("a", "b").distinct()), f"links-{step}")
         found = good if found is None else found.union(good)
-        left = checkpoint(pairs.join(good, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("node")))
+        left = pairs.join(good.select("a", "b"), ["a", "b"], "left_anti").select("bucket", F.col("b").alias("node"))
+    raise AssertionError("unreachable")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, htmltext, langid, toxicity, urlfilter
+from . import bpe, chat, decontam, htmltext, langid, neardup, toxicity, urlfilter
 from .common import held_out, learnable
 
 
@@ -27,6 +27,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "words", "log_odds")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.overlaps(docs.select("doc_id", "text"), items)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,6 +50,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", chat.digest("formatted", "ids", "mask").alias("d")).select("conv_id", "d.*")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs.select("doc_id", "text"), labels.where(learnable("doc_id")).select("doc_id", "toxic"))
@@ -58,7 +67,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op4_byte_bpe, op6_chat_format, op9_toxicity, op10_html_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_decontamination, op4_byte_bpe, op6_chat_format, op7_near_duplicates, op9_toxicity, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
