@@ -85,18 +85,31 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Verified links (a, b, ...) among the distinct rows of ``members`` (bucket, node), without pairing all of a bucket.
 
-    In each round every bucket is led by its least node; ``verify`` takes the distinct pairs (a leader,
-    b member) and returns those that hold, with any columns of its own. Members that a leader doesn't match
-    stay for the next round under a new leader, so a node meets the leaders of its buckets until one matches.
-    A group of copies costs one pair for each member and bucket, however large it is.
+    In each round a bucket is led by the least nodes of 1, 4, 16, ... parts that a hash makes of it. Leaders meet
+    each other and all other members; ``verify`` takes the distinct pairs (a leader, b member) and returns those
+    that hold, with any columns of its own. Members that a leader matches are in its class and leave the bucket;
+    the others stay for the next round, so a member meets leaders until one matches or all of the bucket have
+    been met. A group of copies costs one pair for each member and bucket, however large it is.
     """
     left, found = members, None
-    for step in range(1_000_000):
-        lead = left.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        pairs = scratch.table(left.join(lead, "bucket").where("node <> a").select("bucket", "a", F.col("node").alias("b")), f"pairs-{step}")
-        if pairs.isEmpty() and found is not None:
+    for step in range(64):
+        part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(4**step))
+        sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        lead = left.join(sizes, "bucket", "left_semi").groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a")
+        if step:
+            lead = scratch.table(lead, f"leaders-{step}")
+        led = left.join(lead, "bucket").where("node <> a").select("bucket", "a", F.col("node").alias("b"))
+        if step:
+            # leaders meet each other once
+            led = led.join(lead.select("bucket", F.col("a").alias("b"), F.lit(True).alias("leads")), ["bucket", "b"], "left").where("leads is null or a < b").select("bucket", "a", "b", F.coalesce("leads", F.lit(False)).alias("leads"))
+        else:
+            led = led.withColumn("leads", F.lit(False))
+        pairs = scratch.table(led, f"pairs-{step}")
+        if found is not None and pairs.isEmpty():
             return found
         good = scratch.table(verify(pairs.select("a", "b").distinct()), f"links-{step}")
         found = good if found is None else found.union(good)
-        left = pairs.join(good.select("a", "b"), ["a", "b"], "left_anti").select("bucket", F.col("b").alias("node"))
-    raise AssertionError("unreachable")
+        members_left = pairs.where("not leads").select("bucket", "b").distinct()
+        matched = pairs.where("not leads").join(good.select("a", "b"), ["a", "b"], "left_semi").select("bucket", "b").distinct()
+        left = members_left.join(matched, ["bucket", "b"], "left_anti").select("bucket", F.col("b").alias("node"))
+    raise AssertionError("unreachable: each round takes at least a leader from every bucket")

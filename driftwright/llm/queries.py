@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, htmltext, langid, neardup, toxicity, urlfilter
-from .common import held_out, learnable
+from . import bpe, chat, chroma, decontam, htmltext, langid, neardup, sharding, toxicity, urlfilter
+from .common import held_out, learnable, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,12 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each vector of ``embeddings`` is played as a recording, whole."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", chroma.render("embedding").alias("media"))
+    return chroma.classes(rows, id_="vec_id").withColumnRenamed("id", "vec_id")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,6 +62,17 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFrame:
+    """``documents`` appended in four arrivals, compacted, and read back by the manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", target_bytes=128 << 20)
+    for k in range(arrivals):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "shard", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text", "lang", "source").alias("row_hash"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs.select("doc_id", "text"), labels.where(learnable("doc_id")).select("doc_id", "toxic"))
@@ -67,7 +86,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_decontamination, op4_byte_bpe, op6_chat_format, op7_near_duplicates, op9_toxicity, op10_html_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_decontamination, op4_byte_bpe, op5_audio_fingerprints, op6_chat_format, op7_near_duplicates, op8_sharding, op9_toxicity, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
