@@ -19,9 +19,10 @@ import hashlib
 import os
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,22 +76,23 @@ def mask_spans(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) ->
     return out
 
 
+def masked(text: str, starts: Sequence[int], stops: Sequence[int]) -> list[str]:
+    """The text under a mask, one string for each run of it; characters of several tokens count once."""
+    runs: list[list[int]] = []
+    for a, b in zip(starts, stops, strict=True):
+        if runs and a <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    return [text[a:b] for a, b in runs]
+
+
 @dataclass(frozen=True)
 class Formatted:
     text: str
     ids: list[int]
     mask: list[tuple[int, int, int]]
 
-    def loss_texts(self) -> list[str]:
-        """The text under the mask, one string for each run of it; characters of several tokens count once."""
-        runs: list[list[int]] = []
-        for _, a, b in self.mask:
-            if runs and a <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], b)
-            else:
-                runs.append([a, b])
-        return [self.text[a:b] for a, b in runs]
-
 
 class Formatter:
     def __init__(self, tokenizer_path: str, learned: tuple[str, ...] = ("assistant",)):
@@ -113,33 +115,37 @@ class Formatter:
 
 
 def _formatter(tokenizer_path: str, learned: tuple[str, ...]):
-    @F.pandas_udf(T.StructType.fromDDL("formatted string, ids array<int>, mask array<struct<token: int, start: int, stop: int>>"))
+    @F.pandas_udf(T.StructType.fromDDL("formatted string, ids array<int>, mask_token array<int>, mask_start array<int>, mask_stop array<int>"))
     def format_turns(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         formatter = Formatter(tokenizer_path, learned)
         for series in batches:
             rows = []
             for turns in series:
                 (f,) = formatter.format([[(t["role"] or "", t["text"] or "") for t in turns]])
-                rows.append((f.text, f.ids, [{"token": i, "start": a, "stop": b} for i, a, b in f.mask]))
-            yield pd.DataFrame(rows, columns=["formatted", "ids", "mask"])
+                mask = np.array(f.mask, np.int32).reshape(-1, 3)
+                rows.append((f.text, np.array(f.ids, np.int32), mask[:, 0].copy(), mask[:, 1].copy(), mask[:, 2].copy()))
+            yield pd.DataFrame(rows, columns=["formatted", "ids", "mask_token", "mask_start", "mask_stop"])
 
     return format_turns
 
 
 def format_conversations(df: DataFrame, tokenizer_path: str, *, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row for each conversation of ``df`` (conv_id, turn, role, text): formatted text, token ids and loss mask."""
+    """One row for each conversation of ``df`` (conv_id, turn, role, text): formatted text, token ids and loss mask.
+
+    The mask is three arrays: a token, and the begin and end of the part of the formatted text that it stands
+    for inside a learned turn.
+    """
     turns = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return turns.select("conv_id", _formatter(tokenizer_path, learned)("turns").alias("f")).select("conv_id", "f.*")
 
 
 @F.pandas_udf(T.StructType([T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())]))
-def digest(formatted: pd.Series, ids: pd.Series, mask: pd.Series) -> pd.DataFrame:
+def digest(formatted: pd.Series, start: pd.Series, stop: pd.Series) -> pd.DataFrame:
     """What can be read back from a formatted conversation and its mask."""
     rows = []
-    for text, own, spans in zip(formatted, ids, mask, strict=True):
+    for text, begins, ends in zip(formatted, start, stop, strict=True):
         turns = parse(text)
-        f = Formatted(text, list(own), [(m["token"], m["start"], m["stop"]) for m in spans])
-        loss = "".join(unescape(t) for t in f.loss_texts())
+        loss = "".join(map(unescape, masked(text, begins, ends)))
         said = "".join(f"{role}\n{t}\n" for role, t in turns)
         rows.append((len(turns), hashlib.sha256(said.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
     return pd.DataFrame(rows, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])

@@ -55,7 +55,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(rows.unionByName(probe), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("conv_id", chat.digest("formatted", "ids", "mask").alias("d")).select("conv_id", "d.*")
+    return out.select("conv_id", chat.digest("formatted", "mask_start", "mask_stop").alias("d")).select("conv_id", "d.*")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
