@@ -1,8 +1,67 @@
-"""Documents through the corpus operators, stage by stage."""
+"""Documents through the corpus operators: each stage works on what its predecessor kept."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftwright.llm import bpe, decontam, langid, neardup, toxicity
+from driftwright.llm.common import Scratch, learnable
+
+#: SQL can't express the stages: they learn models and draw samples. Tests compare them with brute force.
 ORACLE_SQL = None
-STAGES = []
+
+#: A document without a main language, or whose main language has less than this share, is rejected.
+LEAST_SHARE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that have a main language."""
+    model = langid.train(docs.where(learnable("doc_id")))
+    shown = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    kept = langid.identify(shown, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
+    return kept.select("_row.*")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that aren't predicted to be toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs.select("doc_id", "text"), labels.where(learnable("doc_id")).select("doc_id", "toxic"))
+    shown = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return toxicity.score(shown, model).where("predicted = 0").select("_row.*")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate class."""
+    return neardup.keep_one(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that hold no passage of the benchmark."""
+    return decontam.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document as little-endian unsigned 32-bit integers, and the digest of what they decode to."""
+    import public_tokenizers
+
+    out = bpe.encode(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language", language),
+    ("toxicity", clean),
+    ("near_duplicates", distinct),
+    ("decontamination", uncontaminated),
+    ("encoding", encoded),
+]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; what each stage keeps is written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch = Scratch(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return docs
