@@ -154,48 +154,57 @@ def _similarity(shared):
     return weighted_jaccard
 
 
-def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): doc_id, class_id, class_size and n_links.
-
-    n_links counts the verified links of the row's text with other texts. Work tables are below
-    ``spark.checkpoint.dir``; those that the result reads stay there.
-    """
+def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The key of each row's text, with whether it has words; and for each text with words its class."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(document_frequencies(rows))
     kept, work = Scratch(spark, "classes"), Scratch(spark, "neardup")
+    keyed = rows.withColumn("node", F.xxhash64("text"))
+    signed = kept.table(keyed.select("doc_id", "node", _bands(shared)("text").alias("bands")), "signed")
+    numbers = iter(range(1_000_000))
     try:
-        keyed = rows.withColumn("node", F.xxhash64("text"))
-        texts = kept.table(
-            keyed.select("doc_id", "node", _bands(shared)("text").alias("bands")).where(F.size("bands") > 0).groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts"
-        )
+        texts = work.table(signed.where(F.size("bands") > 0).groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts")
 
         def verify(pairs: DataFrame) -> DataFrame:
             nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
             wanted = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("key"), "rep")
-            bagged = work.table(
-                keyed.join(wanted, (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", pack_bag("text").alias("bag")).dropDuplicates(["node"]),
-                f"bags-{next(numbers)}",
-            )
+            own = keyed.join(wanted, (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", pack_bag("text").alias("bag"))
+            bagged = work.table(own.dropDuplicates(["node"]), f"bags-{next(numbers)}")
             both = pairs.join(bagged.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bagged.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
             return both.where(_similarity(shared)("x", "y") >= threshold).select("a", "b")
 
-        numbers = iter(range(1_000_000))
         links = work.table(leader_links(texts.select(F.explode("bands").alias("bucket"), "node"), verify, work).distinct(), "links")
         parts = connected_components(links, work)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         whole = texts.select("node", "rep", "n").join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = whole.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-        final = kept.table(whole.join(named, "component").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+        # a known id leads a class before a null one
+        named = whole.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node"))["node"].alias("leader"))
+        final = kept.table(whole.join(named, "component").select("node", "rep", "leader", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     finally:
         work.drop()
-    out = keyed.select("doc_id", "node").join(final, "node", "left")
-    return out.select("doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.select("doc_id", "node", (F.size("bands") > 0).alias("worded")), final
+
+
+def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """A row for each row of ``docs`` (doc_id, text): doc_id, class_id, class_size and n_links.
+
+    n_links counts the verified links of the row's text with other texts. Work tables are below
+    ``spark.checkpoint.dir``; those that the result reads stay there.
+    """
+    signed, final = _resolve(docs, threshold)
+    out = signed.join(final, "node", "left")
+    return out.select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: the least doc_id's, and of equal ids the least source and text's."""
-    named = classes(docs, **options)
-    first = named.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_keep"), "class_size").distinct()
-    same = docs.join(first.select("_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return same
+def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class, that of its least doc_id; all columns stay as they are.
+
+    Texts without a word stay. Rows of equal id and text are one document, of which one row stays.
+    """
+    signed, final = _resolve(docs, threshold)
+    stay = final.where("node = leader").select("node", F.col("rep").alias("doc_id")).union(signed.where("not worded").select("node", "doc_id")).distinct()
+    named = stay.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_node"), F.col("doc_id").alias("_id"))
+    same = keyed.join(named, (keyed["_node"] == named["_node"]) & keyed["_id"].eqNullSafe(named["_id"]), "left_semi")
+    return same.dropDuplicates(["_node", "_id"]).select("_row.*")
