@@ -162,16 +162,17 @@ def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     kept, work = Scratch(spark, "classes"), Scratch(spark, "neardup")
     keyed = rows.withColumn("node", F.xxhash64("text"))
     signed = kept.table(keyed.select("doc_id", "node", _bands(shared)("text").alias("bands")), "signed")
-    numbers = iter(range(1_000_000))
+    bags: list[DataFrame] = []
     try:
         texts = work.table(signed.where(F.size("bands") > 0).groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts")
 
         def verify(pairs: DataFrame) -> DataFrame:
-            nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            wanted = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("key"), "rep")
-            own = keyed.join(wanted, (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", pack_bag("text").alias("bag"))
-            bagged = work.table(own.dropDuplicates(["node"]), f"bags-{next(numbers)}")
-            both = pairs.join(bagged.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bagged.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
+            if not bags:  # the first round has all nodes that any round has; their texts are shuffled once
+                nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+                wanted = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("key"), "rep")
+                own = keyed.join(wanted, (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", pack_bag("text").alias("bag"))
+                bags.append(work.table(own.dropDuplicates(["node"]), "bags"))
+            both = pairs.join(bags[0].select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags[0].select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
             return both.where(_similarity(shared)("x", "y") >= threshold).select("a", "b")
 
         links = work.table(leader_links(texts.select(F.explode("bands").alias("bucket"), "node"), verify, work).distinct(), "links")
