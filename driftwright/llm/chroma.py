@@ -14,8 +14,9 @@ media column aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -104,10 +105,19 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     return (offset, n, float(np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n))) if n else None
 
 
-@F.pandas_udf(T.BinaryType())
-def fingerprints(media: pd.Series) -> pd.Series:
-    """Packed fingerprints of 16-bit little-endian PCM at ``RATE``."""
-    return pd.Series([fingerprint(np.frombuffer((m or b"")[: len(m or b"") // 2 * 2], "<i2") / 32768).astype("<u4").tobytes() for m in media], dtype=object)
+def pcm16(media: bytes | None) -> np.ndarray:
+    """Samples of 16-bit little-endian PCM at ``RATE``."""
+    own = media or b""
+    return np.frombuffer(own[: len(own) // 2 * 2], "<i2") / np.float32(32768)
+
+
+def _fingerprints(decode: Callable[[Any], np.ndarray]):
+    @F.pandas_udf(T.BinaryType())
+    def pack(media: pd.Series) -> pd.Series:
+        # one recording is decoded at a time
+        return pd.Series([fingerprint(decode(m)).astype("<u4").tobytes() for m in media], dtype=object)
+
+    return pack
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -127,16 +137,17 @@ def _align(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["shift", "overlap", "errors"])
 
 
-def classes(df: DataFrame, *, id_: str = "id", media: str | Column = "media", least_overlap: int = LEAST_OVERLAP, most_errors: float = MOST_ERRORS) -> DataFrame:
+def classes(df: DataFrame, *, id_: str = "id", media: str | Column = "media", decode: Callable[[Any], np.ndarray] = pcm16, least_overlap: int = LEAST_OVERLAP, most_errors: float = MOST_ERRORS) -> DataFrame:
     """A row for each recording: its class, the class's size, its links, and how it aligns with its best partner.
 
+    ``decode`` makes samples at ``RATE`` of a value of the media column.
     Links join recordings of different fingerprints that overlap by ``least_overlap`` frames or more with at
     most ``most_errors`` of the bits differing; classes are their connected components, named by the least id.
     ``offset`` is where the recording begins in ``aligned_to``, in frames.
     """
     kept, work = Scratch(df.sparkSession, "recordings"), Scratch(df.sparkSession, "chroma")
     column = F.col(media) if isinstance(media, str) else media
-    rows = kept.table(df.select(F.col(id_).alias("id"), fingerprints(column).alias("print")).withColumn("node", F.xxhash64("print")), "prints")
+    rows = kept.table(df.select(F.col(id_).alias("id"), _fingerprints(decode)(column).alias("print")).withColumn("node", F.xxhash64("print")), "prints")
     try:
         sound = rows.where(F.length("print") > 0)
         nodes = work.table(sound.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("print").alias("print")), "nodes")
@@ -160,20 +171,20 @@ def classes(df: DataFrame, *, id_: str = "id", media: str | Column = "media", le
     return out.select("id", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "aligned_to", "offset", "bit_error_rate")
 
 
-@F.pandas_udf(T.BinaryType())
-def render(vectors: pd.Series) -> pd.Series:
-    """A recording for each vector: one tone of ``FRAME`` samples for each component, whose size picks the pitch.
+@lru_cache(1)
+def _tones() -> np.ndarray:
+    t = np.arange(FRAME) / RATE
+    tones = np.stack([sum(np.sin(2 * np.pi * 220 * h * 2 ** (p / 12) * t) / h for h in (1, 2, 3)) for p in range(12)])
+    return (tones / np.abs(tones).max()).astype(np.float32)
+
+
+def melody(vector: list[float] | None) -> np.ndarray:
+    """A recording of a vector: one tone of ``FRAME`` samples for each component, whose size picks the pitch.
 
     Stands in for stored audio where a table holds none: equal vectors sound alike, close ones nearly.
     """
-    t = np.arange(FRAME) / RATE
-    tones = np.stack([sum(np.sin(2 * np.pi * 220 * h * 2 ** (p / 12) * t) / h for h in (1, 2, 3)) for p in range(12)])
-    notes = (tones / np.abs(tones).max() * 30000).astype("<i2")
-    out = []
-    for v in vectors:
-        v = np.nan_to_num(np.asarray([] if v is None else [0 if x is None else x for x in v], np.float64))
-        scale = np.sqrt((v**2).mean()) if len(v) else 0
-        # the logistic approximation of the normal distribution spreads the pitches evenly
-        pitch = np.minimum(11, (12 / (1 + np.exp(-1.702 * v / scale))).astype(int)) if scale else np.zeros(len(v), int)
-        out.append(notes[pitch].tobytes())
-    return pd.Series(out, dtype=object)
+    v = np.nan_to_num(np.asarray([] if vector is None else [0 if x is None else x for x in vector], np.float64))
+    scale = np.sqrt((v**2).mean()) if len(v) else 0
+    # the logistic approximation of the normal distribution spreads the pitches evenly
+    pitch = np.minimum(11, (12 / (1 + np.exp(-1.702 * v / scale))).astype(int)) if scale else np.zeros(len(v), int)
+    return _tones()[pitch].ravel()

@@ -44,8 +44,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio: each vector of ``embeddings`` is played as a recording, whole."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", chroma.render("embedding").alias("media"))
-    return chroma.classes(rows, id_="vec_id").withColumnRenamed("id", "vec_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return chroma.classes(rows, id_="vec_id", media="embedding", decode=chroma.melody).withColumnRenamed("id", "vec_id")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
