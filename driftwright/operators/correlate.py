@@ -141,8 +141,11 @@ def kendall(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[
     if blocks <= 1:
         parts = table.groupBy(*group).applyInPandas(count("x"), schema)
     else:
+        def below(c: str) -> Column:
+            return F.size(F.filter(f"_{c}", lambda e: e < F.col(c)))
+
         cuts = table.groupBy(*group).agg(*[F.percentile_approx(c, [i / blocks for i in range(1, blocks)], 10 * blocks).alias(f"_{c}") for c in ("x", "y")])
-        cut = table.join(cuts, group).select(*group, "x", "y", "n", *[F.size(F.filter(f"_{c}", lambda e, c=c: e < F.col(c))).alias(f"b{c}") for c in ("x", "y")])
+        cut = table.join(cuts, group).select(*group, "x", "y", "n", *[below(c).alias(f"b{c}") for c in ("x", "y")])
         parts = cut.groupBy(*group, "bx").applyInPandas(count("x"), schema).union(cut.groupBy(*group, "by").applyInPandas(count("y"), schema))
         coarse = cut.groupBy(*group, "bx", "by").agg(F.sum("n").alias("n")).select(*group, F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "n")
         parts = parts.union(coarse.groupBy(*group).applyInPandas(count("x"), schema))
