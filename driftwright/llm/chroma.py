@@ -151,7 +151,7 @@ def classes(df: DataFrame, *, id_: str = "id", media: str | Column = "media", de
     try:
         sound = rows.where(F.length("print") > 0)
         nodes = work.table(sound.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("print").alias("print")), "nodes")
-        members = nodes.select(F.explode(_places("print")).alias("bucket"), "node")
+        members = nodes.select(F.explode(_places("print")).alias("bucket"), "node", F.lit(0.0).alias("rank"), F.lit(0).alias("facts"))
 
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = (nodes.select(F.col("node").alias(k), F.col("print").alias(v)) for k, v in (("a", "x"), ("b", "y")))

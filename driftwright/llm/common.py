@@ -62,8 +62,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     but a row of sums. Returns (node, component); nodes without edges are absent, self loops and null ends are
     ignored.
     """
-    links = edges.where("a is not null and b is not null and a <> b")
-    e = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0")
+    links, tag = edges.where("a is not null and b is not null and a <> b"), uuid.uuid4().hex[:8]
+    e = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"edges-{tag}-0")
     before = None
     for step in range(1, 1000):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -73,7 +73,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # small star: x and its smaller neighbours move to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         small = large.join(least, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
-        e = scratch.table(small.select("s.u", "s.v").where("u <> v").distinct(), f"edges-{step}")
+        e = scratch.table(small.select("s.u", "s.v").where("u <> v").distinct(), f"edges-{tag}-{step}")
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -82,34 +82,48 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """Verified links (a, b, ...) among the distinct rows of ``members`` (bucket, node), without pairing all of a bucket.
+def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Verified links (a, b, ...) among the rows of ``members`` (bucket, node, rank, facts), without pairing all of a bucket.
 
-    In each round a bucket is led by the least nodes of 1, 4, 16, ... parts that a hash makes of it. Leaders meet
-    each other and all other members; ``verify`` takes the distinct pairs (a leader, b member) and returns those
-    that hold, with any columns of its own. Members that a leader matches are in its class and leave the bucket;
-    the others stay for the next round, so a member meets leaders until one matches or all of the bucket have
-    been met. A group of copies costs one pair for each member and bucket, however large it is.
+    Rows are distinct by bucket and node; rank and facts depend on the node alone. In each round a bucket is led
+    by the nodes of least rank of 1, 4, 16, ... parts that a hash makes of it. Leaders meet each other and all
+    other members for whose facts ``possible`` holds; ``verify`` takes the distinct pairs (a leader, b member)
+    and returns those that hold, with any columns of its own. Members that a leader matches are in its class and
+    leave; the others stay for the next round. So a group of copies costs a pair for each member and bucket.
+    Members that left are at last compared with what is possible of the other classes in their bucket, so that
+    no link between classes is lost.
     """
-    left, found = members, None
+    facts = ["bucket", "node", "rank", "facts"]
+    left, found, seen, gone = members.select(*facts), None, None, None
+    may = possible or (lambda a, b: F.lit(True))
+
+    def add(more: DataFrame | None, to: DataFrame | None) -> DataFrame:
+        return more if to is None else to.union(more)
+
     for step in range(64):
         part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(4**step))
-        sizes = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        lead = left.join(sizes, "bucket", "left_semi").groupBy("bucket", part.alias("part")).agg(F.min("node").alias("a")).select("bucket", "a")
+        large = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        lead = left.join(large, "bucket", "left_semi").groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rank", "node", "facts")).alias("s")).select("bucket", F.col("s.node").alias("a"), F.col("s.facts").alias("facts_a"))
+        lead = scratch.table(lead, f"leaders-{step}")
+        others = scratch.table(left.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").join(lead.select("bucket").distinct(), "bucket", "left_semi"), f"others-{step}")
+        pairs = others.alias("o").join(lead, (F.col("o.bucket") == lead["bucket"]) & may(F.col("facts_a"), F.col("facts"))).select(F.col("o.bucket"), "a", F.col("node").alias("b"), F.lit(False).alias("leads"))
         if step:
-            lead = scratch.table(lead, f"leaders-{step}")
-        led = left.join(lead, "bucket").where("node <> a").select("bucket", "a", F.col("node").alias("b"))
-        if step:
-            # leaders meet each other once
-            led = led.join(lead.select("bucket", F.col("a").alias("b"), F.lit(True).alias("leads")), ["bucket", "b"], "left").where("leads is null or a < b").select("bucket", "a", "b", F.coalesce("leads", F.lit(False)).alias("leads"))
-        else:
-            led = led.withColumn("leads", F.lit(False))
-        pairs = scratch.table(led, f"pairs-{step}")
-        if found is not None and pairs.isEmpty():
-            return found
+            second = lead.select("bucket", F.col("a").alias("b"), F.col("facts_a").alias("facts_b"))
+            both = lead.alias("l").join(second.alias("m"), (F.col("l.bucket") == F.col("m.bucket")) & (F.col("a") < F.col("b")) & may(F.col("facts_a"), F.col("facts_b")))
+            pairs = pairs.union(both.select("l.bucket", "a", "b", F.lit(True)))
+        pairs = scratch.table(pairs, f"pairs-{step}")
+        if found is not None and lead.isEmpty():
+            break
         good = scratch.table(verify(pairs.select("a", "b").distinct()), f"links-{step}")
-        found = good if found is None else found.union(good)
-        members_left = pairs.where("not leads").select("bucket", "b").distinct()
-        matched = pairs.where("not leads").join(good.select("a", "b"), ["a", "b"], "left_semi").select("bucket", "b").distinct()
-        left = members_left.join(matched, ["bucket", "b"], "left_anti").select("bucket", F.col("b").alias("node"))
-    raise AssertionError("unreachable: each round takes at least a leader from every bucket")
+        matched = pairs.where("not leads").join(good.select("a", "b"), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")).distinct()
+        matched = scratch.table(others.join(matched, ["bucket", "node"], "left_semi"), f"matched-{step}")
+        found, seen, gone = add(good, found), add(pairs.select("a", "b"), seen), add(matched, gone)
+        left = others.join(matched, ["bucket", "node"], "left_anti")
+    classes = scratch.table(connected_components(found.select("a", "b"), scratch), "classes")
+    # what left, against the other classes of its bucket
+    known = lambda df: df.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    x, y = known(gone).alias("x"), known(members.select(*facts).join(gone.select("bucket").distinct(), "bucket", "left_semi")).alias("y")
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & may(F.col("x.facts"), F.col("y.facts")))
+    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    met = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.union(scratch.table(verify(scratch.table(cross.join(met, ["a", "b"], "left_anti"), "cross")), "links-cross"))

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ BANDS, ROWS = 16, 4
 SKETCH_BITS = 18
 IDF_SPAN = 0.25
 DRAWS = 1 << 16
+#: Buckets of more texts are sorted out by the weights that their texts share.
+CROWD = 16
 
 
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,6 +156,32 @@ def _similarity(shared):
     return weighted_jaccard
 
 
+def _weighted(shared):
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("shingle", T.IntegerType()), T.StructField("weight", T.DoubleType())])))
+    def weigh(bags: pd.Series) -> pd.Series:
+        out = []
+        for bag in bags:
+            s, n = np.unique(np.frombuffer(bag, "<u4"), return_counts=True)
+            w = (1 + np.log(n)) * shared.value[s >> np.uint32(32 - SKETCH_BITS)]
+            out.append([{"shingle": int(k), "weight": float(v)} for k, v in zip(s.astype(np.int32), w, strict=True)])
+        return pd.Series(out, dtype=object)
+
+    return weigh
+
+
+def _shared_weights(bags: DataFrame, shared) -> DataFrame:
+    """The total weight of each text of ``bags``, and the weight it holds in shingles that another of them has.
+
+    No two texts are more alike than the lesser held weight over what their union is at least; edited copies of
+    one text, of which a large group has all kinds, are kept apart by that without comparing them.
+    """
+    cells = bags.select("node", F.inline(_weighted(shared)("bag")))
+    alone = cells.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
+    loose = alone.groupBy("node").agg(F.sum("weight").alias("loose"))
+    total = cells.groupBy("node").agg(F.sum("weight").alias("total"))
+    return total.join(loose, "node", "left").select("node", (F.col("total") - F.coalesce("loose", F.lit(0.0))).alias("held"), "total")
+
+
 def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The key of each row's text, with whether it has words; and for each text with words its class."""
     spark = docs.sparkSession
@@ -162,20 +190,29 @@ def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     kept, work = Scratch(spark, "classes"), Scratch(spark, "neardup")
     keyed = rows.withColumn("node", F.xxhash64("text"))
     signed = kept.table(keyed.select("doc_id", "node", _bands(shared)("text").alias("bands")), "signed")
-    bags: list[DataFrame] = []
     try:
         texts = work.table(signed.where(F.size("bands") > 0).groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts")
 
+        members = texts.select(F.explode("bands").alias("bucket"), "node")
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        members = work.table(members.join(sizes, "bucket"), "members")
+        # the candidates' texts are shuffled once
+        wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("key"), "rep")
+        own = keyed.join(wanted, (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", pack_bag("text").alias("bag"))
+        bags = work.table(own.dropDuplicates(["node"]), "bags")
+        crowded = bags.join(members.where(F.col("size") > CROWD).select("node").distinct(), "node", "left_semi")
+        shared_weight = work.table(_shared_weights(crowded, shared), "weights")
+        members = members.join(shared_weight, "node", "left").select("bucket", "node", F.coalesce(F.col("total") - F.col("held"), F.lit(0.0)).alias("rank"), F.struct("held", "total").alias("facts"))
+
+        def possible(a: Column, b: Column) -> Column:
+            most = F.least(a["held"], b["held"])
+            return F.coalesce(most / (a["total"] + b["total"] - most) >= threshold - 1e-6, F.lit(True))
+
         def verify(pairs: DataFrame) -> DataFrame:
-            if not bags:  # the first round has all nodes that any round has; their texts are shuffled once
-                nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-                wanted = texts.join(nodes, "node", "left_semi").select(F.col("node").alias("key"), "rep")
-                own = keyed.join(wanted, (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", pack_bag("text").alias("bag"))
-                bags.append(work.table(own.dropDuplicates(["node"]), "bags"))
-            both = pairs.join(bags[0].select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags[0].select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
+            both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
             return both.where(_similarity(shared)("x", "y") >= threshold).select("a", "b")
 
-        links = work.table(leader_links(texts.select(F.explode("bands").alias("bucket"), "node"), verify, work).distinct(), "links")
+        links = work.table(leader_links(work.table(members, "ranked"), verify, work, possible).distinct(), "links")
         parts = connected_components(links, work)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         whole = texts.select("node", "rep", "n").join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
