@@ -35,6 +35,10 @@ def _label(pair: tuple[int, str, int, str]) -> list[Column]:
     return [F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"), F.lit(i).alias("position_1"), F.lit(j).alias("position_2")]
 
 
+def _clipped(r: Column) -> Column:
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+
+
 def pearson(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """One pass of partial aggregation for every ``PAIRS_IN_A_PASS`` pairs; a constant side gives null."""
     out = None
@@ -46,7 +50,7 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[
             x, y = as_double(F.col(f"`{a}`")), as_double(F.col(f"`{b}`"))
             sums += [F.covar_pop(x, y).alias(f"c{k}"), F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"x{k}"), F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"y{k}"), F.count(x + y).alias(f"n{k}")]
         wide = df.groupBy(*keys).agg(*sums)
-        cells = [F.struct(*_label(p), F.when(F.col(f"n{k}") > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"c{k}") / F.nullif(F.col(f"x{k}") * F.col(f"y{k}"), F.lit(0.0))))).alias("r")) for k, p in enumerate(part)]
+        cells = [F.struct(*_label(p), F.when((F.col(f"n{k}") > 1) & (F.col(f"x{k}") * F.col(f"y{k}") > 0), _clipped(F.col(f"c{k}") / F.nullif(F.col(f"x{k}") * F.col(f"y{k}"), F.lit(0.0)))).alias("r")) for k, p in enumerate(part)]
         rows = wide.select(*keys, F.inline(F.array(*cells)))
         out = rows if out is None else out.unionByName(rows)
     if out is None:

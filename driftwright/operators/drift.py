@@ -73,7 +73,7 @@ def bucket(value: Column) -> Column:
 
 def _psi(expected: Column, actual: Column) -> Column:
     a, e = F.greatest(actual, F.lit(EPSILON)), F.greatest(expected, F.lit(EPSILON))
-    return (a - e) * F.ln(a / e)
+    return F.when(expected.isNotNull() & actual.isNotNull(), (a - e) * F.ln(a / e))
 
 
 def psi_table(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str], *, n_buckets: int = 10, buckets: str = "bins") -> DataFrame:
