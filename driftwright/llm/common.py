@@ -82,7 +82,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, possible: Callable[[Column, Column], Column] | None = None, once: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Verified links (a, b, ...) among the rows of ``members`` (bucket, node, rank, facts), without pairing all of a bucket.
 
     Rows are distinct by bucket and node; rank and facts depend on the node alone. In each round a bucket is led
@@ -91,7 +91,7 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     and returns those that hold, with any columns of its own. Members that a leader matches are in its class and
     leave; the others stay for the next round. So a group of copies costs a pair for each member and bucket.
     Members that left are at last compared with what is possible of the other classes in their bucket, so that
-    no link between classes is lost.
+    no link between classes is lost; of the buckets that two nodes share, ``once`` may pick one for that.
     """
     facts = ["bucket", "node", "rank", "facts"]
     left, found, seen, gone = members.select(*facts), None, None, None
@@ -123,7 +123,7 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     # what left, against the other classes of its bucket
     known = lambda df: df.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     x, y = known(gone).alias("x"), known(members.select(*facts).join(gone.select("bucket").distinct(), "bucket", "left_semi")).alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & may(F.col("x.facts"), F.col("y.facts")))
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & may(F.col("x.facts"), F.col("y.facts")) & (once or (lambda a, b, bucket: F.lit(True)))(F.col("x.facts"), F.col("y.facts"), F.col("x.bucket")))
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     met = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return found.union(scratch.table(verify(scratch.table(cross.join(met, ["a", "b"], "left_anti"), "cross")), "links-cross"))

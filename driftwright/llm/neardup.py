@@ -202,17 +202,22 @@ def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         bags = work.table(own.dropDuplicates(["node"]), "bags")
         crowded = bags.join(members.where(F.col("size") > CROWD).select("node").distinct(), "node", "left_semi")
         shared_weight = work.table(_shared_weights(crowded, shared), "weights")
-        members = members.join(shared_weight, "node", "left").select("bucket", "node", F.coalesce(F.col("total") - F.col("held"), F.lit(0.0)).alias("rank"), F.struct("held", "total").alias("facts"))
+        shared_weight = shared_weight.join(texts.select("node", "bands"), "node")
+        members = members.join(shared_weight, "node", "left").select("bucket", "node", F.coalesce(F.col("total") - F.col("held"), F.lit(0.0)).alias("rank"), F.struct("held", "total", "bands").alias("facts"))
 
         def possible(a: Column, b: Column) -> Column:
             most = F.least(a["held"], b["held"])
             return F.coalesce(most / (a["total"] + b["total"] - most) >= threshold - 1e-6, F.lit(True))
 
+        def once(a: Column, b: Column, bucket: Column) -> Column:
+            both = F.zip_with(a["bands"], b["bands"], lambda p, q: F.when(p == q, p))
+            return F.coalesce(F.element_at(F.filter(both, lambda v: v.isNotNull()), 1) == bucket, F.lit(True))
+
         def verify(pairs: DataFrame) -> DataFrame:
             both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
             return both.where(_similarity(shared)("x", "y") >= threshold).select("a", "b")
 
-        links = work.table(leader_links(work.table(members, "ranked"), verify, work, possible).distinct(), "links")
+        links = work.table(leader_links(work.table(members, "ranked"), verify, work, possible, once).distinct(), "links")
         parts = connected_components(links, work)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         whole = texts.select("node", "rep", "n").join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
