@@ -11,6 +11,7 @@ from ..functions import timeperiods as tp
 from ..operators import correlate, describe, distribute, drift, segment, trends
 from ..operators import frequency as fq
 from ..sources import prepare
+from . import assessment, profiling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -594,3 +595,52 @@ def score_density(spark, sf_dir):
     s = read(spark, sf_dir, "supplier").select(F.lit("supplier").alias("population"), F.col("s_acctbal").alias("score"))
     out = trends.score_density(c.union(s), "score", points=32)
     return out.select("population", "point", F.round("score", 4).alias("score"), F.round("density", 10).alias("density"))
+
+
+# --- whole runs --------------------------------------------------------------------------------------------
+
+
+@query("SELECT feature, n_unique::BIGINT AS n_unique FROM (SELECT 'o_orderstatus' AS feature, count(DISTINCT o_orderstatus) AS n_unique FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders)")
+def category_candidates(spark, sf_dir):
+    return prepare.category_candidates(read(spark, sf_dir, "orders"))
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'F')::BIGINT AS n_unreadable, count(*)::BIGINT AS n_dates, max(CASE WHEN o_orderstatus = 'F' THEN 'never' END) AS example FROM orders")
+def unreadable_dates(spark, sf_dir):
+    raw = read(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "F", "never").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("raw"))
+    return tp.unreadable(tp.parse_dates(raw, "raw"), "raw")
+
+
+@query(f"WITH q AS ({_psi_sql(_MOVED, 'value', _inner_even(10), 12)}) SELECT 'value' AS feature, max(round_even(value, 4))::DOUBLE AS worst FROM q")
+def ranked_features(spark, sf_dir):
+    return drift.ranked(drift.distances(moved(spark, sf_dir, "value"), ["value"], ["psi"], ["middle", "late"]), "psi")
+
+
+@query(f"WITH q AS ({_psi_sql(_MOVED, 'value', _inner_even(10), 12)}) SELECT arg_max(snapshot, value) AS snapshot, max(round_even(value, 4))::DOUBLE AS psi, CASE WHEN max(value) >= 0.25 THEN 'substantial' WHEN max(value) >= 0.1 THEN 'moderate' ELSE 'stable' END AS severity FROM q")
+def score_verdict(spark, sf_dir):
+    return trends.score_verdict(trends.score_summary(moved(spark, sf_dir, "value"), "value", ["middle", "late"]))
+
+
+@query("SELECT c_mktsegment AS segment, feature, count(*)::BIGINT AS n_rows, round(median, 6) AS q50 FROM (SELECT c_mktsegment, 'c_acctbal' AS feature, quantile_cont(c_acctbal, 0.5) OVER (PARTITION BY c_mktsegment) AS median FROM customer) GROUP BY ALL")
+def profile_segments(spark, sf_dir):
+    found = profiling.run_profiling(read(spark, sf_dir, "customer").select("c_mktsegment", "c_acctbal"), profiling.ProfilingSettings(correlation_methods=()), by="c_mktsegment")
+    sizes = found["segments"].select("segment", "n_rows")
+    return rounded(found["describe"].select("segment", "feature", "q50").join(sizes, "segment"), "q50").select("segment", "feature", "n_rows", "q50")
+
+
+@query(
+    "SELECT strftime(o_orderdate, '%Y') AS snapshot, count(*)::BIGINT AS n_rows, round_even(100.0 * count(*) / sum(count(*)) OVER (), 4)::DOUBLE AS share_of_rows FROM orders GROUP BY 1"
+)
+def assessment_by_year(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    a = assessment.DriftAssessment(orders, ["o_totalprice", "o_orderpriority"], reference=orders, date_column="o_orderdate", interval="Yearly")
+    return a.rows_compared().where("side = 'current'").select(F.col("population").alias("snapshot"), "n_rows", "share_of_rows")
+
+
+@query("SELECT method, feature, count(*)::BIGINT AS n_cells FROM (VALUES ('energy', 'o_totalprice'), ('ks', 'o_totalprice'), ('psi', 'o_totalprice'), ('wasserstein', 'o_totalprice'), ('psi', 'o_orderpriority'), ('chi_square', 'o_orderpriority')) t(method, feature), (SELECT DISTINCT year(o_orderdate) FROM orders) GROUP BY ALL")
+def assessment_complete(spark, sf_dir):
+    """How many distances a whole run gives; their values have queries of their own."""
+    orders = read(spark, sf_dir, "orders")
+    a = assessment.DriftAssessment(orders, ["o_totalprice", "o_orderpriority"], reference=orders, date_column="o_orderdate", interval="Yearly")
+    found = a.run(assessment.DriftSettings(("cm", "ks2", "psi", "ws", "chi2")))["distances"]
+    return found.where("value is not null").groupBy("method", "feature").agg(F.count("*").alias("n_cells"))
