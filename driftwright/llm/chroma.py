@@ -2,8 +2,8 @@
 
 A recording's spectrum is folded into twelve pitch classes for each frame. Sixteen rectangular filters, read
 from an integral image over frames and pitch classes, compare two halves of a patch; each response becomes two
-bits of Gray code, together an unsigned 32-bit integer for each frame. Recordings that share a pair of
-integers a filter's width apart are candidates, and those of a group of copies meet their group's leader only. The offsets at which two recordings
+bits of Gray code, together an unsigned 32-bit integer for each frame. Recordings that share a run of
+pairs of integers a filter's width apart are candidates, and those of a group of copies meet their group's leader only. The offsets at which two recordings
 have equal integers form a histogram; at its peak the share of differing bits over the overlap decides.
 
 Null and empty recordings, and those shorter than a filter, have no fingerprint and are classes of their own.
@@ -24,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textvec as tv
 from .common import Scratch, connected_components, leader_links
 
 RATE, FRAME, HOP = 8000, 1024, 512
 WIDTH = 8
 LEAST_OVERLAP, MOST_ERRORS = 24, 0.15
+#: Pairs of integers in a row of which one is a place to align at.
+RUN = 4
 
 
 @lru_cache(1)
@@ -120,15 +123,27 @@ def _fingerprints(decode: Callable[[Any], np.ndarray]):
     return pack
 
 
+def places(own: np.ndarray) -> np.ndarray:
+    """Where a fingerprint can be aligned at: pairs of integers a filter's width apart, winnowed.
+
+    Of every ``RUN`` pairs in a row the one of least hash is a place, so recordings that share a run of ``RUN``
+    pairs share a place. Pairs between whose integers nothing changes are none.
+    """
+    own = own.astype(np.int64)
+    first, second = own[:-WIDTH], own[WIDTH:]
+    pairs = ((first << 32) | second)[first != second]
+    if not len(pairs):
+        return own[:1]
+    h = tv.mix(pairs.astype(np.uint64))
+    if len(pairs) <= RUN:
+        return pairs[[int(h.argmin())]]
+    runs = np.lib.stride_tricks.sliding_window_view(h, RUN)
+    return np.unique(pairs[np.arange(len(runs)) + runs.argmin(1)])
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _places(packed: pd.Series) -> pd.Series:
-    """Each pair of integers a filter's width apart, once; where nothing changes between them there is no place to align at."""
-    out = []
-    for p in packed:
-        own = np.frombuffer(p, "<u4").astype(np.int64)
-        first, second = own[:-WIDTH], own[WIDTH:]
-        out.append(np.unique(((first << 32) | second)[first != second]) if len(own) > WIDTH else own[:1])
-    return pd.Series(out, dtype=object)
+    return pd.Series([places(np.frombuffer(p, "<u4")) for p in packed], dtype=object)
 
 
 @F.pandas_udf(T.StructType([T.StructField("shift", T.IntegerType()), T.StructField("overlap", T.IntegerType()), T.StructField("errors", T.DoubleType())]))
