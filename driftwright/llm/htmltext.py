@@ -50,6 +50,8 @@ MARKS = (
     "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe",
     "toolbar", "widget",
 )
+#: Words that name an article's body, and marks that then say nothing.
+_CONTENT, _FEATURES = frozenset(("content", "body", "text")), frozenset(("form", "header", "search", "share", "sharing", "social", "widget"))
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW_END = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -60,19 +62,26 @@ _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 KEEP, OPEN, DROP = 0, 1, 2
 
 
-def _chrome(name: str, attributes: str) -> bool:
+def _chrome(name: str, attributes: str) -> str:
+    """Why an element is chrome: ``element``, ``header`` (its headings may be an article's), ``marked``; else nothing."""
     if name in _CHROME:
-        return True
+        return "header" if name == "header" else "element"
     if not attributes or name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
-        return False
+        return ""
     words = {w for _, v in _ATTRIBUTE.findall(attributes) for w in re.split(r"[^a-z0-9]+", v.lower())}
-    return bool(words & _MARKS) or bool(_HIDDEN.search(re.sub(r"\"[^\"]*\"|'[^']*'", lambda m: m[0] if "display" in m[0].lower() else '""', attributes)))
+    marks = words & _MARKS
+    if words & _CONTENT:  # an article's body may be named for what it can do
+        marks -= _FEATURES
+    if marks:
+        return "header" if marks == {"header"} else "marked"
+    plain = re.sub(r"\"[^\"]*\"|'[^']*'", lambda m: m[0] if "display" in m[0].lower() else '""', attributes)
+    return "element" if _HIDDEN.search(plain) else ""
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
     """(element, text, KEEP or OPEN or DROP) of each block of ``page`` that has text, in order."""
-    found: list[list] = []  # element, pieces, chrome, in article, in main, heading
-    stack: list[tuple[str, bool]] = []  # element, whether chrome begins with it
+    found: list[list] = []  # element, text, chrome, in article, in main, in an article whose surroundings are marked
+    stack: list[tuple[str, str]] = []  # element, why chrome begins with it
     pieces: list[str] = []
 
     def flush() -> None:
@@ -86,8 +95,9 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 marks = [i for i, (_, c) in enumerate(stack) if c]
                 # the headings in an article's own header are part of it
                 if article is not None and element in HEADINGS:
-                    marks = [i for i in marks if i < article or stack[i][0] != "header"]
-                found.append([element, text, bool(marks), article is not None and not marks, "main" in names and not marks])
+                    marks = [i for i in marks if i < article or stack[i][1] != "header"]
+                around = article is not None and all(i < article and stack[i][1] in ("marked", "header") and stack[i][0] != "header" for i in marks)
+                found.append([element, text, bool(marks), article is not None and not marks, "main" in names and not marks, around])
 
     at = 0
     while at < len(page):
@@ -127,8 +137,11 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
             stack.append((name, _chrome(name, m[3])))
     flush()
     article, main = any(b[3] for b in found), any(b[4] for b in found)
+    if not article and any(b[5] for b in found):  # the only article stands in a marked wrapper: its name says nothing
+        found = [[*b[:2], b[2] and not b[5], b[5], *b[4:]] for b in found]
+        article = True
     out = []
-    for element, text, chrome, in_article, in_main in found:
+    for element, text, chrome, in_article, in_main, _ in found:
         inside = in_article if article else in_main
         if chrome or (article or main) and not inside:
             out.append((element, text, DROP))

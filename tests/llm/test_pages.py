@@ -73,6 +73,12 @@ def test_article_without_chrome(spark):
     assert r["text"] == "Title & more\nOne bold word next\nTwo words link.\nfirst\nsecond" and r["n_chars"] == len(r["text"]) and r["x"] == 1
 
 
+def test_names_of_wrappers_do_not_hide_the_article(spark):
+    rows = ["<div class='with-sidebar'><article><p>a</p></article></div><div class='sidebar'>s</div>", "<article><div class='article-header'><h1>T</h1><p>by x</p></div><div class='post-content share-on'><p>a</p></div></article>", "<div class='comments'><article class='comment'><p>c</p></article></div><article><p>a</p></article>", "<main><p>a</p><div class='newsletter'>n</div></main><p>out</p>", "<article><p>a</p><div class='share'>s</div><p style='display: none'>h</p><div hidden>h</div></article>"]
+    out = extracted(spark, [(i, "https://a.org", r) for i, r in enumerate(rows)])
+    assert [out[i]["text"] for i in range(5)] == ["a", "T\na", "a", "a", "a"]
+
+
 def test_nulls_cut_and_broken_pages(spark):
     out = extracted(spark, [(1, None, None), (2, "https://a.org", ""), (3, "x", "<article><p>cut &am"), (4, "x", "plain < text"), (5, "x", "<article><p>a</b></p></div>b</article>"), (6, "x", "<script>never closed")])
     assert [out[k]["text"] for k in range(1, 7)] == ["", "", "cut &am", "plain < text", "a\nb", ""]
