@@ -171,7 +171,7 @@ def classes(df: DataFrame, *, id_: str = "id", media: str | Column = "media", de
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = (nodes.select(F.col("node").alias(k), F.col("print").alias(v)) for k, v in (("a", "x"), ("b", "y")))
             both = pairs.join(a, "a").join(b, "b").select("a", "b", _align("x", "y").alias("m")).select("a", "b", "m.*")
-            return both.where((F.col("overlap") >= least_overlap) & (F.col("errors") <= most_errors))
+            return both.withColumn("similarity", F.lit(None).cast("double")).withColumn("holds", (F.col("overlap") >= least_overlap) & (F.col("errors") <= most_errors))
 
         links = work.table(leader_links(members, verify, work).distinct(), "links")
         both = links.select("a", "b", "shift", "errors").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), -F.col("shift"), "errors"))

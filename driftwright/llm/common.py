@@ -82,22 +82,34 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, possible: Callable[[Column, Column], Column] | None = None, once: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+def leader_links(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
+    *,
+    possible: Callable[[Column, Column], Column] | None = None,
+    once: Callable[[Column, Column, Column], Column] | None = None,
+    slack: float | None = None,
+) -> DataFrame:
     """Verified links (a, b, ...) among the rows of ``members`` (bucket, node, rank, facts), without pairing all of a bucket.
 
     Rows are distinct by bucket and node; rank and facts depend on the node alone. In each round a bucket is led
     by the nodes of least rank of 1, 4, 16, ... parts that a hash makes of it. Leaders meet each other and all
-    other members for whose facts ``possible`` holds; ``verify`` takes the distinct pairs (a leader, b member)
-    and returns those that hold, with any columns of its own. Members that a leader matches are in its class and
-    leave; the others stay for the next round. So a group of copies costs a pair for each member and bucket.
+    other members for whose facts ``possible`` holds; ``verify`` adds to the distinct pairs (a leader, b member)
+    whether they hold (``holds``), a ``similarity`` and any columns of its own. Members that a leader matches are
+    in its class and leave; the others stay for the next round. So a group of copies costs a pair for each member
+    and bucket.
+
     Members that left are at last compared with what is possible of the other classes in their bucket, so that
-    no link between classes is lost; of the buckets that two nodes share, ``once`` may pick one for that.
+    no link between classes is lost. Of the buckets that two nodes share, ``once`` may pick one for that. Where
+    one less the similarity is a metric, links are at most ``slack`` apart, and two members whose similarities to
+    the first leader differ by more can't be linked.
     """
     facts = ["bucket", "node", "rank", "facts"]
-    left, found, seen, gone = members.select(*facts), None, None, None
+    left, found, seen, gone, pivots = members.select(*facts), None, None, None, None
     may = possible or (lambda a, b: F.lit(True))
 
-    def add(more: DataFrame | None, to: DataFrame | None) -> DataFrame:
+    def add(more: DataFrame, to: DataFrame | None) -> DataFrame:
         return more if to is None else to.union(more)
 
     for step in range(64):
@@ -114,16 +126,22 @@ def leader_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         pairs = scratch.table(pairs, f"pairs-{step}")
         if found is not None and lead.isEmpty():
             break
-        good = scratch.table(verify(pairs.select("a", "b").distinct()), f"links-{step}")
+        judged = scratch.table(verify(pairs.select("a", "b").distinct()), f"judged-{step}")
+        if not step:  # how near each member is to the first leader of its bucket
+            own = pairs.join(judged.select("a", "b", "similarity"), ["a", "b"]).select("bucket", F.col("b").alias("node"), "similarity")
+            pivots = own.union(lead.select("bucket", F.col("a").alias("node"), F.lit(1.0)))
+        good = judged.where("holds")
         matched = pairs.where("not leads").join(good.select("a", "b"), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")).distinct()
         matched = scratch.table(others.join(matched, ["bucket", "node"], "left_semi"), f"matched-{step}")
         found, seen, gone = add(good, found), add(pairs.select("a", "b"), seen), add(matched, gone)
         left = others.join(matched, ["bucket", "node"], "left_anti")
     classes = scratch.table(connected_components(found.select("a", "b"), scratch), "classes")
     # what left, against the other classes of its bucket
-    known = lambda df: df.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    known = lambda df: df.join(classes, "node", "left").join(pivots, ["bucket", "node"], "left").withColumn("class", F.coalesce("component", "node"))
     x, y = known(gone).alias("x"), known(members.select(*facts).join(gone.select("bucket").distinct(), "bucket", "left_semi")).alias("y")
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & may(F.col("x.facts"), F.col("y.facts")) & (once or (lambda a, b, bucket: F.lit(True)))(F.col("x.facts"), F.col("y.facts"), F.col("x.bucket")))
+    near = F.lit(True) if slack is None else F.coalesce(F.abs(F.col("x.similarity") - F.col("y.similarity")) <= slack + 1e-6, F.lit(True))
+    one = (once or (lambda a, b, bucket: F.lit(True)))(F.col("x.facts"), F.col("y.facts"), F.col("x.bucket"))
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & may(F.col("x.facts"), F.col("y.facts")) & near & one)
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     met = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.union(scratch.table(verify(scratch.table(cross.join(met, ["a", "b"], "left_anti"), "cross")), "links-cross"))
+    return found.union(scratch.table(verify(scratch.table(cross.join(met, ["a", "b"], "left_anti"), "cross")), "judged-cross").where("holds")).drop("holds", "similarity")

@@ -29,7 +29,7 @@ from .common import Scratch, connected_components, leader_links
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 SKETCH_BITS = 18
-IDF_SPAN = 0.25
+IDF_SPAN = 0.1
 DRAWS = 1 << 16
 #: Buckets of more texts are sorted out by the weights that their texts share.
 CROWD = 16
@@ -215,9 +215,9 @@ def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
         def verify(pairs: DataFrame) -> DataFrame:
             both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
-            return both.where(_similarity(shared)("x", "y") >= threshold).select("a", "b")
+            return both.select("a", "b", _similarity(shared)("x", "y").alias("similarity")).withColumn("holds", F.col("similarity") >= threshold)
 
-        links = work.table(leader_links(work.table(members, "ranked"), verify, work, possible, once).distinct(), "links")
+        links = work.table(leader_links(work.table(members, "ranked"), verify, work, possible=possible, once=once, slack=1 - threshold).distinct(), "links")
         parts = connected_components(links, work)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         whole = texts.select("node", "rep", "n").join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -228,7 +228,7 @@ def test_components_equal_union_find(spark):
 def test_links_between_classes_of_a_bucket_are_not_lost(spark):
     # on a line, neighbours link: leaders alone would leave gaps
     members = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 100)], "bucket long, node long").select("bucket", "node", F.lit(0.0).alias("rank"), F.lit(0).alias("facts"))
-    links = leader_links(members, lambda p: p.where(F.abs(F.col("a") - F.col("b")) <= 3), Scratch(spark, "t"))
+    links = leader_links(members, lambda p: p.withColumns({"similarity": F.lit(None).cast("double"), "holds": F.abs(F.col("a") - F.col("b")) <= 3}), Scratch(spark, "t"))
     assert connected_components(links, Scratch(spark, "t")).select("component").distinct().count() == 1
 
 
