@@ -67,9 +67,25 @@ def pair_frequencies(df: DataFrame, columns: Sequence[str] | None = None, keys:
     return df.select(*keys, F.inline(cells)).where("x is not null and y is not null").groupBy(*keys, "feature_1", "feature_2", "position_1", "position_2", "x", "y").agg(F.count("*").alias("n"))
 
 
+def _ranked(df: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Each value's average rank in its column, by a join with the ranks of the distinct values."""
+    out = df.select(*keys, *[as_double(F.col(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(names)])
+    for i, c in enumerate(names):
+        own = fq.running(fq.frequencies(fq.long_numbers(df, [c], keys), keys), [*keys, "feature"], ["n"])
+        out = out.join(own.select(*keys, F.col("value").alias(f"_v{i}"), (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)).alias(f"_r{i}")), [*keys, f"_v{i}"])
+    return out.select(*keys, *[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
+
+
 def spearman(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Pearson correlation of average ranks, ranked within the complete rows of each pair."""
+    """Pearson correlation of average ranks, ranked within the complete rows of each pair.
+
+    Without missing values a column has the same ranks in all pairs; one row of counts tells.
+    """
     group = [*keys, "feature_1", "feature_2", "position_1", "position_2"]
+    names = kinds.columns_of(df, kinds.NUMERIC, [c for c in (columns or df.columns) if c not in keys])
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(as_double(F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    if len(names) > 1 and all(counts[f"n{i}"] == counts["rows"] for i in range(len(names))):
+        return pearson(_ranked(df, names, keys), names, keys)
     table = pair_frequencies(df, columns, keys)
     ranked = table
     for side in ("x", "y"):
