@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -149,8 +149,13 @@ def _identifier(shared, **options):
     return identify_text
 
 
+def identify_column(df: DataFrame, model: LanguageModel, *, text: str = "text", **options) -> Column:
+    """A struct of lang_pred, score, languages and proportions of each text of ``df``."""
+    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
+    return _identifier(shared, **options)(F.col(text))
+
+
 def identify(df: DataFrame, model: LanguageModel, *, text: str = "text", **options) -> DataFrame:
     """``df`` with lang_pred, score (the share of that language), languages and proportions."""
-    shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
-    found = df.withColumn("_found", _identifier(shared, **options)(F.col(text)))
+    found = df.withColumn("_found", identify_column(df, model, text=text, **options))
     return found.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "languages", "proportions")}).drop("_found")

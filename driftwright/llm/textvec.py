@@ -11,7 +11,7 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Characters that are worked on at once; a longer document is a chunk by itself.
-CHUNK = 400_000
+CHUNK = 200_000
 
 
 @lru_cache(1)

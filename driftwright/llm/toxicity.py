@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,14 +131,21 @@ def _features(text: str) -> set[str]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: dict[str, Counter] = {"toxic": Counter(), "clean": Counter()}
+    toxic, clean = Counter(), Counter()
+
+    def partial() -> pd.DataFrame:
+        names = list(toxic.keys() | clean.keys())
+        out = pd.DataFrame({"feature": names, "toxic": [toxic[f] for f in names], "clean": [clean[f] for f in names]})
+        toxic.clear()
+        clean.clear()
+        return out
+
     for b in batches:
-        for text, toxic in zip(b["text"], b["toxic"], strict=True):
-            total["toxic" if toxic else "clean"].update(_features(text))
-    names = list(total["toxic"] | total["clean"])
-    for lo in range(0, len(names), 100_000):
-        part = names[lo : lo + 100_000]
-        yield pd.DataFrame({"feature": part, "toxic": [total["toxic"][f] for f in part], "clean": [total["clean"][f] for f in part]})
+        for text, label in zip(b["text"], b["toxic"], strict=True):
+            (toxic if label else clean).update(_features(text))
+            if len(toxic) + len(clean) > 100_000:  # a worker's memory doesn't grow with its rows
+                yield partial()
+    yield partial()
 
 
 @F.pandas_udf(T.LongType())
@@ -291,7 +298,12 @@ def _scorer(shared):
     return toxicity
 
 
+def score_column(df: DataFrame, model: ToxicityModel, *, text: str = "text") -> Column:
+    """The score of each text of ``df`` as a column."""
+    shared = df.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
+    return _scorer(shared)(F.col(text))
+
+
 def score(df: DataFrame, model: ToxicityModel, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``df`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
-    shared = df.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
-    return df.withColumn("score", _scorer(shared)(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return df.withColumn("score", score_column(df, model, text=text)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
