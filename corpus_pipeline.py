@@ -18,17 +18,15 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that have a main language."""
     model = langid.train(docs.where(learnable("doc_id")))
-    shown = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    kept = langid.identify(shown, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select("_row.*")
+    found = docs.withColumn("_found", langid.identify_column(docs, model))
+    return found.where((F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= LEAST_SHARE)).drop("_found")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that aren't predicted to be toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.select("doc_id", "text"), labels.where(learnable("doc_id")).select("doc_id", "toxic"))
-    shown = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    return toxicity.score(shown, model).where("predicted = 0").select("_row.*")
+    return docs.withColumn("_score", toxicity.score_column(docs, model)).where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
