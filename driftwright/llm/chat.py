@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -64,34 +63,32 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def mask_spans(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(token, start, end) of the part of each token that lies in one of ``spans``; both lists are in order."""
-    starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    out = []
-    for lo, hi in spans:
-        for i in range(bisect_right(ends, lo), bisect_left(starts, hi)):
-            a, b = max(lo, starts[i]), min(hi, ends[i])
-            if a < b:
-                out.append((i, a, b))
-    return out
+def mask_spans(offsets: np.ndarray, spans: Sequence[tuple[int, int]]) -> np.ndarray:
+    """(token, start, end) rows of the part of each token that lies in one of ``spans``; both are in order."""
+    starts, ends = offsets[:, 0], offsets[:, 1]
+    lo, hi = (np.array([s[k] for s in spans], np.int64) for k in (0, 1))
+    first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi, "left")
+    count = np.maximum(last - first, 0)
+    token = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+    own = np.repeat(np.arange(len(lo)), count)
+    a, b = np.maximum(starts[token], lo[own]), np.minimum(ends[token], hi[own])
+    return np.stack([token, a, b], 1)[a < b]
 
 
-def masked(text: str, starts: Sequence[int], stops: Sequence[int]) -> list[str]:
+def masked(text: str, starts: np.ndarray, stops: np.ndarray) -> list[str]:
     """The text under a mask, one string for each run of it; characters of several tokens count once."""
-    runs: list[list[int]] = []
-    for a, b in zip(starts, stops, strict=True):
-        if runs and a <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], b)
-        else:
-            runs.append([a, b])
-    return [text[a:b] for a, b in runs]
+    if not len(starts):
+        return []
+    reach = np.maximum.accumulate(stops)
+    begin = np.flatnonzero(np.concatenate(([True], starts[1:] > reach[:-1])))
+    return [text[a:b] for a, b in zip(starts[begin].tolist(), reach[np.append(begin[1:], len(starts)) - 1].tolist(), strict=True)]
 
 
 @dataclass(frozen=True)
 class Formatted:
     text: str
     ids: list[int]
-    mask: list[tuple[int, int, int]]
+    mask: np.ndarray
 
 
 class Formatter:
@@ -110,7 +107,7 @@ class Formatter:
         out = []
         for turns, (text, spans), code in zip(conversations, rendered, coded, strict=True):
             wanted = [s for (role, _), s in zip(turns, spans, strict=True) if role in self.learned]
-            out.append(Formatted(text, code.ids, mask_spans(code.offsets, wanted)))
+            out.append(Formatted(text, code.ids, mask_spans(np.array(code.offsets, np.int64).reshape(-1, 2), wanted)))
         return out
 
 
@@ -122,7 +119,7 @@ def _formatter(tokenizer_path: str, learned: tuple[str, ...]):
             rows = []
             for turns in series:
                 (f,) = formatter.format([[(t["role"] or "", t["text"] or "") for t in turns]])
-                mask = np.array(f.mask, np.int32).reshape(-1, 3)
+                mask = f.mask.astype(np.int32)
                 rows.append((f.text, np.array(f.ids, np.int32), mask[:, 0].copy(), mask[:, 1].copy(), mask[:, 2].copy()))
             yield pd.DataFrame(rows, columns=["formatted", "ids", "mask_token", "mask_start", "mask_stop"])
 
