@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import kinds
@@ -149,8 +149,8 @@ def ks_details(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str])
     """KS statistic, p-value, and the critical region of the populations' numbers of rows."""
     found = cdf_distances(df, columns, snapshots).withColumn("p_value", ks_p_values("ks", "n_baseline", "n"))
     rows = df.groupBy("population").agg(F.count("*").alias("rows"))
-    base = rows.where(F.col("population") == BASELINE).select(F.col("rows").alias("rows_baseline"))
-    sizes = rows.where(F.col("population") != BASELINE).select(F.col("population").alias("snapshot"), "rows").crossJoin(F.broadcast(base))
+    base = F.max(F.when(F.col("population") == BASELINE, F.col("rows"))).over(Window.partitionBy(F.lit(0)))  # over a row for each population
+    sizes = rows.withColumn("rows_baseline", base).where(F.col("population") != BASELINE).withColumnRenamed("population", "snapshot")
     region = 1.731 * F.sqrt((F.col("rows_baseline") + F.col("rows")) / (F.col("rows_baseline").cast("double") * F.col("rows")))
     return found.join(sizes, "snapshot").select("feature", "snapshot", F.bround("ks", 4).alias("ks"), F.bround("p_value", 4).alias("p_value"), F.bround(region, 4).alias("critical_region"))
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite, share
@@ -31,9 +31,9 @@ class Grouping:
 
     def sizes(self) -> DataFrame:
         """Rows and share of each segment, unassigned rows as a null segment."""
-        total = self.frame.agg(F.count("*").alias("total"))
         counts = self.frame.groupBy(SEGMENT).agg(F.count("*").alias("n_rows"), F.min("_order").alias("position"))
-        return counts.crossJoin(F.broadcast(total)).select(SEGMENT, "position", "n_rows", share(F.col("n_rows"), F.col("total"), 4).alias("share_of_rows"))
+        total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # over a row for each segment
+        return counts.select(SEGMENT, "position", "n_rows", share(F.col("n_rows"), total, 4).alias("share_of_rows"))
 
     def segment(self, key: str) -> DataFrame:
         return self.frame.where(F.col(SEGMENT) == key)

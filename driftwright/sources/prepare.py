@@ -96,20 +96,19 @@ def sample(df: DataFrame, *, percent: float | None = None, rows: int | None = No
         raise ValueError("percent must be above 0 and at most 100")
     if percent == 100:
         return df
-    bins = 1 << 12
     h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
-    marked = df.withColumns({"_h": h, "_bin": F.shiftrightunsigned(h, 52).cast("int")})
-    counts = marked.groupBy(*by, "_bin").agg(F.count("*").alias("_n"))
-    whole = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    group = list(by) or ["_all"]
+    marked = df.withColumns({"_h": h, "_bin": F.shiftrightunsigned(h, 52).cast("int")} | ({} if by else {"_all": F.lit(0)}))
+    counts = marked.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))  # at most 4096 for each group
+    everything = F.sum("_n").over(Window.partitionBy(*group))
     # half to even, as the size is defined
-    wanted = F.least(F.col("_all"), F.lit(rows)) if rows is not None else F.greatest(F.lit(1), F.bround(F.col("_all") * (percent / 100.0), 0).cast("long"))
-    run = Window.partitionBy(*by).orderBy("_bin") if by else Window.orderBy("_bin")
-    cum = counts.withColumn("_cum", F.sum("_n").over(run))
-    sized = cum.join(whole, list(by)) if by else cum.crossJoin(F.broadcast(whole))
-    edge = sized.where((F.col("_cum") >= wanted) & (F.col("_cum") - F.col("_n") < wanted)).select(*by, F.col("_bin").alias("_edge"), (wanted - (F.col("_cum") - F.col("_n"))).alias("_rest"))
-    joined = marked.join(edge, list(by)) if by else marked.crossJoin(F.broadcast(edge))
+    wanted = F.least(everything, F.lit(rows)) if rows is not None else F.greatest(F.lit(1), F.bround(everything * (percent / 100.0), 0).cast("long"))
+    cum = counts.withColumns({"_cum": F.sum("_n").over(Window.partitionBy(*group).orderBy("_bin")), "_wanted": wanted})
+    before = F.col("_cum") - F.col("_n")
+    edge = cum.where((F.col("_cum") >= F.col("_wanted")) & (before < F.col("_wanted"))).select(*group, F.col("_bin").alias("_edge"), (F.col("_wanted") - before).alias("_rest"))
+    joined = marked.join(edge if by else F.broadcast(edge), group)  # without groups the edge is one row
     below = joined.where("_bin < _edge")
-    at = joined.where("_bin = _edge").withColumn("_rank", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy("_h"))).where("_rank <= _rest")
+    at = joined.where("_bin = _edge").withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_bin").orderBy("_h"))).where("_rank <= _rest")
     return below.select(df.columns).union(at.select(df.columns))
 
 
