@@ -89,5 +89,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_decontamination, op4_byte_bpe, op5_audio_fingerprints, op6_chat_format, op7_near_duplicates, op8_sharding, op9_toxicity, op10_html_text)}
 
 
+_CONTROL = r"([<\[])(\\*)((?:\|turn\||\|sep\||\|end\||\|endoftext\||/?s)>|/?INST\]|<SYS>>|</SYS>>|/?TOOL\])"
+
+
+def _escaped(column: str) -> str:
+    return f"length(regexp_replace(coalesce({column}, ''), '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))"
+
+
+#: The template adds 3 + 4 characters to a conversation and 8 + 7 + 7 + 1 to each turn.
+CHAT_SQL = f"""
+WITH t AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+    sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    (7 + sum(23 + {_escaped('role')} + {_escaped('text')}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+#: For the markup of the test pages: an article of headings and paragraphs, with the references that it uses.
+PAGES_SQL = """
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|\\z)', 1, 's') AS article FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(article, '</?(?:h1|p)>'), lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS parts FROM a),
+c AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": CHAT_SQL, "op10_html_text": PAGES_SQL}
