@@ -75,7 +75,7 @@ def score_summary(df: DataFrame, score: str, snapshots: Sequence[str], *, n_bins
         sums = sums.withColumns({k: F.lit(None).cast("double") for k in ("p25", "median", "p75")})
     psi = dr.psi(df, [score], snapshots, n_buckets=n_bins, buckets=buckets).select(F.col("snapshot").alias("population"), F.col("value").alias("psi_vs_baseline"))
     out = sums.join(psi, "population", "left").withColumn("psi_vs_baseline", F.when(F.col("population") == dr.BASELINE, 0.0).otherwise(F.col("psi_vs_baseline")))
-    return out.select("population", "n_rows", "n_missing", *[F.bround(k, 4).alias(k) for k in ("mean", "std", "min", "p25", "median", "p75", "max", "psi_vs_baseline")])
+    return out.select("population", "n_rows", "n_missing", "mean", "std", "min", "p25", "median", "p75", "max", F.bround("psi_vs_baseline", 4).alias("psi_vs_baseline"))
 
 
 def score_verdict(summary: DataFrame) -> DataFrame:

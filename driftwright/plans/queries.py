@@ -578,11 +578,11 @@ def score_bands(spark, sf_dir):
 
 @query(
     f"WITH t AS (SELECT p, value::DOUBLE AS v FROM ({_MOVED})), q AS ({_psi_sql(_MOVED, 'value', _inner_even(10), 12)}) SELECT {_P}, count(*)::BIGINT AS n_rows, 0::BIGINT AS n_missing, "
-    + ", ".join(f"round_even({e}, 4)::DOUBLE AS {n}" for e, n in (("avg(v)", "mean"), ("stddev_samp(v)", "std"), ("min(v)", "min"), ("quantile_cont(v, 0.25)", "p25"), ("quantile_cont(v, 0.5)", "median"), ("quantile_cont(v, 0.75)", "p75"), ("max(v)", "max")))
+    + ", ".join(f"round({e}, 6)::DOUBLE AS {n}" for e, n in (("avg(v)", "mean"), ("stddev_samp(v)", "std"), ("min(v)", "min"), ("quantile_cont(v, 0.25)", "p25"), ("quantile_cont(v, 0.5)", "median"), ("quantile_cont(v, 0.75)", "p75"), ("max(v)", "max")))
     + ", round_even(coalesce((SELECT value FROM q WHERE snapshot = p), 0), 4)::DOUBLE AS psi_vs_baseline FROM t GROUP BY p"
 )
 def score_summary(spark, sf_dir):
-    return _named(trends.score_summary(moved(spark, sf_dir, "value"), "value", ["middle", "late"]))
+    return rounded(_named(trends.score_summary(moved(spark, sf_dir, "value"), "value", ["middle", "late"])), "mean", "std", "min", "p25", "median", "p75", "max")
 
 
 @query(
