@@ -177,8 +177,9 @@ def classes(df: DataFrame, *, id_: str = "id", media: str | Column = "media", de
         both = links.select("a", "b", "shift", "errors").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), -F.col("shift"), "errors"))
         # seen from b: where it begins in a
         best = both.join(nodes.select(F.col("node").alias("a"), "rep"), "a").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n_links"), F.min(F.struct("errors", "rep", "shift")).alias("best"))
-        whole = nodes.select("node", "rep", "n").join(connected_components(links, work), "node", "left").join(best, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = whole.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
+        whole = work.table(nodes.select("node", "rep", "n").join(connected_components(links, work), "node", "left").join(best, "node", "left").withColumn("component", F.coalesce("component", "node")), "whole")
+        # by itself, so that the join can be split where a class is large
+        named = work.table(whole.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size")), "components")
         final = kept.table(whole.join(named, "component").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.rep").alias("aligned_to"), F.col("best.shift").alias("offset"), F.round("best.errors", 6).alias("bit_error_rate")), "named")
     finally:
         work.drop()

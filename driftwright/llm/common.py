@@ -114,7 +114,8 @@ def leader_links(
 
     for step in range(64):
         part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(4**step))
-        large = left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        # a table of its own, so that the join with it can be split where a bucket is hot
+        large = scratch.table(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), f"large-{step}")
         lead = left.join(large, "bucket", "left_semi").groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rank", "node", "facts")).alias("s")).select("bucket", F.col("s.node").alias("a"), F.col("s.facts").alias("facts_a"))
         lead = scratch.table(lead, f"leaders-{step}")
         others = scratch.table(left.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").join(lead.select("bucket").distinct(), "bucket", "left_semi"), f"others-{step}")

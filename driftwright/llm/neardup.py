@@ -220,9 +220,10 @@ def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         links = work.table(leader_links(work.table(members, "ranked"), verify, work, possible=possible, once=once, slack=1 - threshold).distinct(), "links")
         parts = connected_components(links, work)
         degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        whole = texts.select("node", "rep", "n").join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        whole = work.table(texts.select("node", "rep", "n").join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node")), "whole")
         # a known id leads a class before a null one
         named = whole.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node"))["node"].alias("leader"))
+        named = work.table(named, "components")  # by itself, so that the join can be split where a class is large
         final = kept.table(whole.join(named, "component").select("node", "rep", "leader", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     finally:
         work.drop()
