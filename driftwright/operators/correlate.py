@@ -190,11 +190,15 @@ def correlate_all(df: DataFrame, methods: Sequence[str] = METHODS, columns: Sequ
     return out
 
 
-def matrix(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The square matrix of long pairs, with 1 on the diagonal of each column that correlates with any other."""
+def matrix(pairs: DataFrame, keys: Sequence[str] = (), *, constant_diagonal: bool = False) -> DataFrame:
+    """The square matrix of long pairs.
+
+    The diagonal is 1 for columns that correlate with any other; a constant column has none under Pearson and
+    Spearman, and 1 under Kendall (``constant_diagonal``).
+    """
     swapped = pairs.select(*keys, F.col("feature_2").alias("feature_1"), F.col("feature_1").alias("feature_2"), F.col("position_2").alias("position_1"), F.col("position_1").alias("position_2"), "r")
     both = pairs.select(*swapped.columns).union(swapped)
-    own = both.groupBy(*keys, "feature_1", "position_1").agg(F.max(F.when(F.col("r").isNotNull(), 1.0)).alias("r")).select(*keys, "feature_1", F.col("feature_1").alias("feature_2"), "position_1", F.col("position_1").alias("position_2"), "r")
+    own = both.groupBy(*keys, "feature_1", "position_1").agg((F.lit(1.0) if constant_diagonal else F.max(F.when(F.col("r").isNotNull(), 1.0))).alias("r")).select(*keys, "feature_1", F.col("feature_1").alias("feature_2"), "position_1", F.col("position_1").alias("position_2"), "r")
     return both.union(own).groupBy(*keys, F.col("feature_1").alias("feature"), F.col("position_1").alias("position")).pivot("feature_2").agg(F.first("r")).orderBy("position")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +46,11 @@ def _finish(counts: DataFrame, stats: DataFrame, keys: Sequence[str], extra: Seq
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), *, ranges: int | None = None) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), *, ranges: int | None = None, type_labels: Mapping[str, str] | None = None) -> DataFrame:
     """A row for each numeric column: missing, zeros, mode, and exact quantiles. Infinite values are ordinary ones.
 
-    Distinct values and modes of 64-bit integers and decimals are counted as such, not as doubles.
+    Distinct values and modes of 64-bit integers and decimals are counted as such, not as doubles. The types of
+    columns that were narrowed can be reported as they were by ``type_labels``.
     """
     names = kinds.columns_of(df, kinds.NUMERIC, [c for c in (columns or df.columns) if c not in keys])
     if not names:
@@ -63,7 +64,10 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence
         own = fq.modes(fq.frequencies(cells, keys), group).withColumn("mode", F.col("mode").cast("double"))
         stats = stats.where(~F.col("feature").isin(exact)).unionByName(own)
     quantiles = fq.quantiles(freq, group, (0.0, *QUANTILES, 1.0), ("min", "q01", "q50", "q99", "max"), ranges=ranges).drop("total")
-    return _finish(_counts(df, names, keys), stats.join(quantiles, group, "left"), keys, ("min", "q01", "q50", "q99", "max"))
+    out = _finish(_counts(df, names, keys), stats.join(quantiles, group, "left"), keys, ("min", "q01", "q50", "q99", "max"))
+    for name, label in (type_labels or {}).items():
+        out = out.withColumn("data_type", F.when(F.col("feature") == name, label).otherwise(F.col("data_type")))
+    return out
 
 
 def describe_discrete(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:

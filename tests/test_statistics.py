@@ -276,3 +276,27 @@ def test_density_equals_numpy(spark):
         expected = np.exp(-(((r["score"] - np.array(values)) / h) ** 2) / 2).sum() / (len(values) * h * math.sqrt(2 * math.pi))
         assert math.isclose(r["density"], expected, rel_tol=1e-9)
     assert {r["population"] for r in rows} == {drift.BASELINE}  # a constant score has no density
+
+
+def test_diagonals_of_constant_columns(spark):
+    pairs = correlate.pearson(spark.createDataFrame([(1.0, 1.0, 3.0), (2.0, 1.0, 5.0)], "x double, y double, z double"))
+    plain = {r["feature"]: r for r in correlate.matrix(pairs).collect()}
+    assert plain["x"]["x"] == plain["x"]["z"] == 1.0 and plain["y"]["y"] is None
+    assert {r["feature"]: r["y"] for r in correlate.matrix(pairs, constant_diagonal=True).collect()}["y"] == 1.0
+
+
+def test_types_can_be_reported_as_they_were(spark):
+    assert describe.describe(numbers(spark, [1]), type_labels={"x": "bigint"}).first()["data_type"] == "bigint"
+
+
+def test_formatted_numbers(spark):
+    assert describe.formatted(numbers(spark, [12345.678]), {"x": 1}).first()["x"] == "12,345.7"
+
+
+def test_levels_beyond_the_driver_are_tables(spark):
+    from driftwright.plans.assessment import DriftAssessment
+
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "k string, v double")
+    a = DriftAssessment(df, ["k", "v"], reference=df)
+    assert sorted(r["value"] for r in a.levels().collect()) == ["a", "b"] and a.snapshots == ["Current data"]
+    assert a.complete()["descriptives"].count() == 6
