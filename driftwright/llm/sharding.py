@@ -21,6 +21,7 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +82,16 @@ class Store:
         out = self._files().create(own, False)
         out.write(bytearray(json.dumps({"version": new.version, "shards": [asdict(s) for s in new.shards]}).encode()))
         out.close()
-        # a rename doesn't replace a file in Hadoop's file systems
-        if self._files().exists(target) or not self._files().rename(own, target):
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            # a rename without options fails where the target exists; it is one step in HDFS
+            context.rename(own, target, gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Py4JJavaError as e:
             self._files().delete(own, False)
-            raise Conflict(f"version {new.version} exists")
+            if "FileAlreadyExists" in e.java_exception.toString():
+                raise Conflict(f"version {new.version} exists") from None
+            raise
         return new
 
     def _write(self, df: DataFrame, version: int) -> list[Shard]:
