@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 LONG = 512
 #: Chunks that a worker remembers before it starts anew.
 MEMORY = 200_000
@@ -240,6 +242,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, *, text: str | Col
     """
     if keep not in ("ids", "digests"):
         raise ValueError(f"keep: {keep!r}")
+    small_batches(df.sparkSession)
     udf = _encoder(vocabulary_path, pattern, keep)
     c = F.col(text) if isinstance(text, str) else text
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if keep == "digests" else ["ids", "decoded"]

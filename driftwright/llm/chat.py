@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 TURN, SEP, END, BEGIN, CLOSE = "<|turn|>", "<|sep|>", "<|end|>", "<s>", "</s>"
 _CONTROL = re.compile(r"([<\[])(\\*)((?:\|turn\||\|sep\||\|end\||\|endoftext\||/?s)>|/?INST\]|<SYS>>|</SYS>>|/?TOOL\])")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)((?:\|turn\||\|sep\||\|end\||\|endoftext\||/?s)>|/?INST\]|<SYS>>|</SYS>>|/?TOOL\])")
@@ -132,6 +134,7 @@ def format_conversations(df: DataFrame, tokenizer_path: str, *, learned: tuple[s
     The mask is three arrays: a token, and the begin and end of the part of the formatted text that it stands
     for inside a learned turn.
     """
+    small_batches(df.sparkSession)
     turns = df.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return turns.select("conv_id", _formatter(tokenizer_path, learned)("turns").alias("f")).select("conv_id", "f.*")
 

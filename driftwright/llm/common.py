@@ -36,6 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers in batches of at most ``rows``, unless the session says otherwise.
+
+    Spark's default of 10,000 rows is meant for numbers; so many texts stand in a worker several times over.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 class Scratch:
     """Parquet tables below the shared folder, removed together when ``drop`` is called."""
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
+from .common import small_batches
 
 SPAN, PRICE, ENOUGH = 9, 4, 12
 #: Kept positions of each mask.
@@ -129,6 +130,7 @@ def matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", words_pe
     The items are split by a hash into as many blocks as keep each near ``words_per_block``; only one block's
     items pass the driver at a time.
     """
+    small_batches(df.sparkSession)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // words_per_block))

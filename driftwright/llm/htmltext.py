@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import Scratch
+from .common import Scratch, small_batches
 
 #: Elements whose content isn't text, and elements that are chrome.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "object", "svg", "canvas", "math", "select", "button", "audio", "video")
@@ -277,6 +277,7 @@ def extract(df: DataFrame, *, page: str = "html", url: str = "url", least_run: i
 
     A scratch table below ``spark.checkpoint.dir`` holds the parsed pages that the result reads.
     """
+    small_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "pages")
     rest = [c for c in df.columns if c not in (page, "text", "n_chars")]
     both = df.select(F.struct(*rest).alias("_row"), _parse(least_run)(F.col(page), F.col(url)).alias("_p"))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import unit_hash
+from .common import small_batches, unit_hash
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -70,6 +70,7 @@ def train(labelled: DataFrame, *, max_rows_per_language: int = 3000, max_languag
     The classifier is fitted on a bounded sample: about ``max_rows_per_language`` rows of each language,
     chosen by a hash of the text, of the ``max_languages`` most frequent ones.
     """
+    small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
     rates = sizes.select("lang", (F.lit(float(max_rows_per_language)) / F.col("count")).alias("rate"))
@@ -151,6 +152,7 @@ def _identifier(shared, **options):
 
 def identify_column(df: DataFrame, model: LanguageModel, *, text: str = "text", **options) -> Column:
     """A struct of lang_pred, score, languages and proportions of each text of ``df``."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
     return _identifier(shared, **options)(F.col(text))
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import Scratch, connected_components, leader_links
+from .common import Scratch, connected_components, leader_links, small_batches
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -185,6 +185,7 @@ def _shared_weights(bags: DataFrame, shared) -> DataFrame:
 def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The key of each row's text, with whether it has words; and for each text with words its class."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(document_frequencies(rows))
     kept, work = Scratch(spark, "classes"), Scratch(spark, "neardup")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import Scratch, unit_hash
+from .common import Scratch, small_batches, unit_hash
 
 #: Fixed lists, one voter each.
 LISTS = (
@@ -251,6 +251,7 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, max_features: int = 600, least_gain: float = 30.0) -> ToxicityModel:
     """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic), about ``max_rows`` of them, chosen by a hash of the id."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = known.count()
     chosen = known.where(unit_hash("doc_id") < (max_rows / total if total else 0)).limit(2 * max_rows)
@@ -300,6 +301,7 @@ def _scorer(shared):
 
 def score_column(df: DataFrame, model: ToxicityModel, *, text: str = "text") -> Column:
     """The score of each text of ``df`` as a column."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((model.features, model.weights, model.intercept))
     return _scorer(shared)(F.col(text))
 
