@@ -2,9 +2,11 @@
 
 Explicit rules come first: a rule is a host with a path beginning (``example.net/en/``), fits the host and
 its subdomains where the url's path starts with the rule's, and the longest one that fits decides. Other urls
-are judged by the words of their host and path. Two classes are learned: unwanted words from a fixed list,
-ordinary words from the corpus itself, where each distinct host counts once, so that a host with a third of
-all rows weighs no more than another.
+are judged by the words of their host and path. Both classes are learned from the corpus, where each distinct
+host counts once, so that a host with a third of all rows weighs no more than another: a host that fixed lists of
+words mark is unwanted, the others are ordinary, and each word's counts in both speak for or against it. A word
+that the corpus and the lists don't know says nothing. The probabilities of the words that names are cut into
+come from the corpus and the lists in equal parts.
 
 A null url or one without ``://`` has an empty host and path, no rule and the verdict ``allow``. Equal urls
 get equal results; each row stays. Very long urls are read in full. Ties between cuts go to the one with the
@@ -18,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -60,21 +63,32 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 @lru_cache(1)
-def lexicon() -> dict[str, float]:
-    """Log-probability of each known word; the lists stand in for counts, short words are less likely."""
-    known = {**dict.fromkeys(ORDINARY, 2.0), **dict.fromkeys(WEAK, 2.0), **dict.fromkeys(STRONG, 2.0)}
+def _masses() -> dict[str, float]:
+    known = dict.fromkeys((*ORDINARY, *WEAK, *STRONG), 2.0)
     mass = {w: n * min(1.0, len(w) / 4) ** 2 for w, n in known.items()}
     total = sum(mass.values())
-    return {w: math.log(n / total) for w, n in mass.items()}
+    return {w: n / total for w, n in mass.items()}
+
+
+@lru_cache(1)
+def lexicon() -> dict[str, float]:
+    """Log-probability of each known word without a corpus: the lists stand in for counts, short words are less likely."""
+    return {w: math.log(p) for w, p in _masses().items()}
+
 
+def learned_lexicon(seen: np.ndarray) -> dict[str, float]:
+    """Log-probability of each known word, half of it from the lists and half from how many hosts hold it."""
+    total = int(seen.sum())
+    return {w: math.log((p + n / total) / 2) for (w, p), n in zip(_masses().items(), seen.tolist(), strict=True)} if total else lexicon()
 
-def segment(name: str) -> list[str]:
+
+def segment(name: str, known: dict[str, float] | None = None) -> list[str]:
     """The likeliest cut of ``name`` into known words and unknown runs, by a Viterbi search.
 
     An unknown run costs a start and a charge for each letter, so a known word must be worth more than its
     letters; a run that no known word fits well stays whole.
     """
-    known, n, longest = lexicon(), len(name), 12
+    known, n, longest = lexicon() if known is None else known, len(name), 12
     best, cut, odd = [0.0] + [-math.inf] * n, [0] * (n + 1), [False] * (n + 1)
     for end in range(1, n + 1):
         for start in range(max(0, end - longest), end):
@@ -93,55 +107,98 @@ def segment(name: str) -> list[str]:
     return words[::-1]
 
 
-def tokens(host: str, path: str) -> list[str]:
+def pieces(name: str, known: dict[str, float] | None = None) -> list[str]:
+    """The cut of ``name``, where a known word of under four letters that touches an unknown run is part of it.
+
+    So few letters stand in other words by chance (``essex``, ``alphabet``)."""
+    listed, out, odd = lexicon(), [], False
+    words = segment(name, known)
+    for i, w in enumerate(words):
+        loose = w not in listed or (len(w) < 4 and (odd or (i + 1 < len(words) and words[i + 1] not in listed)))
+        out[len(out) - (loose and odd) :] = ["".join(out[len(out) - (loose and odd) :]) + w]
+        odd = loose
+    return out
+
+
+def tokens(host: str, path: str, known: dict[str, float] | None = None) -> list[str]:
     """Words of a host's labels and a path's parts, without those that are plain."""
-    return [w for t in _TOKEN.findall(host) + _TOKEN.findall(path.lower()) if t not in PLAIN for w in segment(t)]
+    return [w for t in _TOKEN.findall(host) + _TOKEN.findall(path.lower()) if t not in PLAIN for w in pieces(t, known)]
 
 
+@lru_cache(1)
+def _places() -> dict[str, int]:
+    return {w: BINS + i for i, w in enumerate(_masses())}
+
+
+@lru_cache(1 << 16)
 def _bin(word: str) -> int:
-    return int(np.uint64(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, c in enumerate(word)) % (1 << 64)) >> np.uint64(48))
+    """Where a word is counted: known words have a place of their own, others a hashed bin."""
+    at = _places().get(word)
+    return at if at is not None else int(np.uint64(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, c in enumerate(word)) % (1 << 64)) >> np.uint64(48))
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(BINS, np.int64)
-    for b in batches:
-        for host in b["host"]:
-            for w in set(tokens(host, "")):
-                total[_bin(w)] += 1
-    has = np.flatnonzero(total)
-    yield pd.DataFrame({"bin": has.astype("int32"), "n": total[has]})
+class Model(NamedTuple):
+    """The log-probabilities of known words, and in how many ordinary and unwanted hosts (rows) each bin's words are."""
 
+    known: dict[str, float]
+    counts: np.ndarray
 
-def train(df: DataFrame, *, url: str = "url") -> np.ndarray:
-    """How many distinct hosts of ``df`` have a word in each of a fixed number of hashed bins."""
-    hosts = df.select(host_and_path(F.col(url))[0].alias("host")).where("host <> ''").distinct()
-    counts = hosts.mapInPandas(_count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BINS, np.int64)
-    out[counts["bin"]] = counts["n"]
+
+def _counter(known: dict[str, float] | None):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, seeds = np.zeros((2, BINS + len(_places())), np.int64), Judge()
+        for b in batches:
+            for host in b["host"]:
+                words = set(tokens(host, "", known))
+                total[int(seeds.log_odds(sorted(words)) > 0), [_bin(w) for w in words]] += 1
+        unwanted, has = np.nonzero(total)
+        yield pd.DataFrame({"unwanted": unwanted.astype("int32"), "bin": has.astype("int32"), "n": total[unwanted, has]})
+
+    return count
+
+
+def _counts(hosts: DataFrame, known: dict[str, float] | None) -> np.ndarray:
+    found = hosts.mapInPandas(_counter(known), "unwanted int, bin int, n long").groupBy("unwanted", "bin").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((2, BINS + len(_places())), np.int64)
+    out[found["unwanted"], found["bin"]] = found["n"]
     return out
 
 
+def train(df: DataFrame, *, url: str = "url") -> Model:
+    """What the distinct hosts of ``df`` say: the words of names first, then both classes' counts of them.
+
+    Counts are of a fixed size whatever the corpus; hosts that the lists alone judge unwanted teach that class."""
+    hosts = df.select(host_and_path(F.col(url))[0].alias("host")).where("host <> ''").distinct()
+    known = learned_lexicon(_counts(hosts, None)[:, BINS:].sum(axis=0))
+    return Model(known, _counts(hosts, known))
+
+
 class Judge:
-    """Naive Bayes over words: unwanted from the lists, ordinary from the corpus.
+    """Naive Bayes over words, with the counts of ordinary and unwanted hosts smoothed by the lists.
 
-    Unwanted sites use ordinary and unknown words too, for ``mixed`` of their words."""
+    In each class a word's count stands against what it would be if the classes didn't differ, both with
+    ``smooth`` more hosts, so that a word without counts speaks for neither. Of unwanted sites' words ``mixed``
+    are not of the lists."""
 
-    def __init__(self, counts: np.ndarray, prior: float = 0.001, mixed: float = 0.3):
-        self.counts, self.total, self.mixed = counts, max(1, int(counts.sum())), mixed
+    def __init__(self, counts: np.ndarray | None = None, prior: float = 0.001, mixed: float = 0.3, smooth: float = 4.0):
+        self.counts = np.zeros((2, BINS + len(_places())), np.int64) if counts is None else counts
+        self.size, self.mixed, self.smooth = self.counts.sum(axis=1).tolist(), mixed, smooth
         self.prior = math.log(prior / (1 - prior))
         # a strong word counts as many weak ones
         self.bad = {**dict.fromkeys(WEAK, 1.0), **dict.fromkeys(STRONG, 8.0)}
         self.bad_total = sum(self.bad.values())
-        self.good = {w: 4.0 for w in ORDINARY}
-        self.good_total = sum(self.good.values())
+        self.rare = 0.01 / (4.0 * len(ORDINARY) + 1000 + 0.01 * 20_000)
 
     @lru_cache(1 << 16)  # noqa: B019
     def word(self, w: str) -> float:
         """Log-odds that a word speaks for an unwanted site."""
-        # the corpus holds unwanted hosts too: a listed word is not ordinary for being frequent
-        seen = 0.0 if w in self.bad else self.counts[_bin(w)] / self.total * 1000
-        good = (self.good.get(w, 0.0) + seen + 0.01) / (self.good_total + 1000 + 0.01 * 20_000)
-        return math.log(((1 - self.mixed) * self.bad.get(w, 0.0) / self.bad_total + self.mixed * good) / good)
+        listed = self.bad.get(w, 0.0)
+        start = (1 - self.mixed) * listed / self.bad_total / self.rare + self.mixed if listed else 1.0
+        good, bad = self.counts[:, _bin(w)].tolist()
+        share = (good + bad) / max(1, sum(self.size))
+        # how much oftener than by its share of all hosts the word is in either class
+        more = [(n + self.smooth * s) / (share * size + self.smooth) for n, size, s in zip((good, bad), self.size, (1.0, start), strict=True)]
+        return math.log(more[1] / more[0])
 
     def log_odds(self, words: list[str]) -> float:
         return self.prior + sum(map(self.word, words))
@@ -157,11 +214,12 @@ def _rule(host: str, path: str, rules: list[tuple[str, str, str, str]]) -> tuple
 def _judge(shared, rules):
     @F.pandas_udf(T.StructType.fromDDL("rule string, verdict string, words array<string>, log_odds double"))
     def judge_parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        judge = Judge(shared.value)
+        known, counts = shared.value
+        judge = Judge(counts)
         for hosts, paths in batches:
             rows = []
             for host, path in zip(hosts, paths, strict=True):
-                words = tokens(host, path)
+                words = tokens(host, path, known)
                 odds = judge.log_odds(words)
                 rule, verdict = _rule(host, path, rules) or (None, "block" if odds > 0 else "allow")
                 rows.append((rule, verdict, words, odds))
@@ -170,11 +228,11 @@ def _judge(shared, rules):
     return judge_parts
 
 
-def apply(df: DataFrame, counts: np.ndarray, *, block: tuple[str, ...] = (), allow: tuple[str, ...] = (), url: str = "url") -> DataFrame:
+def apply(df: DataFrame, model: Model, *, block: tuple[str, ...] = (), allow: tuple[str, ...] = (), url: str = "url") -> DataFrame:
     """``df`` with host, path, rule, verdict, words and log_odds (above 0: unwanted)."""
     rules = [(r, *r.partition("/")[::2], v) for v, own in (("block", block), ("allow", allow)) for r in own]
     rules = sorted(((r, h, "/" + p, v) for r, h, p, v in rules), key=lambda x: (-len(x[0]), x[0]))
-    shared = df.sparkSession.sparkContext.broadcast(counts)
+    shared = df.sparkSession.sparkContext.broadcast(tuple(model))
     host, path = host_and_path(F.col(url))
     found = df.withColumn("_found", F.struct(host.alias("host"), path.alias("path"))).withColumn("_judged", _judge(shared, rules)(F.col("_found.host"), F.col("_found.path")))
     out = {"host": "_found.host", "path": "_found.path"} | {c: f"_judged.{c}" for c in ("rule", "verdict", "words", "log_odds")}

@@ -50,6 +50,27 @@ def test_cut_is_the_best_of_all_cuts(name):
     assert math.isclose(cost(words), best(name), abs_tol=1e-9)
 
 
+def test_one_strong_word_beside_others_is_enough(spark):
+    bad = ["pornhub.com", "pokerstars.com", "viagrashop.com"]
+    rows = judged(spark, [f"https://{h}{p}" for h in bad for p in ("/", "/a-long-slug-of-many-other-words-that-nobody-listed")])
+    assert all(r["verdict"] == "block" for r in rows)
+    assert urlfilter.tokens("alphabet.winterpark.sexshop", "") == ["alphabet", "winter", "park", "sex", "shop"]
+
+
+def test_counts_of_both_classes_are_learned(spark):
+    urls = ["https://zorblax.org/"]
+    few = [f"https://{w}{i}.org/" for i in range(40) for w in ("casino-zorblax", "plain-garden")]
+    more = [f"https://{w}{i}.org/" for i in range(40) for w in ("casino-only", "zorblax-garden")]
+    odds = []
+    for corpus in (few, more, few + more, urls):
+        model = urlfilter.train(spark.createDataFrame([(u,) for u in corpus], "url string"))
+        odds.append(urlfilter.apply(spark.createDataFrame([(urls[0],)], "url string"), model).first()["log_odds"])
+    prior = urlfilter.Judge().prior
+    assert odds[0] > odds[2] > odds[1] and odds[0] > prior + 1 and odds[1] < prior - 1 and abs(odds[3] - prior) < 1e-6
+    known = urlfilter.train(spark.createDataFrame([(u,) for u in few], "url string")).known
+    assert known["casino"] > known["garden"] - 1e-9 > urlfilter.lexicon()["garden"] and known["poker"] < urlfilter.lexicon()["poker"]
+
+
 def test_empty_and_repeated_urls(spark):
     df = spark.createDataFrame([], "page_id int, url string")
     assert urlfilter.apply(df, urlfilter.train(df), **RULES).count() == 0
