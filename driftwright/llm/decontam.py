@@ -2,15 +2,17 @@
 
 Fixed masks of ``SPAN`` words ignore some positions. The words that a mask keeps are hashed at each place of
 the test items and of the documents; equal hashes are hits, which substitutions at ignored positions don't
-prevent. Around a hit, item and document are compared word by word without gaps, and the best stretch, in
-which a substitution costs what ``PRICE`` equal words earn, is an overlap if it has enough equal words: twelve,
-or four fifths of a shorter item.
+prevent. Around a hit, item and document are compared word by word without gaps. An overlap is a stretch with
+enough equal words, twelve or four fifths of a shorter item, which are at least four fifths of the stretch. The
+masks hit each of these: a stretch of 9 words with one substitution, of 10 to 14 with two or of 15 with three has
+a span that some mask fits, and all others hold one of these. Reported is the best stretch, in which a
+substitution costs what ``PRICE`` equal words earn, where it has enough equal words, else the widest.
 
 The items are searched in blocks of bounded size, each broadcast to the tasks that read the documents, so a
 passage that many documents share is no hot key. Words are lower-cased runs of letters and numerals. Items of
-fewer than ``SPAN`` words hold too little to tell a leak from chance and match nothing; so do null texts and
-items. Repeated items and documents give a row each. Of equal overlaps the first one in the document is
-reported. Other columns of the documents pass.
+``SHORT`` to ``SPAN - 1`` words match where all their words stand in a row. Items of fewer words hold too little
+to tell a leak from chance and match nothing; so do null texts and items. Repeated items and documents give a
+row each. Of equal overlaps the first one in the document is reported. Other columns of the documents pass.
 """
 
 from __future__ import annotations
@@ -27,21 +29,26 @@ from pyspark.sql import types as T
 from . import textvec as tv
 from .common import small_batches
 
-SPAN, PRICE, ENOUGH = 9, 4, 12
+SPAN, PRICE, ENOUGH, SHORT = 9, 4, 12, 5
 #: Kept positions of each mask.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 1, 3, 5, 6, 8), (0, 2, 3, 4, 6, 8), (0, 2, 4, 5, 7, 8), (0, 3, 4, 6, 7, 8), (0, 1, 2, 3, 4, 5))
+MASKS = ((0, 1, 5, 7, 8), (2, 3, 4, 5, 8), (0, 2, 5, 6, 7), (1, 2, 3, 6, 8))
+#: Span and kept positions of all seeds: the masks, then the sizes of short items.
+SEEDS = (*((SPAN, m) for m in MASKS), *((n, tuple(range(n))) for n in range(SHORT, SPAN)))
+#: Words beyond each end of a document that a span may reach, as two words of an item may lie there.
+MARGIN = 2
 MATCH = T.ArrayType(T.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("item_id", "long"), ("doc_start", "integer"), ("item_start", "integer"), ("length", "integer"), ("equal", "integer"), ("item_words", "integer"))]}))
 
 
-def seeds(words: np.ndarray, doc: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of each span of ``SPAN`` words of one text under a mask."""
-    n = len(words) - SPAN + 1
+def seeds(words: np.ndarray, doc: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each span within a text, by the kept positions of one of ``SEEDS``."""
+    span, kept = SEEDS[kind]
+    n = len(words) - span + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero(doc[:n] == doc[SPAN - 1 :])
-    h = np.full(len(at), mask + 1, np.uint64)
+    at = np.flatnonzero(doc[:n] == doc[span - 1 :])
+    h = np.full(len(at), kind + 1, np.uint64)
     with np.errstate(over="ignore"):
-        for k in MASKS[mask]:
+        for k in kept:
             h = tv.mix(h * np.uint64(31) + words[at + k])
     return h, at
 
@@ -59,9 +66,15 @@ class Block:
     @classmethod
     def build(cls, ids: list[int | None], texts: list[str]) -> Block:
         words, doc = tv.words(texts)
-        found = [seeds(words, doc, m) for m in range(len(MASKS))]
+        first = np.searchsorted(doc, np.arange(len(texts) + 1))
+        size = np.diff(first)
+        found = []
+        for kind, (span, _) in enumerate(SEEDS):
+            h, at = seeds(words, doc, kind)
+            own = (size[doc[at]] == span) | (kind < len(MASKS))
+            found.append((h[own], at[own]))
         order = [np.argsort(h, kind="stable") for h, _ in found]
-        return cls(ids, words, np.searchsorted(doc, np.arange(len(texts) + 1)), [h[o] for (h, _), o in zip(found, order, strict=True)], [p[o] for (_, p), o in zip(found, order, strict=True)])
+        return cls(ids, words, first, [h[o] for (h, _), o in zip(found, order, strict=True)], [p[o] for (_, p), o in zip(found, order, strict=True)])
 
 
 def stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -73,9 +86,30 @@ def stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return begin, end, int(equal[begin:end].sum())
 
 
+def widest(equal: np.ndarray) -> tuple[int, int, int]:
+    """Begin, end and number of equal words of the stretch with most of them whose other words cost no more than they earn."""
+    sums = np.concatenate(([0], np.cumsum(np.where(equal, 1, -PRICE))))
+    have = np.concatenate(([0], np.cumsum(equal)))
+    begin = np.searchsorted(-np.minimum.accumulate(sums), -sums)
+    end = int((have - have[begin]).argmax())
+    n = int(have[end] - have[begin[end]])
+    return int(begin[end]) + int(equal[begin[end] :].argmax()) if n else end, end, n
+
+
+def overlap(equal: np.ndarray, size: int, whole: bool) -> tuple[int, int, int] | None:
+    """The overlap of an item of ``size`` words on one line with a document, if it has enough equal words."""
+    enough = size if size < SPAN else min(ENOUGH, -(-4 * size // 5))
+    if equal.sum() < enough or (size < SPAN and not whole):
+        return None
+    best = stretch(equal)
+    if whole and best[2] < enough:
+        best = widest(equal)
+    return best if best[2] >= enough else None
+
+
 class Finder:
-    def __init__(self, block: Block):
-        self.block = block
+    def __init__(self, block: Block, whole: bool = False):
+        self.block, self.whole = block, whole
         self.doors = []
         for h in block.hashes:
             door = np.zeros(1 << 20, bool)
@@ -88,34 +122,43 @@ class Finder:
         words, doc = tv.words(texts)
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         lines: set[tuple[int, int, int]] = set()  # document, item, shift between them
-        for m in range(len(MASKS)):
-            h, at = seeds(words, doc, m)
+        # each document between words of no text
+        at = np.arange(len(words)) + (2 * doc + 1) * MARGIN
+        wide = np.zeros(len(words) + 2 * MARGIN * len(texts), np.uint64)
+        wide[at] = words
+        begin = first + 2 * MARGIN * np.arange(len(texts) + 1)
+        wide_doc = np.repeat(np.arange(len(texts)), np.diff(begin))
+        for m in range(len(SEEDS)):
+            if not len(b.hashes[m]):
+                continue
+            h, at = seeds(wide, wide_doc, m)
             near = np.flatnonzero(self.doors[m][(h >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(b.hashes[m], h[near], "left"), np.searchsorted(b.hashes[m], h[near], "right")
             count = hi - lo
             place = at[np.repeat(near, count)]
             item_place = b.places[m][np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
             item = np.searchsorted(b.first, item_place, "right") - 1
-            d = doc[place]
-            lines.update(zip(d.tolist(), item.tolist(), ((place - first[d]) - (item_place - b.first[item])).tolist(), strict=True))
+            d = wide_doc[place]
+            lines.update(zip(d.tolist(), item.tolist(), ((place - begin[d] - MARGIN) - (item_place - b.first[item])).tolist(), strict=True))
         out: list[list[tuple]] = [[] for _ in texts]
         best: dict[tuple[int, int], tuple] = {}
         for d, i, shift in sorted(lines):
             size = int(b.first[i + 1] - b.first[i])
             lo, hi = max(0, -shift), min(size, int(first[d + 1] - first[d]) - shift)
             equal = words[first[d] + lo + shift : first[d] + hi + shift] == b.words[b.first[i] + lo : b.first[i] + hi]
-            begin, end, n = stretch(equal)
-            if n >= min(ENOUGH, -(-4 * size // 5)) and n > best.get((d, i), (0,) * 6)[4]:
-                best[d, i] = (b.ids[i], lo + shift + begin, lo + begin, end - begin, n, size)
+            found = overlap(equal, size, self.whole)
+            if found and found[2] > best.get((d, i), (0,) * 6)[4]:
+                start, end, n = found
+                best[d, i] = (b.ids[i], lo + shift + start, lo + start, end - start, n, size)
         for (d, _), row in best.items():
             out[d].append(row)
         return out
 
 
-def _matcher(shared):
+def _matcher(shared, whole):
     @F.pandas_udf(MATCH)
     def overlaps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finder = Finder(Block(*shared.value))
+        finder = Finder(Block(*shared.value), whole)
         names = MATCH.elementType.names
         for series in batches:
             texts = ["" if t is None else t for t in series]
@@ -124,11 +167,12 @@ def _matcher(shared):
     return overlaps
 
 
-def matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", words_per_block: int = 250_000) -> Column:
+def matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", words_per_block: int = 250_000, whole: bool = False) -> Column:
     """A column of ``df`` with the overlaps of its text with the items (item_id, text) of ``benchmark``.
 
     The items are split by a hash into as many blocks as keep each near ``words_per_block``; only one block's
-    items pass the driver at a time.
+    items pass the driver at a time. With ``whole`` an overlap counts wherever its substitutions stand and short
+    items are searched; otherwise only the best stretch counts, which substitutions near its ends cut short.
     """
     small_batches(df.sparkSession)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -139,7 +183,7 @@ def matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", words_pe
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         block = Block.build([r["item_id"] for r in own], [r["text"] for r in own])
         shared = df.sparkSession.sparkContext.broadcast((block.ids, block.words, block.first, block.hashes, block.places))
-        found.append(_matcher(shared)(F.col(text)))
+        found.append(_matcher(shared, whole)(F.col(text)))
     return F.concat(*found) if len(found) > 1 else found[0]
 
 

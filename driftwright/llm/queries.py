@@ -31,7 +31,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontam.overlaps(docs.select("doc_id", "text"), items)
+    return decontam.overlaps(docs.select("doc_id", "text"), items, whole=True)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

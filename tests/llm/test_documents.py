@@ -1,6 +1,7 @@
 """Language, toxicity, near duplicates and decontamination."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -275,3 +276,45 @@ def test_overlaps_with_substitutions_by_brute_force(spark):
     kept = decontam.remove(df.withColumn("item_id", F.lit("x")), bench)
     assert {x["doc_id"] for x in kept.collect()} == {i for i, _ in docs} - {i for i, _ in expected} and kept.columns == ["doc_id", "text", "item_id"]
     assert decontam.overlaps(df, bench.limit(0)).count() == 0 and decontam.overlaps(df.limit(0), bench).count() == 0
+
+
+def overlap_by_counting(a, b):
+    """Whether some stretch of a diagonal has enough equal words, at least four fifths of it."""
+    enough = len(b) if len(b) < decontam.SPAN else min(decontam.ENOUGH, -(-4 * len(b) // 5))
+    for shift in range(-len(b), len(a)):
+        equal = [0 <= shift + j < len(a) and a[shift + j] == w for j, w in enumerate(b)]
+        if any(sum(equal[i:j]) >= max(enough, 0.8 * (j - i)) for i in range(len(b)) for j in range(i + enough, len(b) + 1)):
+            return True
+    return False
+
+
+def found_in(item, docs):
+    finder = decontam.Finder(decontam.Block.build([0], [" ".join(item)]), whole=True)
+    return [bool(m) for m in finder.find([" ".join(d) for d in docs])]
+
+
+def test_substitutions_at_any_place_are_found():
+    r = random.Random(8)
+    for size, changed in [(9, 1), (10, 2), (12, 2), (14, 2), (15, 1), (15, 2), (15, 3), (16, 1), (18, 2), (20, 2)]:
+        item = [f"w{k}" for k in range(size)]
+        docs = []
+        for places in combinations(range(size), changed):
+            own = [f"x{k}" if k in places else w for k, w in enumerate(item)]
+            docs.append(["a"] * r.randrange(3) + own + ["z"] * r.randrange(3))
+        assert all(found_in(item, docs)), (size, changed)
+
+
+def test_overlaps_are_those_of_counting_equal_words():
+    r = random.Random(9)
+    hits = 0
+    for size in [2, 4, 5, 7, 8, 9, 10, 11, 13, 15, 17, 22, 30, 41]:
+        item = [f"w{k}" for k in range(size)]
+        docs = []
+        for _ in range(60):
+            lo, hi = sorted((r.choice([0, 0, 1, 2, r.randrange(size)]), r.choice([size, size, size - 1, size - 2, r.randrange(size)])))
+            own = [f"x{r.randrange(10**9)}" if r.random() < r.choice([0, 0.1, 0.25]) else w for w in item[lo:hi]]
+            docs.append(["a"] * r.randrange(4) + own + ["z"] * r.randrange(4))
+        expected = [size >= decontam.SHORT and overlap_by_counting(d, item) for d in docs]
+        assert found_in(item, docs) == expected, size
+        hits += sum(expected)
+    assert 200 < hits < 700
