@@ -7,7 +7,8 @@ of each text whose agreement between two texts is their weighted Jaccard similar
 band are candidates, and links hold if the similarity of the whole texts is at least ``threshold``. Classes are
 the connected components of links between distinct texts; exact copies share a text.
 
-Null texts and texts without a word are classes of their own. Repeated rows are copies. A class is named by
+Null and empty texts are classes of their own. Other texts without a word are linked with their exact copies
+only. Repeated rows are copies. A class is named by
 its least doc_id (null if all are null). An empty table has an empty result. Columns other than the id and the
 text aren't read. Very long texts are hashed in full.
 """
@@ -183,16 +184,16 @@ def _shared_weights(bags: DataFrame, shared) -> DataFrame:
 
 
 def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The key of each row's text, with whether it has words; and for each text with words its class."""
+    """The key of each row's text, with whether it has characters; and for each text with characters its class."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select("doc_id", "text")
     shared = spark.sparkContext.broadcast(document_frequencies(rows))
     kept, work = Scratch(spark, "classes"), Scratch(spark, "neardup")
     keyed = rows.withColumn("node", F.xxhash64("text"))
-    signed = kept.table(keyed.select("doc_id", "node", _bands(shared)("text").alias("bands")), "signed")
+    signed = kept.table(keyed.select("doc_id", "node", F.coalesce(F.col("text") != "", F.lit(False)).alias("filled"), _bands(shared)("text").alias("bands")), "signed")
     try:
-        texts = work.table(signed.where(F.size("bands") > 0).groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts")
+        texts = work.table(signed.where("filled").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts")
 
         members = texts.select(F.explode("bands").alias("bucket"), "node")
         sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -228,7 +229,7 @@ def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         final = kept.table(whole.join(named, "component").select("node", "rep", "leader", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
     finally:
         work.drop()
-    return signed.select("doc_id", "node", (F.size("bands") > 0).alias("worded")), final
+    return signed.select("doc_id", "node", "filled"), final
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -239,16 +240,16 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """
     signed, final = _resolve(docs, threshold)
     out = signed.join(final, "node", "left")
-    return out.select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.when(F.col("filled"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class, that of its least doc_id; all columns stay as they are.
 
-    Texts without a word stay. Rows of equal id and text are one document, of which one row stays.
+    Null and empty texts stay. Rows of equal id and text are one document, of which one row stays.
     """
     signed, final = _resolve(docs, threshold)
-    stay = final.where("node = leader").select("node", F.col("rep").alias("doc_id")).union(signed.where("not worded").select("node", "doc_id")).distinct()
+    stay = final.where("node = leader").select("node", F.col("rep").alias("doc_id")).union(signed.where("not filled").select("node", "doc_id")).distinct()
     named = stay.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_node"), F.col("doc_id").alias("_id"))
     same = keyed.join(named, (keyed["_node"] == named["_node"]) & keyed["_id"].eqNullSafe(named["_id"]), "left_semi")

@@ -202,6 +202,14 @@ def test_one_of_each_class_stays(spark):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept) == sorted([-1, *range(40), 100, 110, 120, 130, 200, 201, 202, 203, 204])
 
 
+def test_exact_copies_without_words_are_one_class(spark):
+    rows = [(7, "?!"), (3, "?!"), (5, "?!?"), (1, "\U0001f600" * 9), (2, "\U0001f600" * 9), (8, ""), (9, ""), (10, None), (11, None), (12, "-- --"), (None, "-- --")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["class_id"], r["class_size"], r["n_links"]) for r in neardup.classes(df).collect())
+    assert found == [(-1, 12, 2, 0), (1, 1, 2, 0), (2, 1, 2, 0), (3, 3, 2, 0), (5, 5, 1, 0), (7, 3, 2, 0), (8, 8, 1, 0), (9, 9, 1, 0), (10, 10, 1, 0), (11, 11, 1, 0), (12, 12, 2, 0)]
+    assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == [1, 3, 5, 8, 9, 10, 11, 12]
+
+
 def test_no_documents(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.classes(df).count() == 0 and neardup.keep_one(df).count() == 0
