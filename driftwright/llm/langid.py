@@ -2,7 +2,8 @@
 
 Each language has a smoothed distribution over hashed character trigrams. A document's words are draws from
 an unknown mixture of the languages. Expectation-maximisation finds the proportions; the set of languages is
-the one of highest likelihood after a penalty for each language beyond the first.
+the one of highest likelihood after a penalty for each language beyond the first; sets grow until a bound on the
+likelihood of all languages rules larger ones out.
 
 Nulls, empty texts and texts without a letter: language ``und``, score 0, no proportions. With nothing to
 learn from, every text is ``und``. Very long texts are worked on in full, one at a time. Repeated rows get
@@ -64,23 +65,26 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "bucket": has.astype("int32"), "n": n[has].astype("int64")})
 
 
-def train(labelled: DataFrame, *, max_rows_per_language: int = 3000, max_languages: int = 64, smoothing: float = 0.2) -> LanguageModel:
+def train(labelled: DataFrame, *, max_rows_per_language: int = 3000, smoothing: float = 0.2) -> LanguageModel:
     """Learn from ``labelled`` (text, lang).
 
     The classifier is fitted on a bounded sample: about ``max_rows_per_language`` rows of each language,
-    chosen by a hash of the text, of the ``max_languages`` most frequent ones.
+    chosen by a hash of the text. Every language is learned; the model holds 128 kB for each.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+    sizes = rows.groupBy("lang").count()
     rates = sizes.select("lang", (F.lit(float(max_rows_per_language)) / F.col("count")).alias("rate"))
     sample = rows.join(F.broadcast(rates), "lang").where(unit_hash("text") < F.col("rate")).select("lang", "text")
     counts = sample.mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
-    table = np.zeros((BUCKETS, len(names)))
+    table = np.zeros((BUCKETS, len(names)), np.float32)
     table[counts["bucket"], np.searchsorted(names, counts["lang"])] = counts["n"]
-    total = table.sum(0)
-    return LanguageModel(names, np.log((table + smoothing) / (total + smoothing * BUCKETS)).astype(np.float32))
+    total = table.sum(0, dtype=np.float64) + smoothing * BUCKETS
+    table += np.float32(smoothing)
+    np.log(table, out=table)
+    table -= np.log(total).astype(np.float32)
+    return LanguageModel(names, table)
 
 
 def _mixture(like: np.ndarray, first: np.ndarray, size: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,37 +98,52 @@ def _mixture(like: np.ndarray, first: np.ndarray, size: np.ndarray, allowed: np.
     return pi, np.add.reduceat(np.log(np.maximum((like * pi[own]).sum(1), 1e-300)), first)
 
 
-def infer(texts: list[str], model: LanguageModel, *, max_set: int = 4, penalty: float = 4.0, rounds: int = 12) -> tuple[list[np.ndarray | None], int]:
+def infer(texts: list[str], model: LanguageModel, *, max_set: int | None = None, penalty: float = 4.0, rounds: int = 12) -> tuple[list[np.ndarray | None], int]:
     """Proportions of each text over the model's languages, or None without a letter.
 
     ``penalty`` times the logarithm of the number of words is what a language beyond the first must add to
-    the log-likelihood.
+    the log-likelihood. Sets have at most ``max_set`` languages if it is given.
     """
     n = len(model.languages)
     out: list[np.ndarray | None] = [None] * len(texts)
     grams, first, doc = trigrams(texts)
     if not len(first) or not n:
         return out, 0
-    word = np.add.reduceat(model.log_p[grams], first).astype(np.float64)
+    word = np.empty((len(first), n))
+    ends = np.append(first, len(grams))
+    step = max(1, 40_000 // n)  # words at once, as each has several trigrams of all languages
+    for lo in range(0, len(first), step):
+        hi = min(lo + step, len(first))
+        word[lo:hi] = np.add.reduceat(model.log_p[grams[ends[lo] : ends[hi]]], first[lo:hi] - ends[lo])
     top = word.max(1)
     like = np.exp(np.maximum(word - top[:, None], -60))
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     size = np.diff(np.append(starts, len(doc)))
     everything = np.ones((len(size), n))
-    pi, _ = _mixture(like, starts, size, everything, rounds)
+    pi, most = _mixture(like, starts, size, everything, rounds)
+    own = np.repeat(np.arange(len(size)), size)
+    if n > 2:
+        # no mixture is likelier than this one by more than its steepest slope tells
+        slope = np.add.reduceat(like / np.maximum((like * pi[own]).sum(1, keepdims=True), 1e-300), starts) / size[:, None]
+        most = np.minimum(0.0, most + size * np.log(np.maximum(slope.max(1), 1.0)))
     # the total likelihood leads the order for the first language, the proportions for the others
     alone = np.add.reduceat(np.log(like), starts)
     best = alone.argmax(1)
     order = np.argsort(np.where(np.arange(n) == best[:, None], -2.0, -pi), axis=1, kind="stable")
     chosen = np.eye(n)[best]
     value = alone[np.arange(len(size)), best]
-    for k in range(2, min(max_set, n) + 1):
-        allowed = np.zeros((len(size), n))
-        np.put_along_axis(allowed, order[:, :k], 1.0, 1)
-        p, ll = _mixture(like, starts, size, allowed, rounds)
-        ll = ll - penalty * (k - 1) * np.log(size + 1.0)
-        better = ll > value
-        chosen[better], value = p[better], np.maximum(value, ll)
+    for k in range(2, min(max_set or n, n) + 1):
+        price = penalty * (k - 1) * np.log(size + 1.0)
+        left = np.flatnonzero(most + 1e-3 - price > value) if n > 2 else np.arange(len(size))
+        if not len(left):
+            break
+        allowed = np.zeros((len(left), n))
+        np.put_along_axis(allowed, order[left, :k], 1.0, 1)
+        words = like if len(left) == len(size) else like[np.isin(own, left)]
+        p, ll = _mixture(words, np.cumsum(size[left]) - size[left], size[left], allowed, rounds)
+        ll = ll - price[left]
+        better = ll > value[left]
+        chosen[left[better]], value[left] = p[better], np.maximum(value[left], ll)
     for i, d in enumerate(doc[starts]):
         out[d] = chosen[i]
     return out, len(starts)
@@ -138,7 +157,7 @@ def _identifier(shared, **options):
         for series in batches:
             texts = ["" if t is None else t for t in series]
             rows = []
-            for lo, hi in tv.chunks(texts):
+            for lo, hi in tv.chunks(texts, max(2000, tv.CHUNK * 4 // max(4, len(names)))):
                 for p in infer(texts[lo:hi], model, **options)[0]:
                     if p is None:
                         rows.append((UNKNOWN, 0.0, [], []))

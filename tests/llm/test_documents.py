@@ -58,6 +58,19 @@ def test_proportions_equal_plain_em(languages):
     assert np.allclose(found[used], pi, atol=1e-4)
 
 
+def test_every_language_is_learned_and_sets_are_not_capped(spark):
+    r = random.Random(12)
+    own = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(9)] for k in range(70)}
+    say = lambda lang, n: " ".join("".join(r.choice(own[lang]) for _ in range(2)) for _ in range(n))
+    rows = [(say(lang, 60), lang) for k, lang in enumerate(own) for _ in range(2 if k < 64 else 1)]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.languages == sorted(own)
+    texts = [say("l69", 50), " ".join(say(f"l{k:02d}", 60) for k in range(61, 68))]
+    found = langid.identify(spark.createDataFrame(enumerate(texts), "i int, text string"), model).orderBy("i").collect()
+    assert found[0]["lang_pred"] == "l69" and found[0]["score"] == 1.0
+    assert set(found[1]["languages"]) == {f"l{k:02d}" for k in range(61, 68)} and found[1]["score"] < 0.25
+
+
 def test_texts_without_letters_and_without_training(spark, languages):
     df, model = languages
     odd = spark.createDataFrame([(None,), ("",), ("12 34 !!",), ("the " * 300_000,)], "text string")
