@@ -2,12 +2,15 @@
 
 A recording's spectrum is folded into twelve pitch classes for each frame. Sixteen rectangular filters, read
 from an integral image over frames and pitch classes, compare two halves of a patch; each response becomes two
-bits of Gray code, together an unsigned 32-bit integer for each frame. Recordings that share a run of
-pairs of integers a filter's width apart are candidates, and those of a group of copies meet their group's leader only. The offsets at which two recordings
-have equal integers form a histogram; at its peak the share of differing bits over the overlap decides.
+bits of Gray code, together an unsigned 32-bit integer for each frame. Recordings are candidates if they share,
+at any offset, the steadiest bits of ``KEY_FRAMES`` integers that stand ``KEY_STEP`` frames apart: noise and cuts
+between frames flip others first, so pairs of up to ``MOST_ERRORS`` differing bits meet (tests measure it against
+all pairs). The offsets at which two recordings agree in their steady bits form a histogram; at its peak the share
+of differing bits over the overlap decides.
 
 Null and empty recordings, and those shorter than a filter, have no fingerprint and are classes of their own.
-Ties between offsets go to the most equal integers, then to the smallest shift. Very long recordings are read
+A recording that is shorter than a key has its whole fingerprint as key, so it meets its copies only. Ties between
+offsets go to the smallest shift, then to the negative one. Very long recordings are read
 in full. Repeated rows are copies. An empty table has an empty result. Columns other than the id and the
 media column aren't read.
 """
@@ -25,13 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import Scratch, connected_components, leader_links
+from .common import Scratch, connected_components, linked_classes
 
 RATE, FRAME, HOP = 8000, 1024, 512
 WIDTH = 8
 LEAST_OVERLAP, MOST_ERRORS = 24, 0.15
-#: Pairs of integers in a row of which one is a place to align at.
-RUN = 4
+#: A key takes so many integers, so many frames apart. Another integer makes chance meetings about seven times rarer.
+KEY_FRAMES, KEY_STEP = 4, 9
+#: Bits by how seldom noise and cuts between frames flip them: signs of pitch comparisons come first.
+STEADY = (17, 9, 21, 5, 29, 25, 13, 1, 3, 7, 23, 4, 16, 19, 20, 8)
+KEY_BITS = 10
 
 
 @lru_cache(1)
@@ -87,10 +93,16 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
+def steady(own: np.ndarray, bits: int) -> np.ndarray:
+    """The integers with their ``bits`` steadiest bits alone."""
+    return own & np.uint32(sum(1 << b for b in STEADY[:bits]))
+
+
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     """Offset of ``b`` in ``a``, overlap in frames and share of differing bits, at the histogram's peak."""
     if not len(a) or not len(b):
         return None
+    wide, a, b = (a, b), steady(a, len(STEADY)), steady(b, len(STEADY))
     order = np.argsort(a, kind="stable")
     lo, hi = np.searchsorted(a[order], b, "left"), np.searchsorted(a[order], b, "right")
     count = hi - lo
@@ -103,7 +115,7 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
         histogram += np.bincount(order[lo[j] + step] - j + len(b), minlength=len(histogram))
     best = np.flatnonzero(histogram == histogram.max()) - len(b)
     offset = int(best[np.lexsort((best, np.abs(best)))[0]])
-    x, y = a[max(0, offset) :], b[max(0, -offset) :]
+    x, y = wide[0][max(0, offset) :], wide[1][max(0, -offset) :]
     n = min(len(x), len(y))
     return (offset, n, float(np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n))) if n else None
 
@@ -123,27 +135,25 @@ def _fingerprints(decode: Callable[[Any], np.ndarray]):
     return pack
 
 
-def places(own: np.ndarray) -> np.ndarray:
-    """Where a fingerprint can be aligned at: pairs of integers a filter's width apart, winnowed.
-
-    Of every ``RUN`` pairs in a row the one of least hash is a place, so recordings that share a run of ``RUN``
-    pairs share a place. Pairs between whose integers nothing changes are none.
-    """
-    own = own.astype(np.int64)
-    first, second = own[:-WIDTH], own[WIDTH:]
-    pairs = ((first << 32) | second)[first != second]
-    if not len(pairs):
-        return own[:1]
-    h = tv.mix(pairs.astype(np.uint64))
-    if len(pairs) <= RUN:
-        return pairs[[int(h.argmin())]]
-    runs = np.lib.stride_tricks.sliding_window_view(h, RUN)
-    return np.unique(pairs[np.arange(len(runs)) + runs.argmin(1)])
+def keys(own: np.ndarray) -> np.ndarray:
+    """The distinct keys of a fingerprint; those between whose integers nothing changes count only if there are no others."""
+    n = len(own) - (KEY_FRAMES - 1) * KEY_STEP
+    if n <= 0:
+        parts = own[:, None].astype(np.uint64)
+    else:
+        parts = np.stack([steady(own[k * KEY_STEP : k * KEY_STEP + n], KEY_BITS) for k in range(KEY_FRAMES)]).astype(np.uint64)
+        moves = (parts[1:] != parts[:-1]).any(0)
+        parts = parts[:, moves] if moves.any() else parts
+    h = np.full(parts.shape[1], len(parts), np.uint64)
+    with np.errstate(over="ignore"):
+        for part in parts:
+            h = tv.mix(h * np.uint64(31) + part)
+    return np.unique(h.astype(np.int64))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _places(packed: pd.Series) -> pd.Series:
-    return pd.Series([places(np.frombuffer(p, "<u4")) for p in packed], dtype=object)
+def _keys(packed: pd.Series) -> pd.Series:
+    return pd.Series([keys(np.frombuffer(p, "<u4")) for p in packed], dtype=object)
 
 
 @F.pandas_udf(T.StructType([T.StructField("shift", T.IntegerType()), T.StructField("overlap", T.IntegerType()), T.StructField("errors", T.DoubleType())]))
@@ -153,12 +163,13 @@ def _align(left: pd.Series, right: pd.Series) -> pd.DataFrame:
 
 
 def classes(df: DataFrame, *, id_: str = "id", media: str | Column = "media", decode: Callable[[Any], np.ndarray] = pcm16, least_overlap: int = LEAST_OVERLAP, most_errors: float = MOST_ERRORS) -> DataFrame:
-    """A row for each recording: its class, the class's size, its links, and how it aligns with its best partner.
+    """A row for each recording: its class, the class's size, and how it aligns with an anchor of its class.
 
     ``decode`` makes samples at ``RATE`` of a value of the media column.
     Links join recordings of different fingerprints that overlap by ``least_overlap`` frames or more with at
     most ``most_errors`` of the bits differing; classes are their connected components, named by the least id.
-    ``offset`` is where the recording begins in ``aligned_to``, in frames.
+    ``anchor`` is the best aligned of the linked recordings that it was compared with, which are leaders of keys
+    and not the whole class; ``offset`` is where the recording begins in it, in frames.
     """
     kept, work = Scratch(df.sparkSession, "recordings"), Scratch(df.sparkSession, "chroma")
     column = F.col(media) if isinstance(media, str) else media
@@ -166,25 +177,30 @@ def classes(df: DataFrame, *, id_: str = "id", media: str | Column = "media", de
     try:
         sound = rows.where(F.length("print") > 0)
         nodes = work.table(sound.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("print").alias("print")), "nodes")
-        members = nodes.select(F.explode(_places("print")).alias("bucket"), "node", F.lit(0.0).alias("rank"), F.lit(0).alias("facts"))
+        members = nodes.select(F.explode(_keys("print")).alias("bucket"), "node", F.lit(0.0).alias("rank"))
 
         def verify(pairs: DataFrame) -> DataFrame:
             a, b = (nodes.select(F.col("node").alias(k), F.col("print").alias(v)) for k, v in (("a", "x"), ("b", "y")))
             both = pairs.join(a, "a").join(b, "b").select("a", "b", _align("x", "y").alias("m")).select("a", "b", "m.*")
             return both.withColumn("similarity", F.lit(None).cast("double")).withColumn("holds", (F.col("overlap") >= least_overlap) & (F.col("errors") <= most_errors))
 
-        links = work.table(leader_links(members, verify, work).distinct(), "links")
-        both = links.select("a", "b", "shift", "errors").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), -F.col("shift"), "errors"))
-        # seen from b: where it begins in a
-        best = both.join(nodes.select(F.col("node").alias("a"), "rep"), "a").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n_links"), F.min(F.struct("errors", "rep", "shift")).alias("best"))
-        whole = work.table(nodes.select("node", "rep", "n").join(connected_components(links, work), "node", "left").join(best, "node", "left").withColumn("component", F.coalesce("component", "node")), "whole")
+        linked = linked_classes(members, verify, work)
+        if linked:
+            both = linked[1].select("a", "b", "shift", "errors").union(linked[1].select(F.col("b").alias("a"), F.col("a").alias("b"), -F.col("shift"), "errors"))
+            # seen from b: where it begins in a
+            best = both.join(nodes.select(F.col("node").alias("a"), "rep"), "a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("errors", "rep", "shift")).alias("best"))
+            whole = nodes.select("node", "rep", "n").join(linked[0], "node", "left").join(best, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        else:
+            none = F.lit(None).cast(T.StructType([T.StructField("errors", T.DoubleType()), nodes.schema["rep"], T.StructField("shift", T.IntegerType())]))
+            whole = nodes.select("node", "rep", "n", F.col("node").alias("component"), none.alias("best"))
+        whole = work.table(whole, "whole")
         # by itself, so that the join can be split where a class is large
         named = work.table(whole.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size")), "components")
-        final = kept.table(whole.join(named, "component").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("best.rep").alias("aligned_to"), F.col("best.shift").alias("offset"), F.round("best.errors", 6).alias("bit_error_rate")), "named")
+        final = kept.table(whole.join(named, "component").select("node", "class_id", "class_size", F.col("best.rep").alias("anchor"), F.col("best.shift").alias("offset"), F.round("best.errors", 6).alias("bit_error_rate")), "named")
     finally:
         work.drop()
     out = rows.select("id", "node").join(final, "node", "left")
-    return out.select("id", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "aligned_to", "offset", "bit_error_rate")
+    return out.select("id", F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), "anchor", "offset", "bit_error_rate")
 
 
 @lru_cache(1)

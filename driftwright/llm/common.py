@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,15 @@ def unit_hash(*cols: str | Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); set here only if unset."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that would be a folder of each
+    machine, so there it is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="driftwright-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -68,13 +76,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternating large-star and small-star steps: each keeps connectivity, points nodes at smaller ones and
     ends once every edge joins a node with its component's root. All steps are joins and aggregations that
     combine before they shuffle; each one's edges are written to ``scratch``. Nothing is gathered on the driver
-    but a row of sums. Returns (node, component); nodes without edges are absent, self loops and null ends are
-    ignored.
+    but whether an edge is left that does something else. ``edges`` is read several times, so it had better be a
+    table. Returns (node, component); nodes without edges are absent, self loops and null ends are ignored.
     """
-    links, tag = edges.where("a is not null and b is not null and a <> b"), uuid.uuid4().hex[:8]
-    e = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"edges-{tag}-0")
-    before = None
-    for step in range(1, 1000):
+    e, tag, moving, step = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), uuid.uuid4().hex[:8], True, 0
+    while moving:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         # large star: the larger neighbours of x move to the least node that x knows
@@ -83,75 +89,69 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         small = large.join(least, F.col("u") == F.col("x")).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
         e = scratch.table(small.select("s.u", "s.v").where("u <> v").distinct(), f"edges-{tag}-{step}")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        # done if each node points at one other, which points at none
+        ends = e.select("u", F.lit(1).alias("points"), F.lit(0).alias("root")).union(e.select("v", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("u").agg(F.sum("points").alias("points"), F.max("root").alias("root"))
+        moving, step = bool(ends.agg(F.max((F.col("points") > 1) | ((F.col("points") > 0) & (F.col("root") > 0)))).first()[0]), step + 1
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def leader_links(
+def linked_classes(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
     *,
+    facts: DataFrame | None = None,
     possible: Callable[[Column, Column], Column] | None = None,
-    once: Callable[[Column, Column, Column], Column] | None = None,
+    crowd: int = 16,
     slack: float | None = None,
-) -> DataFrame:
-    """Verified links (a, b, ...) among the rows of ``members`` (bucket, node, rank, facts), without pairing all of a bucket.
-
-    Rows are distinct by bucket and node; rank and facts depend on the node alone. In each round a bucket is led
-    by the nodes of least rank of 1, 4, 16, ... parts that a hash makes of it. Leaders meet each other and all
-    other members for whose facts ``possible`` holds; ``verify`` adds to the distinct pairs (a leader, b member)
-    whether they hold (``holds``), a ``similarity`` and any columns of its own. Members that a leader matches are
-    in its class and leave; the others stay for the next round. So a group of copies costs a pair for each member
-    and bucket.
-
-    Members that left are at last compared with what is possible of the other classes in their bucket, so that
-    no link between classes is lost. Of the buckets that two nodes share, ``once`` may pick one for that. Where
-    one less the similarity is a metric, links are at most ``slack`` apart, and two members whose similarities to
-    the first leader differ by more can't be linked.
+) -> tuple[DataFrame, DataFrame] | None:
+    """Classes (node, component) of the linked rows of ``members`` (bucket, node, rank), and the verified links.
+
+    Rows are distinct by bucket and node; a node's rank doesn't depend on the bucket. ``verify`` adds to distinct
+    pairs (a, b) whether they hold (``holds``), a ``similarity`` and any columns of its own. First each bucket is
+    led by its node of least rank, which all others of the bucket meet: a group of copies costs a pair for each
+    member and bucket. Their links make classes. Then only buckets that hold nodes of several classes are open:
+    there every pair of nodes of different classes is verified, unless ``possible`` of their ``facts`` (node,
+    facts) rules it out. So the classes are those of all pairs that share a bucket, and the links returned are
+    those with leaders and those found in open buckets; others join nodes that are in one class already. Buckets
+    of more than ``crowd`` nodes and one leader, which hold much the same nodes, are opened as one.
+
+    Where one less the similarity is a metric, links are at most ``slack`` apart, and two nodes whose similarities
+    to their leader differ by more can't be linked. Returns None, after one job, if no bucket has two nodes.
     """
-    facts = ["bucket", "node", "rank", "facts"]
-    left, found, seen, gone, pivots = members.select(*facts), None, None, None, None
-    may = possible or (lambda a, b: F.lit(True))
-
-    def add(more: DataFrame, to: DataFrame | None) -> DataFrame:
-        return more if to is None else to.union(more)
-
-    for step in range(64):
-        part = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(4**step))
-        # a table of its own, so that the join with it can be split where a bucket is hot
-        large = scratch.table(left.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), f"large-{step}")
-        lead = left.join(large, "bucket", "left_semi").groupBy("bucket", part.alias("part")).agg(F.min(F.struct("rank", "node", "facts")).alias("s")).select("bucket", F.col("s.node").alias("a"), F.col("s.facts").alias("facts_a"))
-        lead = scratch.table(lead, f"leaders-{step}")
-        others = scratch.table(left.join(lead.select("bucket", F.col("a").alias("node")), ["bucket", "node"], "left_anti").join(lead.select("bucket").distinct(), "bucket", "left_semi"), f"others-{step}")
-        pairs = others.alias("o").join(lead, (F.col("o.bucket") == lead["bucket"]) & may(F.col("facts_a"), F.col("facts"))).select(F.col("o.bucket"), "a", F.col("node").alias("b"), F.lit(False).alias("leads"))
-        if step:
-            second = lead.select("bucket", F.col("a").alias("b"), F.col("facts_a").alias("facts_b"))
-            both = lead.alias("l").join(second.alias("m"), (F.col("l.bucket") == F.col("m.bucket")) & (F.col("a") < F.col("b")) & may(F.col("facts_a"), F.col("facts_b")))
-            pairs = pairs.union(both.select("l.bucket", "a", "b", F.lit(True)))
-        pairs = scratch.table(pairs, f"pairs-{step}")
-        if found is not None and lead.isEmpty():
-            break
-        judged = scratch.table(verify(pairs.select("a", "b").distinct()), f"judged-{step}")
-        if not step:  # how near each member is to the first leader of its bucket
-            own = pairs.join(judged.select("a", "b", "similarity"), ["a", "b"]).select("bucket", F.col("b").alias("node"), "similarity")
-            pivots = own.union(lead.select("bucket", F.col("a").alias("node"), F.lit(1.0)))
-        good = judged.where("holds")
-        matched = pairs.where("not leads").join(good.select("a", "b"), ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node")).distinct()
-        matched = scratch.table(others.join(matched, ["bucket", "node"], "left_semi"), f"matched-{step}")
-        found, seen, gone = add(good, found), add(pairs.select("a", "b"), seen), add(matched, gone)
-        left = others.join(matched, ["bucket", "node"], "left_anti")
-    classes = scratch.table(connected_components(found.select("a", "b"), scratch), "classes")
-    # what left, against the other classes of its bucket
-    known = lambda df: df.join(classes, "node", "left").join(pivots, ["bucket", "node"], "left").withColumn("class", F.coalesce("component", "node"))
-    x, y = known(gone).alias("x"), known(members.select(*facts).join(gone.select("bucket").distinct(), "bucket", "left_semi")).alias("y")
-    near = F.lit(True) if slack is None else F.coalesce(F.abs(F.col("x.similarity") - F.col("y.similarity")) <= slack + 1e-6, F.lit(True))
-    one = (once or (lambda a, b, bucket: F.lit(True)))(F.col("x.facts"), F.col("y.facts"), F.col("x.bucket"))
-    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") != F.col("y.class")) & may(F.col("x.facts"), F.col("y.facts")) & near & one)
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    met = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return found.union(scratch.table(verify(scratch.table(cross.join(met, ["a", "b"], "left_anti"), "cross")), "judged-cross").where("holds")).drop("holds", "similarity")
+    lead = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("rank", "node")).alias("s")).where("n > 1").select("bucket", F.col("s.node").alias("a"), "n")
+    lead = scratch.table(lead, "leaders")  # a table, so that the join with it can be split where a bucket is hot
+    if lead.isEmpty():
+        return None
+    met = scratch.table(members.join(lead, "bucket").where("a <> node").select("bucket", "n", "a", F.col("node").alias("b")), "met")
+    judged = scratch.table(verify(met.select("a", "b").distinct()), "judged")
+    links = judged.where("holds")
+    parts = connected_components(links.select("a", "b"), scratch)
+    # leaders have met all others of their buckets, so two others are needed for an open pair
+    place = F.when(F.col("n") > crowd, F.col("a")).otherwise(F.col("bucket")).alias("place")
+    near = met.where("n > 2").select(place, "a", "b").distinct().join(judged.select("a", "b", "similarity"), ["a", "b"]).select("place", F.col("b").alias("node"), "similarity")
+    near = scratch.table(near.join(parts, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "near")
+    several = scratch.table(near.groupBy("place").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("place"), "several")
+    if several.isEmpty():
+        return parts, links
+    rest = near.join(several, "place", "left_semi")
+    rest = scratch.table(rest.withColumn("facts", F.lit(0)) if facts is None else rest.join(facts, "node"), "open")
+    x, y = rest.alias("x"), rest.alias("y")
+    tests = [F.col("x.place") == F.col("y.place"), F.col("x.class") != F.col("y.class"), F.col("x.node") < F.col("y.node")]
+    if slack is not None:
+        tests.append(F.coalesce(F.abs(F.col("x.similarity") - F.col("y.similarity")) <= slack + 1e-6, F.lit(True)))
+    if possible is not None:
+        tests.append(possible(F.col("x.facts"), F.col("y.facts")))
+    cross = x.join(y, reduce(lambda p, q: p & q, tests)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = scratch.table(verify(cross.distinct()).where("holds"), "judged-open")
+    if more.isEmpty():
+        return parts, links
+    # the classes that open pairs join
+    own = rest.select("node", "class").distinct()
+    joined = more.join(own.select(F.col("node").alias("a"), F.col("class").alias("p")), "a").join(own.select(F.col("node").alias("b"), F.col("class").alias("q")), "b")
+    joined = connected_components(scratch.table(joined.select(F.col("p").alias("a"), F.col("q").alias("b")), "joined"), scratch)
+    whole = parts.union(own.join(parts, "node", "left_anti").select("node", "class"))
+    whole = whole.join(joined.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left")
+    return whole.select("node", F.coalesce("least", "component").alias("component")), links.union(more)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import Scratch, connected_components, leader_links, small_batches
+from .common import Scratch, linked_classes, small_batches
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -34,6 +34,8 @@ IDF_SPAN = 0.1
 DRAWS = 1 << 16
 #: Buckets of more texts are sorted out by the weights that their texts share.
 CROWD = 16
+#: Parts of the shingles' hash range for which those weights are kept; a power of two.
+PARTS = 64
 
 
 def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,30 +159,46 @@ def _similarity(shared):
     return weighted_jaccard
 
 
-def _weighted(shared):
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("shingle", T.IntegerType()), T.StructField("weight", T.DoubleType())])))
-    def weigh(bags: pd.Series) -> pd.Series:
-        out = []
-        for bag in bags:
-            s, n = np.unique(np.frombuffer(bag, "<u4"), return_counts=True)
-            w = (1 + np.log(n)) * shared.value[s >> np.uint32(32 - SKETCH_BITS)]
-            out.append([{"shingle": int(k), "weight": float(v)} for k, v in zip(s.astype(np.int32), w, strict=True)])
-        return pd.Series(out, dtype=object)
+def _weighed(bag: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s, n = np.unique(np.frombuffer(bag, "<u4"), return_counts=True)
+    return s.astype(np.int32), (1 + np.log(n)) * idf[s >> np.uint32(32 - SKETCH_BITS)]
 
-    return weigh
+
+def _cells(shared):
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [(node, *_weighed(bag, shared.value)) for node, bag in zip(b["node"], b["bag"], strict=True)]
+            for lo in range(0, len(parts), 64):
+                some = parts[lo : lo + 64]
+                size = [len(s) for _, s, _ in some]
+                yield pd.DataFrame({"node": np.repeat([n for n, _, _ in some], size), "shingle": np.concatenate([s for _, s, _ in some]), "weight": np.concatenate([w for _, _, w in some])})
+
+    return cells
+
+
+def _totals(shared):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def totals(bags: pd.Series) -> pd.Series:
+        own = (_weighed(bag, shared.value) for bag in bags)
+        return pd.Series([np.bincount(s & (PARTS - 1), w, PARTS) for s, w in own], dtype=object)
+
+    return totals
 
 
 def _shared_weights(bags: DataFrame, shared) -> DataFrame:
     """The total weight of each text of ``bags``, and the weight it holds in shingles that another of them has.
 
-    No two texts are more alike than the lesser held weight over what their union is at least; edited copies of
-    one text, of which a large group has all kinds, are kept apart by that without comparing them.
+    ``held`` has ``PARTS`` parts by the shingles' hash. What two texts share is in each part the lesser weight
+    held at most, so no two are more alike than the sum of these over what their union is at least; edited copies
+    of one text, of which a large group has all kinds, are kept apart by that without comparing them.
     """
-    cells = bags.select("node", F.inline(_weighted(shared)("bag")))
+    cells = bags.select("node", "bag").mapInPandas(_cells(shared), "node long, shingle int, weight double")
     alone = cells.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("weight").alias("weight")).where("n = 1")
-    loose = alone.groupBy("node").agg(F.sum("weight").alias("loose"))
-    total = cells.groupBy("node").agg(F.sum("weight").alias("total"))
-    return total.join(loose, "node", "left").select("node", (F.col("total") - F.coalesce("loose", F.lit(0.0))).alias("held"), "total")
+    loose = alone.groupBy("node", F.col("shingle").bitwiseAND(PARTS - 1).alias("part")).agg(F.sum("weight").alias("weight"))
+    loose = loose.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "weight"))).alias("loose"))  # of PARTS entries at most
+    held = F.transform("totals", lambda t, k: t - F.coalesce(F.col("loose")[k], F.lit(0.0)))
+    add = lambda column: F.aggregate(column, F.lit(0.0), lambda x, y: x + y)
+    return bags.select("node", _totals(shared)("bag").alias("totals")).join(loose, "node", "left").select("node", held.alias("held"), add("totals").alias("total")).withColumn("sum", add("held"))
 
 
 def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -196,51 +214,49 @@ def _resolve(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         texts = work.table(signed.where("filled").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")), "texts")
 
         members = texts.select(F.explode("bands").alias("bucket"), "node")
-        sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        # by itself, so that the join can be split where a bucket is hot
+        sizes = work.table(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         members = work.table(members.join(sizes, "bucket"), "members")
         # the candidates' texts are shuffled once
         wanted = texts.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("key"), "rep")
         own = keyed.join(wanted, (F.col("node") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", pack_bag("text").alias("bag"))
         bags = work.table(own.dropDuplicates(["node"]), "bags")
         crowded = bags.join(members.where(F.col("size") > CROWD).select("node").distinct(), "node", "left_semi")
-        shared_weight = work.table(_shared_weights(crowded, shared), "weights")
-        shared_weight = shared_weight.join(texts.select("node", "bands"), "node")
-        members = members.join(shared_weight, "node", "left").select("bucket", "node", F.coalesce(F.col("total") - F.col("held"), F.lit(0.0)).alias("rank"), F.struct("held", "total", "bands").alias("facts"))
+        weight = work.table(_shared_weights(crowded, shared), "weights")
+        # a leader holds little that no other text has
+        ranked = members.join(weight, "node", "left").select("bucket", "node", F.coalesce(F.col("total") - F.col("sum"), F.lit(0.0)).alias("rank"))
+        facts = texts.join(weight, "node", "left").select("node", F.struct(F.col("held").cast("array<float>").alias("held"), "sum", "total").alias("facts"))
 
         def possible(a: Column, b: Column) -> Column:
-            most = F.least(a["held"], b["held"])
-            return F.coalesce(most / (a["total"] + b["total"] - most) >= threshold - 1e-6, F.lit(True))
-
-        def once(a: Column, b: Column, bucket: Column) -> Column:
-            both = F.zip_with(a["bands"], b["bands"], lambda p, q: F.when(p == q, p))
-            return F.coalesce(F.element_at(F.filter(both, lambda v: v.isNotNull()), 1) == bucket, F.lit(True))
+            may = lambda most: F.coalesce(most / (a["total"] + b["total"] - most) >= threshold - 1e-4, F.lit(True))
+            shared = F.aggregate(F.zip_with(a["held"], b["held"], lambda p, q: F.least(p, q)), F.lit(0.0), lambda x, y: x + y)
+            return may(F.least(a["sum"], b["sum"])) & may(shared)
 
         def verify(pairs: DataFrame) -> DataFrame:
             both = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("y")), "b")
             return both.select("a", "b", _similarity(shared)("x", "y").alias("similarity")).withColumn("holds", F.col("similarity") >= threshold)
 
-        links = work.table(leader_links(work.table(members, "ranked"), verify, work, possible=possible, once=once, slack=1 - threshold).distinct(), "links")
-        parts = connected_components(links, work)
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        whole = work.table(texts.select("node", "rep", "n").join(parts, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node")), "whole")
+        linked = linked_classes(ranked, verify, work, facts=facts, possible=possible, crowd=CROWD, slack=1 - threshold)
+        whole = texts.select("node", "rep", "n")
+        whole = whole.join(linked[0], "node", "left").withColumn("component", F.coalesce("component", "node")) if linked else whole.withColumn("component", F.col("node"))
+        whole = work.table(whole, "whole")
         # a known id leads a class before a null one
         named = whole.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"), F.min(F.struct(F.col("rep").isNull(), "rep", "node"))["node"].alias("leader"))
         named = work.table(named, "components")  # by itself, so that the join can be split where a class is large
-        final = kept.table(whole.join(named, "component").select("node", "rep", "leader", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+        final = kept.table(whole.join(named, "component").select("node", "rep", "leader", "class_id", "class_size"), "named")
     finally:
         work.drop()
     return signed.select("doc_id", "node", "filled"), final
 
 
 def classes(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): doc_id, class_id, class_size and n_links.
+    """A row for each row of ``docs`` (doc_id, text): doc_id, class_id and class_size.
 
-    n_links counts the verified links of the row's text with other texts. Work tables are below
-    ``spark.checkpoint.dir``; those that the result reads stay there.
+    Work tables are below ``spark.checkpoint.dir``; those that the result reads stay there.
     """
     signed, final = _resolve(docs, threshold)
     out = signed.join(final, "node", "left")
-    return out.select("doc_id", F.when(F.col("filled"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.when(F.col("filled"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"))
 
 
 def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwright.llm import decontam, langid, neardup, toxicity
 from driftwright.llm import textvec as tv
-from driftwright.llm.common import Scratch, connected_components, held_out, learnable, leader_links
+from driftwright.llm.common import Scratch, connected_components, held_out, learnable, linked_classes
 
 SYLLABLES = {"en": "the of and ing er th on re st ly".split(), "es": "que de la ción os ar mente ado ez ie".split(), "de": "der die und sch ung keit ch en ge ver".split()}
 
@@ -218,8 +218,8 @@ def test_one_of_each_class_stays(spark):
 def test_exact_copies_without_words_are_one_class(spark):
     rows = [(7, "?!"), (3, "?!"), (5, "?!?"), (1, "\U0001f600" * 9), (2, "\U0001f600" * 9), (8, ""), (9, ""), (10, None), (11, None), (12, "-- --"), (None, "-- --")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["class_id"], r["class_size"], r["n_links"]) for r in neardup.classes(df).collect())
-    assert found == [(-1, 12, 2, 0), (1, 1, 2, 0), (2, 1, 2, 0), (3, 3, 2, 0), (5, 5, 1, 0), (7, 3, 2, 0), (8, 8, 1, 0), (9, 9, 1, 0), (10, 10, 1, 0), (11, 11, 1, 0), (12, 12, 2, 0)]
+    found = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["class_id"], r["class_size"]) for r in neardup.classes(df).collect())
+    assert found == [(-1, 12, 2), (1, 1, 2), (2, 1, 2), (3, 3, 2), (5, 5, 1), (7, 3, 2), (8, 8, 1), (9, 9, 1), (10, 10, 1), (11, 11, 1), (12, 12, 2)]
     assert sorted(r["doc_id"] for r in neardup.keep_one(df).collect()) == [1, 3, 5, 8, 9, 10, 11, 12]
 
 
@@ -249,9 +249,13 @@ def test_components_equal_union_find(spark):
 
 def test_links_between_classes_of_a_bucket_are_not_lost(spark):
     # on a line, neighbours link: leaders alone would leave gaps
-    members = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 100)], "bucket long, node long").select("bucket", "node", F.lit(0.0).alias("rank"), F.lit(0).alias("facts"))
-    links = leader_links(members, lambda p: p.withColumns({"similarity": F.lit(None).cast("double"), "holds": F.abs(F.col("a") - F.col("b")) <= 3}), Scratch(spark, "t"))
-    assert connected_components(links, Scratch(spark, "t")).select("component").distinct().count() == 1
+    rows = [(1, i) for i in range(60)] + [(2, 100), (3, 58), (3, 200), (4, 300), (4, 301)]
+    members = spark.createDataFrame(rows, "bucket long, node long").withColumn("rank", F.lit(0.0))
+    verify = lambda p: p.withColumns({"similarity": F.lit(None).cast("double"), "holds": F.abs(F.col("a") - F.col("b")) <= 3})
+    parts, links = linked_classes(members, verify, Scratch(spark, "t"))
+    assert {r["node"]: r["component"] for r in parts.collect()} == {i: 0 for i in range(60)} | {300: 300, 301: 300}
+    assert all(abs(r["a"] - r["b"]) <= 3 for r in links.collect())
+    assert linked_classes(members.where("bucket = 2"), verify, Scratch(spark, "t")) is None
 
 
 def items(r):

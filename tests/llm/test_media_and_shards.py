@@ -47,8 +47,40 @@ def test_classes_of_recordings(spark):
     df = spark.createDataFrame(rows, "id long, media binary").withColumn("node", F.lit("x"))
     out = {r["id"]: r for r in chroma.classes(df).collect()}
     assert [out[k]["class_id"] for k in range(1, 10)] == [1, 1, 1, 4, 4, 6, 7, 8, 9]
-    assert out[3]["aligned_to"] in (1, 2) and out[3]["offset"] == 10 and out[5]["class_size"] == 2 and out[9]["n_links"] == 0
+    assert out[3]["anchor"] in (1, 2) and out[3]["offset"] == 10 and out[5]["class_size"] == 2 and out[9]["anchor"] is None
     assert chroma.classes(df.limit(0)).count() == 0
+    alone = chroma.classes(df.where("id > 5")).collect()
+    assert all(r["class_id"] == r["id"] and r["class_size"] == 1 and r["anchor"] is None for r in alone) and len(alone) == 4
+
+
+def test_links_are_those_of_all_pairs(spark):
+    # excerpts that begin between frames, noise and both, against aligning all pairs
+    r, rows = np.random.default_rng(11), []
+    for k in range(40):
+        whole = tune(100 + k, 60)
+        rows.append((len(rows), whole))
+        for _ in range(3):
+            at, n = int(r.integers(0, 12 * chroma.FRAME)), int(r.integers(30, 48)) * chroma.FRAME
+            part = whole[at : at + n]
+            rows.append((len(rows), part + r.normal(size=len(part)).astype(np.float32) * float(r.choice([0, 0.05, 0.2, 0.3]))))
+    prints = [chroma.fingerprint(chroma.pcm16(pcm(x * 0.5))) for _, x in rows]
+    links = set()
+    for i in range(len(rows)):
+        for j in range(i):
+            m = chroma.align(prints[j], prints[i])
+            if m and m[1] >= chroma.LEAST_OVERLAP and m[2] <= chroma.MOST_ERRORS:
+                links.add((j, i))
+    met = {(j, i) for j, i in links if np.isin(chroma.keys(prints[j]), chroma.keys(prints[i])).any()}
+    assert len(links) > 150 and all(j // 4 == i // 4 for j, i in links) and len(met) >= 0.9 * len(links)
+    parent = list(range(len(rows)))
+    for j, i in sorted(links):
+        a, b = (min(x for x in range(len(rows)) if parent[x] == parent[y]) for y in (j, i))
+        parent = [min(a, b) if p in (parent[j], parent[i]) else p for p in parent]
+    out = chroma.classes(spark.createDataFrame([(i, pcm(x * 0.5)) for i, x in rows], "id long, media binary")).collect()
+    same = sum(x["class_id"] == parent[x["id"]] for x in out)
+    assert same >= 0.95 * len(rows)
+    errors = [x["bit_error_rate"] for x in out if x["anchor"] is not None]
+    assert len(errors) > 100 and 0.08 < max(errors) <= chroma.MOST_ERRORS
 
 
 def test_vectors_as_melodies():
