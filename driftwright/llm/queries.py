@@ -70,7 +70,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFra
         store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
     store.compact()
     store.vacuum()
-    return store.read().select("doc_id", "shard", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text", "lang", "source").alias("row_hash"))
+    return store.read().select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,5 +119,8 @@ SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIG
 """
 
 
+SHARDS_SQL = "SELECT doc_id, lang, source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": CHAT_SQL, "op10_html_text": PAGES_SQL}
+    return {"op8_sharding": SHARDS_SQL, "op6_chat_format": CHAT_SQL, "op10_html_text": PAGES_SQL}

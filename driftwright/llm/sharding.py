@@ -6,12 +6,14 @@ lists the shards of each version; the next version is written beside it and rena
 another writer was first, so readers see either version whole. Shards that no manifest of the retained
 versions names are deleted by ``vacuum``.
 
-Merging is a Spark read of a tier's files, packed into input partitions of the target size, and a write of one
-file for each: no shuffle, and a source with a third of all rows is spread like any other. Only file names,
-sizes and counts pass the driver.
-
-Rows are stored as they are: nulls, empty and very long texts, repeated rows and any columns. Appending an
-empty table adds no shard but commits a version. Shards of equal size are merged in the order of their names.
+Merging is a Spark read of a tier's files, packed into input partitions of the target size and of ``MOST_FILES``
+files at most, and a write of one file for each: no shuffle, and a source with a third of all rows is spread like
+any other. Files of a write stay in the folder that they were written to. Only their names, sizes and counts of
+rows pass the driver.
+
+Rows are stored as they are: nulls, empty and very long texts, repeated rows and any columns. Files without rows
+are no shards, so appending an empty table only commits a version. Shards of equal size are merged in the order
+of their names.
 """
 
 from __future__ import annotations
@@ -26,12 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files that one task of a merge reads, as each leaves buffers behind.
+MOST_FILES = 64
+
+
 @dataclass(frozen=True)
 class Shard:
-    name: str
+    name: str  # folder of its write, which begins with the version that was to be, and file
     size: int
     tier: int  # -1: of the target size, never merged again
     version: int  # that added it
+    rows: int
 
 
 @dataclass(frozen=True)
@@ -65,9 +72,11 @@ class Store:
     def current(self) -> Manifest:
         """The latest committed manifest; version 0 without shards if there is none."""
         names = [n for n, _ in self._list("manifests") if n.endswith(".json")]
-        if not names:
-            return Manifest(0, ())
-        stream = self._files().open(self._path(f"{self.root}/manifests/{max(names)}"))
+        return self.manifest(int(max(names).removesuffix(".json"))) if names else Manifest(0, ())
+
+    def manifest(self, version: int) -> Manifest:
+        """A version that is retained."""
+        stream = self._files().open(self._path(f"{self.root}/manifests/{version:012d}.json"))
         try:
             raw = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
@@ -95,20 +104,15 @@ class Store:
         return new
 
     def _write(self, df: DataFrame, version: int) -> list[Shard]:
-        """Write ``df`` into a folder of its own and move its files among the shards."""
-        folder = f"incoming/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{folder}")
-        self._files().mkdirs(self._path(f"{self.root}/shards"))
-        shards = []
-        for k, (name, size) in enumerate(x for x in self._list(folder) if x[0].endswith(".parquet")):
-            own = f"v{version:012d}-{k:06d}-{folder[-8:]}.parquet"
-            self._files().rename(self._path(f"{self.root}/{folder}/{name}"), self._path(f"{self.root}/shards/{own}"))
-            shards.append(Shard(own, size, self.tier(size), version))
-        self._files().delete(self._path(f"{self.root}/{folder}"), True)
-        return shards
+        """Write ``df`` into a folder of its own; its files that have rows are the shards."""
+        folder = f"v{version:012d}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(f"{self.root}/shards/{folder}")
+        sizes = {n: size for n, size in self._list(f"shards/{folder}") if n.endswith(".parquet")}
+        counted = self.spark.read.schema(df.schema).parquet(f"{self.root}/shards/{folder}").groupBy(F.col("_metadata.file_name").alias("name")).count().collect()
+        return [Shard(f"{folder}/{r['name']}", sizes[r["name"]], self.tier(sizes[r["name"]]), version, r["count"]) for r in sorted(counted, key=lambda r: r["name"])]
 
     def append(self, df: DataFrame) -> Manifest:
-        """Add an arrival as new shards, one for each of its partitions that has rows."""
+        """Add an arrival as new shards, one for each of its partitions that has rows; ``Conflict`` if another writer was first."""
         after = self.current()
         return self.commit([*after.shards, *self._write(df, after.version + 1)], after)
 
@@ -137,31 +141,45 @@ class Store:
     def _packed(self, group: list[Shard]) -> DataFrame:
         """The rows of ``group`` in partitions of about the target size, by a session that packs small files."""
         total = sum(s.size for s in group)
+        wanted = max(1, round(total / self.target), math.ceil(len(group) / MOST_FILES))
         session = self.spark.newSession()
         session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target))
-        session.conf.set("spark.sql.files.openCostInBytes", "0")
-        session.conf.set("spark.sql.files.minPartitionNum", str(max(1, round(total / self.target))))
-        files = [f"{self.root}/shards/{s.name}" for s in group]
-        df = session.read.parquet(*files)
-        wanted = max(1, round(total / self.target))
+        session.conf.set("spark.sql.files.openCostInBytes", str(self.target // MOST_FILES))
+        session.conf.set("spark.sql.files.minPartitionNum", str(wanted))
+        df = session.read.parquet(*[f"{self.root}/shards/{s.name}" for s in group])
         return df.coalesce(wanted) if df.rdd.getNumPartitions() > wanted else df
 
+    def stored(self) -> list[str]:
+        """The names of all shards that are in the store, named by a manifest or not."""
+        return [f"{folder}/{n}" for folder, _ in self._list("shards") for n, _ in self._list(f"shards/{folder}") if n.endswith(".parquet")]
+
     def vacuum(self, keep_versions: int = 1) -> None:
-        """Delete manifests before the last ``keep_versions``, and shards that none of the others names."""
+        """Delete manifests before the last ``keep_versions``, and the shards that none of the others names.
+
+        Shards of a version that is still to come are spared: an append that is under way will name them. One of
+        a version that is there already can't be committed any more.
+        """
+        if isinstance(keep_versions, bool) or not isinstance(keep_versions, int) or keep_versions < 1:
+            raise ValueError("keep_versions must be 1 at least")
         names = [n for n, _ in self._list("manifests") if n.endswith(".json")]
+        kept = [self.manifest(int(n.removesuffix(".json"))) for n in names[-keep_versions:]]
+        used, now = {s.name for m in kept for s in m.shards}, max((m.version for m in kept), default=0)
         for n in names[:-keep_versions]:
             self._files().delete(self._path(f"{self.root}/manifests/{n}"), False)
-        if keep_versions != 1:
-            raise ValueError("only the current version can be kept")
-        used = {s.name for s in self.current().shards}
-        for n, _ in self._list("shards"):
-            if n not in used:
-                self._files().delete(self._path(f"{self.root}/shards/{n}"), False)
-
-    def read(self) -> DataFrame:
-        """The rows of the current version, with the shard of each."""
-        now = self.current()
+        for folder, _ in self._list("shards"):
+            if int(folder[1:13]) > now:
+                continue
+            own = [n for n, _ in self._list(f"shards/{folder}")]
+            gone = [n for n in own if f"{folder}/{n}" not in used]
+            for n in [""] if len(gone) == len(own) else gone:
+                self._files().delete(self._path(f"{self.root}/shards/{folder}/{n}".rstrip("/")), True)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows of the current or another retained version, with the shard of each in ``shard``."""
+        now = self.current() if version is None else self.manifest(version)
         if not now.shards:
             raise ValueError("the store has no rows")
         df = self.spark.read.parquet(*[f"{self.root}/shards/{s.name}" for s in now.shards])
-        return df.withColumn("shard", F.element_at(F.split(F.input_file_name(), "/"), -1))
+        if "shard" in df.columns:
+            raise ValueError("'shard' is a column already")
+        return df.withColumn("shard", F.array_join(F.slice(F.split(F.col("_metadata.file_path"), "/"), -2, 2), "/"))

@@ -110,7 +110,37 @@ def test_arrivals_are_compacted_and_kept(spark, tmp_path):
     assert out.drop("shard").exceptAll(rows(spark, 0, 1800)).isEmpty() and out.count() == 1800
     assert {r[0] for r in out.select("shard").distinct().collect()} == {x.name for x in after.shards}
     s.vacuum()
-    assert {n for n, _ in s._list("shards")} == {x.name for x in after.shards} and s.read().count() == 1800
+    assert set(s.stored()) == {x.name for x in after.shards} and s.read().count() == 1800 == sum(x.rows for x in after.shards)
+
+
+def test_a_task_of_a_merge_reads_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_FILES", 8)
+    s = store(spark, tmp_path, target_bytes=1 << 30, base_bytes=1 << 20)
+    s.append(spark.range(300).repartition(30))
+    first = s._packed(list(s.current().shards))
+    assert first.rdd.getNumPartitions() == 4 and first.count() == 300
+    assert [x.rows for x in s.compact().shards] == [300] and s.current().version == 3 and s.read().drop("shard").distinct().count() == 300
+
+
+def test_vacuum_keeps_versions_and_what_is_under_way(spark, tmp_path):
+    s = store(spark, tmp_path)
+    for k in range(3):
+        s.append(rows(spark, 10 * k, 10 * (k + 1)))
+    before = s.stored()
+    for bad in (0, -1, True, 1.5):
+        with pytest.raises(ValueError):
+            s.vacuum(bad)
+    assert s.stored() == before and len(s._list("manifests")) == 3
+    s.vacuum(2)
+    assert [n for n, _ in s._list("manifests")] == [f"{v:012d}.json" for v in (2, 3)] and s.read(2).count() == 20
+    under_way = s._write(rows(spark, 30, 40), 4)
+    at = s.current()
+    s.vacuum()
+    assert s.commit([*at.shards, *under_way], at).version == 4 and s.read().count() == 40
+    late = s._write(rows(spark, 40, 50), 5)
+    s.append(rows(spark, 50, 60))  # commits version 5 first
+    s.vacuum()
+    assert not {x.name for x in late} & set(s.stored()) and s.read().count() == 50
 
 
 def test_a_version_is_committed_once(spark, tmp_path):
@@ -128,7 +158,8 @@ def test_empty_and_odd_rows(spark, tmp_path):
         s.read()
     odd = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "x" * 200_000)], "id long, text string").coalesce(1)
     s.append(odd)
-    s.append(odd.limit(0))
+    one = s.current().shards
+    assert s.append(odd.limit(0)).shards == one and s.current().version == 2 and len(one) == 1 and one[0].rows == 4
     assert s.compact().version >= 2 and s.read().drop("shard").exceptAll(odd).isEmpty() and s.read().count() == 4
 
 
