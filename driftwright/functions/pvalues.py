@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,30 +16,28 @@ EXACT = 10_000
 def exact(d: float, n: int, m: int) -> float:
     """Share of the lattice paths from (0, 0) to (n, m) that somewhere reach a distance of ``d``.
 
-    Paths that stay inside are followed row by row, as probabilities, so no count grows out of range.
+    Paths that stay inside are followed from diagonal to diagonal, as probabilities, so no count grows out of
+    range: ``inside[i]`` is the chance that a random path is at (i, s - i) and never left the band.
     """
-    n, m = max(n, m), min(n, m)
-    lcm = n * m // math.gcd(n, m)
-    h = round(d * lcm)
+    step = math.gcd(n, m)
+    right, up = m // step, n // step  # a step to either side moves the difference by these parts of n * m / step
+    h = round(d * right * n)
     if h <= 0:
         return 1.0
-    up, right = lcm // m, lcm // n
-    # the chance that a random path, which never left the band, is at (i, j); it steps to either side by what is left
-    row = [0.0] * (m + 1)
-    for i in range(n + 1):
-        low, high = max(0, -(-(right * i - h + 1) // up)), min(m, (right * i + h - 1) // up)
+    inside, i = np.zeros(n + 1), np.arange(n + 1, dtype=np.float64)
+    inside[0] = 1.0
+    for s in range(1, n + m + 1):
+        # within the band: |right * i - up * (s - i)| < h
+        low, high = max(0, s - m, (up * s - h) // (right + up) + 1), min(n, s, -((-up * s - h) // (right + up)) - 1)
         if low > high:
             return 1.0
-        own = [0.0] * (m + 1)
-        for j in range(low, high + 1):
-            p = 1.0 if i == j == 0 else 0.0
-            if i:
-                p += row[j] * (n - i + 1) / (n + m - i + 1 - j)
-            if j > low:
-                p += own[j - 1] * (m - j + 1) / (n + m - i - j + 1)
-            own[j] = p
-        row = own
-    return float(min(1.0, max(0.0, 1.0 - row[m])))
+        at, left = slice(low, high + 1), n + m - s + 1
+        new = inside[at] * (m - (s - 1 - i[at]))
+        before = inside[max(low, 1) - 1 : high]
+        new[max(low, 1) - low :] += before * (n - i[max(low, 1) - 1 : high])
+        inside[max(0, low - 1) : min(n, high + 1) + 1] = 0.0
+        inside[at] = new / left
+    return float(min(1.0, max(0.0, 1.0 - inside[n])))
 
 
 def asymptotic(d: float, n: int, m: int) -> float:
@@ -53,10 +52,10 @@ def asymptotic(d: float, n: int, m: int) -> float:
 
 
 def ks_p_value(d: float, n: int, m: int) -> float:
-    """Exact up to ``EXACT`` values and a bounded number of lattice cells, else asymptotic."""
+    """Exact up to ``EXACT`` values a side, else asymptotic."""
     if n <= 0 or m <= 0 or d is None or not math.isfinite(d):
         return float("nan")
-    return exact(d, n, m) if max(n, m) <= EXACT and n * m <= 4_000_000 else asymptotic(d, n, m)
+    return exact(d, n, m) if max(n, m) <= EXACT else asymptotic(d, n, m)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -51,12 +51,14 @@ def _finish(counts: DataFrame, edges: DataFrame, extent: DataFrame, keys: Sequen
     )
 
 
-def histogram(df: DataFrame, columns: Sequence[str] | None = None, *, binning: str = EQUAL_WIDTH, n_bins: int = 8, keys: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, columns: Sequence[str] | None = None, *, binning: str = EQUAL_WIDTH, n_bins: int = 8, keys: Sequence[str] = (), labels: bool = False) -> DataFrame:
     """Bins of each numeric column.
 
     Equal-width bins span the finite range and a thousandth of it on each side, and are closed on the left (the
     last one on both sides). Quantile bins are closed on the right; with at most ``n_bins`` distinct values each
-    value is a bin of its own. Infinite values count in the outer bins. A column without a finite value has no bins.
+    value is a bin of its own. Infinite values count in the outer bins. A column without a finite value has one bin
+    from 0 to 1, which holds its infinite values. ``labels`` adds a printable ``bin_label``, which says where infinite
+    values were added.
     """
     if binning not in (EQUAL_WIDTH, QUANTILE):
         raise ValueError(f"unknown binning {binning!r}")
@@ -64,7 +66,8 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, *, binning: s
         raise ValueError("n_bins must be at least 1")
     names = kinds.columns_of(df, kinds.NUMERIC, [c for c in (columns or df.columns) if c not in keys])
     group = [*keys, "feature"]
-    extent = _extent(df, names, keys).where("low is not null")
+    whole = _extent(df, names, keys)
+    extent = whole.where("low is not null")
     cells = fq.long_numbers(df, names, keys, only_finite=True)
     if binning == EQUAL_WIDTH:
         span = F.col("high") - F.col("low")
@@ -80,7 +83,16 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, *, binning: s
         cut = cut.select(*group, F.array_distinct("quantiles").alias("edges"), F.lit("right").alias("closed"))
         edges = own.union(cut)
     counted = cells.join(edges, group).groupBy(*group, F.when(F.col("closed") == "left", _inside(F.col("edges"), F.col("value"), "left")).otherwise(_inside(F.col("edges"), F.col("value"), "right")).alias("bin")).agg(F.count("*").alias("n"))
-    return _finish(counted, edges, extent, keys, binning)
+    edges = edges.union(whole.where("low is null").select(*group, F.array(F.lit(0.0), F.lit(1.0)), F.lit("left")))
+    out = _finish(counted, edges, whole, keys, binning)
+    if not labels:
+        return out
+    ends = whole.select(*group, "n_valid", "n_positive", "n_negative", F.col("low").isNull().alias("unbounded"))
+    out = labelled(out).join(ends, group)
+    last = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("bin"))) == 1
+    text = F.concat(F.when((F.col("bin") == 0) & (F.col("n_negative") > 0), F.lit("-∞ + ")).otherwise(F.lit("")), "bin_label", F.when(last & (F.col("n_positive") > 0), F.lit(" + ∞")).otherwise(F.lit("")))
+    label = F.when(F.col("unbounded"), F.when(F.col("n_valid") > 0, F.lit("non-finite values")).otherwise(F.lit("no data"))).otherwise(text)
+    return out.withColumn("bin_label", label).drop("n_valid", "n_positive", "n_negative", "unbounded")
 
 
 def labelled(bins: DataFrame) -> DataFrame:

@@ -126,7 +126,7 @@ def run_profiling(
     keys = [segment.SEGMENT] if grouping else []
     frame = frame.select(*keys, *[F.col(f"`{c}`") for c in features])
     if settings.sample_percent < 100:
-        frame = prepare.sample(frame, percent=settings.sample_percent, seed=settings.seed)
+        frame = prepare.sample(frame, percent=settings.sample_percent, seed=settings.seed, by=keys)
     numeric = kinds.columns_of(frame, kinds.NUMERIC, features)
     text = kinds.columns_of(frame, kinds.CATEGORICAL, features)
     skipped = [c for c in features if c not in numeric and c not in text]
@@ -160,5 +160,7 @@ def run_profiling(
         lost = grouping.frame.where(F.col(segment.SEGMENT).isNull()).count()
         if lost:
             notes.append(f"{lost} rows belong to no segment")
+        if by in grouping.frame.columns and len(grouping.frame.select(F.col(f"`{by}`")).where(F.col(f"`{by}`").isNotNull()).distinct().take(2)) == 1:
+            notes.append(f"the grouping column {by} is constant")
     tell("done", 1.0)
     return ProfilingResult(tables, settings, features, numeric, notes, seconds, dataset, grouping)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeperiods as tp
@@ -105,6 +105,30 @@ def sample_population(spark, sf_dir):
     return prepare.sample(read(spark, sf_dir, "lineitem"), percent=5, seed=3, by=["l_returnflag"]).groupBy(F.col("l_returnflag").alias("population")).agg(F.count("*").alias("n_rows"))
 
 
+@query("SELECT l_returnflag, true AS like_all FROM lineitem GROUP BY 1")
+def sample_shares(spark, sf_dir):
+    """Equal rows are sampled one by one: each flag's share in a tenth of the column is that in the table, but for five points."""
+    flags = read(spark, sf_dir, "lineitem").select("l_returnflag")
+    share = lambda df, name: df.groupBy("l_returnflag").agg(F.count("*").alias("n")).select("l_returnflag", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias(name))
+    both = share(flags, "whole").join(share(prepare.sample(flags, percent=10, seed=3), "sampled"), "l_returnflag", "left")
+    return both.select("l_returnflag", F.coalesce(F.abs(F.col("whole") - F.col("sampled")) < 0.05, F.lit(False)).alias("like_all"))
+
+
+@query("SELECT 'l_returnflag' AS feature, true AS without_drift")
+def sample_without_drift(spark, sf_dir):
+    """A table against itself, each sampled: no drift."""
+    flags = read(spark, sf_dir, "lineitem").select("l_returnflag")
+    found = assessment.DriftAssessment(flags, ["l_returnflag"], reference=flags, sample_percent=10, seed=3).distances(["psi"])
+    return found.select("feature", (F.col("value") < 0.05).alias("without_drift"))
+
+
+@query("SELECT 'none' AS feature, 0 AS bin, 0.0::DOUBLE AS bin_lower, 1.0::DOUBLE AS bin_upper, 0::BIGINT AS count, 'no data' AS bin_label FROM (SELECT 1) UNION ALL SELECT 'far', 0, 0.0, 1.0, count(*)::BIGINT, 'non-finite values' FROM supplier")
+def hist_without_values(spark, sf_dir):
+    """Columns without a value, or with infinite ones alone, have one bin."""
+    df = read(spark, sf_dir, "supplier").select(F.lit(None).cast("double").alias("none"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))).alias("far"))
+    return distribute.histogram(df, labels=True).select("feature", "bin", "bin_lower", "bin_upper", "count", "bin_label")
+
+
 @query("SELECT * FROM (VALUES ('c_custkey', 'left only'), ('c_name', 'left only'), ('s_suppkey', 'right only'), ('s_name', 'right only'), ('nationkey', 'shared'), ('acctbal', 'different types'), ('c_mktsegment', 'left only')) t(column_name, status)")
 def shared_columns(spark, sf_dir):
     c = read(spark, sf_dir, "customer").withColumnsRenamed({"c_nationkey": "nationkey", "c_acctbal": "acctbal"})

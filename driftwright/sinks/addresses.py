@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime, timezone
+from os import PathLike
 from pathlib import PurePosixPath
 
 #: Schemes of stores that aren't local files.
@@ -77,3 +78,26 @@ def unique_names(texts: list[str], *, longest: int = 31) -> list[str]:
 def run_stamp(now: datetime | None = None) -> str:
     """UTC time for the name of a run."""
     return (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
+
+
+class OutputFolder:
+    """Where results go: ``default``, or what was set last; an address that is given for one result comes first."""
+
+    def __init__(self, default: str = "results"):
+        self.default, self._chosen = default, None
+
+    def set(self, address: str | PathLike[str] | None) -> str:
+        """Choose another folder for all that follows; None returns to the default. Returns the folder in use."""
+        if address is not None and not str(address).strip():
+            raise ValueError("the output folder is empty")
+        self._chosen = None if address is None else (str(address).rstrip("/") or "/")
+        return self.resolve()
+
+    def reset(self) -> str:
+        return self.set(None)
+
+    def resolve(self, address: str | PathLike[str] | None = None) -> str:
+        return str(address) if address is not None else self._chosen or self.default
+
+
+OUTPUT = OutputFolder()

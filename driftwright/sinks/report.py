@@ -6,7 +6,9 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator, Mapping
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,13 @@ from . import addresses as ad
 MOST_ROWS = 200_000
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    return df.select([F.col(f"`{c}`").cast("string").alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
 def _csv(df: DataFrame) -> bytes | None:
     """A table as CSV, or nothing if it has more than ``MOST_ROWS`` rows."""
-    flat = df.select([F.col(f"`{c}`").cast("string").alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes])
-    rows = flat.limit(MOST_ROWS + 1).toPandas()
+    rows = _flat(df).limit(MOST_ROWS + 1).toPandas()
     return None if len(rows) > MOST_ROWS else rows.to_csv(index=False).encode()
 
 
@@ -37,10 +42,19 @@ def bundle_files(tables: Mapping[str, DataFrame], metadata: Mapping, *, title: s
 
 
 def build_zip(tables: Mapping[str, DataFrame], metadata: Mapping, *, title: str = "Report") -> bytes:
-    out = io.BytesIO()
+    """All tables of a report in one archive, whatever their size; rows reach it partition by partition."""
+    out, listing = io.BytesIO(), []
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for path, content in bundle_files(tables, metadata, title=title):
-            z.writestr(path, content)
+        for number, (name, df) in enumerate(tables.items(), 1):
+            path, flat = f"{number:02d}_{ad.safe_name(name)}.csv", _flat(df)
+            listing.append(f"- {path}")
+            with z.open(path, "w", force_zip64=True) as file:
+                file.write(pd.DataFrame(columns=flat.columns).to_csv(index=False).encode())
+                rows = flat.toLocalIterator()
+                while some := list(islice(rows, 10_000)):
+                    file.write(pd.DataFrame(some, columns=flat.columns).to_csv(index=False, header=False).encode())
+        z.writestr("metadata.json", json.dumps(metadata, indent=2, default=str))
+        z.writestr("README.txt", "\n".join([title, "", *listing, "- metadata.json: settings, features, notes"]) + "\n")
     return out.getvalue()
 
 

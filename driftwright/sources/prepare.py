@@ -13,6 +13,8 @@ from .. import kinds
 
 #: Most distinct values, and largest share of rows, of text that is worth encoding as categories.
 MOST_LEVELS, MOST_SHARE = 10_000, 0.5
+#: Rows are counted in ``2**RANGE_BITS`` ranges of their hash to find a sample's threshold.
+RANGE_BITS = 14
 
 
 def combine(tables: Mapping[str, DataFrame], tag: str = "Dataset") -> DataFrame:
@@ -86,8 +88,10 @@ def collapse_one_hot(df: DataFrame, features: str | Sequence[str] | Mapping[str,
 def sample(df: DataFrame, *, percent: float | None = None, rows: int | None = None, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """An exact number of rows, of the table or of each group of ``by``: percent of them (at least one) or ``rows``.
 
-    Rows are ordered by a seeded hash of all their columns, so the sample doesn't depend on partitions. The
-    threshold that leaves the wanted number is found from counts of hash ranges; only rows in the range of the
+    A seeded hash of all their columns orders rows, so the sample doesn't depend on partitions. Repeated rows are
+    sampled one by one: their hashes also take a seeded random number of each row, which is the same at every read
+    of a table whose partitions are. Which rows repeat is found by counting hashes, with eight bytes a row.
+    The threshold that leaves the wanted number is found from counts of hash ranges; only rows in the range of the
     threshold are ranked, so no task sorts all rows of a group.
     """
     if (percent is None) == (rows is None):
@@ -96,20 +100,24 @@ def sample(df: DataFrame, *, percent: float | None = None, rows: int | None = No
         raise ValueError("percent must be above 0 and at most 100")
     if percent == 100:
         return df
-    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
-    group = list(by) or ["_all"]
-    marked = df.withColumns({"_h": h, "_bin": F.shiftrightunsigned(h, 52).cast("int")} | ({} if by else {"_all": F.lit(0)}))
-    counts = marked.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))  # at most 4096 for each group
+    own, group = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), list(by) or ["_all"]
+    repeated = df.select(own.alias("_row")).groupBy("_row").agg(F.count("*").alias("_times")).where("_times > 1").select("_row", F.lit(True).alias("_again"))
+    marked = df.withColumns({"_row": own, "_draw": F.rand(seed)}).join(repeated, "_row", "left")
+    h = F.when(F.col("_again"), F.xxhash64("_row", "_draw")).otherwise(F.col("_row"))
+    marked = marked.withColumn("_h", h).withColumns({"_bin": F.shiftrightunsigned("_h", 64 - RANGE_BITS).cast("int")} | ({} if by else {"_all": F.lit(0)}))
+    counts = marked.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))  # at most a row for each range and group
     everything = F.sum("_n").over(Window.partitionBy(*group))
     # half to even, as the size is defined
     wanted = F.least(everything, F.lit(rows)) if rows is not None else F.greatest(F.lit(1), F.bround(everything * (percent / 100.0), 0).cast("long"))
     cum = counts.withColumns({"_cum": F.sum("_n").over(Window.partitionBy(*group).orderBy("_bin")), "_wanted": wanted})
     before = F.col("_cum") - F.col("_n")
-    edge = cum.where((F.col("_cum") >= F.col("_wanted")) & (before < F.col("_wanted"))).select(*group, F.col("_bin").alias("_edge"), (F.col("_wanted") - before).alias("_rest"))
-    joined = marked.join(edge if by else F.broadcast(edge), group)  # without groups the edge is one row
+    edge = cum.where((F.col("_cum") >= F.col("_wanted")) & (before < F.col("_wanted"))).select(*[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group)], F.col("_bin").alias("_edge"), (F.col("_wanted") - before).alias("_rest"))
+    same = reduce(lambda p, q: p & q, [F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
+    joined = marked.join(edge if by else F.broadcast(edge), same)  # without groups the edge is one row
     below = joined.where("_bin < _edge")
-    at = joined.where("_bin = _edge").withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_bin").orderBy("_h"))).where("_rank <= _rest")
-    return below.select(df.columns).union(at.select(df.columns))
+    at = joined.where("_bin = _edge").withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_bin").orderBy("_h", "_draw"))).where("_rank <= _rest")
+    out = [F.col(f"`{c}`") for c in df.columns]
+    return below.select(out).union(at.select(out))
 
 
 def dtype_summary(df: DataFrame) -> DataFrame:

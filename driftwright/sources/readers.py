@@ -43,10 +43,11 @@ def sniff_delimiter(lines: Sequence[str]) -> str:
 
 
 def content_token(spark: SparkSession, path: str) -> str:
-    """A fingerprint of a file's lines, made by the tasks that read them; equal for equal content at any path."""
+    """A fingerprint of a file's lines and of its header, made by the tasks that read them; equal for equal content at any path."""
     lines = spark.read.text(path)
+    header = lines.select(F.xxhash64("value")).first()
     row = lines.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)).alias("x"), F.coalesce(F.sum(F.xxhash64("value", F.lit(1)).cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return f"{row['n']:x}-{row['x'] & (1 << 64) - 1:016x}-{int(row['s']) & (1 << 128) - 1:032x}"
+    return f"{row['n']:x}-{row['x'] & (1 << 64) - 1:016x}-{int(row['s']) & (1 << 128) - 1:032x}-{(header[0] if header else 0) & (1 << 64) - 1:016x}"
 
 
 def _typed(raw: DataFrame) -> DataFrame:
@@ -69,12 +70,18 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 
 def load_table(spark: SparkSession, path: str, *, delimiter: str | None = None, optimize: bool = True) -> LoadedTable:
-    """Read delimited text with a header line. Types and missing values are found over all rows."""
+    """Read delimited text with a header line. Types and missing values are found over all rows.
+
+    Quoted fields may hold line breaks: where a line has an odd number of quotes, files are read whole, each by one
+    task, as only then breaks in quotes can be told from ends of rows. Other files are split.
+    """
     if delimiter is not None and len(delimiter) != 1:
         raise ValueError("the delimiter must be one character")
     if delimiter is None:
         delimiter = sniff_delimiter([r["value"] for r in spark.read.text(path).limit(20).collect()])
-    raw = spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, multiLine=False, escape='"')
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    raw = spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, multiLine=broken, escape='"')
     if len(set(raw.columns)) < len(raw.columns):
         raise ValueError("duplicate column names")
     frame = _typed(raw)
