@@ -4,11 +4,12 @@ A page is cut into blocks. Blocks of menus, headers, footers, sidebars, notices,
 are chrome; where a page has an article (or else a main) element, the other blocks inside it are its text and
 blocks outside are chrome. What is left - blocks of pages without such an element, and bare ``div`` blocks
 inside one - is open. The token streams of a host's chrome and open blocks are concatenated; a suffix array
-finds the substrings of at least ``least_run`` tokens that occur on distinct pages, and open blocks that they
-cover are boilerplate. A page none of whose text would stay keeps its open blocks, as it is a copy.
+finds the substrings of at least ``least_run`` tokens that occur on ``LEAST_PAGES`` or more of its pages, at least
+``LEAST_SHARE`` of them and not all the same page, and open blocks that they cover are boilerplate. So a passage
+that two pages share, or a second version of a page, stays. A page none of whose text would stay keeps its open blocks, as it is a copy.
 
 The suffix array is built by Spark tasks: each sorts the suffixes of its pages, cut to ``least_run`` tokens,
-and folds equal ones into a row with the least and greatest page, so a line that a host repeats on all pages
+and folds equal ones into a row with their number of pages, the least and the greatest, so a line that a host repeats on all pages
 is one row for each task; the rows are merged by an aggregation over (host, suffix). Paragraphs of articles
 are never removed: with articles that quote each other or are copied, the suffix array alone would drop them.
 
@@ -150,6 +151,10 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
+#: A run is boilerplate if so many pages of its host have it, and such a share of them.
+LEAST_PAGES, LEAST_SHARE = 3, 0.3
+
+
 def host_of(url: str | None) -> str:
     if not url or "://" not in url:
         return ""
@@ -194,7 +199,7 @@ def _hash64(text: str | None) -> int:
 def _parse(least_run: int):
     fields = (
         "page long", "host long", "open int", "kept string", "states binary", "texts array<string>", "suffix array<long>", "least array<long>",
-        "greatest array<long>", "own array<long>", "owner array<int>", "covers array<int>",
+        "greatest array<long>", "seen array<long>", "own array<long>", "owner array<int>", "covers array<int>",
     )
 
     def rows_of(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
@@ -222,9 +227,12 @@ def _parse(least_run: int):
         whole = breaks[least_run : least_run + n] == breaks[:n]
         order = order[whole[order]]
         # neighbours in the suffix array of equal rank are one row, with the least and greatest page
-        order = order[np.lexsort((pages_at[row[order]], rank[order]))]
+        order = order[np.lexsort((row[order], pages_at[row[order]], rank[order]))]
         first = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1]))) if len(order) else np.zeros(0, np.int64)
         last = np.append(first[1:], len(order)) - 1 if len(first) else first
+        # pages of each, as rows of the batch
+        new = np.concatenate(([True], (rank[order][1:] != rank[order][:-1]) | (row[order][1:] != row[order][:-1]))) if len(order) else np.zeros(0, bool)
+        seen = np.add.reduceat(new.astype(np.int64), first) if len(first) else first
         carrier = row[order[first]]
         by_row = np.argsort(carrier, kind="stable")
         cut = np.searchsorted(carrier[by_row], np.arange(len(parsed) + 1))
@@ -239,7 +247,7 @@ def _parse(least_run: int):
             out.append((
                 me[i], host[i], n_open, "\n".join(t for _, t, s in parts if s == KEEP),
                 bytes(s for _, _, s in parts) if n_open else b"", [t for _, t, _ in parts] if n_open else [],
-                name[heads], pages_at[row[heads]], pages_at[row[tails]],
+                name[heads], pages_at[row[heads]], pages_at[row[tails]], seen[own],
                 name[at], owner if n_open else [], place[at].astype(np.int32),
             ))
         return pd.DataFrame(out, columns=[f.split()[0] for f in fields])
@@ -283,8 +291,9 @@ def extract(df: DataFrame, *, page: str = "html", url: str = "url", least_run: i
     both = df.select(F.struct(*rest).alias("_row"), _parse(least_run)(F.col(page), F.col(url)).alias("_p"))
     parsed = scratch.table(both.select("_row", "_p.*"), "parsed")
     # suffixes that are on distinct pages of a host
-    runs = parsed.where(F.size("suffix") > 0).select("host", F.explode(F.arrays_zip("suffix", "least", "greatest")).alias("s")).select("host", "s.*")
-    repeated = runs.groupBy("host", "suffix").agg(F.min("least").alias("lo"), F.max("greatest").alias("hi")).where("lo < hi").select("host", "suffix")
+    runs = parsed.where(F.size("suffix") > 0).select("host", F.explode(F.arrays_zip("suffix", "least", "greatest", "seen")).alias("s")).select("host", "s.*")
+    repeated = runs.groupBy("host", "suffix").agg(F.min("least").alias("lo"), F.max("greatest").alias("hi"), F.sum("seen").alias("seen")).where(f"lo < hi and seen >= {LEAST_PAGES}")
+    repeated = repeated.join(parsed.groupBy("host").agg(F.count("*").alias("pages")), "host").where(F.col("seen") >= LEAST_SHARE * F.col("pages")).select("host", "suffix")
     unsure = parsed.where("open > 0")
     at = unsure.select("page", "host", F.explode(F.arrays_zip("own", "covers")).alias("s")).select("page", "host", F.col("s.own").alias("suffix"), F.col("s.covers").alias("start")).distinct()
     covers = at.join(repeated, ["host", "suffix"], "left_semi").groupBy("page", "host").agg(F.collect_list("start").alias("starts"))

@@ -122,6 +122,40 @@ def test_articles_that_share_a_passage_keep_it(spark):
     assert all(r["text"] == f"{passage}\n{i}" for i, r in out.items())
 
 
+def test_passages_of_a_few_pages_and_second_versions_stay(spark):
+    say = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    menu, passage = say("menu", 15), say("quoted", 30)
+    page = lambda i, *texts: (i, f"https://n.org/{i}", f"<body><div>{menu}</div>{''.join(f'<div>{t}</div>' for t in texts)}</body>")
+    rows = [page(i, say(f"own{i}x", 25)) for i in range(8)]
+    rows += [page(20, say("story", 40), "first ending"), page(21, say("story", 40), "second ending")]
+    rows += [page(30, passage, say("one", 20)), page(31, passage, say("two", 20))]
+    out = extracted(spark, rows)
+    assert all(out[i]["text"] == say(f"own{i}x", 25) for i in range(8))
+    assert [out[i]["text"] for i in (20, 21)] == [say("story", 40) + "\nfirst ending", say("story", 40) + "\nsecond ending"]
+    assert [out[i]["text"] for i in (30, 31)] == [f"{passage}\n{say('one', 20)}", f"{passage}\n{say('two', 20)}"]
+
+
+def test_open_blocks_by_brute_force(spark):
+    import random
+
+    r, lines = random.Random(8), [" ".join(f"b{k}w{j}" for j in range(14)) for k in range(6)]
+    rows, used = [], {}
+    for i in range(40):
+        host = f"h{i % 3}.org"
+        own = r.sample(range(6), r.randint(0, 4))
+        for k in own:
+            used.setdefault((host, k), set()).add(i)
+        rows.append((i, f"https://{host}/{i}", "".join(f"<div>{lines[k]}</div>" for k in own) + f"<div>{' '.join(f'p{i}w{j}' for j in range(13))}</div>"))
+    out = extracted(spark, rows)
+    sizes = [sum(i % 3 == h for i in range(40)) for h in range(3)]
+    for i, url, _ in rows:
+        host = url.split("/")[2]
+        kept = [k for k in range(6) if lines[k] in out[i]["text"]]
+        gone = {k for (h, k), on in used.items() if h == host and len(on) >= 3 and len(on) >= 0.3 * sizes[i % 3]}
+        assert not set(kept) & gone and f"p{i}w0" in out[i]["text"]
+        assert set(kept) == {k for k in range(6) if i in used.get((host, k), ())} - gone
+
+
 def test_suffix_array_groups_equal_runs():
     import numpy as np
 
