@@ -1,4 +1,10 @@
-"""Documents through the corpus operators: each stage works on what its predecessor kept."""
+"""Documents through the corpus operators: each stage works on what its predecessor kept.
+
+All stages read doc_id and text, keep whole rows with all their columns, whatever their names, and have an empty
+result for an empty table. A null, empty or letterless text has no language and goes in the first stage; given to
+the later ones alone, such texts are judged as empty (not toxic, no copies, no passages, no ids). Repeated rows
+are copies of one document, of which near-duplicate removal keeps the one of least doc_id. Texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwright.llm import bpe, decontam, langid, neardup, toxicity
-from driftwright.llm.common import Scratch, learnable
+from driftwright.llm.common import Scratch, learnable, spare
 
 #: SQL can't express the stages: they learn models and draw samples. Tests compare them with brute force.
 ORACLE_SQL = None
@@ -18,15 +24,17 @@ LEAST_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that have a main language."""
     model = langid.train(docs.where(learnable("doc_id")))
-    found = docs.withColumn("_found", langid.identify_column(docs, model))
-    return found.where((F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= LEAST_SHARE)).drop("_found")
+    own = spare(docs, "found")
+    found = docs.withColumn(own, langid.identify_column(docs, model))
+    return found.where((F.col(f"{own}.lang_pred") != langid.UNKNOWN) & (F.col(f"{own}.score") >= LEAST_SHARE)).drop(own)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that aren't predicted to be toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.select("doc_id", "text"), labels.where(learnable("doc_id")).select("doc_id", "toxic"))
-    return docs.withColumn("_score", toxicity.score_column(docs, model)).where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    own = spare(docs, "score")
+    return docs.withColumn(own, toxicity.score_column(docs, model)).where(F.col(own) < toxicity.THRESHOLD).drop(own)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python workers in batches of at most ``rows``, unless the session says otherwise.
 

@@ -25,6 +25,19 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert last.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
 
 
+def test_stages_on_odd_rows_and_clashing_columns(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = docs.selectExpr("doc_id", "text", "lang", "'a' AS found", "1 AS score").union(spark.sql("select * from values (-1L, null, null, 'x', 2), (-2L, '', 'en', 'x', 2), (-2L, '', 'en', 'x', 2), (null, '12 !', null, null, null)")).coalesce(2)
+    for stage in (cp.language, cp.clean):
+        kept = stage(spark, odd, SF)
+        assert kept.columns == odd.columns and kept.exceptAll(odd).isEmpty() and kept.count() > 20
+        assert stage(spark, odd.limit(0), SF).count() == 0
+    assert cp.language(spark, odd, SF).where("doc_id < 0 or doc_id is null").isEmpty()
+    assert cp.clean(spark, odd, SF).where("doc_id < 0 or doc_id is null").count() == 4
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 
