@@ -6,6 +6,7 @@ which either column is missing, pair by pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -21,8 +22,8 @@ from . import frequency as fq
 METHODS = ("pearson", "spearman", "kendall")
 #: Pairs whose sums are taken in one pass over the rows.
 PAIRS_IN_A_PASS = 150
-#: Blocks of values in Kendall's decomposition of a large table.
-BLOCKS = 64
+#: Rows up to which Kendall's tau of two columns is one group.
+ONE_GROUP = 1 << 20
 
 
 def _pairs(df: DataFrame, columns: Sequence[str] | None, keys: Sequence[str]) -> list[tuple[int, str, int, str]]:
@@ -133,14 +134,17 @@ def _concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray, block: np.ndarray
 def kendall(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), *, blocks: int | None = None) -> DataFrame:
     """Kendall's tau-b with ties.
 
-    Of a large table the values of x and of y are cut into ranges. Pairs of rows that differ in both ranges are
-    counted from the small table of range frequencies; those within a range of x by the task of that range;
-    those within a range of y and not of x by the task of the range of y. No task has all rows of a pair of
-    columns.
+    Of more than ``ONE_GROUP`` rows the values of x and of y are cut into ranges, and values that are cuts are ranges
+    of their own. Pairs of rows that differ in both ranges are counted from the small table of range frequencies;
+    those within a range of x by the task of that range; those within a range of y and not of x by the task of the
+    range of y. Rows of one value tie, so a value's own range needs no task, however many rows it has.
+    Ranges are the cube root of a quarter of the rows, so tasks and the table of ranges have about as many rows.
     """
     group = [*keys, "feature_1", "feature_2", "position_1", "position_2"]
     table = pair_frequencies(df, columns, keys)
-    blocks = (BLOCKS if fq.is_large(df) else 1) if blocks is None else blocks
+    if blocks is None:
+        rows = df.count()
+        blocks = 1 if rows <= ONE_GROUP else math.ceil((rows / 4) ** (1 / 3))
     ties = []
     for side in ("x", "y"):
         own = table.groupBy(*group, side).agg(F.sum(F.col("n").cast("double")).alias("m"))
@@ -161,12 +165,12 @@ def kendall(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[
     if blocks <= 1:
         parts = table.groupBy(*group).applyInPandas(count("x"), schema)
     else:
-        def below(c: str) -> Column:
-            return F.size(F.filter(f"_{c}", lambda e: e < F.col(c)))
+        def place(c: str) -> Column:
+            return F.size(F.filter(f"_{c}", lambda e: e < F.col(c))) * 2 + F.array_contains(f"_{c}", F.col(c)).cast("int")
 
-        cuts = table.groupBy(*group).agg(*[F.percentile_approx(c, [i / blocks for i in range(1, blocks)], 10 * blocks).alias(f"_{c}") for c in ("x", "y")])
-        cut = table.join(cuts, group).select(*group, "x", "y", "n", *[below(c).alias(f"b{c}") for c in ("x", "y")])
-        parts = cut.groupBy(*group, "bx").applyInPandas(count("x"), schema).union(cut.groupBy(*group, "by").applyInPandas(count("y"), schema))
+        cuts = table.groupBy(*group).agg(*[F.array_distinct(F.percentile_approx(c, [i / blocks for i in range(1, blocks)], 10 * blocks)).alias(f"_{c}") for c in ("x", "y")])
+        cut = table.join(cuts, group).select(*group, "x", "y", "n", *[place(c).alias(f"b{c}") for c in ("x", "y")])
+        parts = cut.where("bx % 2 = 0").groupBy(*group, "bx").applyInPandas(count("x"), schema).union(cut.where("by % 2 = 0").groupBy(*group, "by").applyInPandas(count("y"), schema))
         coarse = cut.groupBy(*group, "bx", "by").agg(F.sum("n").alias("n")).select(*group, F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "n")
         parts = parts.union(coarse.groupBy(*group).applyInPandas(count("x"), schema))
     sums = parts.groupBy(*group).agg(F.sum("s").alias("s")).join(total, group).join(ties[0], group).join(ties[1], group)

@@ -1,6 +1,7 @@
 """Statistics on tables small enough to work out by hand or by numpy."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -130,6 +131,17 @@ def test_kendall_equals_all_pairs_for_any_blocks(spark, blocks):
         assert math.isclose(r["r"], tau(own), abs_tol=1e-9)
 
 
+def test_kendall_of_hot_values_in_blocks(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(7.0 if r.random() < 0.5 else float(r.randrange(30)), 3.0 if r.random() < 0.4 else float(r.randrange(40))) for _ in range(150)]
+    monkeypatch.setattr(correlate, "ONE_GROUP", 100)
+    df = spark.createDataFrame(rows, "x double, y double")
+    for own in (df, df.where("x = 7").union(df.where("x <> 7 and y = 3"))):
+        have = [tuple(row) for row in own.collect()]
+        found = [correlate.kendall(own, blocks=b).first()["r"] for b in (None, 2)]
+        assert all(math.isclose(f, tau(have), abs_tol=1e-9) for f in found), (found, tau(have))
+
+
 def test_top_pairs_are_strict_and_defined(spark):
     pairs = spark.createDataFrame([("a", "b", 0, 1, 0.65), ("a", "c", 0, 2, -0.9), ("b", "c", 1, 2, None)], "feature_1 string, feature_2 string, position_1 int, position_2 int, r double")
     assert [(r["feature_1"], r["feature_2"]) for r in correlate.top_pairs(pairs, 0.65).collect()] == [("a", "c")]
