@@ -8,8 +8,10 @@ masks hit each of these: a stretch of 9 words with one substitution, of 10 to 14
 a span that some mask fits, and all others hold one of these. Reported is the best stretch, in which a
 substitution costs what ``PRICE`` equal words earn, where it has enough equal words, else the widest.
 
-The items are searched in blocks of bounded size, each broadcast to the tasks that read the documents, so a
-passage that many documents share is no hot key. Words are lower-cased runs of letters and numerals. Items of
+Up to ``words_per_block`` words of items are broadcast as one block to the tasks that read the documents. A larger
+benchmark is never broadcast: hashes of documents that a bitmap of fixed size lets through are joined with those of
+the items (Spark splits a hash that many documents share), and each hit's stretch of the document meets its item.
+Words are lower-cased runs of letters and numerals. Items of
 ``SHORT`` to ``SPAN - 1`` words match where all their words stand in a row. Items of fewer words hold too little
 to tell a leak from chance and match nothing; so do null texts and items. Repeated items and documents give a
 row each. Of equal overlaps the first one in the document is reported. Other columns of the documents pass.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec as tv
-from .common import small_batches
+from .common import Scratch, small_batches
 
 SPAN, PRICE, ENOUGH, SHORT = 9, 4, 12, 5
 #: Kept positions of each mask.
@@ -37,6 +39,9 @@ SEEDS = (*((SPAN, m) for m in MASKS), *((n, tuple(range(n))) for n in range(SHOR
 #: Words beyond each end of a document that a span may reach, as two words of an item may lie there.
 MARGIN = 2
 MATCH = T.ArrayType(T.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("item_id", "long"), ("doc_start", "integer"), ("item_start", "integer"), ("length", "integer"), ("equal", "integer"), ("item_words", "integer"))]}))
+FIELDS = MATCH.elementType.names
+#: Bits of the filter of items' hashes: 16 MB, however large the benchmark is.
+BITS = 1 << 27
 
 
 def seeds(words: np.ndarray, doc: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,40 +164,135 @@ def _matcher(shared, whole):
     @F.pandas_udf(MATCH)
     def overlaps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Finder(Block(*shared.value), whole)
-        names = MATCH.elementType.names
         for series in batches:
             texts = ["" if t is None else t for t in series]
-            yield pd.Series([[dict(zip(names, m, strict=True)) for m in row] for lo, hi in tv.chunks(texts) for row in finder.find(texts[lo:hi])], dtype=object)
+            yield pd.Series([[dict(zip(FIELDS, m, strict=True)) for m in row] for lo, hi in tv.chunks(texts) for row in finder.find(texts[lo:hi])], dtype=object)
 
     return overlaps
 
 
-def matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", words_per_block: int = 250_000, whole: bool = False) -> Column:
-    """A column of ``df`` with the overlaps of its text with the items (item_id, text) of ``benchmark``.
+def _broadcast(df: DataFrame, items: DataFrame, text: str, whole: bool) -> Column:
+    """A column of ``df`` with its overlaps with ``items``, whose number of words has been checked."""
+    own = items.orderBy("item_id", "text").collect()
+    block = Block.build([r["item_id"] for r in own], [r["text"] for r in own])
+    shared = df.sparkSession.sparkContext.broadcast((block.ids, block.words, block.first, block.hashes, block.places))
+    return _matcher(shared, whole)(F.col(text))
 
-    The items are split by a hash into as many blocks as keep each near ``words_per_block``; only one block's
-    items pass the driver at a time. With ``whole`` an overlap counts wherever its substitutions stand and short
-    items are searched; otherwise only the best stretch counts, which substitutions near its ends cut short.
+
+def _item_seeds():
+    @F.pandas_udf("array<struct<hash: long, place: int, words: int>>")
+    def run(series: pd.Series) -> pd.Series:
+        """All seeds of items, with their numbers of words."""
+        out = []
+        for text in series:
+            words, doc = tv.words([text])
+            found = []
+            for kind, (span, _) in enumerate(SEEDS):
+                if kind < len(MASKS) or len(words) == span:
+                    h, at = seeds(words, doc, kind)
+                    found += [{"hash": a, "place": b, "words": len(words)} for a, b in zip(h.view(np.int64).tolist(), at.tolist(), strict=True)]
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def _doc_seeds(bitmap):
+    """Seeds of documents that ``bitmap`` lets through; places count from the document's first word."""
+
+    @F.pandas_udf("array<struct<hash: long, place: int>>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = bitmap.value
+        for series in batches:
+            out = []
+            for text in series:
+                words, _ = tv.words(["" if text is None else text])
+                wide = np.concatenate((np.zeros(MARGIN, np.uint64), words, np.zeros(MARGIN, np.uint64)))
+                own = []
+                for kind in range(len(SEEDS)):
+                    h, at = seeds(wide, np.zeros(len(wide), np.int64), kind)
+                    low = (h & np.uint64(BITS - 1)).astype(np.int64)
+                    near = (bits[low >> 5] >> (low & 31).astype(np.uint32)) & np.uint32(1) == 1
+                    own += [{"hash": a, "place": b} for a, b in zip(h[near].view(np.int64).tolist(), (at[near] - MARGIN).tolist(), strict=True)]
+                out.append(own)
+            yield pd.Series(out, dtype=object)
+
+    return found
+
+
+def _stretches():
+    @F.pandas_udf("array<struct<item: long, shift: int, lo: int, words: array<long>>>")
+    def run(texts: pd.Series, lines: pd.Series) -> pd.Series:
+        """The words of each text that stand beside an item, for each line (item, shift, words)."""
+        out = []
+        for text, own in zip(texts, lines, strict=True):
+            words = tv.words([text])[0].view(np.int64)
+            found = []
+            for line in own:
+                lo, hi = max(0, -line["shift"]), min(line["words"], len(words) - line["shift"])
+                found.append({"item": line["item"], "shift": line["shift"], "lo": lo, "words": words[lo + line["shift"] : hi + line["shift"]].tolist()})
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+def _verifier(whole: bool):
+    @F.pandas_udf("struct<doc_start: int, item_start: int, length: int, equal: int, item_words: int>")
+    def verify(shift: pd.Series, lo: pd.Series, own: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s, at, part, text in zip(shift, lo, own, texts, strict=True):
+            words = tv.words([text])[0].view(np.int64)
+            found = overlap(np.asarray(part, np.int64) == words[at : at + len(part)], len(words), whole)
+            rows.append((None,) * 5 if found is None else (at + s + found[0], at + found[0], found[1] - found[0], found[2], len(words)))
+        return pd.DataFrame(rows, columns=FIELDS[1:]).astype("Int32")
+
+    return verify
+
+
+def _joined(docs: DataFrame, items: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
+    """(doc, item, m) of all overlaps of ``docs`` (doc, text) with ``items`` (item, item_id, text), by joins."""
+    known = scratch.table(items.select("item", F.inline(_item_seeds()("text"))), "seeds")
+    low = F.col("hash").bitwiseAND(BITS - 1)
+    cells = known.groupBy(F.shiftright(low, 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 31 as int))")).alias("bits")).toPandas()
+    bitmap = np.zeros(BITS >> 5, np.uint32)
+    bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).astype(np.uint32)
+    met = docs.select("doc", F.inline(_doc_seeds(docs.sparkSession.sparkContext.broadcast(bitmap))("text")))
+    lines = met.withColumnRenamed("place", "doc_place").join(known, "hash").select("doc", "item", (F.col("doc_place") - F.col("place")).alias("shift"), "words").distinct()
+    lines = scratch.table(lines, "lines").groupBy("doc").agg(F.collect_list(F.struct("item", "shift", "words")).alias("lines"))
+    near = docs.join(lines, "doc").select("doc", F.inline(_stretches()("text", "lines")))
+    both = near.join(items.withColumnRenamed("text", "item_text"), "item")
+    found = both.select("doc", "item", "item_id", "shift", _verifier(whole)("shift", "lo", "words", "item_text").alias("m")).where("m.equal is not null")
+    best = found.groupBy("doc", "item").agg(F.max_by(F.struct("item_id", "m.*"), F.struct("m.equal", -F.col("shift"))).alias("m"))
+    return best
+
+
+def matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", words_per_block: int = 250_000, whole: bool = False) -> DataFrame:
+    """``df`` as a struct ``row``, with ``found``: the overlaps of its text with the items (item_id, text) of ``benchmark``.
+
+    A benchmark of up to ``words_per_block`` words is broadcast, a larger one joined. With ``whole`` an overlap
+    counts wherever its substitutions stand and short items are searched; otherwise only the best stretch counts,
+    which substitutions near its ends cut short.
     """
     small_batches(df.sparkSession)
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = max(1, -(-total // words_per_block))
-    found = []
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        block = Block.build([r["item_id"] for r in own], [r["text"] for r in own])
-        shared = df.sparkSession.sparkContext.broadcast((block.ids, block.words, block.first, block.hashes, block.places))
-        found.append(_matcher(shared, whole)(F.col(text)))
-    return F.concat(*found) if len(found) > 1 else found[0]
+    if total <= words_per_block:
+        return rows.withColumn("found", _broadcast(rows, items, f"row.`{text}`", whole))
+    scratch = Scratch(df.sparkSession, "decontamination")
+    items = scratch.table(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    rows = scratch.table(rows.withColumn("doc", F.monotonically_increasing_id()), "documents")
+    best = _joined(rows.select("doc", F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("text")), items, scratch, whole)
+    per_doc = best.groupBy("doc").agg(F.collect_list("m").alias("found"))
+    return rows.join(per_doc, "doc", "left").select("row", F.coalesce("found", F.array().cast(MATCH)).alias("found"))
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """A row for each document and item that overlap, with doc_id and where and how far."""
-    rows = df.select("doc_id", F.explode(matches(df, benchmark, **options)).alias("m"))
-    return rows.select("doc_id", "m.*")
+    return matches(df, benchmark, **options).select("row.doc_id", F.explode("found").alias("m")).select("doc_id", "m.*")
 
 
 def remove(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``df`` without the documents that overlap an item."""
-    return df.withColumn("_leaks", F.size(matches(df, benchmark, **options))).where("_leaks = 0").drop("_leaks")
+    return matches(df, benchmark, **options).where(F.size("found") == 0).select("row.*")

@@ -303,6 +303,23 @@ def test_overlaps_with_substitutions_by_brute_force(spark):
     assert decontam.overlaps(df, bench.limit(0)).count() == 0 and decontam.overlaps(df.limit(0), bench).count() == 0
 
 
+def test_joined_overlaps_are_the_broadcast_ones(spark):
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(30)]
+    tests = [(k, " ".join(r.choice(words) for _ in range(n))) for k, n in enumerate([3, 5, 6, 8, 9, 10, 14, 25, 60])]
+    tests += [tests[4], (None, tests[6][1]), (77, None), (78, "")]
+    docs = [(i, None if i == 3 else "") for i in range(3, 5)] + [(i, " ".join(r.choice(words) for _ in range(r.randrange(40)))) for i in range(5, 30)]
+    docs += [(i, f"{docs[i % 20][1]} {r.choice(tests[:9])[1]} tail") for i in range(30, 80)] + [(40, tests[8][1])] * 2
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, found string")
+    bench = spark.createDataFrame(tests, "item_id long, text string")
+    both = [sorted(map(str, decontam.overlaps(df, bench, whole=True, words_per_block=n).collect())) for n in (250_000, 0)]
+    assert both[0] == both[1] and len(both[0]) > 20
+    both = [sorted(map(str, decontam.remove(df, bench, whole=True, words_per_block=n).collect())) for n in (250_000, 0)]
+    assert both[0] == both[1] and 5 < len(both[0]) < len(docs) - 20
+    kept = decontam.remove(df, bench.limit(0), words_per_block=-1)
+    assert kept.columns == df.columns and kept.count() == len(docs)
+
+
 def overlap_by_counting(a, b):
     """Whether some stretch of a diagonal has enough equal words, at least four fifths of it."""
     enough = len(b) if len(b) < decontam.SPAN else min(decontam.ENOUGH, -(-4 * len(b) // 5))
