@@ -168,7 +168,7 @@ def _matcher(shared, whole):
             texts = ["" if t is None else t for t in series]
             yield pd.Series([[dict(zip(FIELDS, m, strict=True)) for m in row] for lo, hi in tv.chunks(texts) for row in finder.find(texts[lo:hi])], dtype=object)
 
-    return overlaps
+    return overlaps.asNondeterministic()  # else a filter on its result, or one that Spark adds, runs it twice
 
 
 def _broadcast(df: DataFrame, items: DataFrame, text: str, whole: bool) -> Column:
