@@ -1,14 +1,16 @@
 """Toxicity by weak supervision: many voters, a generative label model, and a linear classifier.
 
-Voters either fire or abstain on a text: fixed and learned word lists, learned word beginnings, repeated,
-neighbouring, shouted and disguised hits. A generative model with a hidden label estimates how accurate the
+Voters either fire or abstain on a text: three fixed word lists, learned words that aren't in them, learned word
+beginnings, repeated, neighbouring, shouted and disguised hits. A generative model with a hidden label estimates how accurate the
 voters are and how they depend on each other: within each class the votes form a tree of pairwise
 dependencies (the strongest by conditional mutual information), fitted by expectation-maximisation in which
 the given label is one more, fallible, voter. A logistic regression on the lists' entries and the votes is
 then trained on the posterior labels and scores every whole text.
 
-The classifier is fitted on a bounded sample of labelled rows (``max_rows``); near copies in the sample count
-once. An entry is learned if the log-likelihood ratio of its counts exceeds ``least_gain``. Null and empty texts get the score of a text without any hit. Several labels of one document count as
+The classifier is fitted on a bounded sample of labelled rows (the ``max_rows`` of least hash); near copies in
+the sample count once. An entry is learned if the log-likelihood ratio of its counts exceeds what chance reaches
+in one sample of ``1 / risk``, given how many entries occur often enough to reach it; so the bar follows the
+size of the sample, and every entry above it is learned. Null and empty texts get the score of a text without any hit. Several labels of one document count as
 toxic if one does. Without labelled rows the fixed lists alone decide. Repeated rows get equal scores, very
 long texts are scored in full. Columns of the input pass through; score and predicted are replaced.
 """
@@ -35,7 +37,7 @@ LISTS = (
     ("trash", "scum", "disgusting", "garbage", "filth", "vermin", "clown", "parasite", "pig", "creep", "freak"),
 )
 PREFIXES = (4, 5, 6, 7, 8)
-VOTERS = ("insults", "contempt", "disgust", "words a", "words b", "short beginnings", "long beginnings", "repeated", "neighbours", "shouted", "disguised")
+VOTERS = ("insults", "contempt", "disgust", "new words", "short beginnings", "long beginnings", "repeated", "neighbours", "shouted", "disguised")
 #: Signs that stand for letters in disguised words.
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 THRESHOLD = 0.3
@@ -75,7 +77,8 @@ class Scanner:
                 kinds[i, k] = f in words
             if i < self.n:
                 stem = f.rstrip("*")
-                kinds[i, (5 + (len(stem) >= 6)) if f.endswith("*") else 3 + sum(map(ord, stem)) % 2] = True
+                if f not in fixed:
+                    kinds[i, (4 + (len(stem) >= 6)) if f.endswith("*") else 3] = True
         self.kinds = kinds
         self.fold = np.arange(0x110000, dtype=np.uint32)
         for sign, letter in SIGNS.items():
@@ -105,21 +108,21 @@ class Scanner:
         # hits by word, in order
         at = np.unique(word)
         per_doc = np.bincount(doc[at], minlength=len(texts))
-        votes[:, 7] = per_doc >= 3
+        votes[:, 6] = per_doc >= 3
         close = (np.diff(at) <= 12) & (doc[at[1:]] == doc[at[:-1]])
-        votes[doc[at[1:]][close], 8] = True
+        votes[doc[at[1:]][close], 7] = True
         for i in at.tolist():
             d = doc[i]
             lower = texts[d].lower()
             if len(lower) == len(texts[d]):
                 own = texts[d][start[i] - offsets[d] : end[i] - offsets[d]]
-                votes[d, 9] |= len(own) > 2 and own.isupper()
+                votes[d, 8] |= len(own) > 2 and own.isupper()
         folded = self.fold[flat]
         fs, fe, fd = tv.word_spans(folded, offsets)
         changed = np.concatenate(([0], np.cumsum(folded != flat)))
         odd = np.flatnonzero((changed[fe] > changed[fs]) & (fe - fs <= 16))
         w, _ = self._find(tv.mix(tv.span_hashes(folded, fs[odd], fe[odd]) ^ _WORD))
-        votes[fd[odd[w]], 10] = True
+        votes[fd[odd[w]], 9] = True
         own = np.unique(doc[word] * np.int64(1 << 20) + entry)
         own = own[(own & ((1 << 20) - 1)) < self.n]
         return own >> 20, own & ((1 << 20) - 1), votes
@@ -232,29 +235,68 @@ class LabelModel:
         return out
 
 
-def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 15) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton's method; the intercept isn't penalised."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    penalty = np.append(np.full(x.shape[1] - 1, ridge), 1e-6)
-    w = np.zeros(x.shape[1])
+def _least_gain(seen: dict[int, int], t: int, n: int, risk: float) -> float:
+    """The log-likelihood ratio that any entry without bearing on the label exceeds with a probability of about ``risk``.
+
+    ``seen`` has the number of entries by the number of rows that they are in. Entries of too few rows to reach the
+    bar at best don't count among those that chance has to try.
+    """
+    tried = sum(seen.values())
+    for k in sorted(seen):
+        bar = 2 * np.log(max(tried, 1) / risk)
+        if 2 * k * np.log(n / t) > bar:
+            return bar
+        tried -= seen[k]
+    return np.inf
+
+
+def _regression(doc: np.ndarray, entry: np.ndarray, width: int, y: np.ndarray, ridge: float = 0.25, rounds: int = 15) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels: Newton's method, steps by conjugate gradients; the intercept isn't penalised.
+
+    Rows are given by their set entries (``doc``, ``entry``), so that memory doesn't grow with rows times entries.
+    """
+    n = len(y)
+    doc, entry = np.concatenate((doc, np.arange(n))), np.concatenate((entry, np.full(n, width)))
+    penalty = np.append(np.full(width, ridge), 1e-6)
+
+    def rows(w: np.ndarray) -> np.ndarray:
+        return np.bincount(doc, w[entry], n)
+
+    def columns(r: np.ndarray) -> np.ndarray:
+        return np.bincount(entry, r[doc], width + 1)
+
+    w = np.zeros(width + 1)
     w[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None].astype(np.float32)).T @ x
-        step = np.linalg.solve(curve.astype(np.float64) + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        p = 1 / (1 + np.exp(-np.clip(rows(w), -30, 30)))
+        curve = np.maximum(p * (1 - p), 1e-6)
+        scale = columns(curve) + penalty
+        step, left = np.zeros(width + 1), columns(y - p) - penalty * w
+        enough = 1e-12 * (left @ left)
+        z = left / scale
+        along, size = z, left @ z
+        for _ in range(200):
+            if left @ left <= enough:
+                break
+            bent = columns(curve * rows(along)) + penalty * along
+            far = size / (along @ bent)
+            step, left = step + far * along, left - far * bent
+            z = left / scale
+            along, size = z + (left @ z) / size * along, left @ z
         w += step * min(1.0, 5.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-5:
             break
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, max_features: int = 600, least_gain: float = 30.0) -> ToxicityModel:
-    """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic), about ``max_rows`` of them, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, risk: float = 0.05) -> ToxicityModel:
+    """Fit on ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic), at most ``max_rows`` of them, chosen by a hash of the id."""
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = known.count()
-    chosen = known.where(unit_hash("doc_id") < (max_rows / total if total else 0)).limit(2 * max_rows)
+    # the first test leaves about twice the rows, so that no task orders many
+    chosen = known.where(unit_hash("doc_id") < (2 * max_rows / total if total else 0)).orderBy(unit_hash("doc_id"), "doc_id").limit(max_rows)
     scratch = Scratch(spark, "toxicity")
     try:
         # ids and labels of a bounded number of rows; without a hot key, as an id has one row
@@ -264,21 +306,21 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, max_fea
         if not t or t == n:
             return ToxicityModel([], np.array([6.0, 6.0, 6.0] + [0.0] * (len(VOTERS) - 4) + [6.0]), -4.0)
         counts = sample.mapInPandas(_count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-        # a log-likelihood ratio that the millions of words and beginnings hardly reach by chance
+        counts = scratch.table(counts, "counts")
+        bar = _least_gain({r[0]: r[1] for r in counts.groupBy((F.col("a") + F.col("b")).alias("seen")).count().collect()}, t, n, risk)
         seen = F.col("a") + F.col("b")
         gain = 2 * (F.col("a") * F.log(F.col("a") / (seen * (t / n))) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (seen * (1 - t / n)))).otherwise(0.0))
-        best = counts.where(F.col("a") > 0).withColumn("gain", gain).where((F.col("gain") > least_gain) & (F.col("a") / t > 2 * F.col("b") / (n - t))).orderBy(F.desc("gain"), "feature").limit(max_features)
+        best = counts.where(F.col("a") > 0).withColumn("gain", gain).where((F.col("gain") > bar) & (F.col("a") / t > 2 * F.col("b") / (n - t))).orderBy(F.desc("gain"), "feature")
         features = _longest({r["feature"]: r["a"] for r in best.collect()})
         rows = sample.mapInPandas(_scan_rows(features), "toxic int, votes long, hits array<int>").toPandas()
     finally:
         scratch.drop()
     votes = (rows["votes"].to_numpy()[:, None] >> np.arange(len(VOTERS))) & 1
     model = LabelModel().fit(votes, rows["toxic"].to_numpy())
-    x = np.zeros((len(rows), len(features) + len(VOTERS)), np.float32)
-    for i, hits in enumerate(rows["hits"]):
-        x[i, np.asarray(hits, dtype=np.int64)] = 1
-    x[:, len(features) :] = votes
-    return ToxicityModel(features, *_regression(x, model.posterior))
+    doc, voter = np.nonzero(votes)
+    doc = np.concatenate((np.repeat(np.arange(len(rows)), rows["hits"].map(len)), doc))
+    entry = np.concatenate((*rows["hits"].map(lambda h: np.asarray(h, np.int64)), voter + len(features)))
+    return ToxicityModel(features, *_regression(doc, entry, len(features) + len(VOTERS), model.posterior))
 
 
 def _scorer(shared):

@@ -117,6 +117,34 @@ def test_without_labels_the_fixed_lists_decide(spark, toxic):
     assert s[0]["predicted"] == 1 and s[1]["predicted"] == 0
 
 
+def test_regression_equals_dense_newton_steps():
+    r = np.random.default_rng(4)
+    x = (r.random((400, 12)) < 0.2).astype(float)
+    y = 1 / (1 + np.exp(-(x @ r.normal(0, 2, 12) - 1)))
+    w, intercept = toxicity._regression(*np.nonzero(x), 12, y, ridge=0.5, rounds=50)
+    full, penalty = np.hstack([x, np.ones((400, 1))]), np.append(np.full(12, 0.5), 1e-6)
+    v = np.zeros(13)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ v))
+        v += np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(penalty), full.T @ (y - p) - penalty * v)
+    assert np.allclose(np.append(w, intercept), v, atol=1e-4)
+
+
+def test_bar_of_learned_entries_follows_the_sample():
+    # a thousand entries of one row each can't reach any bar, so ten others alone are tried
+    assert toxicity._least_gain({1: 1000, 20: 10}, 50, 400, 0.05) == pytest.approx(2 * np.log(10 / 0.05))
+    assert toxicity._least_gain({1: 1000}, 50, 400, 0.05) == np.inf
+    assert toxicity._least_gain({20: 10**6}, 50, 400, 0.05) > toxicity._least_gain({20: 10}, 50, 400, 0.05)
+
+
+def test_few_labels_teach_new_words(spark):
+    rows = [(i, f"plain words of row {i} " + ("zarvolint here" if i % 4 == 0 else "and more"), int(i % 4 == 0)) for i in range(48)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "zarvolint" in model.features and len(model.weights) == len(model.features) + len(toxicity.VOTERS)
+    assert [r["predicted"] for r in toxicity.score(df.orderBy("doc_id"), model).collect()] == [r[2] for r in rows]
+
+
 def test_label_model_finds_accuracies_and_dependent_voters():
     r = np.random.default_rng(1)
     y = r.random(4000) < 0.3
