@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import kinds
@@ -15,11 +15,14 @@ from ..operators import correlate, describe, distribute, segment
 from ..sources import prepare
 
 Progress = Callable[[str, float], None]
+#: The analyses of a run; settings may name some of them.
+ANALYSES = ("describe", "missing", "correlations", "distributions", "boxes")
 
 
 @dataclass(frozen=True)
 class ProfilingSettings:
     features: tuple[str, ...] | None = None
+    analyses: tuple[str, ...] = ANALYSES
     correlation_methods: tuple[str, ...] = ("kendall",)
     correlation_threshold: float = 0.65
     binning: str = distribute.EQUAL_WIDTH
@@ -42,6 +45,9 @@ class ProfilingSettings:
             raise ValueError("sample_percent must be above 0 and at most 100")
         if self.binning not in (distribute.EQUAL_WIDTH, distribute.QUANTILE):
             raise ValueError(f"unknown binning {self.binning!r}")
+        strange = [a for a in self.analyses if a not in ANALYSES]
+        if strange or not self.analyses:
+            raise ValueError(f"unknown analyses {strange}; known: {ANALYSES}" if strange else "no analysis is chosen")
         unknown = [m for m in self.correlation_methods if m.lower() not in correlate.METHODS]
         if unknown:
             raise ValueError(f"unknown correlation methods {unknown}")
@@ -81,7 +87,7 @@ class ProfilingResult:
         return correlate.compare(self.tables["correlations"].where(F.col("method") == method), segment.SEGMENT, segments, min_abs=min_abs)
 
     def metadata(self) -> dict:
-        spark = next(iter(self.tables.values())).sparkSession
+        spark = SparkSession.active()
         return {"dataset": self.dataset, "settings": asdict(self.settings), "features": self.features, "numeric_features": self.numeric, "notes": self.notes, "seconds": self.seconds, "environment": {"spark": spark.version, "master": spark.sparkContext.master}}
 
 
@@ -142,19 +148,22 @@ def run_profiling(
             tables[name] = found
         seconds[name] = round(time.monotonic() - began, 3)
 
-    step("describe", 0.1, lambda: describe.describe(frame, numeric, keys) if numeric else None)
+    chosen = set(settings.analyses)
+    described, shown = "describe" in chosen, "distributions" in chosen
+    step("describe", 0.1, lambda: describe.describe(frame, numeric, keys) if described and numeric else None)
     discrete = [c for c in features if c not in numeric]
-    step("describe_discrete", 0.2, lambda: describe.describe_discrete(frame, discrete, keys) if discrete else None)
-    step("missing", 0.3, lambda: describe.missing_counts(frame, features, keys))
-    if len(numeric) >= 2 and settings.correlation_methods:
+    step("describe_discrete", 0.2, lambda: describe.describe_discrete(frame, discrete, keys) if described and discrete else None)
+    step("missing", 0.3, lambda: describe.missing_counts(frame, features, keys) if "missing" in chosen else None)
+    methods = settings.correlation_methods if "correlations" in chosen else ()
+    if len(numeric) >= 2 and methods:
         rows = frame if settings.max_correlation_rows is None else prepare.sample(frame, rows=settings.max_correlation_rows, seed=settings.seed, by=keys)
-        step("correlations", 0.4, lambda: correlate.correlate_all(rows, settings.correlation_methods, numeric, keys))
+        step("correlations", 0.4, lambda: correlate.correlate_all(rows, methods, numeric, keys))
         step("top_correlations", 0.6, lambda: correlate.top_pairs(tables["correlations"], settings.correlation_threshold))
-    elif settings.correlation_methods:
+    elif methods:
         notes.append("correlation needs two numeric features")
-    step("distributions", 0.7, lambda: distribute.histogram(frame, numeric, binning=settings.binning, n_bins=settings.n_bins, keys=keys) if numeric else None)
-    step("categories", 0.8, lambda: distribute.category_counts(frame, text, max_categories=settings.max_categories, keys=keys) if text else None)
-    step("boxes", 0.9, lambda: distribute.box_summary(frame, numeric, keys=keys) if numeric else None)
+    step("distributions", 0.7, lambda: distribute.histogram(frame, numeric, binning=settings.binning, n_bins=settings.n_bins, keys=keys) if shown and numeric else None)
+    step("categories", 0.8, lambda: distribute.category_counts(frame, text, max_categories=settings.max_categories, keys=keys) if shown and text else None)
+    step("boxes", 0.9, lambda: distribute.box_summary(frame, numeric, keys=keys) if "boxes" in chosen and numeric else None)
     if grouping:
         tables["segments"] = grouping.sizes().where(F.col(segment.SEGMENT).isNotNull()).withColumn("n_features", F.lit(len(features)))
         lost = grouping.frame.where(F.col(segment.SEGMENT).isNull()).count()

@@ -82,8 +82,13 @@ def write_segmented_report(spark: SparkSession, result, folder: str) -> list[str
     """The tables of all segments side by side, then those of each segment in a folder of its own."""
     from ..operators.segment import SEGMENT
 
-    written = write_report(spark, result.tables, result.metadata(), ad.join_address(folder, "00_comparison"))
-    keys = [r[0] for r in result.tables["segments"].select(SEGMENT).orderBy("position", SEGMENT).collect()]
-    for number, (key, name) in enumerate(zip(keys, ad.unique_names(keys), strict=True), 1):
-        written += write_report(spark, result.of_segment(key), {"segment": key}, ad.join_address(folder, f"{number:02d}_{name}"))
+    tables = [t.persist() for t in result.tables.values() if not t.is_cached]  # computed once for all segments; lost parts are computed again
+    try:
+        written = write_report(spark, result.tables, result.metadata(), ad.join_address(folder, "00_comparison"))
+        keys = [r[0] for r in result.tables["segments"].select(SEGMENT).orderBy("position", SEGMENT).collect()]
+        for number, (key, name) in enumerate(zip(keys, ad.unique_names(keys), strict=True), 1):
+            written += write_report(spark, result.of_segment(key), {"segment": key}, ad.join_address(folder, f"{number:02d}_{name}"))
+    finally:
+        for t in tables:
+            t.unpersist()
     return written

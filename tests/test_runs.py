@@ -238,6 +238,19 @@ def dated(spark):
     return spark.createDataFrame([(1.0, "a", "2025-01-01"), (2.0, "b", "2025-01-20"), (10.0, "a", "2025-02-01"), (11.0, "c", "bad date")], "value double, kind string, when string")
 
 
+def test_chosen_analyses_alone_are_run(spark):
+    df = spark.createDataFrame([(float(i), i * i, "ab"[i % 2]) for i in range(20)], "x double, y long, t string")
+    tables = {"describe": {"describe", "describe_discrete"}, "missing": {"missing"}, "correlations": {"correlations", "top_correlations"}, "distributions": {"distributions", "categories"}, "boxes": {"boxes"}}
+    whole = profiling.run_profiling(df)
+    assert set(whole) == set().union(*tables.values())
+    for name, own in tables.items():
+        p = profiling.run_profiling(df, profiling.ProfilingSettings(analyses=(name,)))
+        assert set(p) == own and p.metadata()["settings"]["analyses"] == (name,)
+    for bad in (("charts",), ()):
+        with pytest.raises(ValueError):
+            profiling.ProfilingSettings(analyses=bad).check()
+
+
 def test_first_snapshot_is_the_baseline_and_bad_dates_are_noted(spark):
     a = assessment.DriftAssessment(dated(spark), ["value", "kind"], date_column="when")
     assert a.snapshots == ["2025-01", "2025-02"] and "1 rows have unreadable dates" in a.notes[0]
