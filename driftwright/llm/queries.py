@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chroma, decontam, htmltext, langid, neardup, sharding, toxicity, urlfilter
+from . import bpe, chat, chroma, decontam, htmltext, langid, neardup, sharding, toxicity, urlfilter, veccode
 from .common import held_out, learnable, shared_dir
 
 
@@ -85,8 +85,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", "n_chars")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = veccode.train(rows)
+    return veccode.encode(rows, books).select("vec_id", "code", "error", "label_error", F.lit(veccode.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_decontamination, op4_byte_bpe, op5_audio_fingerprints, op6_chat_format, op7_near_duplicates, op8_sharding, op9_toxicity, op10_html_text)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_decontamination, op4_byte_bpe, op5_audio_fingerprints, op6_chat_format, op7_near_duplicates, op8_sharding, op9_toxicity, op10_html_text, op11_vector_codes)}
 
 
 _CONTROL = r"([<\[])(\\*)((?:\|turn\||\|sep\||\|end\||\|endoftext\||/?s)>|/?INST\]|<SYS>>|</SYS>>|/?TOOL\])"
@@ -122,5 +128,30 @@ SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIG
 SHARDS_SQL = "SELECT doc_id, lang, source, length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM documents"
 
 
+def _rounds(name: str, books: str) -> str:
+    """The nearest entry of each part, as table ``name``."""
+    return f"{name} AS (SELECT q.id, q.part, arg_min(b.entry, (list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), b.entry)) AS entry, min(list_sum(list_transform(list_zip(q.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS far FROM q JOIN {books} b USING (part) GROUP BY ALL)"
+
+
+def _moved(name: str, of: str, books: str) -> str:
+    """The codebooks after a round: floors of means, as table ``name``."""
+    return f"""{name} AS (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM {books} b LEFT JOIN (
+        SELECT part, entry, list(x ORDER BY place) AS v FROM (SELECT part, entry, place, (sum(v[place]) - ((sum(v[place]) % count(*)) + count(*)) % count(*)) // count(*) AS x
+            FROM {of} JOIN q USING (id, part), (SELECT unnest(range(1, 5)) AS place) GROUP BY ALL) GROUP BY ALL) m USING (part, entry))"""
+
+
+CODES_SQL = f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::HUGEINT) AS w FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT id, part, w[part * 4 + 1 : part * 4 + 4] AS v FROM kept, (SELECT unnest(range(16)) AS part)),
+b0 AS (SELECT part, id - 1 AS entry, v FROM q WHERE id <= 64),
+{_rounds("a0", "b0")}, {_moved("b1", "a0", "b0")}, {_rounds("a1", "b1")}, {_moved("b2", "a1", "b1")}, {_rounds("a2", "b2")},
+c AS (SELECT id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a2 GROUP BY id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM c JOIN kept USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_sharding": SHARDS_SQL, "op6_chat_format": CHAT_SQL, "op10_html_text": PAGES_SQL}
+    return {"op11_vector_codes": CODES_SQL, "op8_sharding": SHARDS_SQL, "op6_chat_format": CHAT_SQL, "op10_html_text": PAGES_SQL}
