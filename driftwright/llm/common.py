@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def held_out(doc_id: str | Column, remainder: int = 2) -> Column:
-    """True where crc32 of the id's text mod 4 equals ``remainder``; a null id is not held out."""
+def held_out(doc_id: str | Column, remainder: int = 2, modulus: int = 4) -> Column:
+    """True where crc32 of the id's text mod ``modulus`` equals ``remainder``; a null id is not held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 4 == remainder, F.lit(False))
+    return F.coalesce(F.crc32(c.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def learnable(doc_id: str | Column, remainder: int = 2) -> Column:
+def learnable(doc_id: str | Column, remainder: int = 2, modulus: int = 4) -> Column:
     """True where a row may be learned from: the id is known and not held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return c.isNotNull() & ~held_out(c, remainder)
+    return c.isNotNull() & ~held_out(c, remainder, modulus)
 
 
 def unit_hash(*cols: str | Column) -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chroma, decontam, htmltext, langid, neardup, sharding, toxicity, urlfilter, veccode
+from . import bpe, chat, chroma, decontam, htmltext, langid, neardup, quality, sharding, spelling, toxicity, urlfilter, veccode
 from .common import held_out, learnable, shared_dir
 
 
@@ -91,8 +91,19 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccode.encode(rows, books).select("vec_id", "code", "error", "label_error", F.lit(veccode.digest(books)).alias("codebooks_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), every=199))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs.select("doc_id", "text"), labels.where(learnable("doc_id", 1, 3)).select("doc_id", "quality"))
+    out = quality.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out("doc_id", 1, 3).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_decontamination, op4_byte_bpe, op5_audio_fingerprints, op6_chat_format, op7_near_duplicates, op8_sharding, op9_toxicity, op10_html_text, op11_vector_codes)}
+    return {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_decontamination, op4_byte_bpe, op5_audio_fingerprints, op6_chat_format, op7_near_duplicates, op8_sharding, op9_toxicity, op10_html_text, op11_vector_codes, op12_spelling_variants, op13_quality)}
 
 
 _CONTROL = r"([<\[])(\\*)((?:\|turn\||\|sep\||\|end\||\|endoftext\||/?s)>|/?INST\]|<SYS>>|</SYS>>|/?TOOL\])"
@@ -153,5 +164,31 @@ FROM c JOIN kept USING (id)
 """
 
 
+#: CRC-32 by its table of 256 remainders, which eight shifts each make.
+SPELLING_SQL = """
+WITH RECURSIVE crc_step AS (
+    SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_step WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY i) AS t FROM crc_step WHERE k = 8),
+runs AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]{6,}')) AS w FROM documents) GROUP BY ALL),
+bytes AS (SELECT doc_id, w, n, list_transform(range(1, strlen(doc_id || ':' || w) + 1), lambda i: ('0x' || substr(hex(encode(doc_id || ':' || w)), 2 * i - 1, 2))::BIGINT) AS b FROM runs),
+hashed AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM bytes, crc),
+thin AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM thin WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+dels AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+short AS (SELECT DISTINCT word, n, s FROM dels),
+pairs AS (
+    SELECT a.word, b.word AS other, b.n AS m FROM dels a JOIN dels b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+    UNION ALL SELECT d.word, w.word, w.n FROM short d JOIN words w ON d.s = w.word
+    UNION ALL SELECT w.word, d.word, d.n FROM short d JOIN words w ON d.s = w.word
+),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM pairs GROUP BY word),
+forms AS (SELECT w.word, CASE WHEN m >= 5 * n THEN other END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 5 * n THEN m END::BIGINT AS form_n FROM words w LEFT JOIN best USING (word)),
+up AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT up.word, f.word, f.form FROM up JOIN forms f ON f.word = up.next)
+SELECT f.word, f.form, up.root, f.n, f.n_near, f.form_n FROM forms f JOIN up USING (word) WHERE up.next IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_vector_codes": CODES_SQL, "op8_sharding": SHARDS_SQL, "op6_chat_format": CHAT_SQL, "op10_html_text": PAGES_SQL}
+    return {"op12_spelling_variants": SPELLING_SQL, "op11_vector_codes": CODES_SQL, "op8_sharding": SHARDS_SQL, "op6_chat_format": CHAT_SQL, "op10_html_text": PAGES_SQL}
