@@ -17,13 +17,17 @@ from pyspark.sql import functions as F
 
 from .. import kinds
 from ..functions.numbers import as_double
+from ..scratch import Scratch
 from . import frequency as fq
+from . import moments, ranks
 
 METHODS = ("pearson", "spearman", "kendall")
-#: Pairs whose sums are taken in one pass over the rows.
+#: Pairs whose sums are aggregates of one plan.
 PAIRS_IN_A_PASS = 150
-#: Rows up to which Kendall's tau of two columns is one group.
-ONE_GROUP = 1 << 20
+#: Distinct values of a column up to which their ranks are broadcast.
+BROADCAST_VALUES = 1 << 16
+#: Rows of one group of Kendall's tau, and ranges that a larger one is split into.
+ONE_GROUP, FAN = 1 << 20, 400
 
 
 def _pairs(df: DataFrame, columns: Sequence[str] | None, keys: Sequence[str]) -> list[tuple[int, str, int, str]]:
@@ -41,22 +45,31 @@ def _clipped(r: Column) -> Column:
 
 
 def pearson(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """One pass of partial aggregation for every ``PAIRS_IN_A_PASS`` pairs; a constant side gives null."""
-    out = None
+    """One pass over the rows for any number of columns; a constant side or an infinite value gives null.
+
+    Up to ``PAIRS_IN_A_PASS`` pairs are aggregates of one plan, more are matrices of moments.
+    """
     pairs = _pairs(df, columns, keys)
-    for lo in range(0, len(pairs), PAIRS_IN_A_PASS):
-        part = pairs[lo : lo + PAIRS_IN_A_PASS]
-        sums = []
-        for k, (_, a, _, b) in enumerate(part):
-            x, y = as_double(F.col(f"`{a}`")), as_double(F.col(f"`{b}`"))
-            sums += [F.covar_pop(x, y).alias(f"c{k}"), F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"x{k}"), F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"y{k}"), F.count(x + y).alias(f"n{k}")]
-        wide = df.groupBy(*keys).agg(*sums)
-        cells = [F.struct(*_label(p), F.when((F.col(f"n{k}") > 1) & (F.col(f"x{k}") * F.col(f"y{k}") > 0), _clipped(F.col(f"c{k}") / F.nullif(F.col(f"x{k}") * F.col(f"y{k}"), F.lit(0.0)))).alias("r")) for k, p in enumerate(part)]
-        rows = wide.select(*keys, F.inline(F.array(*cells)))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    if not pairs:
         raise ValueError("fewer than two numeric columns")
-    return out
+    if len(pairs) > PAIRS_IN_A_PASS:
+        names = kinds.columns_of(df, kinds.NUMERIC, [c for c in (columns or df.columns) if c not in keys])
+        return moments.pearson(df, names, keys)
+    return _covariances(df, [(p, as_double(F.col(f"`{p[1]}`")), as_double(F.col(f"`{p[3]}`"))) for p in pairs], keys)
+
+
+def _covariances(df: DataFrame, pairs: Sequence[tuple[tuple[int, str, int, str], Column, Column]], keys: Sequence[str]) -> DataFrame:
+    """Pearson's r of pairs of expressions, as aggregates of one pass."""
+    sums = []
+    for k, (_, x, y) in enumerate(pairs):
+        sums += [F.covar_pop(x, y).alias(f"c{k}"), F.stddev_pop(F.when(y.isNotNull(), x)).alias(f"x{k}"), F.stddev_pop(F.when(x.isNotNull(), y)).alias(f"y{k}"), F.count(x + y).alias(f"n{k}")]
+    wide = df.groupBy(*keys).agg(*sums)
+
+    def r(k: int) -> Column:
+        found = F.col(f"c{k}") / F.nullif(F.col(f"x{k}") * F.col(f"y{k}"), F.lit(0.0))
+        return F.when((F.col(f"n{k}") > 1) & (F.col(f"x{k}") * F.col(f"y{k}") > 0) & ~F.isnan(found), _clipped(found))
+
+    return wide.select(*keys, F.inline(F.array(*[F.struct(*_label(p), r(k).alias("r")) for k, (p, _, _) in enumerate(pairs)])))
 
 
 def pair_frequencies(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
@@ -68,52 +81,84 @@ def pair_frequencies(df: DataFrame, columns: Sequence[str] | None = None, keys:
     return df.select(*keys, F.inline(cells)).where("x is not null and y is not null").groupBy(*keys, "feature_1", "feature_2", "position_1", "position_2", "x", "y").agg(F.count("*").alias("n"))
 
 
-def _ranked(df: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Each value's average rank in its column, by a join with the ranks of the distinct values."""
-    out = df.select(*keys, *[as_double(F.col(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(names)])
-    for i, c in enumerate(names):
-        own = fq.running(fq.frequencies(fq.long_numbers(df, [c], keys), keys), [*keys, "feature"], ["n"])
-        out = out.join(own.select(*keys, F.col("value").alias(f"_v{i}"), (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)).alias(f"_r{i}")), [*keys, f"_v{i}"])
-    return out.select(*keys, *[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
+def _positions(df: DataFrame, names: Sequence[str], keys: Sequence[str], scratch: Scratch) -> DataFrame:
+    """``keys`` as they are and as text ``grp``, the columns as doubles, and each row's ``pos``: a table, so that positions stay."""
+    grp = F.to_json(F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])) if keys else F.lit("")
+    return scratch.table(df.select(*[F.col(f"`{k}`") for k in keys], grp.alias("grp"), *[as_double(F.col(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("pos")), "positions")
+
+
+def _cells(table: DataFrame, values: Sequence[Column]) -> DataFrame:
+    own = F.array(*[F.struct(F.lit(g).alias("g"), v.alias("value")) for g, v in enumerate(values)])
+    return table.select("pos", "grp", F.inline(own)).where("value is not null")
+
+
+def _ranked(df: DataFrame, names: Sequence[str], keys: Sequence[str], distinct: Sequence[int], scratch: Scratch) -> DataFrame:
+    """Each value's average rank in its column, of columns without missing values.
+
+    Ranks of a column of at most ``BROADCAST_VALUES`` values (``distinct`` has their numbers) are broadcast. Others come
+    from places in a sort and are brought back to their rows by position.
+    """
+    few = [i for i in range(len(names)) if distinct[i] <= BROADCAST_VALUES]
+    many = [i for i in range(len(names)) if i not in few]
+    out = df.select(*[F.col(f"`{k}`") for k in keys], *[as_double(F.col(f"`{c}`")).alias(f"_v{i}") for i, c in enumerate(names)])
+    if many:
+        table = _positions(df, names, keys, scratch)
+        ranked = ranks.average(_cells(table, [F.col(f"_v{i}") for i in many]), scratch)
+        wide = ranked.groupBy("pos").agg(*[F.max(F.when(F.col("g") == g, F.col("rank"))).alias(f"_r{i}") for g, i in enumerate(many)])
+        out = table.drop("grp").join(wide, "pos") if few or keys else wide
+    for i in few:
+        own = fq.running(fq.frequencies(fq.long_numbers(df, [names[i]], keys), keys), [*keys, "feature"], ["n"])
+        mine = own.select(*[F.col(f"`{k}`").alias(f"_k{j}") for j, k in enumerate(keys)], F.col("value").alias("_value"), (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)).alias(f"_r{i}"))
+        same = F.col(f"_v{i}") == F.col("_value")
+        for j, k in enumerate(keys):
+            same &= F.col(f"`{k}`").eqNullSafe(F.col(f"_k{j}"))
+        out = out.join(F.broadcast(mine), same).drop("_value", *[f"_k{j}" for j in range(len(keys))])
+    return out.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
 
 
 def spearman(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of average ranks, ranked within the complete rows of each pair.
 
-    Without missing values a column has the same ranks in all pairs; one row of counts tells.
+    A column has the same ranks in all pairs whose other column has no missing values; one row of counts tells.
+    For each other column with missing values it is ranked once more, among the rows that have both. All of them
+    are ranked together in one sort and brought back to their rows in one shuffle.
     """
-    group = [*keys, "feature_1", "feature_2", "position_1", "position_2"]
+    pairs = _pairs(df, columns, keys)
+    if not pairs:
+        raise ValueError("fewer than two numeric columns")
     names = kinds.columns_of(df, kinds.NUMERIC, [c for c in (columns or df.columns) if c not in keys])
-    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(as_double(F.col(f"`{c}`"))).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    if len(names) > 1 and all(counts[f"n{i}"] == counts["rows"] for i in range(len(names))):
-        return pearson(_ranked(df, names, keys), names, keys)
-    table = pair_frequencies(df, columns, keys)
-    ranked = table
-    for side in ("x", "y"):
-        own = table.groupBy(*group, F.col(side).alias("value")).agg(F.sum("n").alias("n"))
-        ranks = fq.running(own, group, ["n"]).select(*group, F.col("value").alias(side), (F.col("cum_n") - (F.col("n") - 1) / F.lit(2.0)).alias(f"rank_{side}"))
-        ranked = ranked.join(ranks, [*group, side])
-    middle = F.sum("n") / F.lit(2.0)
-    ranked = ranked.join(table.groupBy(*group).agg((middle + 0.5).alias("middle")), group)
-    x, y = F.col("rank_x") - F.col("middle"), F.col("rank_y") - F.col("middle")
-    sums = ranked.groupBy(*group).agg(F.sum(F.col("n") * x * y).alias("xy"), F.sum(F.col("n") * x * x).alias("xx"), F.sum(F.col("n") * y * y).alias("yy"))
-    return sums.select(*group, (F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))).alias("r"))
+    scratch = Scratch(df.sparkSession, "spearman")
+    values = [as_double(F.col(f"`{c}`")) for c in names]
+    distinct = [F.approx_count_distinct(F.struct(*[F.col(f"`{k}`").alias(f"k{j}") for j, k in enumerate(keys)], v.alias("v"))) for v in values]
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)], *[d.alias(f"d{i}") for i, d in enumerate(distinct)]).first()
+    gaps = {i for i in range(len(names)) if counts[f"n{i}"] < counts["rows"]}
+    if not gaps:
+        return pearson(_ranked(df, names, keys, [counts[f"d{i}"] for i in range(len(names))], scratch), names, keys)
+    table = _positions(df, names, keys, scratch)
+    # a column, and the other one that its rows must have
+    groups = list(dict.fromkeys((x, y if y in gaps else None) for i, _, j, _ in pairs for x, y in ((i, j), (j, i))))
+    cells = _cells(table, [F.col(f"_v{x}") if y is None else F.when(F.col(f"_v{y}").isNotNull(), F.col(f"_v{x}")) for x, y in groups])
+    wide = ranks.average(cells, scratch).groupBy("pos").agg(*[F.max(F.when(F.col("g") == g, F.col("rank"))).alias(f"_r{g}") for g in range(len(groups))])
+    wide = scratch.table(table.select(*[F.col(f"`{k}`") for k in keys], "pos").join(wide, "pos") if keys else wide, "ranks")
+    at = {group: F.col(f"_r{g}") for g, group in enumerate(groups)}
+    out = None
+    for lo in range(0, len(pairs), PAIRS_IN_A_PASS):
+        own = [(p, at[i, j if j in gaps else None], at[j, i if i in gaps else None]) for p in pairs[lo : lo + PAIRS_IN_A_PASS] for i, _, j, _ in [p]]
+        rows = _covariances(wide, own, keys)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def _concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray, block: np.ndarray | None) -> float:
-    """Concordant less discordant weighted pairs; of those alone whose ``block`` differs, if it is given.
+def _concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Concordant less discordant weighted pairs.
 
     Rows are merged bottom-up in order of x: in each step the weights of the left half below and above each y of
     the right half come from running sums, so the work is n log(n)^2.
     """
     order = np.lexsort((y, x))
     x, y, n = x[order], y[order], n[order].astype(np.float64)
-    _, group = np.unique(x if block is None else block[order], return_inverse=True)
-    if block is not None:  # blocks are ranges of x, so they are in order too
-        group = np.maximum.accumulate(group)
-    starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
     parts = [(y[a:b], n[a:b]) for a, b in zip(starts, np.append(starts[1:], len(y)), strict=True)]
-    parts = [(p[0][o], p[1][o]) for p in parts for o in [np.argsort(p[0], kind="stable")]]
     total = 0.0
     while len(parts) > 1:
         merged = []
@@ -131,51 +176,74 @@ def _concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray, block: np.ndarray
     return total
 
 
+def _counted(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"gid": rows["gid"].iloc[:1], "s": _concordance(*(rows[c].to_numpy() for c in ("x", "y", "n")))})
+
+
+def _place(c: str, cuts: str, fan: int) -> Column:
+    """Twice the number of ``cuts`` below the value, and one more if it is a cut itself."""
+    below = fq.below(c, cuts, fan)
+    return below * 2 + F.coalesce((F.get(F.col(cuts), below) == F.col(c)).cast("int"), F.lit(0))
+
+
+def _split(points: DataFrame, scratch: Scratch, fan: int, first: bool) -> DataFrame:
+    """``points`` (gid, path, x, y, n) in groups (gid, path) of at most ``ONE_GROUP`` rows whose pairs are those of the whole.
+
+    The values of x and of y of a larger group are cut into ``fan`` ranges, and values that are cuts are ranges of
+    their own, found by binary search. A pair of rows stands in one range of x; or in one of y but not of x, where
+    only the range of x counts; or in neither, and then the frequencies of pairs of ranges have it. These three are
+    groups of their own, and are cut again while they are too large. Rows of one value tie, so a value's own range
+    has no pairs, however many rows it has.
+    """
+    done, step = None, 0
+    while True:
+        sizes = points.groupBy("gid", "path").agg(F.count("*").alias("rows"))
+        large = scratch.table(sizes.where(F.lit(True) if first and not step else F.col("rows") > ONE_GROUP).select("gid", "path"), f"large-{step}")
+        small = points.join(large, ["gid", "path"], "left_anti") if step or not first else None
+        if small is not None:
+            done = small if done is None else done.union(small)
+        if large.isEmpty():
+            return done
+        shares = [i / fan for i in range(1, fan)]
+        cuts = scratch.table(points.join(large, ["gid", "path"]).groupBy("gid", "path").agg(*[F.array_distinct(F.percentile_approx(c, shares, 10 * fan)).alias(f"_{c}") for c in ("x", "y")]), f"cuts-{step}")
+        cut = scratch.table(points.join(cuts, ["gid", "path"]).select("gid", "path", "x", "y", "n", *[_place(c, f"_{c}", fan).alias(f"b{c}") for c in ("x", "y")]), f"cut-{step}")
+        bx, by = F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y")
+        own = cut.where("bx % 2 = 0").select("gid", F.concat("path", F.lit("/x"), "bx").alias("path"), "x", "y", "n")
+        beside = cut.where("by % 2 = 0").groupBy("gid", "path", "by", "bx", "y").agg(F.sum("n").alias("n")).select("gid", F.concat("path", F.lit("/y"), "by").alias("path"), bx, "y", "n")
+        coarse = cut.groupBy("gid", "path", "bx", "by").agg(F.sum("n").alias("n")).select("gid", F.concat("path", F.lit("/c")).alias("path"), bx, by, "n")
+        points, step = scratch.table(own.union(beside).union(coarse), f"points-{step}"), step + 1
+
+
 def kendall(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), *, blocks: int | None = None) -> DataFrame:
     """Kendall's tau-b with ties.
 
-    Of more than ``ONE_GROUP`` rows the values of x and of y are cut into ranges, and values that are cuts are ranges
-    of their own. Pairs of rows that differ in both ranges are counted from the small table of range frequencies;
-    those within a range of x by the task of that range; those within a range of y and not of x by the task of the
-    range of y. Rows of one value tie, so a value's own range needs no task, however many rows it has.
-    Ranges are the cube root of a quarter of the rows, so tasks and the table of ranges have about as many rows.
+    Of up to ``ONE_GROUP`` rows each pair of columns is one group; of more it is split until each group has at most as many.
+    Each split by ``FAN`` ranges takes two or three times the rows before, and a few of them do for any table: a table of
+    FAN^k times ``ONE_GROUP`` rows takes about k. ``blocks`` splits smaller tables too, into that many ranges.
     """
     group = [*keys, "feature_1", "feature_2", "position_1", "position_2"]
-    table = pair_frequencies(df, columns, keys)
+    grp = F.to_json(F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])) if keys else F.lit("")
+    table = pair_frequencies(df, columns, keys).withColumn("gid", F.concat_ws("/", "position_1", "position_2", grp))
     if blocks is None:
-        rows = df.count()
-        blocks = 1 if rows <= ONE_GROUP else math.ceil((rows / 4) ** (1 / 3))
+        blocks = 1 if df.count() <= ONE_GROUP else min(FAN, (math.isqrt(ONE_GROUP) + 1) // 2)  # so that a group is larger than the frequencies of pairs of ranges
+        first = False
+    else:
+        first = True
+    scratch = Scratch(df.sparkSession, "kendall") if blocks > 1 else None
+    if scratch is not None:
+        table = scratch.table(table, "pairs")
     ties = []
     for side in ("x", "y"):
-        own = table.groupBy(*group, side).agg(F.sum(F.col("n").cast("double")).alias("m"))
-        ties.append(own.groupBy(*group).agg(F.sum(F.col("m") * F.col("m")).alias(f"t{side}")))
-    total = table.groupBy(*group).agg(F.sum(F.col("n").cast("double")).alias("total"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in table.select(*group).dtypes) + ", s double"
-
-    def count(of: str):
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            x, y, n = (rows[c].to_numpy() for c in ("x", "y", "n"))
-            s = _concordance(x, y, n, None) if of == "x" else _concordance(x, y, n, rows["bx"].to_numpy())
-            head = rows.iloc[:1][group].copy()
-            head["s"] = s
-            return head
-
-        return run
-
-    if blocks <= 1:
-        parts = table.groupBy(*group).applyInPandas(count("x"), schema)
-    else:
-        def place(c: str) -> Column:
-            return F.size(F.filter(f"_{c}", lambda e: e < F.col(c))) * 2 + F.array_contains(f"_{c}", F.col(c)).cast("int")
-
-        cuts = table.groupBy(*group).agg(*[F.array_distinct(F.percentile_approx(c, [i / blocks for i in range(1, blocks)], 10 * blocks)).alias(f"_{c}") for c in ("x", "y")])
-        cut = table.join(cuts, group).select(*group, "x", "y", "n", *[place(c).alias(f"b{c}") for c in ("x", "y")])
-        parts = cut.where("bx % 2 = 0").groupBy(*group, "bx").applyInPandas(count("x"), schema).union(cut.where("by % 2 = 0").groupBy(*group, "by").applyInPandas(count("y"), schema))
-        coarse = cut.groupBy(*group, "bx", "by").agg(F.sum("n").alias("n")).select(*group, F.col("bx").cast("double").alias("x"), F.col("by").cast("double").alias("y"), "n")
-        parts = parts.union(coarse.groupBy(*group).applyInPandas(count("x"), schema))
-    sums = parts.groupBy(*group).agg(F.sum("s").alias("s")).join(total, group).join(ties[0], group).join(ties[1], group)
+        own = table.groupBy("gid", side).agg(F.sum(F.col("n").cast("double")).alias("m"))
+        ties.append(own.groupBy("gid").agg(F.sum(F.col("m") * F.col("m")).alias(f"t{side}")))
+    total = table.groupBy("gid").agg(F.sum(F.col("n").cast("double")).alias("total"), *[F.first(f"`{c}`").alias(c) for c in group])
+    points = table.select("gid", F.lit("").alias("path"), "x", "y", "n")
+    if scratch is not None:
+        points = _split(points, scratch, blocks, first)
+    parts = points.groupBy("gid", "path").applyInPandas(_counted, "gid string, s double")
+    sums = parts.groupBy("gid").agg(F.sum("s").alias("s")).join(total, "gid").join(ties[0], "gid").join(ties[1], "gid")
     n2 = F.col("total") * F.col("total")
-    return sums.select(*group, (2 * F.col("s") / F.nullif(F.sqrt(n2 - F.col("tx")) * F.sqrt(n2 - F.col("ty")), F.lit(0.0))).alias("r"))
+    return sums.select(*[F.col(f"`{c}`") for c in group], (2 * F.col("s") / F.nullif(F.sqrt(n2 - F.col("tx")) * F.sqrt(n2 - F.col("ty")), F.lit(0.0))).alias("r"))
 
 
 def correlate(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:

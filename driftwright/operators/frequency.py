@@ -7,6 +7,7 @@ shuffles, so a value with a third of all rows costs one row for each task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +49,20 @@ def is_large(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPLIT_BYTES
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join by equal keys, in which null equals null; the keys are those of ``left``."""
+    own = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    other = right.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in right.columns])
+    same = reduce(lambda p, q: p & q, [F.col(f"`{k}`").eqNullSafe(F.col(o)) for k, o in own.items()])
+    return left.join(other, same).drop(*own.values())
+
+
+def below(value: str, cuts: str, most: int) -> Column:
+    """How many of the ascending ``cuts``, at most ``most``, are less than ``value``: a binary search."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, most.bit_length())))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(F.col(cuts), at + step - 1) < F.col(value), at + step).otherwise(at))
+
+
 def running(table: DataFrame, keys: Sequence[str], counts: Sequence[str], *, ranges: int | None = None) -> DataFrame:
     """``table`` (keys, value, counts) with running sums ``cum_<count>`` up to each value, and ``next_value``.
 
@@ -60,14 +75,13 @@ def running(table: DataFrame, keys: Sequence[str], counts: Sequence[str], *, ran
         by = Window.partitionBy(*keys).orderBy("value")
         return table.select("*", *[F.sum(c).over(by).alias(f"cum_{c}") for c in counts], F.lead("value").over(by).alias("next_value"))
     cuts = table.groupBy(*keys).agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
-    ranged = table.join(cuts, list(keys)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
+    ranged = joined(table, cuts, keys).withColumn("_range", below("value", "_cuts", ranges)).drop("_cuts")
     before = Window.partitionBy(*keys).orderBy("_range")
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts], F.min("value").alias("_first"))
     starts = totals.select(*keys, "_range", *[(F.sum(f"_t_{c}").over(before) - F.col(f"_t_{c}")).alias(f"_s_{c}") for c in counts], F.lead("_first").over(before).alias("_after"))
     by = Window.partitionBy(*keys, "_range").orderBy("value")
     own = ranged.select("*", *[F.sum(c).over(by).alias(f"_w_{c}") for c in counts], F.lead("value").over(by).alias("_lead"))
-    joined = own.join(starts, [*keys, "_range"])
-    return joined.select(*table.columns, *[(F.col(f"_w_{c}") + F.col(f"_s_{c}")).alias(f"cum_{c}") for c in counts], F.coalesce("_lead", "_after").alias("next_value"))
+    return joined(own, starts, [*keys, "_range"]).select(*table.columns, *[(F.col(f"_w_{c}") + F.col(f"_s_{c}")).alias(f"cum_{c}") for c in counts], F.coalesce("_lead", "_after").alias("next_value"))
 
 
 def quantiles(freq: DataFrame, keys: Sequence[str], probabilities: Sequence[float], names: Sequence[str] | None = None, *, ranges: int | None = None) -> DataFrame:
@@ -75,7 +89,7 @@ def quantiles(freq: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
 
     A row for each key: ``total`` and either one column for each of ``names`` or an array ``quantiles``.
     """
-    run = running(freq, keys, ["n"], ranges=ranges).join(freq.groupBy(*keys).agg(F.sum("n").alias("total")), list(keys))
+    run = joined(running(freq, keys, ["n"], ranges=ranges), freq.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
     bounds: list[Column] = []
     for i, q in enumerate(probabilities):
         at = F.lit(float(q)) * (F.col("total") - 1)

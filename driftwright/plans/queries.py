@@ -240,6 +240,16 @@ def corr_pearson(spark, sf_dir):
     return rounded(correlate.pearson(read(spark, sf_dir, "lineitem"), FOUR), "r")
 
 
+#: Columns from those of lineitem, some of them with missing values: more pairs than one plan of aggregates takes.
+_WIDE = {c: c for c in LINE} | {f"{a}_{b}": f"{a} * {b}" for i, a in enumerate(LINE) for b in LINE[i:]} | {f"{c}_gap": f"nullif({c}, {v})" for c, v in (("l_quantity", "7"), ("l_discount", "0.0"), ("l_tax", "0.08"), ("l_linenumber", "1"))}
+
+
+@query(union([f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {i} AS position_1, {j} AS position_2, round(corr({_WIDE[a]}, {_WIDE[b]}), 6) AS r FROM lineitem" for i, a in enumerate(_WIDE) for j, b in enumerate(_WIDE) if i < j]))
+def corr_pearson_wide(spark, sf_dir):
+    wide = read(spark, sf_dir, "lineitem").select(*[F.expr(f"cast({e} as double)").alias(c) for c, e in _WIDE.items()])
+    return rounded(correlate.pearson(wide), "r")
+
+
 @query(_corr_sql(GAPS, FOUR))
 def corr_pearson_pairwise(spark, sf_dir):
     return rounded(correlate.pearson(gaps(spark, sf_dir), FOUR), "r")
