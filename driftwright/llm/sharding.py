@@ -11,7 +11,12 @@ files at most, and a write of one file for each: no shuffle, and a source with a
 any other. Files of a write stay in the folder that they were written to. Only their names, sizes and counts of
 rows pass the driver.
 
-Rows are stored as they are: nulls, empty and very long texts, repeated rows and any columns. Files without rows
+The manifest holds the columns and types of all shards, and all reads, merges included, go by them. An arrival may
+have more columns or fewer, and wider or narrower numbers: the store's columns are those of all arrivals, in order
+of arrival, null where a shard lacks them, and its numbers the wider ones. Other differences of type, names that
+differ in case alone, and a column ``shard`` are refused before anything is written (``ValueError``).
+
+Rows are stored as they are: nulls, empty and very long texts and repeated rows. Files without rows
 are no shards, so appending an empty table only commits a version. Shards of equal size are merged in the order
 of their names.
 """
@@ -26,8 +31,10 @@ from dataclasses import asdict, dataclass
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
+#: Types that a Parquet reader takes for any before it: whole numbers, and numbers that a double holds exactly.
+WIDER = ((T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()), (T.ByteType(), T.ShortType(), T.IntegerType(), T.DoubleType()), (T.FloatType(), T.DoubleType()))
 #: Files that one task of a merge reads, as each leaves buffers behind.
 MOST_FILES = 64
 
@@ -45,12 +52,31 @@ class Shard:
 class Manifest:
     version: int
     shards: tuple[Shard, ...]
+    schema: T.StructType | None = None  # None before the first arrival
 
 
 class Conflict(Exception):
     """Another writer committed the version first."""
 
 
+def merged(have: T.StructType | None, new: T.StructType) -> T.StructType:
+    """The columns of both, in order, with the wider of two numeric types; ``ValueError`` if they don't fit."""
+    out = {f.name: f.dataType for f in have or ()}
+    taken = {c.lower(): c for c in out}
+    if "shard" in (c.lower() for c in new.names):
+        raise ValueError("'shard' is a column of what the store returns")
+    for f in new:
+        known = taken.setdefault(f.name.lower(), f.name)
+        if known != f.name:
+            raise ValueError(f"columns {known!r} and {f.name!r} differ in case alone")
+        a, b = out.get(f.name, f.dataType), f.dataType
+        wider = next((w for ladder in WIDER for w in (a, b) if {a, b} <= set(ladder) and ladder.index(w) == max(map(ladder.index, (a, b)))), None)
+        if a != b and wider is None:
+            raise ValueError(f"column {f.name!r} is {a.simpleString()} in the store and {b.simpleString()} in the arrival")
+        out[f.name] = a if a == b else wider
+    return T.StructType([T.StructField(c, t) for c, t in out.items()])
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, *, target_bytes: int = 256 << 20, base_bytes: int = 1 << 20, fan_in: int = 4):
         self.spark, self.root, self.target, self.base, self.fan_in = spark, root.rstrip("/"), target_bytes, base_bytes, fan_in
@@ -81,15 +107,15 @@ class Store:
             raw = json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
-        return Manifest(raw["version"], tuple(Shard(**s) for s in raw["shards"]))
+        return Manifest(raw["version"], tuple(Shard(**s) for s in raw["shards"]), T.StructType.fromJson(raw["schema"]) if raw.get("schema") else None)
 
-    def commit(self, shards: list[Shard], after: Manifest) -> Manifest:
-        """Write the version after ``after``; ``Conflict`` if it is there already."""
-        new = Manifest(after.version + 1, tuple(sorted(shards, key=lambda s: s.name)))
+    def commit(self, shards: list[Shard], after: Manifest, schema: T.StructType | None = None) -> Manifest:
+        """Write the version after ``after``, with its schema or another; ``Conflict`` if it is there already."""
+        new = Manifest(after.version + 1, tuple(sorted(shards, key=lambda s: s.name)), schema or after.schema)
         target = self._path(f"{self.root}/manifests/{new.version:012d}.json")
         own = self._path(f"{self.root}/manifests/.{new.version:012d}-{uuid.uuid4().hex}")
         out = self._files().create(own, False)
-        out.write(bytearray(json.dumps({"version": new.version, "shards": [asdict(s) for s in new.shards]}).encode()))
+        out.write(bytearray(json.dumps({"version": new.version, "schema": new.schema and new.schema.jsonValue(), "shards": [asdict(s) for s in new.shards]}).encode()))
         out.close()
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
@@ -114,7 +140,8 @@ class Store:
     def append(self, df: DataFrame) -> Manifest:
         """Add an arrival as new shards, one for each of its partitions that has rows; ``Conflict`` if another writer was first."""
         after = self.current()
-        return self.commit([*after.shards, *self._write(df, after.version + 1)], after)
+        schema = merged(after.schema, df.schema)
+        return self.commit([*after.shards, *self._write(df, after.version + 1)], after, schema)
 
     def plan(self, shards: tuple[Shard, ...]) -> list[list[Shard]]:
         """The shards of each tier that has enough of them, by size."""
@@ -130,7 +157,7 @@ class Store:
         while groups := self.plan(now.shards):
             merged, gone = [], set()
             for group in groups:
-                merged += self._write(self._packed(group), now.version + 1)
+                merged += self._write(self._packed(group, now.schema), now.version + 1)
                 gone |= {s.name for s in group}
             after = self.commit([*(s for s in now.shards if s.name not in gone), *merged], now)
             if len(after.shards) >= len(now.shards):
@@ -138,7 +165,7 @@ class Store:
             now = after
         return now
 
-    def _packed(self, group: list[Shard]) -> DataFrame:
+    def _packed(self, group: list[Shard], schema: T.StructType) -> DataFrame:
         """The rows of ``group`` in partitions of about the target size, by a session that packs small files."""
         total = sum(s.size for s in group)
         wanted = max(1, round(total / self.target), math.ceil(len(group) / MOST_FILES))
@@ -146,7 +173,7 @@ class Store:
         session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target))
         session.conf.set("spark.sql.files.openCostInBytes", str(self.target // MOST_FILES))
         session.conf.set("spark.sql.files.minPartitionNum", str(wanted))
-        df = session.read.parquet(*[f"{self.root}/shards/{s.name}" for s in group])
+        df = session.read.schema(schema).parquet(*[f"{self.root}/shards/{s.name}" for s in group])
         return df.coalesce(wanted) if df.rdd.getNumPartitions() > wanted else df
 
     def stored(self) -> list[str]:
@@ -179,7 +206,5 @@ class Store:
         now = self.current() if version is None else self.manifest(version)
         if not now.shards:
             raise ValueError("the store has no rows")
-        df = self.spark.read.parquet(*[f"{self.root}/shards/{s.name}" for s in now.shards])
-        if "shard" in df.columns:
-            raise ValueError("'shard' is a column already")
+        df = self.spark.read.schema(now.schema).parquet(*[f"{self.root}/shards/{s.name}" for s in now.shards])
         return df.withColumn("shard", F.array_join(F.slice(F.split(F.col("_metadata.file_path"), "/"), -2, 2), "/"))

@@ -117,7 +117,7 @@ def test_a_task_of_a_merge_reads_few_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sharding, "MOST_FILES", 8)
     s = store(spark, tmp_path, target_bytes=1 << 30, base_bytes=1 << 20)
     s.append(spark.range(300).repartition(30))
-    first = s._packed(list(s.current().shards))
+    first = s._packed(list(s.current().shards), s.current().schema)
     assert first.rdd.getNumPartitions() == 4 and first.count() == 300
     assert [x.rows for x in s.compact().shards] == [300] and s.current().version == 3 and s.read().drop("shard").distinct().count() == 300
 
@@ -163,6 +163,30 @@ def test_empty_and_odd_rows(spark, tmp_path):
     assert s.compact().version >= 2 and s.read().drop("shard").exceptAll(odd).isEmpty() and s.read().count() == 4
 
 
+def test_columns_of_all_arrivals_survive_compaction(spark, tmp_path):
+    s = store(spark, tmp_path)
+    s.append(spark.createDataFrame([(1,), (2,)], "a int").coalesce(1))
+    s.append(spark.createDataFrame([(2**40, "x", 1.5), (None, None, None)], "a long, b string, `c.d` float").coalesce(1))
+    s.append(spark.createDataFrame([(2.5, "y", 7)], "`c.d` double, b string, e short").coalesce(1))
+    s.append(spark.createDataFrame([(3, 4)], "e int, a int").coalesce(1))
+    expected = sorted([(1, None, None, None), (2, None, None, None), (2**40, "x", 1.5, None), (None, None, None, None), (None, "y", 2.5, 7), (4, None, None, 3)], key=str)
+    get = lambda df: sorted((tuple(r) for r in df.drop("shard").collect()), key=str)
+    assert get(s.read()) == expected
+    assert len(s.compact().shards) < 4
+    s.vacuum()
+    assert get(s.read()) == expected and dict(s.read().drop("shard").dtypes) == {"a": "bigint", "b": "string", "c.d": "double", "e": "int"}
+
+
+def test_arrivals_that_do_not_fit_are_refused(spark, tmp_path):
+    s = store(spark, tmp_path)
+    s.append(spark.createDataFrame([(1, "x")], "a long, b string"))
+    before = s.stored()
+    for rows_, schema in (([("1",)], "a string"), ([(1.5,)], "a double"), ([("x",)], "B string"), ([(1,)], "shard int")):
+        with pytest.raises(ValueError):
+            s.append(spark.createDataFrame(rows_, schema))
+    assert s.stored() == before and s.current().version == 1
+
+
 def test_tiers_group_similar_sizes(spark, tmp_path):
     s = store(spark, tmp_path)
     assert [s.tier(x) for x in (10, 1_999, 2_000, 5_999, 6_000, 29_999, 30_000)] == [0, 0, 0, 0, 1, 2, -1]
