@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,8 +38,9 @@ MASKS = ((0, 1, 5, 7, 8), (2, 3, 4, 5, 8), (0, 2, 5, 6, 7), (1, 2, 3, 6, 8))
 SEEDS = (*((SPAN, m) for m in MASKS), *((n, tuple(range(n))) for n in range(SHORT, SPAN)))
 #: Words beyond each end of a document that a span may reach, as two words of an item may lie there.
 MARGIN = 2
-MATCH = T.ArrayType(T.StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("item_id", "long"), ("doc_start", "integer"), ("item_start", "integer"), ("length", "integer"), ("equal", "integer"), ("item_words", "integer"))]}))
-FIELDS = MATCH.elementType.names
+FIELDS = ("item_id", "doc_start", "item_start", "length", "equal", "item_words")
+#: Lines of a document that one row of the join's next step holds.
+LINES = 1000
 #: Bits of the filter of items' hashes: 16 MB, however large the benchmark is.
 BITS = 1 << 27
 
@@ -58,18 +59,23 @@ def seeds(words: np.ndarray, doc: np.ndarray, kind: int) -> tuple[np.ndarray, np
     return h, at
 
 
+def match_type(item_id: T.DataType) -> T.ArrayType:
+    """Overlaps of a document, with ids of the items' type."""
+    return T.ArrayType(T.StructType([T.StructField(n, item_id if n == "item_id" else T.IntegerType()) for n in FIELDS]))
+
+
 @dataclass(frozen=True)
 class Block:
     """Test items with their hashed seeds in order."""
 
-    ids: list[int | None]
+    ids: list
     words: np.ndarray
     first: np.ndarray  # where the words of each item begin
     hashes: list[np.ndarray]
     places: list[np.ndarray]
 
     @classmethod
-    def build(cls, ids: list[int | None], texts: list[str]) -> Block:
+    def build(cls, ids: list, texts: list[str]) -> Block:
         words, doc = tv.words(texts)
         first = np.searchsorted(doc, np.arange(len(texts) + 1))
         size = np.diff(first)
@@ -160,8 +166,8 @@ class Finder:
         return out
 
 
-def _matcher(shared, whole):
-    @F.pandas_udf(MATCH)
+def _matcher(shared, whole, kind):
+    @F.pandas_udf(kind)
     def overlaps(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Finder(Block(*shared.value), whole)
         for series in batches:
@@ -176,7 +182,7 @@ def _broadcast(df: DataFrame, items: DataFrame, text: str, whole: bool) -> Colum
     own = items.orderBy("item_id", "text").collect()
     block = Block.build([r["item_id"] for r in own], [r["text"] for r in own])
     shared = df.sparkSession.sparkContext.broadcast((block.ids, block.words, block.first, block.hashes, block.places))
-    return _matcher(shared, whole)(F.col(text))
+    return _matcher(shared, whole, match_type(items.schema["item_id"].dataType))(F.col(text))
 
 
 def _item_seeds():
@@ -259,7 +265,9 @@ def _joined(docs: DataFrame, items: DataFrame, scratch: Scratch, whole: bool) ->
     bitmap[cells["cell"].to_numpy(np.int64)] = cells["bits"].to_numpy(np.int64).astype(np.uint32)
     met = docs.select("doc", F.inline(_doc_seeds(docs.sparkSession.sparkContext.broadcast(bitmap))("text")))
     lines = met.withColumnRenamed("place", "doc_place").join(known, "hash").select("doc", "item", (F.col("doc_place") - F.col("place")).alias("shift"), "words").distinct()
-    lines = scratch.table(lines, "lines").groupBy("doc").agg(F.collect_list(F.struct("item", "shift", "words")).alias("lines"))
+    # a document of many lines is several rows
+    chunk = F.floor(F.row_number().over(Window.partitionBy("doc").orderBy("item", "shift")) / LINES)
+    lines = scratch.table(lines, "lines").withColumn("chunk", chunk).groupBy("doc", "chunk").agg(F.collect_list(F.struct("item", "shift", "words")).alias("lines"))
     near = docs.join(lines, "doc").select("doc", F.inline(_stretches()("text", "lines")))
     both = near.join(items.withColumnRenamed("text", "item_text"), "item")
     found = both.select("doc", "item", "item_id", "shift", _verifier(whole)("shift", "lo", "words", "item_text").alias("m")).where("m.equal is not null")
@@ -267,25 +275,26 @@ def _joined(docs: DataFrame, items: DataFrame, scratch: Scratch, whole: bool) ->
     return best
 
 
-def matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", words_per_block: int = 250_000, whole: bool = False) -> DataFrame:
+def matches(df: DataFrame, benchmark: DataFrame, *, text: str = "text", words_per_block: int = 250_000, bytes_per_block: int = 16 << 20, whole: bool = False) -> DataFrame:
     """``df`` as a struct ``row``, with ``found``: the overlaps of its text with the items (item_id, text) of ``benchmark``.
 
-    A benchmark of up to ``words_per_block`` words is broadcast, a larger one joined. With ``whole`` an overlap
+    A benchmark of up to ``words_per_block`` words, as the matcher counts them, and ``bytes_per_block`` bytes of texts
+    is broadcast, a larger one joined; ids may be of any type. With ``whole`` an overlap
     counts wherever its substitutions stand and short items are searched; otherwise only the best stretch counts,
     which substitutions near its ends cut short.
     """
     small_batches(df.sparkSession)
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text is not null").select("item_id", "text")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    if total <= words_per_block:
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    if (total["words"] or 0) <= words_per_block and (total["bytes"] or 0) <= bytes_per_block:
         return rows.withColumn("found", _broadcast(rows, items, f"row.`{text}`", whole))
     scratch = Scratch(df.sparkSession, "decontamination")
     items = scratch.table(items.withColumn("item", F.monotonically_increasing_id()), "items")
     rows = scratch.table(rows.withColumn("doc", F.monotonically_increasing_id()), "documents")
     best = _joined(rows.select("doc", F.coalesce(F.col(f"row.`{text}`"), F.lit("")).alias("text")), items, scratch, whole)
     per_doc = best.groupBy("doc").agg(F.collect_list("m").alias("found"))
-    return rows.join(per_doc, "doc", "left").select("row", F.coalesce("found", F.array().cast(MATCH)).alias("found"))
+    return rows.join(per_doc, "doc", "left").select("row", F.coalesce("found", F.array().cast(match_type(items.schema["item_id"].dataType))).alias("found"))
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
