@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import small_batches, unit_hash
+from .common import small_batches, spare, unit_hash
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -68,14 +68,18 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(labelled: DataFrame, *, max_rows_per_language: int = 3000, smoothing: float = 0.2) -> LanguageModel:
     """Learn from ``labelled`` (text, lang).
 
-    The classifier is fitted on a bounded sample: about ``max_rows_per_language`` rows of each language,
-    chosen by a hash of the text. Every language is learned; the model holds 128 kB for each.
+    The classifier is fitted on a bounded sample: at most ``max_rows_per_language`` distinct texts of each language,
+    those of least hash, each once, however often it is repeated. So every language is learned, and copies of one
+    text neither crowd out others nor raise the bound. The model holds 128 kB for each language.
     """
     small_batches(labelled.sparkSession)
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = rows.groupBy("lang").count()
-    rates = sizes.select("lang", (F.lit(float(max_rows_per_language)) / F.col("count")).alias("rate"))
-    sample = rows.join(F.broadcast(rates), "lang").where(unit_hash("text") < F.col("rate")).select("lang", "text")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
+    # a fifth more than is wanted, as the numbers are estimates; the exact limit is taken from what is left
+    rates = sizes.select("lang", (F.lit(1.2 * max_rows_per_language + 100) / F.col("texts")).alias("rate"))
+    near = rows.join(F.broadcast(rates), "lang").where(unit_hash("text") < F.col("rate")).groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(unit_hash("text"), "h"))
+    sample = near.withColumn("place", first).where(F.col("place") <= max_rows_per_language).select("lang", "text")
     counts = sample.mapInPandas(_counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
     table = np.zeros((BUCKETS, len(names)), np.float32)
@@ -178,5 +182,6 @@ def identify_column(df: DataFrame, model: LanguageModel, *, text: str = "text",
 
 def identify(df: DataFrame, model: LanguageModel, *, text: str = "text", **options) -> DataFrame:
     """``df`` with lang_pred, score (the share of that language), languages and proportions."""
-    found = df.withColumn("_found", identify_column(df, model, text=text, **options))
-    return found.withColumns({c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "languages", "proportions")}).drop("_found")
+    own = spare(df, "found")
+    found = df.withColumn(own, identify_column(df, model, text=text, **options))
+    return found.withColumns({c: F.col(f"{own}.{c}") for c in ("lang_pred", "score", "languages", "proportions")}).drop(own)

@@ -33,6 +33,22 @@ def test_held_out_languages_are_right(languages):
     assert all(0 < r["score"] <= 1 for r in out)
 
 
+def test_languages_of_copies_are_learned_within_the_bound(spark):
+    r = random.Random(9)
+    rows = [(prose(r, "en", 30), "en") for _ in range(400)]
+    for k in range(6):  # each has one text, which no hash of it may leave out
+        rows += [(prose(r, "es", 20) + f" {k}", f"copies {k}")] * 300
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(5)
+    model = langid.train(df, max_rows_per_language=50)
+    assert model.languages == ["copies 0", "copies 1", "copies 2", "copies 3", "copies 4", "copies 5", "en"]
+    # what a language has in the model is what 50 distinct texts at most hold
+    sample = sorted({t for t, lang in rows if lang == "en"})
+    most = sorted((len(langid.trigrams([t])[0]) for t in sample), reverse=True)[:50]
+    p = np.exp(model.log_p[:, 6].astype(float))
+    total = 0.2 / p.min() - 0.2 * len(p)
+    assert 0 < total <= sum(most) * 1.001
+
+
 def test_mixture_is_found_and_others_are_not(spark, languages):
     _, model = languages
     r = random.Random(6)
@@ -388,3 +404,26 @@ def test_overlaps_are_those_of_counting_equal_words():
         assert found_in(item, docs) == expected, size
         hits += sum(expected)
     assert 200 < hits < 700
+
+
+def test_a_benchmark_without_white_space_is_joined(spark, monkeypatch):
+    r = random.Random(10)
+    words = [[f"w{r.randrange(10**6)}" for _ in range(60)] for _ in range(20)]
+    bench = spark.createDataFrame([(f"id-{i}", "-".join(w)) for i, w in enumerate(words)], "item_id string, text string")
+    docs = spark.createDataFrame([(i, "before " + " ".join(w[10:40]) + " after") for i, w in enumerate(words)] + [(99, "nothing of the kind"), (100, None)], "doc_id long, text string")
+    called = []
+    plain = decontam._broadcast
+    monkeypatch.setattr(decontam, "_broadcast", lambda *a: called.append(1) or plain(*a))
+    monkeypatch.setattr(decontam, "LINES", 2)
+    kinds = [sorted((x["doc_id"], x["item_id"], x["length"]) for x in decontam.overlaps(docs, bench, whole=True, **limits).collect()) for limits in ({}, {"words_per_block": 1199}, {"bytes_per_block": 100})]
+    assert len(called) == 1 and kinds[0] == kinds[1] == kinds[2] == sorted((i, f"id-{i}", 30) for i in range(20))
+    assert [x["doc_id"] for x in decontam.remove(docs, bench, whole=True, words_per_block=0).orderBy("doc_id").collect()] == [99, 100]
+
+
+def test_clashing_and_dotted_columns_pass(spark, languages):
+    _, model = languages
+    df = spark.createDataFrame([(1, "the of and ing", "a", "b", "c")], "doc_id long, text string, _found string, found string, `x.y` string")
+    out = langid.identify(df, model).first()
+    assert (out["_found"], out["found"], out["x.y"], out["lang_pred"]) == ("a", "b", "c", "en")
+    kept = neardup.keep_one(df.union(df)).collect()
+    assert len(kept) == 1 and kept[0]["x.y"] == "c"
