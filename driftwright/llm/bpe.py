@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, spare
 
 LONG = 512
 #: Chunks that a worker remembers before it starts anew.
@@ -246,5 +246,6 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, *, text: str | Col
     udf = _encoder(vocabulary_path, pattern, keep)
     c = F.col(text) if isinstance(text, str) else text
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if keep == "digests" else ["ids", "decoded"]
-    found = df.withColumn("_found", udf(c))
-    return found.withColumns({n: F.col(f"_found.{n}") for n in names}).drop("_found")
+    own = spare(df, "found")
+    found = df.withColumn(own, udf(c))
+    return found.withColumns({n: F.col(f"{own}.{n}") for n in names}).drop(own)

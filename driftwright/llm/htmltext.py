@@ -288,7 +288,7 @@ def extract(df: DataFrame, *, page: str = "html", url: str = "url", least_run: i
     small_batches(df.sparkSession)
     scratch = Scratch(df.sparkSession, "pages")
     rest = [c for c in df.columns if c not in (page, "text", "n_chars")]
-    both = df.select(F.struct(*rest).alias("_row"), _parse(least_run)(F.col(page), F.col(url)).alias("_p"))
+    both = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), _parse(least_run)(F.col(page), F.col(url)).alias("_p"))
     parsed = scratch.table(both.select("_row", "_p.*"), "parsed")
     # suffixes that are on distinct pages of a host
     runs = parsed.where(F.size("suffix") > 0).select("host", F.explode(F.arrays_zip("suffix", "least", "greatest", "seen")).alias("s")).select("host", "s.*")

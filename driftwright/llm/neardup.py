@@ -267,6 +267,6 @@ def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     signed, final = _resolve(docs, threshold)
     stay = final.where("node = leader").select("node", F.col("rep").alias("doc_id")).union(signed.where("not filled").select("node", "doc_id")).distinct()
     named = stay.select(F.col("node").alias("_node"), F.col("doc_id").alias("_id"))
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_node"), F.col("doc_id").alias("_id"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text").alias("_node"), F.col("doc_id").alias("_id"))
     same = keyed.join(named, (keyed["_node"] == named["_node"]) & keyed["_id"].eqNullSafe(named["_id"]), "left_semi")
     return same.dropDuplicates(["_node", "_id"]).select("_row.*")

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import spare
+
 #: Words of unwanted sites, strong by themselves and weak ones that need company.
 STRONG = (
     "adult", "bet", "bets", "betting", "bingo", "casino", "casinos", "cialis", "cracked", "escort", "escorts", "erotic", "farm", "fetish", "gambling", "hentai",
@@ -234,6 +236,7 @@ def apply(df: DataFrame, model: Model, *, block: tuple[str, ...] = (), allow: tu
     rules = sorted(((r, h, "/" + p, v) for r, h, p, v in rules), key=lambda x: (-len(x[0]), x[0]))
     shared = df.sparkSession.sparkContext.broadcast(tuple(model))
     host, path = host_and_path(F.col(url))
-    found = df.withColumn("_found", F.struct(host.alias("host"), path.alias("path"))).withColumn("_judged", _judge(shared, rules)(F.col("_found.host"), F.col("_found.path")))
-    out = {"host": "_found.host", "path": "_found.path"} | {c: f"_judged.{c}" for c in ("rule", "verdict", "words", "log_odds")}
-    return found.withColumns({k: F.col(v) for k, v in out.items()}).drop("_found", "_judged")
+    at, own = spare(df, "found"), spare(df, "judged")
+    found = df.withColumn(at, F.struct(host.alias("host"), path.alias("path"))).withColumn(own, _judge(shared, rules)(F.col(f"{at}.host"), F.col(f"{at}.path")))
+    out = {"host": f"{at}.host", "path": f"{at}.path"} | {c: f"{own}.{c}" for c in ("rule", "verdict", "words", "log_odds")}
+    return found.withColumns({k: F.col(v) for k, v in out.items()}).drop(at, own)

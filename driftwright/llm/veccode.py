@@ -136,7 +136,7 @@ def _assign(forest: Forest, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _sums(shared, dimension: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest.of(shared.value)
+        forest = shared.value
         parts, size, width = forest.books.shape
         n, sums = np.zeros(parts * size, np.int64), np.zeros((parts * size, width), np.int64)
         for b in batches:
@@ -155,7 +155,7 @@ def _sums(shared, dimension: int, scale: int):
 
 def _codes(shared, dimension: int, scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest.of(shared.value)
+        forest = shared.value
         for b in batches:
             fits, q = integers(b["vector"], dimension, scale)
             index, far = _assign(forest, q)
@@ -188,7 +188,7 @@ def train(df: DataFrame, *, id_: str = "vec_id", vector: str = "embedding", part
         return np.zeros((parts, 0, width), np.int64)
     books = np.floor(np.array([r["vector"] for r in first]) * scale).astype(np.int64).reshape(len(first), parts, width).transpose(1, 0, 2).copy()
     for _ in range(rounds):
-        shared = df.sparkSession.sparkContext.broadcast(books)
+        shared = df.sparkSession.sparkContext.broadcast(Forest.of(books))
         sums = own.select("vector").mapInArrow(_sums(shared, dimension, scale), "part int, entry int, place int, total long, n long")
         for r in sums.groupBy("part", "entry", "place").agg(F.sum(F.col("total").cast("decimal(38,0)")).alias("total"), F.sum("n").alias("n")).collect():
             books[r["part"], r["entry"], r["place"]] = int(r["total"]) // r["n"]
@@ -213,7 +213,7 @@ def encode(df: DataFrame, books: np.ndarray, *, id_: str = "vec_id", vector: str
     if not books.size:
         coded = own.select("id", "label", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("error"))
     else:
-        coded = own.mapInArrow(_codes(df.sparkSession.sparkContext.broadcast(books), books.shape[0] * books.shape[2], scale), schema)
+        coded = own.mapInArrow(_codes(df.sparkSession.sparkContext.broadcast(Forest.of(books)), books.shape[0] * books.shape[2], scale), schema)
     scratch = Scratch(df.sparkSession, "codes")
     coded = scratch.table(coded, "coded")
     labels = scratch.table(coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error")), "labels")
