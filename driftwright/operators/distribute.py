@@ -121,7 +121,11 @@ def category_counts(df: DataFrame, columns: Sequence[str] | None = None, *, max_
 
 def _limits(df: DataFrame, names: Sequence[str], keys: Sequence[str], ranges: int | None) -> tuple[DataFrame, DataFrame]:
     cells = fq.long_numbers(df, names, keys, only_finite=True)
-    q = fq.quantiles(fq.frequencies(cells, keys), [*keys, "feature"], (0.25, 0.5, 0.75), ("q1", "median", "q3"), ranges=ranges)
+    quartiles, own = (0.25, 0.5, 0.75), ("q1", "median", "q3")
+    if ranges is None:
+        q = fq.quantiles_of(df, names, quartiles, own, keys, only_finite=True)
+    else:
+        q = fq.quantiles(fq.frequencies(cells, keys), [*keys, "feature"], quartiles, own, ranges=ranges)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return cells, q.withColumn("lower_limit", F.col("q1") - reach).withColumn("upper_limit", F.col("q3") + reach)
 

@@ -57,7 +57,7 @@ def breakpoints(baseline: DataFrame, columns: Sequence[str], *, n_buckets: int =
         r = cells.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
         inner = F.slice(linspace(F.col("low"), F.col("high"), n_buckets), F.lit(2), F.lit(n_buckets - 1))
     else:
-        q = fq.quantiles(fq.frequencies(cells), ["feature"], [i / n_buckets for i in range(n_buckets + 1)])
+        q = fq.quantiles_of(baseline, columns, [i / n_buckets for i in range(n_buckets + 1)], only_finite=True)
         r = q.withColumn("low", F.col("quantiles")[0]).withColumn("high", F.element_at("quantiles", -1))
         inner = F.array_distinct(F.slice("quantiles", F.lit(2), F.lit(n_buckets - 1)))
     constant = F.col("low") == F.col("high")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import as_double, between, finite
+from . import radix
 
 #: Estimated input size from which running counts are split into ranges of values.
 SPLIT_BYTES = 4 << 30
@@ -101,6 +102,19 @@ def quantiles(freq: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
     return ends.select(*keys, "total", *[v.alias(n) for v, n in zip(values, names, strict=True)])
 
 
+def quantiles_of(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], names: Sequence[str] | None = None, keys: Sequence[str] = (), *, only_finite: bool = False, digits: bool | None = None) -> DataFrame:
+    """As ``quantiles``, of columns whose frequencies nobody needs otherwise: (keys, feature, total, quantiles or names).
+
+    Of large tables (``is_large``, or ``digits``) the quantiles are selected by their digits, in up to four passes, and
+    nothing in proportion to the distinct values is shuffled.
+    """
+    if not (is_large(df) if digits is None else digits):
+        cells = long_numbers(df, columns, keys, only_finite=only_finite)
+        return quantiles(frequencies(cells, keys), [*keys, "feature"], probabilities, names)
+    out = radix.quantiles(df, columns, probabilities, keys, only_finite=only_finite)
+    return out if names is None else out.select(*[F.col(f"`{k}`") for k in keys], "feature", "total", *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 def modes(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number of distinct values, the most frequent one (the least of equals) and its count for each key."""
     best = F.min(F.struct((-F.col("n")).alias("m"), F.col("value").alias("v")))

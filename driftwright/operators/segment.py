@@ -106,8 +106,7 @@ def make_grouping(df: DataFrame, by: str | Column | None = None, *, bins: Sequen
             edges[0] -= 0.001 * (high - low)
         label, order = _ranges(value, list(zip(edges, edges[1:], strict=False)))
         return Grouping(df.withColumn(SEGMENT, label).withColumn("_order", order), EQUAL_WIDTH, name, tuple(edges))
-    cells = df.select(F.lit(name).alias("feature"), value.alias("value")).where("value is not null")
-    row = fq.quantiles(fq.frequencies(cells), ["feature"], [i / n_quantiles for i in range(n_quantiles + 1)]).first()
+    row = fq.quantiles_of(df.select(value.alias("value")), ["value"], [i / n_quantiles for i in range(n_quantiles + 1)]).first()
     edges = sorted(set(row["quantiles"])) if row else []
     label, order = _ranges(value, list(zip(edges, edges[1:], strict=False)), closed_first=True)
     return Grouping(df.withColumn(SEGMENT, label).withColumn("_order", order), QUANTILE, name, tuple(edges))

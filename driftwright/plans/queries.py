@@ -205,6 +205,13 @@ def quantiles_in_ranges(spark, sf_dir):
     return rounded(fq.quantiles(freq, ["feature"], (0.1, 0.5, 0.9), ("q10", "q50", "q90"), ranges=8), "q10", "q50", "q90")
 
 
+@query(union([f"SELECT l_returnflag, '{c}' AS feature, count({c})::BIGINT AS total, " + ", ".join(f"round(quantile_cont({c}, {q}), 6)::DOUBLE AS {n}" for q, n in ((0.0, "q0"), (0.1, "q10"), (0.5, "q50"), (0.95, "q95"))) + f" FROM ({GAPS}) GROUP BY l_returnflag" for c in LINE]))
+def quantiles_by_digits(spark, sf_dir):
+    """Quantiles of several columns and groups together by radix selection, as for a large table."""
+    names = ("q0", "q10", "q50", "q95")
+    return rounded(fq.quantiles_of(gaps(spark, sf_dir), LINE, (0.0, 0.1, 0.5, 0.95), names, ["l_returnflag"], digits=True), *names)
+
+
 # --- correlation -------------------------------------------------------------------------------------------
 
 
