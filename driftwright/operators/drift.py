@@ -76,27 +76,36 @@ def _psi(expected: Column, actual: Column) -> Column:
     return F.when(expected.isNotNull() & actual.isNotNull(), (a - e) * F.ln(a / e))
 
 
+def paired(counts: DataFrame, snapshots: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(feature, snapshot, by, n_baseline, n) of counts (feature, population, by, n): the baseline's beside each snapshot's.
+
+    A row is a count that one of the two has, so the plan has the same width for any number of snapshots, and a value
+    costs a row for each snapshot that has it, or for all of them if the baseline does.
+    """
+    base = F.col("population") == BASELINE
+    to = F.when(base, F.array(*[F.lit(s) for s in snapshots])).otherwise(F.when(F.col("population").isin(list(snapshots)), F.array("population")).otherwise(F.array().cast("array<string>")))
+    both = counts.select("feature", *by, F.explode(to).alias("snapshot"), F.when(base, F.col("n")).otherwise(0).alias("n_baseline"), F.when(base, 0).otherwise(F.col("n")).alias("n"))
+    return both.groupBy("feature", "snapshot", *by).agg(F.sum("n_baseline").alias("n_baseline"), F.sum("n").alias("n"))
+
+
 def psi_table(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str], *, n_buckets: int = 10, buckets: str = "bins") -> DataFrame:
     """Counts, shares and PSI of each bucket (numeric) or level (others) of each feature and snapshot."""
     numeric, other = split_kinds(df, columns)
-    names = [BASELINE, *snapshots]
     parts = []
     if numeric:
         edges = breakpoints(df.where(F.col("population") == BASELINE), numeric, n_buckets=n_buckets, buckets=buckets)
         cells = fq.long_numbers(df, numeric, ["population"], only_finite=True)
         counts = cells.join(edges, "feature").groupBy("feature", "population", bucket(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
-        wide = counts.groupBy("feature", "bin").pivot("population", names).agg(F.sum("n"))
-        grid = edges.select("feature", "edges", "constant", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"))
-        parts.append(grid.join(wide, ["feature", "bin"], "left").select("feature", F.lit("numeric").alias("kind"), "bin", F.col("edges")[F.col("bin")].alias("lower"), F.col("edges")[F.col("bin") + 1].alias("upper"), F.lit(None).cast("string").alias("level"), *[F.col(f"`{p}`") for p in names]))
+        # every bucket of a feature has a row for each snapshot
+        every = edges.select("feature", F.lit(BASELINE).alias("population"), F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"), F.lit(0).cast("long").alias("n"))
+        own = paired(counts.union(every), snapshots, ["bin"]).join(edges, "feature")
+        parts.append(own.select("feature", "snapshot", F.lit("numeric").alias("kind"), "bin", F.col("edges")[F.col("bin")].alias("lower"), F.col("edges")[F.col("bin") + 1].alias("upper"), F.lit(None).cast("string").alias("level"), "n_baseline", "n"))
     if other:
         freq = fq.frequencies(fq.long_texts(df, other, ["population"]), ["population"])
-        wide = freq.groupBy("feature", F.col("value").alias("level")).pivot("population", names).agg(F.sum("n"))
-        parts.append(wide.select("feature", F.lit("categorical").alias("kind"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), "level", *[F.col(f"`{p}`") for p in names]))
+        parts.append(paired(freq, snapshots, ["value"]).select("feature", "snapshot", F.lit("categorical").alias("kind"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"), F.col("value").alias("level"), "n_baseline", "n"))
     table = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    totals = table.groupBy("feature").agg(*[F.sum(F.col(f"`{p}`")).alias(f"_t{i}") for i, p in enumerate(names)])
-    cells = F.array(*[F.struct(F.lit(p).alias("snapshot"), F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias("n"), F.col(f"_t{i + 1}").alias("total")) for i, p in enumerate(snapshots)])
-    both = table.join(totals, "feature").select("feature", "kind", "bin", "lower", "upper", "level", F.coalesce(F.col(f"`{BASELINE}`"), F.lit(0)).alias("n_baseline"), F.col("_t0").alias("total_baseline"), F.inline(cells))
-    both = both.where("kind = 'numeric' or n_baseline > 0 or n > 0")
+    totals = table.groupBy("feature", "snapshot").agg(F.nullif(F.sum("n_baseline"), F.lit(0)).alias("total_baseline"), F.nullif(F.sum("n"), F.lit(0)).alias("total"))
+    both = table.join(totals, ["feature", "snapshot"])
     e, a = F.col("n_baseline") / F.col("total_baseline"), F.col("n") / F.col("total")
     return both.select("feature", "snapshot", "kind", "bin", "lower", "upper", "level", "n_baseline", "n", e.alias("share_baseline"), a.alias("share"), _psi(e, a).alias("psi"))
 
@@ -111,38 +120,30 @@ def psi(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str], *, n_bu
 def cdf_distances(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str], *, ranges: int | None = None) -> DataFrame:
     """Kolmogorov-Smirnov, Wasserstein and energy distance of numeric features, with the populations' sizes.
 
-    One running sum of all populations over the union of their values; between values no distribution changes.
+    One scan of running sums, in segments of a feature and a snapshot, over the values that the snapshot or the
+    baseline has; between these neither distribution changes.
     """
-    names = [BASELINE, *snapshots]
     freq = fq.frequencies(fq.long_numbers(df, columns, ["population"], only_finite=True), ["population"])
-    wide = freq.groupBy("feature", "value").pivot("population", names).agg(F.sum("n"))
-    wide = wide.select("feature", "value", *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias(f"n{i}") for i, p in enumerate(names)])
-    counts = [f"n{i}" for i in range(len(names))]
-    totals = wide.groupBy("feature").agg(*[F.sum(c).alias(f"t{c}") for c in counts])
-    run = fq.running(wide, ["feature"], counts, ranges=ranges).join(totals, "feature")
-    stats, width = [], F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
-    for i in range(1, len(names)):
-        gap = F.abs(F.col("cum_n0") / F.nullif(F.col("tn0"), F.lit(0)) - F.col(f"cum_n{i}") / F.nullif(F.col(f"tn{i}"), F.lit(0)))
-        stats += [F.max(gap).alias(f"k{i}"), F.sum(gap * width).alias(f"w{i}"), F.sqrt(2 * F.sum(gap * gap * width)).alias(f"e{i}"), F.first(f"tn{i}").alias(f"m{i}")]
-    cells = F.array(*[F.struct(F.lit(p).alias("snapshot"), F.col(f"k{i}").alias("ks"), F.col(f"w{i}").alias("wasserstein"), F.col(f"e{i}").alias("energy"), F.col(f"m{i}").alias("n")) for i, p in enumerate(snapshots, 1)])
-    return run.groupBy("feature").agg(F.first("tn0").alias("n_baseline"), *stats).select("feature", "n_baseline", F.inline(cells))
+    both, group = paired(freq, snapshots, ["value"]), ["feature", "snapshot"]
+    totals = both.groupBy(*group).agg(F.sum("n_baseline").alias("total_baseline"), F.sum("n").alias("total"))
+    run = fq.running(both, group, ["n_baseline", "n"], ranges=ranges).join(totals, group)
+    width = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
+    gap = F.abs(F.col("cum_n_baseline") / F.nullif("total_baseline", F.lit(0)) - F.col("cum_n") / F.nullif("total", F.lit(0)))
+    stats = [F.max(gap).alias("ks"), F.sum(gap * width).alias("wasserstein"), F.sqrt(2 * F.sum(gap * gap * width)).alias("energy"), F.first("total").alias("n")]
+    return run.groupBy(*group).agg(F.first("total_baseline").alias("n_baseline"), *stats).select("feature", "n_baseline", "snapshot", "ks", "wasserstein", "energy", "n")
 
 
 def chi_square(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str]) -> DataFrame:
     """Pearson's chi-square of the raw counts of levels, without correction; 0 where there is one level."""
-    names = [BASELINE, *snapshots]
     freq = fq.frequencies(fq.long_texts(df, columns, ["population"]), ["population"])
-    wide = freq.groupBy("feature", "value").pivot("population", names).agg(F.sum("n")).select("feature", *[F.coalesce(F.col(f"`{p}`"), F.lit(0)).alias(f"n{i}") for i, p in enumerate(names)])
-    totals = wide.groupBy("feature").agg(*[F.sum(f"n{i}").cast("double").alias(f"t{i}") for i in range(len(names))])
-    stats = []
-    for i in range(1, len(names)):
-        level, whole = F.col("n0") + F.col(f"n{i}"), F.col("t0") + F.col(f"t{i}")
-        e0, e1 = F.col("t0") * level / whole, F.col(f"t{i}") * level / whole
-        term = (F.col("n0") - e0) ** 2 / F.nullif(e0, F.lit(0.0)) + (F.col(f"n{i}") - e1) ** 2 / F.nullif(e1, F.lit(0.0))
-        usable = (F.first("t0") > 0) & (F.first(f"t{i}") > 0)
-        stats.append(F.when(usable, F.when(F.count_if(level > 0) <= 1, 0.0).otherwise(F.sum(F.when(level > 0, term)))).alias(f"c{i}"))
-    cells = F.array(*[F.struct(F.lit(p).alias("snapshot"), F.col(f"c{i}").alias("value")) for i, p in enumerate(snapshots, 1)])
-    return wide.join(totals, "feature").groupBy("feature").agg(*stats).select("feature", F.inline(cells))
+    both, group = paired(freq, snapshots, ["value"]), ["feature", "snapshot"]
+    totals = both.groupBy(*group).agg(F.sum("n_baseline").cast("double").alias("t0"), F.sum("n").cast("double").alias("t1"))
+    level, whole = F.col("n_baseline") + F.col("n"), F.col("t0") + F.col("t1")
+    e0, e1 = F.col("t0") * level / whole, F.col("t1") * level / whole
+    term = (F.col("n_baseline") - e0) ** 2 / F.nullif(e0, F.lit(0.0)) + (F.col("n") - e1) ** 2 / F.nullif(e1, F.lit(0.0))
+    usable = (F.first("t0") > 0) & (F.first("t1") > 0)
+    value = F.when(usable, F.when(F.count("*") <= 1, 0.0).otherwise(F.sum(term)))
+    return both.join(totals, group).groupBy(*group).agg(value.alias("value"))
 
 
 def ks_details(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str]) -> DataFrame:

@@ -434,18 +434,45 @@ def date_span(spark, sf_dir):
     return tp.span(read(spark, sf_dir, "orders"), "o_orderdate")
 
 
-def _texts(name: str, texts: dict[str, str | None]):
+def _spelled(name: str, spellings: list[tuple[str, str, str | None]]) -> None:
+    """Order dates spelled in turn, by order key: as Spark's expression, as SQL, and the day in SQL that is to be read."""
+
     def run(spark, sf_dir):
-        frame = spark.createDataFrame([(t,) for t in texts], "raw string")
-        return tp.parse_dates(frame, "raw").select("raw", F.date_format("parsed", "yyyy-MM-dd").alias("day"))
+        turn = F.col("o_orderkey") % len(spellings)
+        raw = F.lit(None).cast("string")
+        for i, (own, _, _) in enumerate(spellings):
+            raw = F.when(turn == i, F.expr(own)).otherwise(raw)
+        frame = tp.parse_dates(read(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "raw")
+        return frame.select("o_orderkey", "raw", F.date_format("parsed", "yyyy-MM-dd").alias("day"))
 
     run.__name__ = name
-    query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if d is None else repr(d)})" for t, d in texts.items()) + ") t(raw, day)")(run)
-
-
-_texts("parse_dates", {"2019-01-31": "2019-01-31", "2019-03-05 10:20:30": "2019-03-05", "31/01/2019": "2019-01-31", "Jan 2019": "2019-01-01", "March 2019": "2019-03-01", "2019-02": "2019-02-01", "bad date": None})
-_texts("parse_quarters", {"2019Q1": "2019-01-01", "2019-Q1": "2019-01-01", "Q2 2019": "2019-04-01", "2019Q2": "2019-04-01", "Q4-2020": "2020-10-01"})
-_texts("parse_digits", {"2019": "2019-01-01", "201903": "2019-03-01", "20190315": "2019-03-15", "201913": None})
+    cases = [" ".join(f"WHEN {i} THEN {x[k] or 'NULL'}" for i, x in enumerate(spellings)) for k in (1, 2)]
+    query(f"SELECT o_orderkey, CASE o_orderkey % {len(spellings)} {cases[0]} END AS raw, CASE o_orderkey % {len(spellings)} {cases[1]} END AS day FROM (SELECT o_orderkey, o_orderdate AS d FROM orders)")(run)
+
+
+_DAY, _MONTH, _QUARTER = "strftime(d, '%Y-%m-%d')", "strftime(d, '%Y-%m-01')", "strftime(date_trunc('quarter', d), '%Y-%m-%d')"
+_spelled("parse_dates", [
+    ("date_format(o_orderdate, 'yyyy-MM-dd')", _DAY, _DAY),
+    ("date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss')", "strftime(d, '%Y-%m-%d %H:%M:%S')", _DAY),
+    ("date_format(o_orderdate, if(day(o_orderdate) > 12, 'dd/MM/yyyy', 'yyyy/MM/dd'))", "CASE WHEN day(d) > 12 THEN strftime(d, '%d/%m/%Y') ELSE strftime(d, '%Y/%m/%d') END", _DAY),
+    ("date_format(o_orderdate, 'MMM yyyy')", "strftime(d, '%b %Y')", _MONTH),
+    ("date_format(o_orderdate, 'MMMM yyyy')", "strftime(d, '%B %Y')", _MONTH),
+    ("date_format(o_orderdate, 'yyyy-MM')", "strftime(d, '%Y-%m')", _MONTH),
+    ("concat('bad ', o_orderstatus)", "'bad ' || (SELECT o_orderstatus FROM orders o WHERE o.o_orderkey = s.o_orderkey)", None),
+])
+SQL["parse_dates"] = SQL["parse_dates"].replace("FROM orders)", "FROM orders) s")
+_spelled("parse_quarters", [(f"concat({', '.join(x)})", " || ".join(y), _QUARTER) for x, y in (
+    (("year(o_orderdate)", "'Q'", "quarter(o_orderdate)"), ("year(d)::VARCHAR", "'Q'", "quarter(d)::VARCHAR")),
+    (("year(o_orderdate)", "'-Q'", "quarter(o_orderdate)"), ("year(d)::VARCHAR", "'-Q'", "quarter(d)::VARCHAR")),
+    (("'Q'", "quarter(o_orderdate)", "' '", "year(o_orderdate)"), ("'Q'", "quarter(d)::VARCHAR", "' '", "year(d)::VARCHAR")),
+    (("'Q'", "quarter(o_orderdate)", "'-'", "year(o_orderdate)"), ("'Q'", "quarter(d)::VARCHAR", "'-'", "year(d)::VARCHAR")),
+)])
+_spelled("parse_digits", [
+    ("date_format(o_orderdate, 'yyyy')", "strftime(d, '%Y')", "strftime(d, '%Y-01-01')"),
+    ("date_format(o_orderdate, 'yyyyMM')", "strftime(d, '%Y%m')", _MONTH),
+    ("date_format(o_orderdate, 'yyyyMMdd')", "strftime(d, '%Y%m%d')", _DAY),
+    ("concat(year(o_orderdate), '13')", "strftime(d, '%Y13')", None),
+])
 
 
 # --- drift -------------------------------------------------------------------------------------------------
@@ -496,12 +523,32 @@ def psi_numeric_quantile(spark, sf_dir):
     return rounded(drift.psi(moved(spark, sf_dir, "value"), ["value"], ["middle", "late"], buckets="quantiles"), "value")
 
 
-@query("WITH s AS (SELECT 1e-4 AS x, 1.0::DOUBLE AS a) SELECT 'amount' AS feature, 'later' AS snapshot, round((a - x) * ln(a / x) + (x - 1) * ln(x / 1), 6) AS value FROM s")
+_FLAT = "SELECT CASE WHEN strftime(o_orderdate, '%Y') = '1995' THEN '' ELSE 'later' END AS p, CASE WHEN strftime(o_orderdate, '%Y') = '1995' THEN 1 ELSE least(o_orderkey % 4, 2) END AS v FROM orders"
+
+
+@query(f"WITH t AS ({_FLAT}), b AS (SELECT v, greatest(count(*) FILTER (p = '') / (SELECT count(*) FROM t WHERE p = ''), 1e-4::DOUBLE) AS e, greatest(count(*) FILTER (p = 'later') / (SELECT count(*) FROM t WHERE p = 'later'), 1e-4::DOUBLE) AS a FROM t GROUP BY v) SELECT 'amount' AS feature, 'later' AS snapshot, round(sum((a - e) * ln(a / e)), 6) AS value FROM b")
 def psi_constant(spark, sf_dir):
-    frame = spark.createDataFrame([(drift.BASELINE, 1.0)] * 3 + [("later", 2.0)] * 3, "population string, amount double")
+    """A baseline of one value against orders below, at and above it."""
+    base = F.year("o_orderdate") == 1995
+    amount = F.when(base, 1.0).otherwise(F.least(F.col("o_orderkey") % 4, F.lit(2)).cast("double"))
+    frame = read(spark, sf_dir, "orders").select(F.when(base, drift.BASELINE).otherwise("later").alias("population"), amount.alias("amount"))
     return rounded(drift.psi(frame, ["amount"], ["later"]), "value")
 
 
+#: Days of shipping as snapshots against those before 1996: one plan of fixed width.
+_DAILY = "SELECT CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' THEN '' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS p, l_quantity AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'"
+
+
+@query(f"WITH t AS ({_DAILY}), f AS (SELECT p, v, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2), s AS (SELECT p, sum(n) AS total FROM f GROUP BY p), v AS (SELECT DISTINCT v FROM t), g AS (SELECT s.p, v.v, sum(coalesce(n, 0)) OVER (PARTITION BY s.p ORDER BY v.v) / total AS c, lead(v.v) OVER (PARTITION BY s.p ORDER BY v.v) - v.v AS w FROM s CROSS JOIN v LEFT JOIN f ON f.p = s.p AND f.v = v.v), b AS (SELECT v, c AS c0 FROM g WHERE p = '') SELECT 'l_quantity' AS feature, p AS snapshot, round(max(abs(c - c0)), 6) AS ks, round(sum(abs(c - c0) * coalesce(w, 0)), 6) AS wasserstein FROM g JOIN b USING (v) WHERE p <> '' GROUP BY p")
+def drift_of_days(spark, sf_dir):
+    """Every day's distances from the years before: about a thousand snapshots."""
+    rows = read(spark, sf_dir, "lineitem").where("l_shipdate < timestamp '1999-01-01'")
+    day = F.when(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz"), drift.BASELINE).otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    frame = rows.select(day.alias("population"), "l_quantity")
+    found = drift.cdf_distances(frame, ["l_quantity"], drift.populations(frame))
+    return rounded(found, "ks", "wasserstein").select("feature", "snapshot", "ks", "wasserstein")
+
+
 _LEVELS = f"WITH t AS (SELECT p, kind AS v FROM ({_MOVED})), l AS (SELECT DISTINCT v FROM t), s AS (SELECT p, count(*) AS total FROM t GROUP BY 1), c AS (SELECT p, v, count(*) AS n FROM t GROUP BY 1, 2), g AS (SELECT s.p, l.v, s.total, (SELECT total FROM s WHERE p = '') AS total0, coalesce(c.n, 0) AS n, coalesce(z.n, 0) AS n0 FROM s CROSS JOIN l LEFT JOIN c ON c.p = s.p AND c.v = l.v LEFT JOIN c z ON z.p = '' AND z.v = l.v WHERE s.p <> '') "
 
 
