@@ -69,6 +69,9 @@ class DriftAssessment:
         self.interval = tp.normalise_interval(interval)
         keep = [*self.columns, *([score_column] if score_column else [])]
 
+        if "population" in [c.lower() for c in keep]:
+            raise ValueError("'population' names the snapshots; rename that column before it is assessed")
+
         def prepared(source: Source, extra: Sequence[str] = ()) -> DataFrame:
             frame = readers.as_frame(self.spark, source)
             if one_hot is not None:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import kinds
+from ..operators import frequency as fq
+from ..scratch import Scratch
 
 #: Most distinct values, and largest share of rows, of text that is worth encoding as categories.
 MOST_LEVELS, MOST_SHARE = 10_000, 0.5
 #: Rows are counted in ``2**RANGE_BITS`` ranges of their hash to find a sample's threshold.
 RANGE_BITS = 14
+#: Copies of a row that are made at once.
+COPIES = 10_000
 
 
 def combine(tables: Mapping[str, DataFrame], tag: str = "Dataset") -> DataFrame:
@@ -85,14 +91,44 @@ def collapse_one_hot(df: DataFrame, features: str | Sequence[str] | Mapping[str,
     return df.select(*out)
 
 
+def _split(seed: int):
+    """In which ranges the copies of each repeated row lie: independent places, drawn from the row's hash, so anew the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges, unsigned = 1 << RANGE_BITS, (1 << 64) - 1
+        for b in batches:
+            at, bins, copies = [], [], []
+            for i, (row, other, times) in enumerate(zip(*(b[c].to_pylist() for c in ("_row", "_other", "_times")), strict=True)):
+                draw = np.random.default_rng([seed & unsigned, row & unsigned, other & unsigned])
+                n = np.bincount(draw.integers(0, ranges, times), minlength=ranges) if times <= ranges else draw.multinomial(times, np.full(ranges, 1 / ranges))
+                own = np.flatnonzero(n)
+                at.append(np.full(len(own), i))
+                bins.append(own)
+                copies.append(n[own])
+                if sum(map(len, at)) > 100_000:
+                    yield _taken(b, at, bins, copies)
+                    at, bins, copies = [], [], []
+            if at:
+                yield _taken(b, at, bins, copies)
+
+    return run
+
+
+def _taken(b: pa.RecordBatch, at: list[np.ndarray], bins: list[np.ndarray], copies: list[np.ndarray]) -> pa.RecordBatch:
+    rows = b.take(pa.array(np.concatenate(at)))
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(bins).astype(np.int32)), pa.array(np.concatenate(copies).astype(np.int64))], [*rows.schema.names, "_bin", "_copies"])
+
+
 def sample(df: DataFrame, *, percent: float | None = None, rows: int | None = None, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
     """An exact number of rows, of the table or of each group of ``by``: percent of them (at least one) or ``rows``.
 
-    A seeded hash of all their columns orders rows, so the sample doesn't depend on partitions. Repeated rows are
-    sampled one by one: their hashes also take a seeded random number of each row, which is the same at every read
-    of a table whose partitions are. Which rows repeat is found by counting hashes, with eight bytes a row.
+    A seeded hash of all their columns orders rows. Repeated rows, found by counting hashes of 128 bits, are sampled one
+    by one: how many copies lie in each range of the hash is drawn with a seed from the hash, and the result has as many
+    copies of the row. So the sample is a function of the table's rows alone, whatever its partitions are, and a
+    retried task finds the same again.
+
     The threshold that leaves the wanted number is found from counts of hash ranges; only rows in the range of the
-    threshold are ranked, so no task sorts all rows of a group.
+    threshold are ranked, so no task sorts all rows of a group, and many copies of a row are made in parts.
     """
     if (percent is None) == (rows is None):
         raise ValueError("give percent or rows")
@@ -100,24 +136,49 @@ def sample(df: DataFrame, *, percent: float | None = None, rows: int | None = No
         raise ValueError("percent must be above 0 and at most 100")
     if percent == 100:
         return df
-    own, group = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]), list(by) or ["_all"]
-    repeated = df.select(own.alias("_row")).groupBy("_row").agg(F.count("*").alias("_times")).where("_times > 1").select("_row", F.lit(True).alias("_again"))
-    marked = df.withColumns({"_row": own, "_draw": F.rand(seed)}).join(repeated, "_row", "left")
-    h = F.when(F.col("_again"), F.xxhash64("_row", "_draw")).otherwise(F.col("_row"))
-    marked = marked.withColumn("_h", h).withColumns({"_bin": F.shiftrightunsigned("_h", 64 - RANGE_BITS).cast("int")} | ({} if by else {"_all": F.lit(0)}))
-    counts = marked.groupBy(*group, "_bin").agg(F.count("*").alias("_n"))  # at most a row for each range and group
+    cells = []
+    for f in df.schema:  # nulls leave no trace in a hash, so they are hashed as such
+        c = F.col(f"`{f.name}`")
+        cells += [c.isNull(), F.to_json(F.struct(c.alias("v"))) if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) else c]
+    group = [f"_g{i}" for i in range(len(by))] or ["_g0"]
+    keys = [F.col(f"`{c}`").alias(g) for c, g in zip(by, group, strict=False)] or [F.lit(0).alias("_g0")]
+    marked = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_kept"), *keys, F.xxhash64(F.lit(seed), *cells).alias("_row"), F.xxhash64(F.lit(~seed), *cells).alias("_other"))
+    bin_ = F.shiftrightunsigned("_row", 64 - RANGE_BITS).cast("int").alias("_bin")
+    name = ["_row", "_other"]
+    scratch = Scratch(df.sparkSession, "sample")
+    repeated = scratch.table(marked.groupBy(*name).agg(F.count("*").alias("_times"), *[F.first(g).alias(g) for g in group]).where("_times > 1"), "repeated")
+    alone, copies = marked, None
+    if not repeated.isEmpty():
+        flagged = marked.join(repeated.select(*name, F.lit(True).alias("_again")), name, "left")
+        alone = flagged.where("_again is null").drop("_again")
+        copies = scratch.table(repeated.mapInArrow(_split(seed), T.StructType([*repeated.schema, T.StructField("_bin", T.IntegerType()), T.StructField("_copies", T.LongType())])), "copies")
+    counts = alone.select(*group, bin_).groupBy(*group, "_bin").agg(F.count("*").alias("_n"))  # at most a row for each range and group
+    if copies is not None:
+        counts = counts.union(copies.groupBy(*group, "_bin").agg(F.sum("_copies"))).groupBy(*group, "_bin").agg(F.sum("_n").alias("_n"))
     everything = F.sum("_n").over(Window.partitionBy(*group))
     # half to even, as the size is defined
     wanted = F.least(everything, F.lit(rows)) if rows is not None else F.greatest(F.lit(1), F.bround(everything * (percent / 100.0), 0).cast("long"))
     cum = counts.withColumns({"_cum": F.sum("_n").over(Window.partitionBy(*group).orderBy("_bin")), "_wanted": wanted})
     before = F.col("_cum") - F.col("_n")
-    edge = cum.where((F.col("_cum") >= F.col("_wanted")) & (before < F.col("_wanted"))).select(*[F.col(f"`{c}`").alias(f"_g{i}") for i, c in enumerate(group)], F.col("_bin").alias("_edge"), (F.col("_wanted") - before).alias("_rest"))
-    same = reduce(lambda p, q: p & q, [F.col(f"`{c}`").eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)])
-    joined = marked.join(edge if by else F.broadcast(edge), same)  # without groups the edge is one row
-    below = joined.where("_bin < _edge")
-    at = joined.where("_bin = _edge").withColumn("_rank", F.row_number().over(Window.partitionBy(*group, "_bin").orderBy("_h", "_draw"))).where("_rank <= _rest")
-    out = [F.col(f"`{c}`") for c in df.columns]
-    return below.select(out).union(at.select(out))
+    edge = cum.where((F.col("_cum") >= F.col("_wanted")) & (before < F.col("_wanted"))).select(*group, F.col("_bin").alias("_edge"), (F.col("_wanted") - before).alias("_rest"))
+    if copies is not None:
+        edge = scratch.table(edge, "edge")
+    placed = fq.joined(alone.select("*", bin_), edge, group)
+    near = placed.where("_bin = _edge").select(*group, "_rest", F.col("_row").alias("_order"), *name, F.lit(False).alias("_again"), "_kept")
+    if copies is not None:
+        drawn = fq.joined(copies, edge, group)
+        parts = drawn.where("_bin = _edge").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+        near = near.union(parts.select(*group, "_rest", F.xxhash64(*name, "_i"), *name, F.lit(True), F.lit(None).cast(marked.schema["_kept"].dataType)))
+    last = near.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy("_order", *name))).where("_rank <= _rest")
+    if copies is None:
+        return placed.where("_bin < _edge").select("_kept.*").union(last.select("_kept.*"))
+    last = scratch.table(last.select(*name, "_again", "_kept"), "last")
+    out = placed.where("_bin < _edge").select("_kept").union(last.where("not _again").select("_kept"))
+    n = drawn.where("_bin < _edge").select(*name, F.col("_copies").alias("_n")).union(last.where("_again").select(*name, F.lit(1).cast("long"))).groupBy(*name).agg(F.sum("_n").alias("_n"))
+    each = flagged.where("_again").groupBy(*name).agg(F.first("_kept").alias("_kept")).join(n, name)
+    chunks = each.select("_kept", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))).alias("_from")).repartition("_from")
+    made = chunks.select("_kept", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + COPIES, F.col("_n")) - 1)).alias("_i")).select("_kept")
+    return out.union(made).select("_kept.*")
 
 
 def dtype_summary(df: DataFrame) -> DataFrame:

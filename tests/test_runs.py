@@ -186,6 +186,32 @@ def test_segments_are_sampled_each(spark):
     assert any("constant" in n for n in profiling.run_profiling(df.where("s = 'few'"), by="s").notes)
 
 
+def test_samples_of_copies_are_the_same_under_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "COPIES", 7)
+    # a third of the rows are one row, others stand once or a few times; nulls change places, arrays hold them
+    rows = [("hot", None, [1, None])] * 400 + [(f"few {i % 90}", "x", None) for i in range(300)] + [(None if i % 2 else "ab", "ab" if i % 2 else None, [None, i]) for i in range(500)]
+    rows += [(None, "swap", None), ("swap", None, None)] * 3
+    df = spark.createDataFrame(rows, "a string, `b.c` string, v array<int>")
+    get = lambda d: sorted(map(str, d.collect()))
+    kept = [get(prepare.sample(df.repartition(n), percent=20, seed=5)) for n in (1, 3, 8)]
+    shuffled = prepare.sample(df.repartition(6, F.rand()), percent=20, seed=5)  # rows in other places at each read
+    assert kept[0] == kept[1] == kept[2] == get(shuffled) == get(shuffled) and len(kept[0]) == round(0.2 * len(rows))
+    have = sorted(map(str, df.collect()))
+    assert all(kept[0].count(r) <= have.count(r) for r in set(kept[0])) and kept[0] != get(prepare.sample(df, percent=20, seed=6))
+    assert 40 < sum("hot" in r for r in kept[0]) < 120
+    by = prepare.sample(df, rows=50, by=["b.c"], seed=5).groupBy("`b.c`").count().collect()
+    assert {r[0]: r[1] for r in by} == {None: 50, "x": 50, "ab": 50, "swap": 3}
+
+
+def test_copies_are_drawn_evenly(spark):
+    df = spark.range(40).select((F.col("id") % 4).alias("k"))
+    seen = [0, 0, 0, 0]
+    for seed in range(12):
+        for r in prepare.sample(df, rows=20, seed=seed).collect():
+            seen[r["k"]] += 1
+    assert sum(seen) == 240 and all(40 < n < 80 for n in seen)
+
+
 def test_repeated_rows_in_a_sample(spark):
     df = spark.createDataFrame([("a",)] * 50, "v string")
     assert prepare.sample(df, rows=20).count() == 20
