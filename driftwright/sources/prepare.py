@@ -146,9 +146,10 @@ def sample(df: DataFrame, *, percent: float | None = None, rows: int | None = No
     bin_ = F.shiftrightunsigned("_row", 64 - RANGE_BITS).cast("int").alias("_bin")
     name = ["_row", "_other"]
     scratch = Scratch(df.sparkSession, "sample")
-    repeated = scratch.table(marked.groupBy(*name).agg(F.count("*").alias("_times"), *[F.first(g).alias(g) for g in group]).where("_times > 1"), "repeated")
     alone, copies = marked, None
-    if not repeated.isEmpty():
+    # eight bytes a row tell whether any may repeat
+    if not marked.groupBy("_row").agg(F.count("*").alias("_times")).where("_times > 1").isEmpty():
+        repeated = scratch.table(marked.groupBy(*name).agg(F.count("*").alias("_times"), *[F.first(g).alias(g) for g in group]).where("_times > 1"), "repeated")
         flagged = marked.join(repeated.select(*name, F.lit(True).alias("_again")), name, "left")
         alone = flagged.where("_again is null").drop("_again")
         copies = scratch.table(repeated.mapInArrow(_split(seed), T.StructType([*repeated.schema, T.StructField("_bin", T.IntegerType()), T.StructField("_copies", T.LongType())])), "copies")
@@ -161,8 +162,8 @@ def sample(df: DataFrame, *, percent: float | None = None, rows: int | None = No
     cum = counts.withColumns({"_cum": F.sum("_n").over(Window.partitionBy(*group).orderBy("_bin")), "_wanted": wanted})
     before = F.col("_cum") - F.col("_n")
     edge = cum.where((F.col("_cum") >= F.col("_wanted")) & (before < F.col("_wanted"))).select(*group, F.col("_bin").alias("_edge"), (F.col("_wanted") - before).alias("_rest"))
-    if copies is not None:
-        edge = scratch.table(edge, "edge")
+    edge = scratch.table(edge, "edge") if by or copies is not None else edge
+    edge = edge if by else F.broadcast(edge)  # a row for each group
     placed = fq.joined(alone.select("*", bin_), edge, group)
     near = placed.where("_bin = _edge").select(*group, "_rest", F.col("_row").alias("_order"), *name, F.lit(False).alias("_again"), "_kept")
     if copies is not None:

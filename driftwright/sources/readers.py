@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import prepare
+from . import lines, prepare
 
 DELIMITERS = (",", ";", "\t", "|")
 #: Texts that stand for a missing value.
@@ -43,11 +44,21 @@ def sniff_delimiter(lines: Sequence[str]) -> str:
 
 
 def content_token(spark: SparkSession, path: str) -> str:
-    """A fingerprint of a file's lines and of its header, made by the tasks that read them; equal for equal content at any path."""
-    lines = spark.read.text(path)
-    header = lines.select(F.xxhash64("value")).first()
-    row = lines.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)).alias("x"), F.coalesce(F.sum(F.xxhash64("value", F.lit(1)).cast("decimal(38,0)")), F.lit(0)).alias("s")).first()
-    return f"{row['n']:x}-{row['x'] & (1 << 64) - 1:016x}-{int(row['s']) & (1 << 128) - 1:032x}-{(header[0] if header else 0) & (1 << 64) - 1:016x}"
+    """The size and an ordered fingerprint of a file's content, equal for equal content at any path and for its bytes (``lines.fingerprint_of``)."""
+    return lines.fingerprint(spark, path)
+
+
+def _quoted(spark: SparkSession, path: str, delimiter: str) -> DataFrame:
+    """A table of texts from files whose quoted fields hold line breaks; each file has the header."""
+    own = lines.records(spark, path, delimiter)
+    header = F.col("start") + F.col("at") == 0
+    first = own.where(header).orderBy("file").first()
+    names = next(csv.reader([first["value"].removeprefix("\ufeff")], delimiter=delimiter)) if first else []
+    schema = T.StructType([T.StructField(c or f"_c{i}", T.StringType()) for i, c in enumerate(names)])
+    if len(set(names)) < len(names):
+        raise ValueError("duplicate column names")
+    rows = own.where(~header & (F.trim("value") != ""))
+    return rows.select(F.from_csv("value", schema.toDDL(), {"sep": delimiter, "escape": '"', "multiLine": "true"}).alias("row")).select("row.*")
 
 
 def _typed(raw: DataFrame) -> DataFrame:
@@ -72,8 +83,8 @@ def _typed(raw: DataFrame) -> DataFrame:
 def load_table(spark: SparkSession, path: str, *, delimiter: str | None = None, optimize: bool = True) -> LoadedTable:
     """Read delimited text with a header line. Types and missing values are found over all rows.
 
-    Quoted fields may hold line breaks: where a line has an odd number of quotes, files are read whole, each by one
-    task, as only then breaks in quotes can be told from ends of rows. Other files are split.
+    Quoted fields may hold line breaks: where a line has an odd number of quotes, records are put together from lines
+    (``lines.records``). Files are read in splits either way.
     """
     if delimiter is not None and len(delimiter) != 1:
         raise ValueError("the delimiter must be one character")
@@ -81,7 +92,7 @@ def load_table(spark: SparkSession, path: str, *, delimiter: str | None = None,
         delimiter = sniff_delimiter([r["value"] for r in spark.read.text(path).limit(20).collect()])
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     broken = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    raw = spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, multiLine=broken, escape='"')
+    raw = _quoted(spark, path, delimiter) if broken else spark.read.csv(path, sep=delimiter, header=True, inferSchema=False, escape='"')
     if len(set(raw.columns)) < len(raw.columns):
         raise ValueError("duplicate column names")
     frame = _typed(raw)
