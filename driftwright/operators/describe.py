@@ -46,25 +46,51 @@ def _finish(counts: DataFrame, stats: DataFrame, keys: Sequence[str], extra: Seq
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), *, ranges: int | None = None, type_labels: Mapping[str, str] | None = None) -> DataFrame:
-    """A row for each numeric column: missing, zeros, mode, and exact quantiles. Infinite values are ordinary ones.
-
-    Distinct values and modes of 64-bit integers and decimals are counted as such, not as doubles. The types of
-    columns that were narrowed can be reported as they were by ``type_labels``.
-    """
+def states(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """What ``describe`` is made from, as tables that ``merged`` adds up over parts of a table: counts of cells, frequencies
+    of values as doubles, and of 64-bit integers and decimals as such."""
     names = kinds.columns_of(df, kinds.NUMERIC, [c for c in (columns or df.columns) if c not in keys])
     if not names:
         raise ValueError("no numeric columns")
-    group = [*keys, "feature"]
-    freq = fq.frequencies(fq.long_numbers(df, names, keys), keys)
-    stats = fq.modes(freq, group)
+    out = {"counts": _counts(df, names, keys), "numbers": fq.frequencies(fq.long_numbers(df, names, keys), keys)}
     exact = fq.integral(df, names)
     if exact:
         cells = fq._melt(df.select(*keys, *[F.col(f"`{c}`").cast("decimal(38,6)").alias(f"_{i}") for i, c in enumerate(exact)]), exact, keys).where("value is not null")
-        own = fq.modes(fq.frequencies(cells, keys), group).withColumn("mode", F.col("mode").cast("double"))
-        stats = stats.where(~F.col("feature").isin(exact)).unionByName(own)
-    quantiles = fq.quantiles(freq, group, (0.0, *QUANTILES, 1.0), ("min", "q01", "q50", "q99", "max"), ranges=ranges).drop("total")
-    out = _finish(_counts(df, names, keys), stats.join(quantiles, group, "left"), keys, ("min", "q01", "q50", "q99", "max"))
+        out["exact"] = fq.frequencies(cells, keys)
+    return out
+
+
+def merged(parts: Mapping[str, DataFrame], keys: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """States of a whole table from those of its parts, given as unions. A column of several types is of type ``mixed``; if
+    some parts count it as doubles, the whole does."""
+    kind = F.when(F.min("data_type") == F.max("data_type"), F.min("data_type")).otherwise("mixed").alias("data_type")
+    counts = parts["counts"].groupBy(*keys, "feature").agg(F.sum("n_rows").alias("n_rows"), F.min("position").alias("position"), kind, F.sum("n_valid").alias("n_valid"), F.sum("n_zeros").alias("n_zeros"))
+    out = {"counts": counts, **{n: t.groupBy(*keys, "feature", "value").agg(F.sum("n").alias("n")) for n, t in parts.items() if n != "counts"}}
+    if "exact" in out:
+        group = [*keys, "feature"]
+        whole = fq.joined(counts.select(*group, "n_valid"), parts["exact"].groupBy(*group).agg(F.sum("n").alias("n_exact")), group).where("n_valid = n_exact")
+        out["exact"] = fq.joined(out["exact"], whole.select(*group), group)
+    return out
+
+
+def described(own: Mapping[str, DataFrame], keys: Sequence[str] = (), *, ranges: int | None = None) -> DataFrame:
+    """The result of ``describe`` from the states of a table."""
+    group = [*keys, "feature"]
+    stats = fq.modes(own["numbers"], group)
+    if "exact" in own:
+        exact = fq.modes(own["exact"], group).withColumn("mode", F.col("mode").cast("double"))
+        stats = stats.join(exact.select(*group), group, "left_anti").unionByName(exact)
+    quantiles = fq.quantiles(own["numbers"], group, (0.0, *QUANTILES, 1.0), ("min", "q01", "q50", "q99", "max"), ranges=ranges).drop("total")
+    return _finish(own["counts"], stats.join(quantiles, group, "left"), keys, ("min", "q01", "q50", "q99", "max"))
+
+
+def describe(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = (), *, ranges: int | None = None, type_labels: Mapping[str, str] | None = None) -> DataFrame:
+    """A row for each numeric column: missing, zeros, mode, and exact quantiles. Infinite values are ordinary ones.
+
+    Distinct values and modes of 64-bit integers and decimals are counted as such, not as doubles. The types of
+    columns that were narrowed can be reported as they were by ``type_labels``.
+    """
+    out = described(states(df, columns, keys), keys, ranges=ranges)
     for name, label in (type_labels or {}).items():
         out = out.withColumn("data_type", F.when(F.col("feature") == name, label).otherwise(F.col("data_type")))
     return out

@@ -29,6 +29,11 @@ class DriftSettings:
     sample_percent: float = 100.0
     seed: int = 0
 
+    @classmethod
+    def interactive(cls, **changes) -> DriftSettings:
+        """What an interactive session starts from: missing values are shown too."""
+        return cls(**{"missing": True, **changes})
+
     def key(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 

@@ -32,6 +32,11 @@ class ProfilingSettings:
     max_correlation_rows: int | None = None
     seed: int = 0
 
+    @classmethod
+    def interactive(cls, **changes) -> ProfilingSettings:
+        """What an interactive session starts from: Spearman's correlations and ten bins."""
+        return cls(**{"correlation_methods": ("spearman",), "n_bins": 10, **changes})
+
     def check(self) -> None:
         for name in ("n_bins", "max_categories", "seed"):
             v = getattr(self, name)

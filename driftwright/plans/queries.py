@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import timeperiods as tp
 from ..operators import correlate, describe, distribute, drift, segment, trends
 from ..operators import frequency as fq
+from ..scratch import Scratch
 from ..sources import prepare
-from . import assessment, profiling
+from . import assessment, cache, profiling
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -166,6 +167,16 @@ def describe_numeric(spark, sf_dir):
     return rounded(describe.describe(gaps(spark, sf_dir), LINE), *_Q)
 
 
+@query(_describe_sql(GAPS, {"l_discount": "double", "l_quantity": "double", "l_orderkey": "bigint"}))
+def describe_appended(spark, sf_dir):
+    """Lines of one flag after another: each call counts only the new ones, and adds the kept counts of the others."""
+    lines, root, parts = gaps(spark, sf_dir), Scratch(spark, "appended").at, {}
+    for flag in ("A", "N", "R"):
+        parts[flag] = lambda flag=flag: lines.where(F.col("l_returnflag") == flag)
+        own = cache.appended(spark, root, parts, "describe", lambda df: describe.states(df, ["l_discount", "l_quantity", "l_orderkey"]))
+    return rounded(describe.described(describe.merged(own)), *_Q)
+
+
 @query(_describe_sql("SELECT * FROM customer", {"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double"}))
 def describe_customer(spark, sf_dir):
     return rounded(describe.describe(read(spark, sf_dir, "customer")), *_Q)

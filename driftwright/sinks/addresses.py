@@ -6,9 +6,12 @@ import re
 from datetime import datetime, timezone
 from os import PathLike
 from pathlib import PurePosixPath
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
 
 #: Schemes of stores that aren't local files.
 SCHEMES = ("abfs", "abfss", "adl", "dbfs", "gs", "hdfs", "s3", "s3a", "wasbs")
+#: Fixed value: the time zone of the names of runs.
+REPORT_ZONE = "America/Toronto"
 
 
 def is_remote(address: str) -> bool:
@@ -75,9 +78,18 @@ def unique_names(texts: list[str], *, longest: int = 31) -> list[str]:
     return out
 
 
-def run_stamp(now: datetime | None = None) -> str:
-    """UTC time for the name of a run."""
-    return (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
+def report_time(zone: str = REPORT_ZONE, now: datetime | None = None) -> datetime:
+    """``now`` (the clock's time by default) in ``zone``; in UTC where the machine doesn't know the zone."""
+    now = now or datetime.now(timezone.utc)
+    try:
+        return now.astimezone(ZoneInfo(zone))
+    except (ZoneInfoNotFoundError, ValueError):
+        return now.astimezone(timezone.utc)
+
+
+def run_stamp(prefix: str = "", zone: str = REPORT_ZONE, now: datetime | None = None) -> str:
+    """A name of a run that sorts by time, such as ``drift_20240131_235959``."""
+    return "_".join([*([prefix] if prefix else []), report_time(zone, now).strftime("%Y%m%d_%H%M%S")])
 
 
 class OutputFolder:

@@ -2,30 +2,24 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
+import uuid
 from collections.abc import Iterator, Mapping
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from . import addresses as ad
+from . import archive
 
 #: Result tables have a row for each feature, bin or pair; larger ones are written by the executors instead.
 MOST_ROWS = 200_000
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    return df.select([F.col(f"`{c}`").cast("string").alias(c) if t.startswith(("array", "struct", "map")) else F.col(f"`{c}`") for c, t in df.dtypes])
-
-
 def _csv(df: DataFrame) -> bytes | None:
     """A table as CSV, or nothing if it has more than ``MOST_ROWS`` rows."""
-    rows = _flat(df).limit(MOST_ROWS + 1).toPandas()
-    return None if len(rows) > MOST_ROWS else rows.to_csv(index=False).encode()
+    rows = archive.flat(df).limit(MOST_ROWS + 1).toArrow()
+    return None if rows.num_rows > MOST_ROWS else archive.csv_text(rows, header=True)
 
 
 def bundle_files(tables: Mapping[str, DataFrame], metadata: Mapping, *, title: str = "Report") -> Iterator[tuple[str, bytes]]:
@@ -41,21 +35,49 @@ def bundle_files(tables: Mapping[str, DataFrame], metadata: Mapping, *, title: s
     yield "README.txt", ("\n".join([title, "", *listing, "- metadata.json: settings, features, notes"]) + "\n").encode()
 
 
+def _members(tables: Mapping[str, DataFrame], metadata: Mapping, title: str, scratch: Scratch) -> Iterator[archive.Member]:
+    listing = []
+    for number, (name, df) in enumerate(tables.items(), 1):
+        path = f"{number:02d}_{ad.safe_name(name)}.csv"
+        listing.append(f"- {path}")
+        content = _csv(df)
+        yield archive.table_member(df, path, scratch) if content is None else archive.small_member(path, content)
+    yield archive.small_member("metadata.json", json.dumps(metadata, indent=2, default=str).encode())
+    yield archive.small_member("README.txt", ("\n".join([title, "", *listing, "- metadata.json: settings, features, notes"]) + "\n").encode())
+
+
+def zip_pieces(spark: SparkSession, tables: Mapping[str, DataFrame], metadata: Mapping, *, title: str = "Report") -> Iterator[bytes]:
+    """The bytes of an archive of all tables, whatever their size, in order; those of large tables are compressed by tasks."""
+    scratch = Scratch(spark, "archive")
+    try:
+        yield from archive.archive(_members(tables, metadata, title, scratch))
+    finally:
+        scratch.drop()
+
+
 def build_zip(tables: Mapping[str, DataFrame], metadata: Mapping, *, title: str = "Report") -> bytes:
-    """All tables of a report in one archive, whatever their size; rows reach it partition by partition."""
-    out, listing = io.BytesIO(), []
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for number, (name, df) in enumerate(tables.items(), 1):
-            path, flat = f"{number:02d}_{ad.safe_name(name)}.csv", _flat(df)
-            listing.append(f"- {path}")
-            with z.open(path, "w", force_zip64=True) as file:
-                file.write(pd.DataFrame(columns=flat.columns).to_csv(index=False).encode())
-                rows = flat.toLocalIterator()
-                while some := list(islice(rows, 10_000)):
-                    file.write(pd.DataFrame(some, columns=flat.columns).to_csv(index=False, header=False).encode())
-        z.writestr("metadata.json", json.dumps(metadata, indent=2, default=str))
-        z.writestr("README.txt", "\n".join([title, "", *listing, "- metadata.json: settings, features, notes"]) + "\n")
-    return out.getvalue()
+    """An archive that fits in the driver's memory; ``write_zip`` needs no such memory."""
+    return b"".join(zip_pieces(SparkSession.active(), tables, metadata, title=title))
+
+
+def write_zip(spark: SparkSession, tables: Mapping[str, DataFrame], metadata: Mapping, address: str, *, title: str = "Report") -> str:
+    """Write the archive to any store that Spark reaches; it appears under its name, in place of an older one, when it is whole."""
+    jvm, beside = spark._jvm, f"{address}.{uuid.uuid4().hex}"
+    path, whole = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(address)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(path, True)
+        try:
+            for piece in zip_pieces(spark, tables, metadata, title=title):
+                out.write(bytearray(piece))
+        finally:
+            out.close()
+        fs.delete(whole, False)
+        if not fs.rename(path, whole):
+            raise OSError(f"{address} can't be written")
+    finally:
+        fs.delete(path, False)
+    return address
 
 
 def write_bytes(spark: SparkSession, address: str, content: bytes) -> str:

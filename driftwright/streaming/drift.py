@@ -17,7 +17,7 @@ def bucket_counts(stream: DataFrame, edges: DataFrame, columns: Sequence[str], *
     Rows that come later than ``late`` behind the newest are dropped, and a window is final once that has passed.
     """
     cells = fq.long_numbers(stream.withWatermark(time, late), columns, [time], only_finite=True)
-    bins = cells.join(F.broadcast(edges), "feature").select(time, "feature", drift.bucket(F.col("value")).alias("bin"))
+    bins = cells.join(edges, "feature").select(time, "feature", drift.bucket(F.col("value")).alias("bin"))
     return bins.groupBy(F.window(time, window).alias("window"), "feature", "bin").agg(F.count("*").alias("n"))
 
 

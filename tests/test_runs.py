@@ -1,20 +1,28 @@
 """Dates, preparation, whole runs, reports and streams."""
 
+import csv
 import json
+import random
+import threading
 import zipfile
-from io import BytesIO
+import zlib
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta, timezone
+from io import BytesIO, StringIO
 from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from driftwright.functions import pvalues
 from driftwright.functions import timeperiods as tp
-from driftwright.operators import drift
+from driftwright.operators import describe, drift
 from driftwright.plans import assessment, cache, profiling
 from driftwright.sinks import addresses as ad
-from driftwright.sinks import report
+from driftwright.sinks import archive, report
 from driftwright.sources import prepare, readers
 from driftwright.streaming import drift as streamed
 
@@ -95,6 +103,30 @@ def test_large_tables_are_in_the_archive(spark, monkeypatch):
         assert sorted(map(int, z.read("01_big.csv").decode().split()[1:])) == list(range(25000)) and z.read("02_none.csv") == b"id\n"
 
 
+def test_archive_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "MOST_ROWS", 5)
+    monkeypatch.setattr(archive, "FETCH", 5000)
+    odd = spark.range(3000, numPartitions=4).select(
+        "id", F.when(F.col("id") % 3 > 0, F.col("id")).alias("gaps"), F.lit('a,"b"\n\u00e9').alias("a.b"), F.array("id").alias("list"), F.timestamp_seconds("id").alias("at"), F.when(F.col("id") != 7, F.lit(0.5)).alias("x")
+    )
+    (tmp_path / "r.zip").write_bytes(b"older")
+    long = spark.range(60000, numPartitions=2).select("id", F.repeat(F.lit("x"), F.lit(100)).alias("x"))  # three pieces a task
+    at = report.write_zip(spark, {"odd": odd, "few": odd.limit(2), "none": odd.limit(0), "gone": odd.where("id < 0"), "long": long}, {"a": 1}, str(tmp_path / "r.zip"))
+    with zipfile.ZipFile(at) as z:
+        assert z.testzip() is None and len(z.namelist()) == 7
+        rows = list(csv.reader(StringIO(z.read("01_odd.csv").decode(), newline="")))
+        assert rows[0] == ["id", "gaps", "a.b", "list", "at", "x"] and len(rows) == 3001
+        assert rows[1:] == [[str(i), str(i) if i % 3 else "", 'a,"b"\n\u00e9', f"[{i}]", str(datetime(1970, 1, 1) + timedelta(seconds=i)), "" if i == 7 else "0.5"] for i in range(3000)]
+        assert z.read("02_few.csv") == z.read("01_odd.csv")[: len(z.read("02_few.csv"))] and z.read("03_none.csv") == z.read("04_gone.csv")
+        assert z.read("05_long.csv").decode().split() == ["id,x", *[f"{i},{'x' * 100}" for i in range(60000)]]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("r.zip.")]
+
+
+@given(st.binary(max_size=300), st.binary(max_size=300))
+def test_joined_crc(a, b):
+    assert archive.joined_crc(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
 def test_output_folder():
     out = ad.OutputFolder("results/x")
     assert out.resolve() == "results/x" and out.set("s3://bucket/eda/") == "s3://bucket/eda" == out.resolve() and out.resolve("/tmp/y") == "/tmp/y"
@@ -334,6 +366,69 @@ def test_cached_results(spark, tmp_path):
     assert len(made) == 1
 
 
+def test_concurrent_runs_keep_one_whole_result(spark, tmp_path):
+    both = threading.Barrier(2)
+
+    def run(i):
+        def make():
+            both.wait(60)
+            return {n: spark.range(10).select(F.lit(i).alias("run")) for n in ("a", "b")}
+
+        return {r["run"] for t in cache.cached(spark, str(tmp_path), "k", make).values() for r in t.collect()}
+
+    with ThreadPoolExecutor(2) as pool:
+        seen = list(pool.map(run, range(2)))
+    again = {r["run"] for t in cache.cached(spark, str(tmp_path), "k", dict).values() for r in t.collect()}
+    assert all(len(s) == 1 for s in [*seen, again]) and again in seen
+
+
+def test_interrupted_run_is_not_taken(spark, tmp_path):
+    def broken():
+        return {"a": spark.range(3), "b": spark.range(3).select(F.raise_error(F.lit("broken")).alias("x"))}
+
+    with pytest.raises(Exception, match="broken"):
+        cache.cached(spark, str(tmp_path), "k", broken)
+    assert [p.name for p in (tmp_path / "k").iterdir()] == []
+    assert cache.cached(spark, str(tmp_path), "k", lambda: {"a": spark.range(4)})["a"].count() == 4
+
+
+def test_appended_files_only_cost_themselves(spark, tmp_path, monkeypatch):
+    rng, paths, counted = random.Random(5), [], []
+    states = describe.states
+    monkeypatch.setattr(describe, "states", lambda df, columns: counted.append(df.count()) or states(df, columns))
+    for i, n in enumerate((40, 1, 200)):
+        rows = [f"{rng.choice(['', '0', '7', str(rng.randrange(50))])},{rng.random():.2f},t" for _ in range(n)]
+        (tmp_path / f"{i}.csv").write_text("\n".join(["a,b,c", *rows]) + "\n")
+        paths.append(str(tmp_path / f"{i}.csv"))
+        got = cache.describe_files(spark, str(tmp_path / "kept"), [*paths, *paths[:1]], ["a", "b"])
+        assert counted == [40, 40, 1, 200][: i + 2]
+    monkeypatch.undo()
+    frames = [readers.as_frame(spark, p).select(F.col("a").cast("bigint"), "b") for p in [*paths, paths[0]]]
+    want = describe.describe(frames[0].union(frames[1]).union(frames[2]).union(frames[3]))
+    keep = [c for c in want.columns if c != "data_type"]
+    assert sorted(got.select(keep).collect()) == sorted(want.select(keep).collect())
+
+
+def test_columns_of_several_types_are_counted_as_doubles(spark):
+    whole, halves = spark.createDataFrame([(1,), (2,), (2,)], "a bigint"), spark.createDataFrame([(2.0,), (0.5,), (0.5,), (0.5,), (None,)], "a double")
+    one, two = describe.states(whole), describe.states(halves)
+    row = describe.described(describe.merged({"counts": one["counts"].union(two["counts"]), "numbers": one["numbers"].union(two["numbers"]), "exact": one["exact"]})).first()
+    assert (row["data_type"], row["n_unique"], row["mode"], row["n_missing"], row["max"]) == ("mixed", 3, 0.5, 1, 2.0)
+
+
+def test_interactive_settings():
+    s = profiling.ProfilingSettings.interactive(seed=3)
+    assert (s.correlation_methods, s.correlation_threshold, s.n_bins, s.features, s.sample_percent, s.seed) == (("spearman",), 0.65, 10, None, 100.0, 3)
+    d = assessment.DriftSettings.interactive()
+    assert (d.methods, d.n_buckets, d.buckets, d.means, d.deviations, d.missing, d.score, d.sample_percent) == (("psi",), 10, "bins", True, False, True, False, 100.0)
+
+
+def test_run_stamps():
+    summer, winter = (datetime(2024, m, 15, 2, 30, tzinfo=timezone.utc) for m in (7, 1))
+    assert ad.run_stamp("drift", now=summer) == "drift_20240714_223000" and ad.run_stamp(now=winter) == "20240114_213000"
+    assert ad.run_stamp(zone="UTC", now=summer) == ad.run_stamp(zone="No/Where", now=summer) == "20240715_023000"
+
+
 def test_addresses():
     assert ad.join_address("s3://b/x/", "/y", "z.csv") == "s3://b/x/y/z.csv"
     assert ad.is_remote("abfss://c@a/x") and ad.is_remote("dbfs:/x") and not ad.is_remote("/tmp/x") and not ad.is_remote("C:/x")
