@@ -5,8 +5,11 @@ its subdomains where the url's path starts with the rule's, and the longest one
 are judged by the words of their host and path. Both classes are learned from the corpus, where each distinct
 host counts once, so that a host with a third of all rows weighs no more than another: a host that fixed lists of
 words mark is unwanted, the others are ordinary, and each word's counts in both speak for or against it. A word
-that the corpus and the lists don't know says nothing. The probabilities of the words that names are cut into
-come from the corpus and the lists in equal parts.
+that the corpus and the lists don't know says nothing.
+
+The words that names are cut into are learned too: what stands by itself between other characters in hosts and
+paths of at least ``least_hosts`` hosts is a word, unless the lists cut it into several. Half of the
+probabilities is from the corpus, half from the lists.
 
 A null url or one without ``://`` has an empty host and path, no rule and the verdict ``allow``. Equal urls
 get equal results; each row stays. Very long urls are read in full. Ties between cuts go to the one with the
@@ -32,14 +35,14 @@ from .common import spare
 
 #: Words of unwanted sites, strong by themselves and weak ones that need company.
 STRONG = (
-    "adult", "bet", "bets", "betting", "bingo", "casino", "casinos", "cialis", "cracked", "escort", "escorts", "erotic", "farm", "fetish", "gambling", "hentai",
-    "hookup", "jackpot", "keygen", "lottery", "malware", "nude", "nudes", "pharma", "phish", "phishing", "pills", "poker", "porn", "porno", "roulette", "scam",
-    "sex", "sexy", "slots", "spam", "spammer", "steroids", "torrent", "torrents", "viagra", "virus", "warez", "weed", "xxx",
+    "adult", "bet", "bets", "betting", "bingo", "casino", "casinos", "cialis", "cracked", "escort", "escorts", "erotic", "fetish", "gambling", "hentai",
+    "hookup", "jackpot", "keygen", "malware", "nude", "nudes", "pharma", "phish", "phishing", "pills", "poker", "porn", "porno", "roulette", "scam",
+    "sex", "sexy", "slots", "spam", "spammer", "steroids", "viagra", "warez", "xxx",
 )
 WEAK = (
     "ads", "bonus", "bucks", "buy", "cam", "cams", "cash", "cheap", "chips", "clicks", "coin", "coins", "credit", "crypto", "dating", "deal", "deals", "diet",
-    "discount", "earn", "fast", "forex", "free", "girls", "hot", "instant", "live", "loan", "loans", "lucky", "meds", "mega", "money", "offer", "offers", "online",
-    "payday", "prize", "promo", "replica", "rich", "sale", "spin", "track", "tracker", "tracking", "traffic", "vip", "win", "winner", "wins", "x",
+    "discount", "earn", "farm", "fast", "forex", "free", "girls", "hot", "instant", "live", "loan", "loans", "lottery", "lucky", "meds", "mega", "money", "offer", "offers", "online",
+    "payday", "prize", "promo", "replica", "rich", "sale", "spin", "torrent", "torrents", "track", "tracker", "tracking", "traffic", "vip", "virus", "weed", "win", "winner", "wins", "x",
 )
 #: Ordinary words that names are often put together from.
 ORDINARY = (
@@ -78,10 +81,28 @@ def lexicon() -> dict[str, float]:
     return {w: math.log(p) for w, p in _masses().items()}
 
 
-def learned_lexicon(seen: np.ndarray) -> dict[str, float]:
-    """Log-probability of each known word, half of it from the lists and half from how many hosts hold it."""
-    total = int(seen.sum())
-    return {w: math.log((p + n / total) / 2) for (w, p), n in zip(_masses().items(), seen.tolist(), strict=True)} if total else lexicon()
+def learned_lexicon(seen: np.ndarray, learned: dict[str, int] | None = None) -> dict[str, float]:
+    """Log-probability of each known word, half of it from the lists and half from how many hosts hold it.
+
+    ``seen`` counts hosts of the listed words, ``learned`` those of others."""
+    learned = learned or {}
+    total = int(seen.sum()) + sum(learned.values())
+    if not total:
+        return lexicon()
+    listed = {w: math.log((p + n / total) / 2) for (w, p), n in zip(_masses().items(), seen.tolist(), strict=True)}
+    return listed | {w: math.log(n / total / 2) for w, n in learned.items()}
+
+
+def learned_words(df: DataFrame, *, url: str = "url", least_hosts: int = 3, most_words: int = 100_000) -> dict[str, int]:
+    """Words of four to twelve letters that stand by themselves in urls of ``least_hosts`` hosts, and of how many.
+
+    The model holds the ``most_words`` most frequent ones, the first in alphabetical order of equals."""
+    host, path = host_and_path(F.col(url))
+    words = F.split(F.concat_ws("/", F.col("host"), F.lower("path")), "[^a-z]+")
+    own = df.select(host.alias("host"), path.alias("path")).where("host <> ''").select("host", F.explode(F.array_distinct(words)).alias("word"))
+    known = own.where(F.length("word").between(4, 12) & ~F.col("word").isin(*PLAIN, *_masses())).distinct().groupBy("word").agg(F.count("*").alias("n"))
+    found = known.where(F.col("n") >= least_hosts).orderBy(F.desc("n"), "word").limit(most_words).toPandas()
+    return {w: n for w, n in zip(found["word"], found["n"].tolist(), strict=True) if pieces(w) == [w]}
 
 
 def segment(name: str, known: dict[str, float] | None = None) -> list[str]:
@@ -113,7 +134,7 @@ def pieces(name: str, known: dict[str, float] | None = None) -> list[str]:
     """The cut of ``name``, where a known word of under four letters that touches an unknown run is part of it.
 
     So few letters stand in other words by chance (``essex``, ``alphabet``)."""
-    listed, out, odd = lexicon(), [], False
+    listed, out, odd = lexicon() if known is None else known, [], False
     words = segment(name, known)
     for i, w in enumerate(words):
         loose = w not in listed or (len(w) < 4 and (odd or (i + 1 < len(words) and words[i + 1] not in listed)))
@@ -171,7 +192,7 @@ def train(df: DataFrame, *, url: str = "url") -> Model:
 
     Counts are of a fixed size whatever the corpus; hosts that the lists alone judge unwanted teach that class."""
     hosts = df.select(host_and_path(F.col(url))[0].alias("host")).where("host <> ''").distinct()
-    known = learned_lexicon(_counts(hosts, None)[:, BINS:].sum(axis=0))
+    known = learned_lexicon(_counts(hosts, None)[:, BINS:].sum(axis=0), learned_words(df, url=url))
     return Model(known, _counts(hosts, known))
 
 

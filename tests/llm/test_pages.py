@@ -71,6 +71,46 @@ def test_counts_of_both_classes_are_learned(spark):
     assert known["casino"] > known["garden"] - 1e-9 > urlfilter.lexicon()["garden"] and known["poker"] < urlfilter.lexicon()["poker"]
 
 
+def test_words_are_learned_from_hosts_and_paths(spark):
+    urls = [f"https://site{i}.org/daily-recipes/{p}" for i in range(3) for p in ("Sexshop", "expert/x1", "wind")] + ["https://site0.org/rarely", "https://site1.org/rarely"]
+    df = spark.createDataFrame([(u,) for u in [*urls, *urls, "no scheme", None]], "url string")
+    assert urlfilter.learned_words(df) == {"daily": 3, "recipes": 3, "expert": 3, "wind": 3} and urlfilter.learned_words(df, most_words=1) == {"daily": 3}
+    known = urlfilter.train(df).known
+    assert urlfilter.tokens("dailyrecipes.org", "/sexshop", known) == ["daily", "recipes", "sex", "shop"] and urlfilter.tokens("dailyrecipes", "") == ["dailyrecipes"]
+    assert urlfilter.tokens("expertexpert", "", known) == ["expert", "expert"]  # sex isn't found across them
+
+
+def test_words_of_two_senses_need_company(spark):
+    good = ["windfarm.org", "farm.org", "antivirus.com", "coronavirusinfo.org", "weedscience.org", "lotteryheritage.org.uk", "torrentsriver.org"]
+    assert [r["verdict"] for r in judged(spark, [f"https://{h}/en/1" for h in good])] == ["allow"] * len(good)
+
+
+def plain_log_odds(hosts, host, path):
+    """The verdict's number by plain dictionaries instead of hashed bins."""
+    listed = {**dict.fromkeys(urlfilter.WEAK, 1.0), **dict.fromkeys(urlfilter.STRONG, 8.0)}
+    total = sum(listed.values())
+    rare = 0.01 / (4.0 * len(urlfilter.ORDINARY) + 1000 + 200)
+    start = {w: 0.7 * n / total / rare + 0.3 for w, n in listed.items()}
+    prior = math.log(0.001 / 0.999)
+    seeds = urlfilter.Judge()
+    bad = [seeds.log_odds(sorted(own)) > 0 for own in hosts]
+    size, odds = {True: sum(bad), False: len(bad) - sum(bad)}, prior
+    for w in urlfilter.tokens(host, path):
+        n = {b: sum(w in own for own, mark in zip(hosts, bad, strict=True) if mark == b) for b in size}
+        share = sum(n.values()) / max(1, len(hosts))
+        odds += math.log((n[True] + 4.0 * start.get(w, 1.0)) / (share * size[True] + 4.0)) - math.log((n[False] + 4.0) / (share * size[False] + 4.0))
+    return odds
+
+
+def test_log_odds_equal_those_of_a_plain_scorer(spark):
+    urls = [f"https://{w}{i}.org/{p}" for i in range(9) for w, p in (("casino-zorblax", "a"), ("plain-garden", "poker/zorblax"), ("freebets", ""), ("quiet-zorblax", "x"))]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    model = urlfilter.Model(urlfilter.lexicon(), urlfilter._counts(df.select(urlfilter.host_and_path(F.col("url"))[0].alias("host")).distinct(), None))
+    hosts = [set(urlfilter.tokens(h, "")) for h in {u.split("/")[2] for u in urls}]
+    for r in urlfilter.apply(df, model).collect():
+        assert math.isclose(r["log_odds"], plain_log_odds(hosts, r["host"], r["path"]), abs_tol=1e-9) and r["verdict"] == ("block" if r["log_odds"] > 0 else "allow")
+
+
 def test_empty_and_repeated_urls(spark):
     df = spark.createDataFrame([], "page_id int, url string")
     assert urlfilter.apply(df, urlfilter.train(df), **RULES).count() == 0
