@@ -102,11 +102,44 @@ def _mixture(like: np.ndarray, first: np.ndarray, size: np.ndarray, allowed: np.
     return pi, np.add.reduceat(np.log(np.maximum((like * pi[own]).sum(1), 1e-300)), first)
 
 
+def _refined(words: np.ndarray, chosen: np.ndarray, value: float, price: float, most: int, rounds: int) -> np.ndarray:
+    """Proportions of one text after single languages are added, dropped or exchanged, as long as that raises its value.
+
+    A language is tried only where the slope of the likelihood leaves room for what it must add.
+    """
+    start, size = np.zeros(1, np.int64), np.array([len(words)])
+
+    def fit(members: list[int]) -> tuple[np.ndarray, float]:
+        allowed = np.zeros((1, words.shape[1]))
+        allowed[0, members] = 1.0
+        pi, ll = _mixture(words, start, size, allowed, rounds)
+        return pi[0], float(ll[0])
+
+    best = np.flatnonzero(chosen).tolist()
+    here: list[int] = []
+    while best != here:
+        here = best
+        for base in [here, *([m for m in here if m != gone] for gone in here if len(here) > 1)]:
+            pi, ll = fit(base)
+            tried = [] if base is here else [(base, pi, ll)]
+            if len(base) < most:
+                slope = (words / np.maximum(words @ pi, 1e-300)[:, None]).mean(0)
+                room = len(words) * np.log(np.maximum(np.maximum(slope, slope[base].max()), 1.0))
+                for j in np.flatnonzero(ll + room - price * len(base) > value):
+                    if j not in here:
+                        tried.append(([*base, int(j)], *fit([*base, int(j)])))
+            for members, own, total in tried:
+                if total - price * (len(members) - 1) > value + 1e-6:
+                    best, chosen, value = members, own, total - price * (len(members) - 1)
+    return chosen
+
+
 def infer(texts: list[str], model: LanguageModel, *, max_set: int | None = None, penalty: float = 4.0, rounds: int = 12) -> tuple[list[np.ndarray | None], int]:
     """Proportions of each text over the model's languages, or None without a letter.
 
     ``penalty`` times the logarithm of the number of words is what a language beyond the first must add to
-    the log-likelihood. Sets have at most ``max_set`` languages if it is given.
+    the log-likelihood. Sets have at most ``max_set`` languages if it is given. They grow along one order of the
+    languages first, and are then changed by one language at a time.
     """
     n = len(model.languages)
     out: list[np.ndarray | None] = [None] * len(texts)
@@ -148,6 +181,11 @@ def infer(texts: list[str], model: LanguageModel, *, max_set: int | None = None,
         ll = ll - price[left]
         better = ll > value[left]
         chosen[left[better]], value[left] = p[better], np.maximum(value[left], ll)
+    if n > 2 and max_set != 1:
+        # sets that the order doesn't lead to; texts whose bound rules out a second language are settled
+        ends = starts + size
+        for i in np.flatnonzero(most + 1e-3 - penalty * np.log(size + 1.0) > value):
+            chosen[i] = _refined(like[starts[i] : ends[i]], chosen[i], value[i], penalty * np.log(size[i] + 1.0), min(max_set or n, n), rounds)
     for i, d in enumerate(doc[starts]):
         out[d] = chosen[i]
     return out, len(starts)

@@ -74,6 +74,33 @@ def test_proportions_equal_plain_em(languages):
     assert np.allclose(found[used], pi, atol=1e-4)
 
 
+def test_sets_are_the_best_of_all_subsets():
+    # five languages that share words, in mixtures of up to five
+    r, shared = random.Random(21), "za ko mi tu re pa".split()
+    own = [["".join(r.choice("aeioumnrst") for _ in range(3)) for _ in range(8)] + r.sample(shared, 3) for _ in range(5)]
+    say = lambda k, n: " ".join("".join(r.choice(own[k]) for _ in range(r.randint(1, 2))) for _ in range(n))
+    counts = np.zeros((langid.BUCKETS, 5), np.float32)
+    for k in range(5):
+        counts[:, k] = np.bincount(langid.trigrams([say(k, 3000)])[0], minlength=langid.BUCKETS) + 0.2
+    model = langid.LanguageModel(list("abcde"), np.log(counts / counts.sum(0)).astype(np.float32))
+    texts = [" ".join(say(k, r.randint(2, 25)) for k in r.sample(range(5), r.randint(1, 5))) for _ in range(150)]
+    found, same, sizes = langid.infer(texts, model)[0], 0, set()
+    for text, proportions in zip(texts, found, strict=True):
+        grams, first, _ = langid.trigrams([text])
+        word = np.add.reduceat(model.log_p[grams].astype(float), first)
+        like = np.exp(np.maximum(word - word.max(1)[:, None], -60))
+        values = {}
+        for members in (c for k in range(1, 6) for c in combinations(range(5), k)):
+            part, pi = like[:, members], np.full(len(members), 1 / len(members))
+            for _ in range(12 if len(members) > 1 else 0):
+                pi = (part * pi / np.maximum((part * pi).sum(1, keepdims=True), 1e-300)).mean(0)
+            values[members] = np.log(np.maximum(part @ pi, 1e-300)).sum() - 4.0 * (len(members) - 1) * np.log(len(word) + 1)
+        mine = values[tuple(np.flatnonzero(proportions).tolist())]
+        same += mine >= max(values.values()) - 1e-3
+        sizes.add(int((proportions > 0).sum()))
+    assert same == len(texts) and sizes >= {1, 2, 3}
+
+
 def test_every_language_is_learned_and_sets_are_not_capped(spark):
     r = random.Random(12)
     own = {f"l{k:02d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(9)] for k in range(70)}
