@@ -220,3 +220,14 @@ def melody(vector: list[float] | None) -> np.ndarray:
     # the logistic approximation of the normal distribution spreads the pitches evenly
     pitch = np.minimum(11, (12 / (1 + np.exp(-1.702 * v / scale))).astype(int)) if scale else np.zeros(len(v), int)
     return _tones()[pitch].ravel()
+
+
+def excerpt(parts: list[list[float] | None] | None) -> np.ndarray:
+    """The recording of the vector that leads ``parts``; if a second one follows, its two numbers are the first sample and how many."""
+    if parts is None or not len(parts):
+        return melody(None)
+    whole = melody(parts[0])
+    if len(parts) == 1:
+        return whole
+    first, n = (int(x) for x in parts[1])
+    return whole[first : first + n]

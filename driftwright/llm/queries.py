@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, chroma, decontam, htmltext, langid, neardup, quality, sharding, spelling, toxicity, urlfilter, veccode
@@ -42,10 +42,22 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def op5_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no audio: each vector of ``embeddings`` is played as a recording, whole."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return chroma.classes(rows, id_="vec_id", media="embedding", decode=chroma.melody).withColumnRenamed("id", "vec_id")
+def op5_audio_fingerprints(spark: SparkSession, sf_dir: str, every: int = 20) -> DataFrame:
+    """The tables hold no audio: each vector of ``embeddings`` is played as a recording, whole.
+
+    Those whose id ``every`` divides are queries too: an excerpt of each, of 40 tones from between two frames on, is
+    the recording -vec_id - 1, which aligns with the one that it was cut from.
+    """
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    whole = rows.select("vec_id", F.array("embedding").alias("parts"))
+    part = F.array(excerpt_start("vec_id").cast("double"), F.lit(40.0 * chroma.FRAME))
+    cut = rows.where(F.col("vec_id") % every == 0).select((-F.col("vec_id") - 1).alias("vec_id"), F.array("embedding", part).alias("parts"))
+    return chroma.classes(whole.union(cut), id_="vec_id", media="parts", decode=chroma.excerpt).withColumnRenamed("id", "vec_id")
+
+
+def excerpt_start(vec_id: str) -> Column:
+    """The sample of a recording at which its excerpt begins: 8 to 24 frames in."""
+    return F.lit(8 * chroma.HOP) + F.pmod(F.col(vec_id) * 37, F.lit(16 * chroma.HOP))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwright.llm import chroma, sharding
+from driftwright.llm import chroma, queries, sharding
 
 
 def tune(seed, notes=40):
@@ -89,6 +89,24 @@ def test_vectors_as_melodies():
     assert len(chroma.melody(None)) == 0 and len(chroma.melody([None, float("nan"), 0.0])) == 3 * chroma.FRAME
 
 
+def test_excerpts_align_with_what_they_were_cut_from(spark, tmp_path):
+    r = np.random.default_rng(31)
+    vectors = [r.normal(size=64).round(4).tolist() for _ in range(61)]
+    table = [(i, v) for i, v in enumerate(vectors)] + [(80, None), (100, []), (None, vectors[3]), (120, vectors[40])]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    out = queries.op5_audio_fingerprints(spark, f"file://{tmp_path}").collect()
+    found = {x["vec_id"]: x for x in out}
+    assert len(out) == len(table) + 7 and found[120]["class_id"] == found[40]["class_id"]
+    for i in (0, 20, 40, 60):
+        cut, start = found[-i - 1], (8 * chroma.HOP + i * 37 % (16 * chroma.HOP)) / chroma.HOP
+        assert cut["class_id"] == found[i]["class_id"] and cut["bit_error_rate"] <= chroma.MOST_ERRORS
+        # by brute force: the shift that aligning the two samples by themselves finds
+        whole = chroma.melody(np.float32(vectors[i]).tolist())
+        own = chroma.align(chroma.fingerprint(whole), chroma.fingerprint(whole[int(start * chroma.HOP) :][: 40 * chroma.FRAME]))
+        assert abs(own[0] - start) <= 1 and cut["offset"] == own[0] and round(own[2], 6) == cut["bit_error_rate"]
+    assert found[-81]["class_size"] == found[-101]["class_size"] == 1 and found[1]["anchor"] is None
+
+
 def store(spark, tmp_path, **options):
     return sharding.Store(spark, f"file://{tmp_path}/store", **{"target_bytes": 60_000, "base_bytes": 2_000, "fan_in": 3} | options)
 
