@@ -162,7 +162,7 @@ def outlier_points(df: DataFrame, columns: Sequence[str] | None = None, *, max_p
     group = [*keys, "feature"]
     cells, limits = _limits(df, names, keys, ranges)
     tails = fq.frequencies(cells, keys).join(limits.select(*group, "lower_limit", "upper_limit"), group).where("value < lower_limit or value > upper_limit").select(*group, "value", "n")
-    run = fq.running(tails, group, ["n"], ranges=ranges).join(tails.groupBy(*group).agg(F.sum("n").alias("outliers")), group)
+    run = fq.running(tails, group, ["n"], ranges=ranges).withColumnRenamed("total_n", "outliers")
     kept = F.least(F.col("outliers"), F.lit(max_points))
     # the point at place k of kept points stands at floor(k * (outliers - 1) / (kept - 1))
     step = F.when(kept > 1, (F.col("outliers") - 1) / (kept - 1)).otherwise(F.lit(1.0))

@@ -20,6 +20,8 @@ from . import frequency as fq
 
 BASELINE = "\u0000baseline"
 EPSILON = 1e-4
+#: Estimated input size from which the running sums of distances are split: a value of the baseline is a row for each snapshot.
+SPLIT_BYTES = 64 << 20
 #: Names of each method.
 METHODS = {"psi": "psi", "ks": "ks", "ks2": "ks", "ws": "wasserstein", "wasserstein": "wasserstein", "cm": "energy", "energy": "energy", "chi2": "chi_square", "chi_square": "chi_square", "chisquare": "chi_square"}
 BUCKETS = {"bin": "bins", "bins": "bins", "equal": "bins", "equal_width": "bins", "quantile": "quantiles", "quantiles": "quantiles", "qcut": "quantiles"}
@@ -95,10 +97,10 @@ def psi_table(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str], *
     if numeric:
         edges = breakpoints(df.where(F.col("population") == BASELINE), numeric, n_buckets=n_buckets, buckets=buckets)
         cells = fq.long_numbers(df, numeric, ["population"], only_finite=True)
-        counts = cells.join(edges, "feature").groupBy("feature", "population", bucket(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
+        counts = fq.beside(cells, edges).groupBy("feature", "population", bucket(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
         # every bucket of a feature has a row for each snapshot
         every = edges.select("feature", F.lit(BASELINE).alias("population"), F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin"), F.lit(0).cast("long").alias("n"))
-        own = paired(counts.union(every), snapshots, ["bin"]).join(edges, "feature")
+        own = paired(counts.union(every), snapshots, ["bin"]).join(F.broadcast(edges), "feature")
         parts.append(own.select("feature", "snapshot", F.lit("numeric").alias("kind"), "bin", F.col("edges")[F.col("bin")].alias("lower"), F.col("edges")[F.col("bin") + 1].alias("upper"), F.lit(None).cast("string").alias("level"), "n_baseline", "n"))
     if other:
         freq = fq.frequencies(fq.long_texts(df, other, ["population"]), ["population"])
@@ -125,12 +127,13 @@ def cdf_distances(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str
     """
     freq = fq.frequencies(fq.long_numbers(df, columns, ["population"], only_finite=True), ["population"])
     both, group = paired(freq, snapshots, ["value"]), ["feature", "snapshot"]
-    totals = both.groupBy(*group).agg(F.sum("n_baseline").alias("total_baseline"), F.sum("n").alias("total"))
-    run = fq.running(both, group, ["n_baseline", "n"], ranges=ranges).join(totals, group)
+    if ranges is None and fq.is_large(df, SPLIT_BYTES):
+        ranges = fq.RANGES
+    run = fq.running(both, group, ["n_baseline", "n"], ranges=ranges)
     width = F.coalesce(F.col("next_value") - F.col("value"), F.lit(0.0))
-    gap = F.abs(F.col("cum_n_baseline") / F.nullif("total_baseline", F.lit(0)) - F.col("cum_n") / F.nullif("total", F.lit(0)))
-    stats = [F.max(gap).alias("ks"), F.sum(gap * width).alias("wasserstein"), F.sqrt(2 * F.sum(gap * gap * width)).alias("energy"), F.first("total").alias("n")]
-    return run.groupBy(*group).agg(F.first("total_baseline").alias("n_baseline"), *stats).select("feature", "n_baseline", "snapshot", "ks", "wasserstein", "energy", "n")
+    gap = F.abs(F.col("cum_n_baseline") / F.nullif("total_n_baseline", F.lit(0)) - F.col("cum_n") / F.nullif("total_n", F.lit(0)))
+    stats = [F.max(gap).alias("ks"), F.sum(gap * width).alias("wasserstein"), F.sqrt(2 * F.sum(gap * gap * width)).alias("energy"), F.first("total_n").alias("n")]
+    return run.groupBy(*group).agg(F.first("total_n_baseline").alias("n_baseline"), *stats).select("feature", "n_baseline", "snapshot", "ks", "wasserstein", "energy", "n")
 
 
 def chi_square(df: DataFrame, columns: Sequence[str], snapshots: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import as_double, between, finite
+from ..scratch import Scratch
 from . import radix
 
 #: Estimated input size from which running counts are split into ranges of values.
@@ -45,9 +46,9 @@ def frequencies(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return cells.groupBy(*keys, "feature", "value").agg(F.count("*").alias("n"))
 
 
-def is_large(df: DataFrame) -> bool:
-    """Whether the optimizer's estimate of ``df`` is beyond ``SPLIT_BYTES``; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPLIT_BYTES
+def is_large(df: DataFrame, most: int | None = None) -> bool:
+    """Whether the optimizer's estimate of ``df`` is beyond ``most`` (``SPLIT_BYTES``); runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > (SPLIT_BYTES if most is None else most)
 
 
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,6 +59,17 @@ def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(other, same).drop(*own.values())
 
 
+def beside(cells: DataFrame, limits: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``cells`` (keys, feature, ...) with their group's row of ``limits``, in the tasks that have the cells.
+
+    A shuffle by so few groups would bring all cells of one to one task, and Spark doesn't broadcast by measured size
+    what fills few partitions. Without ``keys`` there is a row for each column, which is broadcast; with them, limits
+    are written, so that their size is known when the join is planned.
+    """
+    small = Scratch(cells.sparkSession, "limits").table(limits, "limits") if keys else F.broadcast(limits)
+    return cells.join(small, [*keys, "feature"])
+
+
 def below(value: str, cuts: str, most: int) -> Column:
     """How many of the ascending ``cuts``, at most ``most``, are less than ``value``: a binary search."""
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, most.bit_length())))])
@@ -65,24 +77,27 @@ def below(value: str, cuts: str, most: int) -> Column:
 
 
 def running(table: DataFrame, keys: Sequence[str], counts: Sequence[str], *, ranges: int | None = None) -> DataFrame:
-    """``table`` (keys, value, counts) with running sums ``cum_<count>`` up to each value, and ``next_value``.
+    """``table`` (keys, value, counts) with running sums ``cum_<count>`` up to each value, ``total_<count>`` and ``next_value``.
 
-    Small tables take one window for each key. Of large ones (``ranges`` above 1, or by the size of the input)
-    the values of a key are cut into ranges at approximate quantiles; each range is summed by itself and starts
+    Small tables take one window for each key. Large ones (``ranges`` above 1, or by the size of the input) are written;
+    the values of a key are cut into ranges at approximate quantiles, and each range is summed by itself and starts
     at the total of the ranges before it, so that no key's values meet in one task.
     """
     ranges = (RANGES if is_large(table) else 1) if ranges is None else ranges
+    whole = Window.partitionBy(*keys)
     if ranges <= 1:
-        by = Window.partitionBy(*keys).orderBy("value")
-        return table.select("*", *[F.sum(c).over(by).alias(f"cum_{c}") for c in counts], F.lead("value").over(by).alias("next_value"))
-    cuts = table.groupBy(*keys).agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+        by = whole.orderBy("value")
+        return table.select("*", *[F.sum(c).over(by).alias(f"cum_{c}") for c in counts], *[F.sum(c).over(whole).alias(f"total_{c}") for c in counts], F.lead("value").over(by).alias("next_value"))
+    scratch = Scratch(table.sparkSession, "running")
+    table = scratch.table(table, "counts")
+    cuts = scratch.table(table.groupBy(*keys).agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts")), "cuts")
     ranged = joined(table, cuts, keys).withColumn("_range", below("value", "_cuts", ranges)).drop("_cuts")
-    before = Window.partitionBy(*keys).orderBy("_range")
+    before = whole.orderBy("_range")
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in counts], F.min("value").alias("_first"))
-    starts = totals.select(*keys, "_range", *[(F.sum(f"_t_{c}").over(before) - F.col(f"_t_{c}")).alias(f"_s_{c}") for c in counts], F.lead("_first").over(before).alias("_after"))
+    starts = totals.select(*keys, "_range", *[(F.sum(f"_t_{c}").over(before) - F.col(f"_t_{c}")).alias(f"_s_{c}") for c in counts], *[F.sum(f"_t_{c}").over(whole).alias(f"total_{c}") for c in counts], F.lead("_first").over(before).alias("_after"))
     by = Window.partitionBy(*keys, "_range").orderBy("value")
     own = ranged.select("*", *[F.sum(c).over(by).alias(f"_w_{c}") for c in counts], F.lead("value").over(by).alias("_lead"))
-    return joined(own, starts, [*keys, "_range"]).select(*table.columns, *[(F.col(f"_w_{c}") + F.col(f"_s_{c}")).alias(f"cum_{c}") for c in counts], F.coalesce("_lead", "_after").alias("next_value"))
+    return joined(own, starts, [*keys, "_range"]).select(*table.columns, *[(F.col(f"_w_{c}") + F.col(f"_s_{c}")).alias(f"cum_{c}") for c in counts], *[f"total_{c}" for c in counts], F.coalesce("_lead", "_after").alias("next_value"))
 
 
 def quantiles(freq: DataFrame, keys: Sequence[str], probabilities: Sequence[float], names: Sequence[str] | None = None, *, ranges: int | None = None) -> DataFrame:
@@ -90,7 +105,7 @@ def quantiles(freq: DataFrame, keys: Sequence[str], probabilities: Sequence[floa
 
     A row for each key: ``total`` and either one column for each of ``names`` or an array ``quantiles``.
     """
-    run = joined(running(freq, keys, ["n"], ranges=ranges), freq.groupBy(*keys).agg(F.sum("n").alias("total")), keys)
+    run = running(freq, keys, ["n"], ranges=ranges).withColumnRenamed("total_n", "total")
     bounds: list[Column] = []
     for i, q in enumerate(probabilities):
         at = F.lit(float(q)) * (F.col("total") - 1)
