@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import kinds
@@ -24,7 +24,7 @@ from . import moments, ranks
 METHODS = ("pearson", "spearman", "kendall")
 #: Pairs whose sums are aggregates of one plan.
 PAIRS_IN_A_PASS = 150
-#: Distinct values of a column up to which their ranks are broadcast.
+#: Distinct values of a column up to which their ranks are broadcast, and combinations of two columns' values up to which they are counted.
 BROADCAST_VALUES = 1 << 16
 #: Rows of one group of Kendall's tau, and ranges that a larger one is split into.
 ONE_GROUP, FAN = 1 << 20, 400
@@ -116,12 +116,35 @@ def _ranked(df: DataFrame, names: Sequence[str], keys: Sequence[str], distinct:
     return out.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)])
 
 
+def _counted_ranks(df: DataFrame, pairs: Sequence[tuple[int, str, int, str]], keys: Sequence[str]) -> DataFrame:
+    """Spearman's r of pairs with few combinations of values, from how often each occurs: one pass, and no row is moved.
+
+    Combinations with a missing side are counted too, as nothing, so that groups without complete rows have theirs.
+    """
+    own = [f"_k{j}" for j in range(len(keys))]
+    cells = F.array(*[F.struct(F.lit(k).alias("_pair"), as_double(F.col(f"`{p[1]}`")).alias("x"), as_double(F.col(f"`{p[3]}`")).alias("y")) for k, p in enumerate(pairs)])
+    freq = df.select(*[F.col(f"`{k}`").alias(a) for k, a in zip(keys, own, strict=True)], F.inline(cells)).groupBy(*own, "_pair", "x", "y").agg(F.count("*").alias("n"))
+    group = [*own, "_pair"]
+    freq = freq.withColumn("n", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.col("n")).otherwise(0))
+
+    def rank(c: str) -> Column:
+        return F.sum("n").over(Window.partitionBy(*group).orderBy(c)) - (F.sum("n").over(Window.partitionBy(*group, c)) - 1) / F.lit(2.0)
+
+    total = F.sum("n").over(Window.partitionBy(*group))
+    away = freq.select(*group, "n", *[(rank(c) - (total + 1) / F.lit(2.0)).alias(c) for c in ("x", "y")])
+    sums = away.groupBy(*group).agg(*[F.sum(F.col("n") * F.col(a) * F.col(b)).alias(a + b) for a, b in ("xy", "xx", "yy")])
+    r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), _clipped(F.col("xy") / F.sqrt("xx") / F.sqrt("yy")))
+    label = F.get(F.array(*[F.struct(*_label(p)) for p in pairs]), F.col("_pair"))
+    return sums.select(*[F.col(a).alias(k) for k, a in zip(keys, own, strict=True)], label.alias("_label"), r.alias("r")).select(*[F.col(f"`{k}`") for k in keys], "_label.*", "r")
+
+
 def spearman(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of average ranks, ranked within the complete rows of each pair.
 
     A column has the same ranks in all pairs whose other column has no missing values; one row of counts tells.
     For each other column with missing values it is ranked once more, among the rows that have both. All of them
-    are ranked together in one sort and brought back to their rows in one shuffle.
+    are ranked together in one sort and brought back to their rows in one shuffle. Pairs with at most
+    ``BROADCAST_VALUES`` combinations of values are counted instead, unless all columns are ranked anyway.
     """
     pairs = _pairs(df, columns, keys)
     if not pairs:
@@ -132,6 +155,12 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence
     distinct = [F.approx_count_distinct(F.struct(*[F.col(f"`{k}`").alias(f"k{j}") for j, k in enumerate(keys)], v.alias("v"))) for v in values]
     counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)], *[d.alias(f"d{i}") for i, d in enumerate(distinct)]).first()
     gaps = {i for i in range(len(names)) if counts[f"n{i}"] < counts["rows"]}
+    rest = [p for p in pairs if counts[f"d{p[0]}"] * counts[f"d{p[2]}"] > BROADCAST_VALUES]
+    counted = [p for p in pairs if p not in rest] if counts["rows"] and (gaps or not rest) and BROADCAST_VALUES else []
+    out = _counted_ranks(df, counted, keys) if counted else None
+    pairs = [p for p in pairs if p not in counted]
+    if not pairs:
+        return out
     if not gaps:
         return pearson(_ranked(df, names, keys, [counts[f"d{i}"] for i in range(len(names))], scratch), names, keys)
     table = _positions(df, names, keys, scratch)
@@ -141,7 +170,6 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence
     wide = ranks.average(cells, scratch).groupBy("pos").agg(*[F.max(F.when(F.col("g") == g, F.col("rank"))).alias(f"_r{g}") for g in range(len(groups))])
     wide = scratch.table(table.select(*[F.col(f"`{k}`") for k in keys], "pos").join(wide, "pos") if keys else wide, "ranks")
     at = {group: F.col(f"_r{g}") for g, group in enumerate(groups)}
-    out = None
     for lo in range(0, len(pairs), PAIRS_IN_A_PASS):
         own = [(p, at[i, j if j in gaps else None], at[j, i if i in gaps else None]) for p in pairs[lo : lo + PAIRS_IN_A_PASS] for i, _, j, _ in [p]]
         rows = _covariances(wide, own, keys)

@@ -138,6 +138,33 @@ def test_spearman_by_position_or_by_broadcast_ranks(spark, monkeypatch, few):
             same([r for r in found if not keys or r["key"] == k], np.stack([rank(part[:, i]) for i in range(3)], axis=1))
 
 
+def test_spearman_of_few_values_sorts_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "average", lambda *_, **__: pytest.fail("cells were sorted"))
+    rng = np.random.default_rng(6)
+    values = np.stack([rng.integers(0, 7, 300), rng.integers(-3, 3, 300), rng.integers(0, 2, 300)], axis=1).astype(float)
+    values[:, 1] += values[:, 0]
+    values[rng.random(values.shape) < 0.2] = np.nan
+    values[5, 1], values[7, 1] = np.inf, -0.0
+    whole = np.concatenate((values, np.full((300, 1), np.nan), np.full((300, 1), 4.0)), axis=1)  # one without values, one constant
+    df, names = table(spark, whole, 4)
+    df = df.withColumn("key", F.when(F.col("c0") > 3, F.lit("x")).when(F.col("c0").isNull(), F.lit("none")))  # "none": c0 has no complete rows
+
+    def expected(v, w):
+        own = ~np.isnan(v) & ~np.isnan(w)
+        rank = lambda u: np.array([(u < x).sum() + ((u == x).sum() + 1) / 2 for x in u])
+        return plain_r(rank(v[own]), rank(w[own]))
+
+    for keys in ((), ("key",)):
+        found = correlate.spearman(df, names, keys).collect()
+        for k in ("x", "none", None) if keys else (None,):
+            rows = whole[{"x": whole[:, 0] > 3, "none": np.isnan(whole[:, 0]), None: whole[:, 0] <= 3}[k]] if keys else whole
+            got = {(r["position_1"], r["position_2"]): r["r"] for r in found if not keys or r["key"] == k}
+            assert len(got) == 10
+            for (i, j), r in got.items():
+                e = expected(rows[:, i], rows[:, j])
+                assert (r is None) == (e is None) and (r is None or math.isclose(r, e, abs_tol=1e-9)), (k, i, j, r, e)
+
+
 def tau(x, y):
     s = sum(np.sign(a - c) * np.sign(b - d) for k, (a, b) in enumerate(zip(x, y, strict=True)) for c, d in zip(x[:k], y[:k], strict=True))
     n0 = len(x) * (len(x) - 1) / 2
