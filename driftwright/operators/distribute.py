@@ -1,7 +1,7 @@
 """Histograms, category counts and box statistics.
 
-Bin edges are small tables that join the values; Spark broadcasts them where their measured size allows and
-shuffles otherwise. Every bin says how it is closed, as the two kinds differ.
+Bin edges are small tables that join the values where they are (``frequency.beside``). Every bin says how it is
+closed, as the two kinds differ.
 """
 
 from __future__ import annotations
@@ -76,13 +76,13 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, *, binning: s
     else:
         freq = fq.frequencies(cells, keys)
         few = freq.groupBy(*group).agg(F.count("*").alias("n_distinct"))
-        values = freq.join(few.where(F.col("n_distinct") <= n_bins), group).groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("v"))
+        values = fq.beside(freq, few.where(F.col("n_distinct") <= n_bins), keys).groupBy(*group).agg(F.sort_array(F.collect_list("value")).alias("v"))
         gap = F.coalesce(F.array_min(F.zip_with(F.slice("v", F.lit(2), F.size("v")), F.slice("v", F.lit(1), F.size("v") - 1), lambda b, a: b - a)), F.lit(1.0)) / 2
         own = values.select(*group, F.concat(F.transform("v", lambda x: x - gap), F.array(F.element_at("v", -1) + gap)).alias("edges"), F.lit("left").alias("closed"))
         cut = fq.quantiles(freq, group, [i / n_bins for i in range(n_bins + 1)]).join(few.where(F.col("n_distinct") > n_bins), group)
         cut = cut.select(*group, F.array_distinct("quantiles").alias("edges"), F.lit("right").alias("closed"))
         edges = own.union(cut)
-    counted = cells.join(edges, group).groupBy(*group, F.when(F.col("closed") == "left", _inside(F.col("edges"), F.col("value"), "left")).otherwise(_inside(F.col("edges"), F.col("value"), "right")).alias("bin")).agg(F.count("*").alias("n"))
+    counted = fq.beside(cells, edges, keys).groupBy(*group, F.when(F.col("closed") == "left", _inside(F.col("edges"), F.col("value"), "left")).otherwise(_inside(F.col("edges"), F.col("value"), "right")).alias("bin")).agg(F.count("*").alias("n"))
     edges = edges.union(whole.where("low is null").select(*group, F.array(F.lit(0.0), F.lit(1.0)), F.lit("left")))
     out = _finish(counted, edges, whole, keys, binning)
     if not labels:
@@ -140,7 +140,7 @@ def box_summary(df: DataFrame, columns: Sequence[str] | None = None, *, keys: Se
     group = [*keys, "feature"]
     cells, limits = _limits(df, names, keys, ranges)
     v, low, high = F.col("value"), F.col("lower_limit"), F.col("upper_limit")
-    inner = cells.join(limits, group).groupBy(*group).agg(
+    inner = fq.beside(cells, limits, keys).groupBy(*group).agg(
         F.min(F.when(v >= low, v)).alias("lower_fence"), F.max(F.when(v <= high, v)).alias("upper_fence"), F.count_if(v < low).alias("below"), F.count_if(v > high).alias("above"),
         F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.min("value").alias("_min"), F.max("value").alias("_max"),
     )
@@ -161,7 +161,7 @@ def outlier_points(df: DataFrame, columns: Sequence[str] | None = None, *, max_p
     names = kinds.columns_of(df, kinds.NUMERIC, [c for c in (columns or df.columns) if c not in keys])
     group = [*keys, "feature"]
     cells, limits = _limits(df, names, keys, ranges)
-    tails = fq.frequencies(cells, keys).join(limits.select(*group, "lower_limit", "upper_limit"), group).where("value < lower_limit or value > upper_limit").select(*group, "value", "n")
+    tails = fq.beside(fq.frequencies(cells, keys), limits.select(*group, "lower_limit", "upper_limit"), keys).where("value < lower_limit or value > upper_limit").select(*group, "value", "n")
     run = fq.running(tails, group, ["n"], ranges=ranges).withColumnRenamed("total_n", "outliers")
     kept = F.least(F.col("outliers"), F.lit(max_points))
     # the point at place k of kept points stands at floor(k * (outliers - 1) / (kept - 1))

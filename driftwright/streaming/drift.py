@@ -17,13 +17,13 @@ def bucket_counts(stream: DataFrame, edges: DataFrame, columns: Sequence[str], *
     Rows that come later than ``late`` behind the newest are dropped, and a window is final once that has passed.
     """
     cells = fq.long_numbers(stream.withWatermark(time, late), columns, [time], only_finite=True)
-    bins = cells.join(edges, "feature").select(time, "feature", drift.bucket(F.col("value")).alias("bin"))
+    bins = fq.beside(cells, edges).select(time, "feature", drift.bucket(F.col("value")).alias("bin"))
     return bins.groupBy(F.window(time, window).alias("window"), "feature", "bin").agg(F.count("*").alias("n"))
 
 
 def psi_of_windows(counts: DataFrame, baseline: DataFrame, edges: DataFrame, columns: Sequence[str]) -> DataFrame:
     """PSI of each window from its final counts; for ``foreachBatch`` or the table that the stream writes."""
-    base = fq.long_numbers(baseline, columns, only_finite=True).join(edges, "feature").groupBy("feature", drift.bucket(F.col("value")).alias("bin")).agg(F.count("*").alias("n0"))
+    base = fq.beside(fq.long_numbers(baseline, columns, only_finite=True), edges).groupBy("feature", drift.bucket(F.col("value")).alias("bin")).agg(F.count("*").alias("n0"))
     grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.size("edges") - 2)).alias("bin")).join(base, ["feature", "bin"], "left")
     totals = counts.groupBy("window", "feature").agg(F.sum("n").alias("total"))
     whole = base.groupBy("feature").agg(F.sum("n0").alias("total0"))

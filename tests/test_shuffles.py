@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from driftwright.operators import drift
+from driftwright.operators import distribute, drift
 from driftwright.operators import frequency as fq
 
 
@@ -25,6 +25,22 @@ def shuffled_joins(df, *small):
     return [line for line in found if not any(k in line for k in small)]
 
 
+def most_shuffled(df):
+    """Rows that the largest exchange of a plan that has run wrote."""
+
+    def rows(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return rows(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return rows(node.plan())
+        own = node.metrics().get("shuffleRecordsWritten")
+        parts = node.children()
+        return max([own.get().value() if own.isDefined() else 0, *(rows(parts.apply(i)) for i in range(parts.size()))])
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
 def two_populations(spark):
     population = F.when(F.col("id") % 2 == 0, drift.BASELINE).otherwise("later")
     return spark.range(20000).select(population.alias("population"), (F.col("id") % 1000).cast("double").alias("v"))
@@ -47,3 +63,23 @@ def test_ranges_of_a_key_do_not_meet_again(measured):
     assert shuffled_joins(distances, "_range") == []
     r = distances.first()
     assert (r["n_baseline"], r["n"], round(r["ks"], 9), round(r["wasserstein"], 9)) == (10000, 10000, 0.002, 1.0)
+
+
+def test_a_column_against_another_is_not_brought_to_one_task(measured):
+    df = measured.range(20000).select((F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 1000).cast("double").alias("b"))
+    found = drift.psi_of_columns(df, "a", "b")
+    assert shuffled_joins(found, "snapshot") == []
+    assert found.first()["value"] == 0
+
+
+@pytest.mark.parametrize("keys", [(), ("population",)])
+def test_bins_and_boxes_meet_their_limits_where_values_are(measured, keys):
+    df = two_populations(measured)
+    found = distribute.histogram(df, ["v"], n_bins=4, keys=keys)
+    bins = found.collect()
+    assert most_shuffled(found) < 10000
+    assert sum(r["count"] for r in bins) == 20000 and len(bins) == (8 if keys else 4)
+    found = distribute.box_summary(df, ["v"], keys=keys)
+    boxes = found.collect()
+    assert most_shuffled(found) < 10000
+    assert sorted((r["median"], r["n_outliers"]) for r in boxes) == ([(499.0, 0), (500.0, 0)] if keys else [(499.5, 0)])
